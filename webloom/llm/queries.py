@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import leakage, lookalike, spam
+from webloom.llm import leakage, lookalike, neardup, spam
 from webloom.plans.session import table
 
 
@@ -19,6 +19,19 @@ def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize_columns(table(spark, sf_dir, "corpus"), "row_id", ["title", "content"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of corpus rows whose sets of three consecutive words have at least 0.70 of their union in common."""
+    pairs = neardup.duplicate_pairs(table(spark, sf_dir, "corpus"), "row_id", "content", words=3, threshold=0.7)
+    return pairs.select(F.col("a").alias("row_id_a"), F.col("b").alias("row_id_b"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every corpus row with five words or more, its class of equal shingle sets, and the class's number of links at 0.8."""
+    links, members = neardup.near_duplicates(table(spark, sf_dir, "corpus"), "row_id", "content")
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    return members.join(degree, "rep", "left").select(F.col("id").alias("row_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 15 consecutive words of a test item."""
     leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
@@ -41,6 +54,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_normalized": p1_normalized, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
+    "p1_found": p1_found, "p1_normalized": p1_normalized, "p5_found": p5_found, "p5_classes": p5_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
 }
 SQL: dict[str, str] = {}
