@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import leakage, lookalike, neardup, spam
+from webloom.llm import leakage, lines, lookalike, neardup, spam
 from webloom.plans.session import table
 
 
@@ -19,6 +19,21 @@ def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize_columns(table(spark, sf_dir, "corpus"), "row_id", ["title", "content"])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a line that many rows of its host hold."""
+    return lines.repeated_lines(table(spark, sf_dir, "corpus"), "row_id", "content", "host", "url").select(F.col("id").alias("row_id"), "line_no")
+
+
+def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line templates that cover many rows of a host."""
+    return lines.templates(table(spark, sf_dir, "corpus"), "content", "host", "url")
+
+
+def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every content without its repeated lines."""
+    return lines.remove_lines(table(spark, sf_dir, "corpus"), "row_id", "content", "host", "url")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of corpus rows whose sets of three consecutive words have at least 0.70 of their union in common."""
     pairs = neardup.duplicate_pairs(table(spark, sf_dir, "corpus"), "row_id", "content", words=3, threshold=0.7)
@@ -54,6 +69,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_normalized": p1_normalized, "p5_found": p5_found, "p5_classes": p5_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
+    "p1_found": p1_found, "p1_normalized": p1_normalized, "p4_found": p4_found, "p4_templates": p4_templates, "p4_cleaned": p4_cleaned,
+    "p5_found": p5_found, "p5_classes": p5_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
 }
 SQL: dict[str, str] = {}
