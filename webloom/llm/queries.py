@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import leakage, lines, lookalike, neardup, spam
+from webloom.llm import leakage, lines, lookalike, neardup, packing, spam
 from webloom.plans.session import table
 
 
@@ -47,6 +47,16 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("id").alias("row_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents in containers of each capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"), "doc_id", "text")
+
+
+def p7_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    return packing.occupancy(p7_containers(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 15 consecutive words of a test item."""
     leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
@@ -70,6 +80,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_normalized": p1_normalized, "p4_found": p4_found, "p4_templates": p4_templates, "p4_cleaned": p4_cleaned,
-    "p5_found": p5_found, "p5_classes": p5_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
+    "p5_found": p5_found, "p5_classes": p5_classes, "p7_containers": p7_containers, "p7_occupancy": p7_occupancy,
+    "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
 }
 SQL: dict[str, str] = {}
