@@ -22,11 +22,19 @@ from xxhash import xxh3_64_intdigest
 from webloom.plans.session import materialize
 
 WORD = re.compile(r"[^\W_]+")
-#: Size of a sketch, and the length of the runs that key the inverted lists.
-K, RUN = 48, 3
-#: Sets of at most so many shingles lie in their sketch whole and are also keyed by runs of two.
-SMALL = K
-#: Standard deviations of the estimate that the filter leaves as a margin.
+#: Size of a sketch, bytes kept of a retained value (its leading ones), and the length of the runs that key the lists.
+K, BYTES, RUN = 80, 5, 4
+#: Lists that two sets must share. Were neighbours in the sketch of a union independent, two sets of similarity 0.7 would
+#: share fewer with a chance of 0.0003, sets of 0.75 or more with one below 0.00002.
+SHARED = 2
+#: Shorter runs key smaller sets, whose union has fewer neighbours: (length of the run, sets it is for). A run of two alone
+#: is enough for the smallest: wherever more than half of a union is shared, two neighbours are.
+SHORT_RUNS = ((2, 0, 40), (3, 40, K))
+#: Sets that one of another size group may resemble are keyed with that group too: down or up to this ratio.
+RATIO = 0.7
+#: Bits of the fingerprint of a set: one for each bin of its hashes, from the smallest in the bin.
+BITS = 128
+#: Standard deviations that the filters by estimated similarity leave as a margin.
 MARGIN = 4.5
 
 
@@ -59,117 +67,136 @@ def shingle_set(text: str | None, words: int, cache: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
+def pack_sketch(s: np.ndarray) -> bytes:
+    """The leading bytes of the smallest K values, in their order."""
+    return s[:K].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpack_sketch(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // BYTES, 8), np.uint8)
+    wide[:, 8 - BYTES :] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
+    return wide.view(">u8").ravel().astype(np.uint64)
+
+
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """One bit of the smallest hash in each bin; bins without any hash give 0."""
+    m = np.sort(mix(s + np.uint64(0x51ED270B)))
+    bins, first = np.unique(m >> np.uint64(57), return_index=True)
+    bits = np.zeros(BITS, np.uint8)
+    bits[bins.astype(np.int64)] = (m[first] & np.uint64(1)).astype(np.uint8)
+    a, b = np.packbits(bits).view(">i8")
+    return int(a), int(b)
+
+
 def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """id, n, set_hash, sketch of every row with at least one shingle."""
+    """id, n, set_hash, f1, f2, sketch of every row with at least one shingle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
         for b in batches:
-            ids, ns, sets, sketches = [], [], [], []
+            out = []
             for i, t in zip(b["id"], b["t"]):
                 s = shingle_set(t, words, cache)
                 if len(s):
-                    ids.append(i)
-                    ns.append(len(s))
-                    sets.append(xxh3_64_intdigest(s.tobytes()) - (1 << 63))
-                    sketches.append(s[:K].tobytes())
-            yield pd.DataFrame({"id": pd.array(ids, "int64"), "n": pd.array(ns, "int64"), "set_hash": pd.array(sets, "int64"), "sketch": sketches})
+                    out.append((i, len(s), xxh3_64_intdigest(s.tobytes()) - (1 << 63), *fingerprint(s), pack_sketch(s)))
+            yield pd.DataFrame(out, columns=["id", "n", "set_hash", "f1", "f2", "sketch"])
 
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where(F.length("t") > 0)
-    return rows.mapInPandas(run, "id bigint, n bigint, set_hash bigint, sketch binary")
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & (F.length("t") > 0))
+    return rows.mapInPandas(run, "id bigint, n bigint, set_hash bigint, f1 bigint, f2 bigint, sketch binary")
+
+
+def run_keys(s: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the lists that a set of n shingles with the retained values s stands in."""
+    own = [np.empty(0, np.uint64)]
+    groups = [g for g in SHORT_RUNS if g[1] * RATIO < n <= g[2] / RATIO] + [(RUN, K, n)] * (n > K * RATIO)
+    for run, *_ in groups:
+        if len(s) >= run:
+            x = s[: len(s) - run + 1]
+            for j in range(1, run):
+                x = mix(x) + s[j : len(s) - run + 1 + j]
+            own += [mix(x + np.uint64(run))] + [mix(x + np.uint64(64 + run))] * (run < SHARED + 1)
+    return np.concatenate(own).view(np.int64)
 
 
 def _keys(reps: DataFrame) -> DataFrame:
-    """key, id, n: the runs of every sketch."""
+    """key, id, n: the lists of every sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys, ids, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for i, n, raw in zip(b["id"], b["n"], b["sketch"]):
-                s = np.frombuffer(raw, np.uint64)
-                own = []
-                if n <= SMALL:
-                    own.append(mix(mix(s[:-1]) + s[1:] + np.uint64(2)) if len(s) > 1 else mix(s + np.uint64(1)))
-                if n > SMALL // 2 and len(s) >= RUN:
-                    x = s[: len(s) - RUN + 1]
-                    for j in range(1, RUN):
-                        x = mix(x) + s[j : len(s) - RUN + 1 + j]
-                    own.append(mix(x + np.uint64(RUN)))
-                k = np.concatenate(own).view(np.int64)
-                keys.append(k)
-                ids.append(np.full(len(k), i, np.int64))
-                ns.append(np.full(len(k), n, np.int64))
-            yield pd.DataFrame({"key": np.concatenate(keys), "id": np.concatenate(ids), "n": np.concatenate(ns)})
+            keys = [run_keys(unpack_sketch(raw), n) for n, raw in zip(b["n"], b["sketch"])]
+            sizes = [len(k) for k in keys]
+            yield pd.DataFrame(
+                {"key": np.concatenate(keys) if keys else np.empty(0, np.int64), "id": np.repeat(b["id"].to_numpy(), sizes), "n": np.repeat(b["n"].to_numpy(), sizes)}
+            )
 
     return reps.select("id", "n", "sketch").mapInPandas(run, "key bigint, id bigint, n bigint")
 
 
 def estimate(a: bytes, b: bytes) -> float:
-    """Similarity of two sets estimated from the sketch of their union."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    """Similarity of two sets estimated from the sketch of their union; exact where both lie in their sketches whole."""
+    x, y = unpack_sketch(a), unpack_sketch(b)
     union = np.union1d(x, y)
     if len(x) == K or len(y) == K:
         union = union[:K]
-    both = np.intersect1d(x, y, assume_unique=True)
+    both = np.intersect1d(x, y)
     return float(np.searchsorted(both, union[-1], side="right") / len(union))
 
 
+def jaccard(u: np.ndarray, v: np.ndarray) -> float:
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both / (len(u) + len(v) - both)
+
+
 def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(links, members).
 
     links: a, b, similarity for every pair of class representatives (a < b) whose shingle sets reach the threshold.
     members: id, rep for every row with at least one shingle; rows of one class have equal shingle sets, and the class's
-    representative is its smallest id. Rows with null or empty texts or texts of fewer words are in neither.
+    representative is its smallest id. Rows with null ids, null or empty texts or texts of fewer words are in neither.
     Texts are whole. Repeated rows of one id count once. Empty tables give empty results; other columns don't matter.
     """
     rows = materialize(_sketches(df, key, text, words))
-    reps = materialize(
-        rows.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("id", "n", "sketch", "set_hash")
-    )
-    members = rows.select("id", "set_hash").dropDuplicates(["id"]).join(reps.select("set_hash", F.col("id").alias("rep")), "set_hash").select("id", "rep")
-
-    keyed = _keys(reps)
-    lists = materialize(keyed)
-    shared = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    lists = lists.join(shared, "key", "left_semi")
+    classes = materialize(rows.groupBy("set_hash").agg(F.min("id").alias("rep")))
+    members = materialize(rows.select("id", "set_hash").dropDuplicates(["id"]).join(classes, "set_hash").select("id", "rep"))
+    others = members.where("id != rep").select("id")
+    reps = rows.join(others, "id", "left_anti")
+
+    lists = _keys(reps)
     left, right = lists.select("key", F.col("id").alias("a"), F.col("n").alias("na")), lists.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
     near_size = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near_size).select("a", "b").distinct()
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near_size)
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= SHARED).select("a", "b")
+
+    # fingerprints first: they are as small as the pairs
+    p = (1 + threshold) / 2
+    most = BITS * (1 - p) + MARGIN * (BITS * p * (1 - p)) ** 0.5
+    prints = rows.select("id", "f1", "f2")
+    pairs = pairs.join(prints.toDF("a", "a1", "a2"), "a").join(prints.toDF("b", "b1", "b2"), "b")
+    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    pairs = materialize(pairs.where(apart <= most).select("a", "b").distinct())
 
     least = threshold - MARGIN * (threshold * (1 - threshold) / K) ** 0.5
 
     def filtered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            keep = [estimate(p, q) >= least for p, q in zip(x["sa"], x["sb"])]
+            keep = [estimate(u, v) >= least for u, v in zip(x["sa"], x["sb"])]
             yield x.loc[keep, ["a", "b"]]
 
-    with_a = pairs.join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-    with_ab = with_a.join(reps.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-    candidates = materialize(with_ab.select("a", "b", "sa", "sb").mapInPandas(filtered, "a bigint, b bigint"))
-
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ends, "id", "left_semi").dropDuplicates(["id"])
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
-        for x in batches:
-            yield pd.DataFrame({"id": x["id"], "set": [shingle_set(t, words, cache).tobytes() for t in x["t"]]})
-
-    sets = texts.mapInPandas(whole, "id bigint, set binary")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = rows.select("id", "sketch").join(wanted, "id", "left_semi")
+    candidates = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    candidates = materialize(candidates.mapInPandas(filtered, "a bigint, b bigint").distinct())
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = WordHashes()
         for x in batches:
-            found = []
-            for p, q in zip(x["pa"], x["pb"]):
-                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                found.append(both / (len(u) + len(v) - both))
-            x["similarity"] = found
+            x["similarity"] = [jaccard(shingle_set(u, words, cache), shingle_set(v, words, cache)) for u, v in zip(x["ta"], x["tb"])]
             yield x.loc[x["similarity"] >= threshold, ["a", "b", "similarity"]]
 
-    full = candidates.join(sets.select(F.col("id").alias("a"), F.col("set").alias("pa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("pb")), "b")
-    links = full.select("a", "b", "pa", "pb").mapInPandas(verified, "a bigint, b bigint, similarity double")
-    return links, members
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ends, "id", "left_semi").dropDuplicates(["id"])
+    full = candidates.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    return full.mapInPandas(verified, "a bigint, b bigint, similarity double"), members
 
 
 def duplicate_pairs(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
