@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import leakage, lines, lookalike, neardup, packing, spam
+from webloom.llm import encodings, leakage, lines, lookalike, neardup, packing, spam
 from webloom.plans.session import table
 
 
@@ -19,6 +19,29 @@ def p1_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.normalize_columns(table(spark, sf_dir, "corpus"), "row_id", ["title", "content"])
 
 
+def _pair_scores(spark: SparkSession, sf_dir: str):
+    return encodings.model(table(spark, sf_dir, "corpus"), ["title", "content"])
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = _pair_scores(spark, sf_dir)
+    files = encodings.garbled_texts(table(spark, sf_dir, "files_ok"), "file_id", "text", score)
+    pages = encodings.garbled_pages(table(spark, sf_dir, "raw_pages"), "rec_id", score)
+    return files.select(F.lit("files_ok").alias("tbl"), F.col("file_id").alias("row_key"), "restored", "causes").unionByName(
+        pages.select(F.lit("raw_pages").alias("tbl"), F.col("rec_id").alias("row_key"), "restored", "causes")
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose text isn't what was written, and pages that their declared encoding doesn't read as they were written."""
+    return _garbled(spark, sf_dir).select("tbl", "row_key")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records with their text restored where possible, and what had happened to it."""
+    return _garbled(spark, sf_dir).select("tbl", "row_key", "restored", F.array_join("causes", "; ").alias("causes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line that many rows of its host hold."""
     return lines.repeated_lines(table(spark, sf_dir, "corpus"), "row_id", "content", "host", "url").select(F.col("id").alias("row_id"), "line_no")
@@ -79,7 +102,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_normalized": p1_normalized, "p4_found": p4_found, "p4_templates": p4_templates, "p4_cleaned": p4_cleaned,
+    "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_restored": p2_restored,
+    "p4_found": p4_found, "p4_templates": p4_templates, "p4_cleaned": p4_cleaned,
     "p5_found": p5_found, "p5_classes": p5_classes, "p7_containers": p7_containers, "p7_occupancy": p7_occupancy,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
 }
