@@ -251,6 +251,44 @@ def inverse(text: str, score: np.ndarray) -> tuple[str, str] | None:
     return None
 
 
+def segments(line: str, score: np.ndarray) -> list[tuple[int, int]]:
+    """Places (from, to) of a line's improbable runs, widened to whole words."""
+    c = classes(f"\n{line}\n")
+    found: list[list[int]] = []
+    for b, e, total in maximal_segments(score[c[:-1], c[1:]]):
+        if total < SEGMENT:
+            continue
+        b, e = max(0, b - 1), min(len(line), e)  # pair i is characters i - 1 and i of the line
+        while b > 0 and not EDGE.match(line[b - 1]):
+            b -= 1
+        while e < len(line) and not EDGE.match(line[e]):
+            e += 1
+        if found and b <= found[-1][1]:
+            found[-1][1] = max(e, found[-1][1])
+        else:
+            found.append([b, e])
+    return [(b, e) for b, e in found]
+
+
+def improbable(text: str, score: np.ndarray) -> bool:
+    """Whether a text can hold a segment worth looking into, or a replacement character."""
+    c = classes(text)
+    x = score[c[:-1], c[1:]]
+    return "\ufffd" in text or float(x[x > 0].sum()) >= SEGMENT
+
+
+def is_garbled(text: str | None, score: np.ndarray) -> bool:
+    """Whether repair would find anything wrong."""
+    if not text or text.isascii():
+        return False
+    if "\ufffd" in text:
+        return True
+    text = compose(text)
+    return improbable(text, score) and any(
+        inverse(line[b:e], score) for line in text.split("\n") if not line.isascii() for b, e in segments(line, score)
+    )
+
+
 def repair(text: str | None, score: np.ndarray) -> tuple[str | None, list[str]]:
     """(text with its garbled runs restored, what was wrong with it); an empty list for text that is as written.
 
@@ -259,9 +297,7 @@ def repair(text: str | None, score: np.ndarray) -> tuple[str | None, list[str]]:
     if not text or text.isascii():
         return text, []
     text, wrong = compose(text), []
-    c = classes(text)
-    x = score[c[:-1], c[1:]]
-    if "\ufffd" not in text and float(x[x > 0].sum()) < SEGMENT:
+    if not improbable(text, score):
         return text, []
     lines = text.split("\n")
     for k, line in enumerate(lines):
@@ -269,23 +305,8 @@ def repair(text: str | None, score: np.ndarray) -> tuple[str | None, list[str]]:
             continue
         if "\ufffd" in line:
             wrong.append("lost")
-        c = classes(f"\n{line}\n")
-        x = score[c[:-1], c[1:]]
-        found = []
-        for b, e, total in maximal_segments(x):
-            if total < SEGMENT:
-                continue
-            b, e = max(0, b - 1), min(len(line), e)  # pair i is characters i - 1 and i of the line
-            while b > 0 and not EDGE.match(line[b - 1]):
-                b -= 1
-            while e < len(line) and not EDGE.match(line[e]):
-                e += 1
-            if found and b <= found[-1][1]:
-                found[-1][1] = max(e, found[-1][1])
-            else:
-                found.append([b, e])
         pieces, last, names = [], 0, []
-        for b, e in found:
+        for b, e in segments(line, score):
             made = inverse(line[b:e], score)
             if made:
                 pieces += [line[last:b], made[0]]
@@ -293,16 +314,14 @@ def repair(text: str | None, score: np.ndarray) -> tuple[str | None, list[str]]:
                 names.append(made[1])
         if names:
             new = "".join(pieces) + line[last:]
-            for name in dict.fromkeys(names):  # a legacy page usually holds for the whole line
+            for name in dict.fromkeys(names):  # a mapping usually holds for the whole line
                 if name in LEGACY:
                     whole = LEGACY[name](line)
-                    if mass(whole, score) <= mass(new, score):
-                        new = compose(whole)
-                elif name.startswith("utf-8 as "):
+                else:
                     page = name.removeprefix("utf-8 as ").removesuffix(", twice")
                     whole = _utf8(_utf8(line, page), page) if name.endswith("twice") else _utf8(line, page)
-                    if mass(whole, score) <= mass(new, score):
-                        new = compose(whole)
+                if mass(whole, score) <= mass(new, score):
+                    new = compose(whole)
             lines[k] = new
             wrong += names
     return "\n".join(lines), list(dict.fromkeys(wrong))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import encodings, leakage, lines, lookalike, neardup, packing, spam
+from webloom.llm import encodings, leakage, lines, lookalike, mainbody, neardup, packing, spam
 from webloom.plans.session import table
 
 
@@ -70,6 +70,30 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("id").alias("row_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def _page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main body of every page that its declared encoding reads as it was written."""
+    pages = table(spark, sf_dir, "raw_pages")
+    return mainbody.page_main_body(mainbody.decoded_pages(pages, "rec_id", "url", _pair_scores(spark, sf_dir)), "rec_id", "url", "page")
+
+
+def _text_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.text_main_body(table(spark, sf_dir, "corpus"), "row_id", "content", "title", "host", "url")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main body of corpus rows, by line, and of article pages, by piece."""
+    articles = table(spark, sf_dir, "raw_pages").where((F.col("kind") == "article") & (F.col("status") < 400)).select("rec_id")
+    pieces = _page_bodies(spark, sf_dir).join(articles, "rec_id", "left_semi")
+    rows = _text_bodies(spark, sf_dir).select(F.lit("corpus").alias("tbl"), F.col("row_id").alias("row_key"), F.col("line_no").cast("string").alias("par_key"))
+    return rows.unionByName(pieces.select(F.lit("raw_pages").alias("tbl"), F.col("rec_id").alias("row_key"), F.md5(F.encode("text", "UTF-8")).alias("par_key")))
+
+
+def p6_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main body of every page, as one text."""
+    parts = _page_bodies(spark, sf_dir).groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("piece_no", "text"))).alias("parts"))
+    return parts.select("rec_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("body"))
+
+
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents in containers of each capacity."""
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"), "doc_id", "text")
@@ -104,7 +128,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_restored": p2_restored,
     "p4_found": p4_found, "p4_templates": p4_templates, "p4_cleaned": p4_cleaned,
-    "p5_found": p5_found, "p5_classes": p5_classes, "p7_containers": p7_containers, "p7_occupancy": p7_occupancy,
+    "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_containers": p7_containers, "p7_occupancy": p7_occupancy,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
 }
 SQL: dict[str, str] = {}
