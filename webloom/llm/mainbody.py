@@ -84,7 +84,7 @@ def parse(source: str) -> tuple[list[Piece], str]:
             )
         held.clear()
 
-    for m in TOKEN.finditer(source):
+    for m in TOKEN.finditer(encodings.compose(source)):
         tag = m[3]
         if tag is None:
             raw = m[0]
