@@ -235,6 +235,7 @@ def page_main_body(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
     """
     kind = dict(df.dtypes)[key]
     pages = df.select(F.col(key).alias("k"), url_host(F.col(url)).alias("host"), F.col(url).alias("url"), F.col(page).alias("page")).where(F.length("page") > 0)
+    pages = materialize(pages)  # decoded once, read three times
     texts, nodes = style_tree(pages)
     sizes = pages.select("host", "url").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     return _cut(pages, texts, nodes, sizes, key, kind)
