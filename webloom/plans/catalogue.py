@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.plans import general
+from webloom.plans import general, url_queries
 
-MODULES = [general]
+MODULES = [general, url_queries]
 
 
 def queries() -> dict:
