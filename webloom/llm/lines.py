@@ -128,10 +128,11 @@ def templates(df: DataFrame, text: str, host: str, url: str, least_rows: int = L
 def remove_lines(df: DataFrame, key: str, text: str, host: str, url: str, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
     """key, text of every row: the text without its repeated lines; null texts stay null, a text of nothing else becomes ''."""
     found = repeated_lines(df, key, text, host, url, least_rows, least_share).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    parts = F.split(F.col(text), "\n")
-    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i")))
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    numbered = F.transform(F.split("t", "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("bigint").alias("i")))
     kept = F.array_join(F.transform(F.filter(numbered, lambda p: ~F.array_contains("gone", p["i"])), lambda p: p["x"]), "\n")
-    return df.join(found, df[key] == found["id"], "left").select(df[key], F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept).alias(text))
+    joined = rows.join(found, rows["k"] == found["id"], "left")
+    return joined.select(F.col("k").alias(key), F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept).alias(text))
 
 
 def repeated_lines(df: DataFrame, key: str, text: str, host: str, url: str, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
