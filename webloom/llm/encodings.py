@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.plans.session import spread
+
 # Vietnamese letters in the order of the alphabet, and the characters that TCVN3 puts at their codes.
 VIETNAMESE = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđĂÂÊÔƠƯĐ"
 TCVN3 = "µ¸¶·¹¨»¾¼½Æ©ÇÊÈÉËÌÐÎÏÑªÒÕÓÔÖ×ÝØÜÞßãáâä«åèæçé¬êíëìîïóñòô­õøö÷ùúýûüþ®¡¢£¤¥¦§"
@@ -93,7 +95,7 @@ def count_pairs(df: DataFrame, texts: list[str]) -> DataFrame:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"pair": at, "n": total[at]})
 
-    rows = df.select(F.explode(F.array(*texts)).alias("t")).where(F.length("t") > 1)
+    rows = spread(df.select(*texts)).select(F.explode(F.array(*texts)).alias("t")).where(F.length("t") > 1)
     return rows.mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
@@ -359,7 +361,7 @@ def garbled_texts(df: DataFrame, key: str, text: str, score: np.ndarray) -> Data
             out = [(k, *repair(t, held.value)) for k, t in zip(b["k"], b["t"])]
             yield pd.DataFrame([x for x in out if x[2]], columns=[key, "restored", "causes"])
 
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("[^\\x00-\\x7f]"))
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).where(F.col("t").rlike("[^\\x00-\\x7f]"))
     return rows.mapInPandas(run, f"{key} {kind}, restored string, causes array<string>")
 
 
@@ -376,5 +378,5 @@ def garbled_pages(df: DataFrame, key: str, score: np.ndarray) -> DataFrame:
             out = [(k, *repair(decode_page(h, e), held.value)) for k, h, e in zip(b["k"], b["html_b64"], b["encoding"])]
             yield pd.DataFrame([x for x in out if x[2]], columns=[key, "restored", "causes"])
 
-    rows = df.select(F.col(key).alias("k"), "html_b64", "encoding").where(F.length("html_b64") > 0)
+    rows = spread(df.select(F.col(key).alias("k"), "html_b64", "encoding")).where(F.length("html_b64") > 0)
     return rows.mapInPandas(run, f"{key} {kind}, restored string, causes array<string>")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from webloom.functions.hosts import row_host
-from webloom.plans.session import materialize
+from webloom.plans.session import materialize, spread
 
 #: First tokens of a line that lead to its leaf.
 DEPTH = 3
@@ -56,7 +56,7 @@ def line_id(host: str, form: str) -> int:
 
 def with_source(df: DataFrame, key: str, text: str, host: str, url: str) -> DataFrame:
     """id, host, t of the rows with text; the host as the project defines it."""
-    return df.select(F.col(key).alias("id"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t")).where(F.length("t") > 0)
+    return spread(df.select(F.col(key).alias("id"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t"))).where(F.length("t") > 0)
 
 
 def grow_trees(rows: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.plans.session import spread
+
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏѵкёїАВЕКМНОРСТУХІЈЅҺԚԜЁЇ", "aeopcyxijshdqwlvkëïABEKMHOPCTYXIJSHQWËÏ"))
 GREEK = dict(zip("οανιρυκγχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavipukyxABEZHIKMNOPTYX"))
@@ -153,7 +155,7 @@ def normalize_columns(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     Null texts give a null text and changed = false; empty texts stay empty. Texts are whole, of any length. Repeated rows
     and ties are kept as they come; an empty table gives an empty result; other columns don't matter.
     """
-    both = df.select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
+    both = spread(df.select(key, *fields)).select(F.col(key).alias("_key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x"))
     both = both.select("_key", "x.field", "x.text").withColumn("_odd", suspect(F.col("text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -24,7 +24,7 @@ from xxhash import xxh3_64_intdigest
 from webloom.functions.hosts import row_host, url_host
 from webloom.llm import encodings
 from webloom.llm.lookalike import normalize
-from webloom.plans.session import materialize
+from webloom.plans.session import materialize, spread
 
 # ---------------------------------------------------------------- pages
 
@@ -362,6 +362,7 @@ def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, ur
     """
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("k"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t"), F.col(title).alias("title")).where(F.length("t") > 0)
+    rows = spread(rows)
     body = F.col("inner") >= INNER * F.col("lead")
     verdict = F.when(body & (F.col("inner") > 0), True).when(F.col("lead") < SELDOM, F.lit(None)).otherwise(
         (F.col("share") < LINE_SHARE) & (F.col("inside") >= OUTSIDE * F.col("lead"))
@@ -393,5 +394,5 @@ def decoded_pages(df: DataFrame, key: str, url: str, score: np.ndarray) -> DataF
             keep = [p is not None and not encodings.is_garbled(p, held.value) for p in pages]
             yield pd.DataFrame({key: b["k"][keep], "url": b["url"][keep], "page": [p for p, ok in zip(pages, keep) if ok]})
 
-    rows = df.select(F.col(key).alias("k"), F.col(url).alias("url"), "html_b64", "encoding").where(F.length("html_b64") > 0)
+    rows = spread(df.select(F.col(key).alias("k"), F.col(url).alias("url"), "html_b64", "encoding")).where(F.length("html_b64") > 0)
     return rows.mapInPandas(run, f"{key} {kind}, url string, page string")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from webloom.plans.session import materialize
+from webloom.plans.session import materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
 #: Size of a sketch, bytes kept of a retained value (its leading ones), and the length of the runs that key the lists.
@@ -102,7 +102,7 @@ def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "n", "set_hash", "f1", "f2", "sketch"])
 
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & (F.length("t") > 0))
-    return rows.mapInPandas(run, "id bigint, n bigint, set_hash bigint, f1 bigint, f2 bigint, sketch binary")
+    return spread(rows).mapInPandas(run, "id bigint, n bigint, set_hash bigint, f1 bigint, f2 bigint, sketch binary")
 
 
 def run_keys(s: np.ndarray, n: int) -> np.ndarray:
