@@ -292,8 +292,18 @@ def fingerprint(text: str) -> str:
 
 def leaf_blocks(page: Page):
     """(node, text) of block elements without block elements below, with a text of two characters or more."""
-    for i in page.inside(0):
-        if page.tag[i] in LEAF_BLOCKS and not any(page.tag[k] in LEAF_BLOCKS for k in page.inside(i)):
+    above: set[int] = set()  # nodes with a block somewhere below
+    blocks = []
+    for i in range(len(page.tag) - 1, 0, -1):
+        if not page.alive[i]:
+            continue
+        block = page.tag[i] in LEAF_BLOCKS
+        if block and i not in above:
+            blocks.append(i)
+        if block or i in above:
+            above.add(page.parent[i])
+    for i in reversed(blocks):
+        if page.tag[i] != "#":
             text = clean(page.text(i))
             if len(text) >= 2:
                 yield i, text

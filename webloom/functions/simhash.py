@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from webloom.functions.text import fold_python
+from webloom.plans.session import materialize
 
 # Parameters of FNV-1a with 64 bits.
 OFFSET, PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -77,7 +78,7 @@ def near_pairs(df: DataFrame, key: str, sig: str) -> DataFrame:
     classes, by one band's list only, and lead to their smallest keys; keys of one class are joined to its smallest. 0 and
     null never match.
     """
-    own = df.where(F.coalesce(F.col(sig), F.lit(0)) != 0).select(F.col(key).alias("k"), F.col(sig).alias("s"))
+    own = materialize(df.select(F.col(key).alias("k"), F.col(sig).alias("s"))).where(F.coalesce("s", F.lit(0)) != 0)
     classes = own.groupBy("s").agg(F.min("k").alias("rep"))
     band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("s", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4)]))
     lists = classes.select("rep", "s", band.alias("b"))

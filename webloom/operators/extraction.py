@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from webloom.functions import dom
 from webloom.functions.hosts import url_host
 from webloom.functions.urls import normalized
+from webloom.plans.session import spread
 
 EDGE = "array<struct<dst: string, type: string, text: string, dst_kind: string, count: int>>"
 EXTRACTION = (
@@ -44,7 +45,7 @@ def first_per_url(raw: DataFrame) -> DataFrame:
     """The first record of each raw URL in the order of stores, shards and lines, by one aggregation."""
     order = F.struct("store", "shard", "line_no", "rec_id")
     first = raw.groupBy("url").agg(F.min(order).alias("o")).select(F.col("o.rec_id").alias("rec_id"))
-    return raw.join(first, "rec_id", "left_semi")
+    return spread(raw).join(first, "rec_id", "left_semi")
 
 
 def decoded(raw: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def decoded(raw: DataFrame) -> DataFrame:
             pages = [decode_html(h, e, s) for h, e, s in zip(b["html_b64"], b["encoding"], b["status"])]
             yield pd.DataFrame({"rec_id": b["rec_id"], "url": b["url"], "page": pages})
 
-    out = rows.mapInPandas(run, "rec_id bigint, url string, page string").where(F.col("page").isNotNull())
+    out = spread(rows).mapInPandas(run, "rec_id bigint, url string, page string").where(F.col("page").isNotNull())
     norm = normalized(F.col("url"))
     return out.select("rec_id", "url", norm.alias("norm"), url_host(norm).alias("host"), "page")
 

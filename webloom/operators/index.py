@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import text as T
@@ -17,12 +17,23 @@ def documents(df: DataFrame) -> DataFrame:
     return out.withColumns({"title_kd": T.fold(F.col("title")), "text_kd": T.fold(F.col("text")), "date_num": T.date_num(F.col("date"))})
 
 
+def words_of(docs: DataFrame, field: str) -> Column:
+    """Token array of a field: the stored one, if the index holds it."""
+    return F.col(f"_{field}") if f"_{field}" in docs.columns else T.tokens(F.col(field))
+
+
+def analysed(docs: DataFrame) -> DataFrame:
+    """Index documents with the token arrays of all analysed fields, as they are stored: analysed once, searched often."""
+    fields = (*ANALYSED, "title_kd", "text_kd")
+    return docs.withColumns({f"_{f}": T.tokens(F.col(f)) for f in fields}).drop("title_kd", "text_kd")
+
+
 def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
     """field, term, id, tf, positions (ascending): one row per field, term and document.
 
     A document's words lie in one partition, so its terms are complete before the shuffle by document and term.
     """
-    parts = [docs.select("id", F.lit(f).alias("field"), F.posexplode(T.tokens(F.col(f))).alias("pos", "term")) for f in fields]
+    parts = [docs.select("id", F.lit(f).alias("field"), F.posexplode(words_of(docs, f)).alias("pos", "term")) for f in fields]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -32,7 +43,7 @@ def postings(docs: DataFrame, fields: list[str]) -> DataFrame:
 
 def term_counts(docs: DataFrame, field: str) -> DataFrame:
     """field, term, doc_freq, total_freq of a field: counts of distinct terms per document, then over documents."""
-    each = docs.select("id", F.explode(T.tokens(F.col(field))).alias("term"))
+    each = docs.select("id", F.explode(words_of(docs, field)).alias("term"))
     per = each.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
     return per.groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq")).select(F.lit(field).alias("field"), "term", "doc_freq", "total_freq")
 
@@ -44,14 +55,14 @@ def dictionary(counts: DataFrame, start: str, limit: int) -> DataFrame:
 
 def field_stats(docs: DataFrame, fields: list[str]) -> DataFrame:
     """field, docs, tokens: documents with any token of a field, and its tokens."""
-    sizes = docs.select(*[F.size(T.tokens(F.col(f))).alias(f) for f in fields])
+    sizes = docs.select(*[F.size(words_of(docs, f)).alias(f) for f in fields])
     row = sizes.agg(*[x for f in fields for x in (F.count_if(F.col(f) > 0).alias(f"{f}_docs"), F.sum(f).alias(f"{f}_tokens"))])
     return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_docs").alias("docs"), F.col(f"{f}_tokens").alias("tokens")) for f in fields])).alias("x")).select("x.*")
 
 
 def posting_list(docs: DataFrame, field: str, term: str, limit: int) -> DataFrame:
     """id, tf, positions, doc_freq, total_freq of a term, documents with most occurrences first; frequencies are of the whole index."""
-    words = T.tokens(F.col(field))
+    words = words_of(docs, field)
     at = F.filter(F.transform(words, lambda w, i: F.when(w == F.lit(term), i)), lambda p: p.isNotNull())
     rows = docs.select("id", at.alias("positions")).where(F.size("positions") > 0).withColumn("tf", F.size("positions"))
     total = rows.agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq"))

@@ -299,7 +299,9 @@ class Scorer:
 
 
 def with_tokens(docs: DataFrame, names: set[str]) -> DataFrame:
-    return docs.withColumns({f"_{n}": T.tokens(F.col(n)) for n in sorted(names)})
+    """docs with the token arrays of the fields; those that the index already holds are taken as they are."""
+    missing = [n for n in sorted(names) if f"_{n}" not in docs.columns]
+    return docs.withColumns({f"_{n}": T.tokens(F.col(n)) for n in missing}) if missing else docs
 
 
 def hits(docs: DataFrame, p: SearchParams) -> DataFrame:
@@ -317,7 +319,7 @@ def hits(docs: DataFrame, p: SearchParams) -> DataFrame:
     within = filtered(every, p)
     relax = within.where(strict).limit(1).isEmpty()
     match, score = Scorer(names, row["n"], df).whole(tree, p.ranking, relax)
-    return within.withColumn("score", score).where(match).drop(*[f"_{n}" for n in names])
+    return within.withColumn("score", score).where(match).drop(*[c for c in within.columns if c.startswith("_")])
 
 
 def ranked(docs: DataFrame, p: SearchParams) -> DataFrame:

@@ -11,23 +11,43 @@ from webloom.functions.urls import file_type
 from webloom.operators import index as I
 from webloom.operators import search as S
 from webloom.operators.pipeline import last_per_key
-from webloom.plans.session import table
+from webloom.plans.url_queries import sql_ext
+from webloom.plans.session import materialize, spread, table
 
 QUERY = "học bổng"
 PHRASE = "chuẩn đầu ra ngoại ngữ"
 
 
+_STORES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """An index, built at its first use in an application and read from the shared folder from then on."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORES:
+        _STORES[key] = materialize(I.analysed(build(spark, d)))
+    return _STORES[key]
+
+
 def index_docs(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "documents", _documents)
+
+
+def corpus_docs(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "corpus", _corpus)
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
     """documents as index documents; they have no title."""
     day = F.coalesce(F.date_format("fetched_at", "yyyy-MM-dd"), F.lit(""))
-    rows = table(spark, d, "documents").select(
+    rows = spread(table(spark, d, "documents").drop("lang", "n_chars")).select(
         F.col("doc_id").alias("id"), "url", F.lit("").alias("title"), "text", F.col("source").alias("host"), "section", F.lit("").alias("author"), "kind",
         file_type(F.lit(None).cast("string"), F.col("kind"), F.col("url")).alias("ftype"), day.alias("date"),
     )
     return I.documents(rows)
 
 
-def corpus_docs(spark: SparkSession, d: str) -> DataFrame:
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
     """corpus as index documents, one for each URL: the last row sent."""
     rows = table(spark, d, "corpus").select(
         F.col("row_id").alias("id"), "url", "title", F.col("content").alias("text"), "host", "section", "author", "kind", F.lit("html").alias("ftype"),
@@ -36,6 +56,12 @@ def corpus_docs(spark: SparkSession, d: str) -> DataFrame:
     return I.documents(last_per_key(rows, "url", ["id"]))
 
 
+def index_build(spark: SparkSession, d: str) -> DataFrame:
+    """The index of documents, built anew: its stored fields."""
+    docs = materialize(I.analysed(_documents(spark, d)))
+    return docs.select("id", "url", "host", "section", "kind", "ftype", "date", "date_num", F.size("_text_kd").cast("bigint").alias("n_tokens"))
+
+
 def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return I.dictionary(I.term_counts(index_docs(spark, d), "text_kd"), "hoc", 200)
 
@@ -127,7 +153,7 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (term_dictionary, term_counts, field_stats, posting_list, postings, search_tfidf, search_filtered, search_by_date, search_relaxed, search_enhanced, search_grammar, search_page, list_all, list_by_url, list_merged, documents_by_host, upsert_by_url, point_lookup)
+    for f in (index_build, term_dictionary, term_counts, field_stats, posting_list, postings, search_tfidf, search_filtered, search_by_date, search_relaxed, search_enhanced, search_grammar, search_page, list_all, list_by_url, list_merged, documents_by_host, upsert_by_url, point_lookup)
 }
 
 # ---------------------------------------------------------------- SQL
@@ -159,6 +185,7 @@ def sql_search(words: list[str], where: str = "true", least: int | None = None)
 
 E = "(select id, url, {0} as w from (select doc_id as id, url, text, section from documents))"
 SQL = {
+    "index_build": f"select doc_id as id, coalesce(url, '') as url, coalesce(source, '') as host, coalesce(section, '') as section, coalesce(kind, '') as kind, case when kind = 'page' then 'html' when {sql_ext('url')} <> '' then {sql_ext('url')} else 'khac' end as ftype, {DAY} as date, {NUM} as date_num, len({tok(FOLD)}) as n_tokens from documents",
     "term_dictionary": f"select 'text_kd' as field, term, doc_freq, total_freq from (select term, count(distinct id) as doc_freq, cast(count(*) as bigint) as total_freq from (select id, unnest(w) as term from {D}) group by term) where encode(term) >= encode('hoc') order by encode(term) limit 200",
     "term_counts": f"select 'text' as field, term, count(distinct id) as doc_freq, count(*) as total_freq from (select doc_id as id, unnest({tok('text')}) as term from documents) group by term",
     "field_stats": f"select 'title' as field, 0 as docs, 0 as tokens union all select 'text', count(*) filter (len({tok('text')}) > 0), sum(len({tok('text')})) from documents union all select 'section', count(*) filter (len({tok('section')}) > 0), sum(len({tok('section')})) from documents"

@@ -80,7 +80,7 @@ def page_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nav_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return P.nav_links(P.exploded_edges(_extracted(spark, d), "nav_edges"))
+    return P.nav_links(materialize(P.exploded_edges(_extracted(spark, d), "nav_edges")))
 
 
 def nav_of_links(spark: SparkSession, d: str) -> DataFrame:

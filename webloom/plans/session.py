@@ -29,6 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan gives far fewer partitions than there are cores: a few small files under heavy work.
+
+    Rows and results are the same; larger inputs have partitions enough and stay as they are, with no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    if "Join" in plan or "Aggregate" in plan or "Exchange" in plan or "Python" in plan or "InPandas" in plan:
+        return df
+    return df if 2 * df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; one of our own only where it names none."""
     sc = spark.sparkContext

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions import text as T
 from webloom.functions import urls as U
 from webloom.functions.simhash import near_pairs, simhash
-from webloom.plans.session import table
+from webloom.plans.session import spread, table
 
 HOME = "bachlam.example"
 
@@ -70,7 +70,7 @@ def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_fold(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha1(T.fold(F.col("text"))).alias("folded_sha1"), T.fold(F.col("section")).alias("section_folded"))
+    return spread(table(spark, d, "documents").select("doc_id", "text", "section")).select("doc_id", F.sha1(T.fold(F.col("text"))).alias("folded_sha1"), T.fold(F.col("section")).alias("section_folded"))
 
 
 def text_measures(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def base_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def simhash_signature(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", simhash(F.lit(""), F.col("text")).alias("sig"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", simhash(F.lit(""), F.col("text")).alias("sig"))
 
 
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
