@@ -47,12 +47,16 @@ DIGITS = re.compile(r"\d+")
 WORDS = re.compile(r"[^\W_]+")
 
 #: Pages of a style node from which its entropy is trusted, and bits of the entropy of its beginnings below which it is unimportant.
-LEAST_PAGES, LEAST_BITS = 8, 2.2
+LEAST_PAGES, LEAST_BITS, NODE_SHARE = 8, 2.2, 0.01
 #: A text on so many pages of a host, and on that share of them, is boilerplate; so is one on so many pages, and that share, of all hosts.
 SAME_PAGES, SAME_SHARE = 5, 0.05
 ALL_PAGES, ALL_SHARE = 6, 0.005
 
 
+#: So many entries of style trees, or line beginnings, are held by every worker; beyond it they are joined.
+HELD = 1_000_000
+
+
 class Piece:
     __slots__ = ("text", "path", "ids", "inline", "linked", "apart", "heading", "hidden")
 
@@ -158,10 +162,11 @@ def node_id(host: str, path: str) -> int:
 
 
 def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, nodes) of all hosts' merged trees; every URL of a host counts once.
+    """(texts, nodes) of all hosts' merged trees that decide anything; every URL of a host counts once.
 
-    texts: text, pages: on how many pages a text (with its digits blurred) stands. nodes: node, pages, bits: on how many pages
-    a style node holds free text, and the entropy of the beginnings of what it holds.
+    texts: host, id of the texts (with their digits blurred) that stand on enough of a host's pages. nodes: host, id, low of the
+    style nodes on enough of them, and whether the beginnings of what they hold have little entropy. Host '' is all hosts
+    together. Both are shares of a host's pages, so there are at most 1 / share times as many as a page holds.
     """
     first = pages.groupBy("url").agg(F.min("k").alias("k")).select("k")
     counted = pages.join(first, "k", "left_semi")
@@ -172,24 +177,29 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
             starts: Counter = Counter()
             for host, page in zip(b["host"], b["page"]):
                 pieces, _ = parse(page)
+                scopes = {host, ""}  # the host's own tree, and that of all hosts
                 for t in {p.text for p in pieces}:
-                    texts[text_id(host, t)] += 1
-                    texts[text_id("", t)] += 1
+                    for scope in scopes:
+                        texts[scope, text_id(scope, t)] += 1
                 for node, start in {(p.path, beginning(p.text)) for p in pieces if not p.apart and not p.hidden and p.linked * 2 < len(p.text)}:
-                    for scope in (host, ""):  # the host's own tree, and that of all hosts for its rare nodes
-                        starts[node_id(scope, node), start] += 1
-            rows = [(0, t, "", n) for t, n in texts.items()] + [(1, k, s, n) for (k, s), n in starts.items()]
-            yield pd.DataFrame(rows, columns=["what", "id", "start", "n"])
-
-    tallied = materialize(counted.select("host", "page").mapInPandas(run, "what int, id bigint, start string, n bigint").groupBy("what", "id", "start").agg(F.sum("n").alias("n")))
-    texts = tallied.where((F.col("what") == 0) & (F.col("n") >= SAME_PAGES)).select(F.col("id").alias("text"), F.col("n").alias("pages"))
+                    for scope in scopes:
+                        starts[scope, node_id(scope, node), start] += 1
+            rows = [(0, h, t, "", n) for (h, t), n in texts.items()] + [(1, h, k, s, n) for (h, k, s), n in starts.items()]
+            yield pd.DataFrame(rows, columns=["what", "host", "id", "start", "n"])
+
+    grown = counted.select("host", "page").mapInPandas(run, "what int, host string, id bigint, start string, n bigint")
+    tallied = materialize(grown.groupBy("what", "host", "id", "start").agg(F.sum("n").alias("n")).where((F.col("what") == 1) | (F.col("n") >= SAME_PAGES)))
+    own = counted.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    sizes = own.where("host <> ''").unionByName(own.agg(F.sum("size").alias("size")).select(F.lit("").alias("host"), "size"))
+    least = F.when(F.col("host") == "", F.greatest(F.lit(float(ALL_PAGES)), F.col("size") * ALL_SHARE)).otherwise(F.greatest(F.lit(float(SAME_PAGES)), F.col("size") * SAME_SHARE))
+    texts = tallied.where("what = 0").join(sizes, "host").where(F.col("n") >= least).select("host", "id")
     n = F.col("n").cast("double")
-    nodes = tallied.where("what = 1").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("pages"), F.sum(n * F.log2(n)).alias("nlogn"))
-    nodes = nodes.select("node", "pages", (F.log2("pages") - F.col("nlogn") / F.col("pages")).alias("bits"))
-    return texts, nodes
+    nodes = tallied.where("what = 1").groupBy("host", "id").agg(F.sum("n").alias("pages"), F.sum(n * F.log2(n)).alias("nlogn")).join(sizes, "host")
+    nodes = nodes.where(F.col("pages") >= F.greatest(F.lit(float(LEAST_PAGES)), F.col("size") * NODE_SHARE))
+    return texts, nodes.select("host", "id", (F.log2("pages") - F.col("nlogn") / F.col("pages") < LEAST_BITS).alias("low"))
 
 
-def main_pieces(source: str, host: str, same: "Same", low: dict[int, bool]) -> list[str]:
+def main_pieces(source: str, host: str, same: "Tree", low: dict[int, bool]) -> list[str]:
     """Main body of a page: pieces of important nodes. same: which texts are boilerplate; low: nodes known as unimportant or not."""
     pieces, title = parse(source)
     heads = {p.text for p in pieces if p.heading}
@@ -237,45 +247,55 @@ def page_main_body(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
     pages = df.select(F.col(key).alias("k"), url_host(F.col(url)).alias("host"), F.col(url).alias("url"), F.col(page).alias("page")).where(F.length("page") > 0)
     pages = materialize(pages)  # decoded once, read three times
     texts, nodes = style_tree(pages)
-    sizes = pages.select("host", "url").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    return _cut(pages, texts, nodes, sizes, key, kind)
+    texts, nodes = materialize(texts), materialize(nodes)
+    shape = f"{key} {kind}, piece_no bigint, text string"
 
+    def cut(keys, hosts, sources, trees) -> pd.DataFrame:
+        out = [(k, i, t) for k, h, page, tree in zip(keys, hosts, sources, trees) for i, t in enumerate(main_pieces(page, h, tree, tree.low))]
+        return pd.DataFrame(out, columns=[key, "piece_no", "text"])
 
-def _cut(pages: DataFrame, texts: DataFrame, nodes: DataFrame, sizes: DataFrame, key: str, kind: str) -> DataFrame:
-    # what is repeated on a share of a host's pages: at most 1 / SAME_SHARE times the texts of a page for each host; nodes likewise are styles
-    spark = pages.sparkSession
-    counts = {r["host"]: r["size"] for r in sizes.toLocalIterator()}
-    repeated = texts.where(F.col("pages") >= SAME_PAGES)
-    common = {r["text"]: r["pages"] for r in repeated.toLocalIterator()}
-    low = {r["node"]: bool(r["bits"] < LEAST_BITS) for r in nodes.where(F.col("pages") >= LEAST_PAGES).toLocalIterator()}
-    held = spark.sparkContext.broadcast((counts, common, low))
+    if texts.count() + nodes.count() <= HELD:
+        same = {(r["host"], r["id"]) for r in texts.toLocalIterator()}
+        low = {r["id"]: r["low"] for r in nodes.toLocalIterator()}
+        held = df.sparkSession.sparkContext.broadcast(Tree(frozenset(i for _, i in same), low))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sizes_, common_, low_ = held.value
-        same = Same(common_, sizes_)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield cut(b["k"], b["host"], b["page"], [held.value] * len(b))
+
+        return pages.select("k", "host", "page").mapInPandas(run, shape)
+
+    # too many hosts for every worker to hold all trees: each page comes with its host's tree and the common one
+    common = Tree(frozenset(r["id"] for r in texts.where("host = ''").toLocalIterator()), {r["id"]: r["low"] for r in nodes.where("host = ''").toLocalIterator()})
+    shared = df.sparkSession.sparkContext.broadcast(common)
+    own = texts.where("host <> ''").groupBy("host").agg(F.collect_set("id").alias("same"))
+    lows = nodes.where("host <> ''").groupBy("host").agg(F.collect_set(F.when(F.col("low"), F.col("id"))).alias("low"), F.collect_set(F.when(~F.col("low"), F.col("id"))).alias("high"))
+    joined = pages.select("k", "host", "page").join(own, "host", "left").join(lows, "host", "left")
+
+    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, Tree] = {}
         for b in batches:
-            keys, numbers, found = [], [], []
-            for k, host, page in zip(b["k"], b["host"], b["page"]):
-                for i, t in enumerate(main_pieces(page, host, same, low_)):
-                    keys.append(k)
-                    numbers.append(i)
-                    found.append(t)
-            yield pd.DataFrame({key: keys, "piece_no": pd.array(numbers, "int64"), "text": found})
+            trees = []
+            for h, s, lo, hi in zip(b["host"], b["same"], b["low"], b["high"]):
+                if h not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    as_list = lambda x: [] if x is None else list(x)
+                    known[h] = Tree(shared.value.same | frozenset(as_list(s)), shared.value.low | dict.fromkeys(as_list(lo), True) | dict.fromkeys(as_list(hi), False))
+                trees.append(known[h])
+            yield cut(b["k"], b["host"], b["page"], trees)
 
-    return pages.select("k", "host", "page").mapInPandas(run, f"{key} {kind}, piece_no bigint, text string")
+    return joined.mapInPandas(run_joined, shape)
 
 
-class Same:
-    """Which texts stand on enough pages of a host, or of all hosts."""
+class Tree:
+    """What is known of a host's merged pages: texts that are boilerplate, and nodes with little entropy or not."""
 
-    def __init__(self, pages: dict[int, int], sizes: dict[str, int]):
-        self.pages, self.sizes, self.least_of_all = pages, sizes, max(ALL_PAGES, ALL_SHARE * sum(sizes.values()))
+    def __init__(self, same: frozenset[int], low: dict[int, bool]):
+        self.same, self.low = same, low
 
     def has(self, host: str, text: str) -> bool:
-        return (
-            self.pages.get(text_id(host, text), 0) >= max(SAME_PAGES, SAME_SHARE * self.sizes.get(host, 0))
-            or self.pages.get(text_id("", text), 0) >= self.least_of_all
-        )
+        return text_id(host, text) in self.same or text_id("", text) in self.same
 
 
 # ---------------------------------------------------------------- captured text
@@ -338,20 +358,10 @@ def line_tree(rows: DataFrame) -> DataFrame:
     return merged.groupBy("start").agg(F.sum("lead").alias("lead"), F.sum("inner").alias("inner"), F.sum("inside").alias("inside"), F.max("share").alias("share"))
 
 
-def main_lines(text: str, title: str | None, important: dict[int, bool]) -> list[int]:
-    """Numbers of the lines (split at line feeds) that are main body."""
+def prose_lines(text: str, title: str | None) -> list[tuple[int, int]]:
+    """(number, beginning) of the lines, split at line feeds, that are made of sentences and don't repeat the title."""
     heading = SPACE.sub(" ", normalize(title)).strip().lower() if title else ""
-    kept = []
-    for i, (line, sentences) in enumerate(split_lines(text)):
-        if not sentences or line.lower() == heading:
-            continue
-        known = important.get(line_start(sentences[0]))
-        if known is None:
-            known = any(important.get(line_start(s), False) for s in sentences) or prose(line)
-            known = known and (prose(line) or len(sentences) > 1)
-        if known and (prose(line) or len(line) > 40):
-            kept.append(i)
-    return kept
+    return [(i, line_start(s[0])) for i, (line, s) in enumerate(split_lines(text)) if s and prose(line) and line.lower() != heading]
 
 
 def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, url: str) -> DataFrame:
@@ -363,21 +373,19 @@ def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, ur
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("k"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t"), F.col(title).alias("title")).where(F.length("t") > 0)
     rows = spread(rows)
-    body = F.col("inner") >= INNER * F.col("lead")
-    verdict = F.when(body & (F.col("inner") > 0), True).when(F.col("lead") < SELDOM, F.lit(None)).otherwise(
-        (F.col("share") < LINE_SHARE) & (F.col("inside") >= OUTSIDE * F.col("lead"))
-    )
-    tree = materialize(line_tree(rows).select("start", verdict.alias("important")).where(F.col("important").isNotNull()))
-    important = {r["start"]: r["important"] for r in tree.toLocalIterator()}
-    held = df.sparkSession.sparkContext.broadcast(important)
+    seldom_inside = (F.col("inner") < INNER * F.col("lead")) & (F.col("lead") >= SELDOM)
+    noise = seldom_inside & ((F.col("share") >= LINE_SHARE) | (F.col("inside") < OUTSIDE * F.col("lead")))
+    low = materialize(line_tree(rows).where(noise).select("start"))
+    few = low.count() <= HELD
+    held = df.sparkSession.sparkContext.broadcast(frozenset(r["start"] for r in low.toLocalIterator()) if few else frozenset())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [main_lines(t, h, held.value) for t, h in zip(b["t"], b["title"])]
-            sizes = [len(f) for f in found]
-            yield pd.DataFrame({key: np.repeat(b["k"].to_numpy(), sizes), "line_no": np.concatenate(found).astype(np.int64) if sum(sizes) else np.empty(0, np.int64)})
+            out = [(k, i, s) for k, t, h in zip(b["k"], b["t"], b["title"]) for i, s in prose_lines(t, h) if s not in held.value]
+            yield pd.DataFrame(out, columns=[key, "line_no", "start"])
 
-    return rows.select("k", "t", "title").mapInPandas(run, f"{key} {kind}, line_no bigint")
+    found = rows.select("k", "t", "title").mapInPandas(run, f"{key} {kind}, line_no bigint, start bigint")
+    return (found if few else found.join(low, "start", "left_anti")).select(key, "line_no")
 
 
 # ---------------------------------------------------------------- both tables
