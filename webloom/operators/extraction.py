@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import dom
+from webloom.functions.frames import safe
 from webloom.functions.hosts import url_host
 from webloom.functions.urls import normalized
 from webloom.plans.session import spread
@@ -57,7 +58,7 @@ def decoded(raw: DataFrame) -> DataFrame:
             pages = [decode_html(h, e, s) for h, e, s in zip(b["html_b64"], b["encoding"], b["status"])]
             yield pd.DataFrame({"rec_id": b["rec_id"], "url": b["url"], "page": pages})
 
-    out = spread(rows).mapInPandas(run, "rec_id bigint, url string, page string").where(F.col("page").isNotNull())
+    out = spread(rows).mapInPandas(safe(run), "rec_id bigint, url string, page string").where(F.col("page").isNotNull())
     norm = normalized(F.col("url"))
     return out.select("rec_id", "url", norm.alias("norm"), url_host(norm).alias("host"), "page")
 
@@ -72,7 +73,7 @@ def page_fingerprints(pages: DataFrame) -> DataFrame:
 
     once = pages.groupBy("norm").agg(F.min("rec_id").alias("rec_id"))
     rows = pages.join(once.select("rec_id"), "rec_id", "left_semi").select("norm", "host", "page")
-    return rows.mapInPandas(run, "norm string, host string, fps array<string>").select("norm", "host", F.explode_outer("fps").alias("fp"))
+    return rows.mapInPandas(safe(run), "norm string, host string, fps array<string>").select("norm", "host", F.explode_outer("fps").alias("fp"))
 
 
 def template_table(prints: DataFrame, keep_ratio: float = KEEP_RATIO, keep_pages: int = KEEP_PAGES) -> DataFrame:
@@ -112,7 +113,7 @@ def extract_pages(pages: DataFrame, home: str, templates: DataFrame | None = Non
                     out.append((rec, url, norm, host, *(found[n] for n in names)))
             yield pd.DataFrame(out, columns=["rec_id", "url", "norm", "host", *names])
 
-    return rows.select("rec_id", "url", "norm", "host", "page", "fps").mapInPandas(run, f"rec_id bigint, url string, norm string, host string, {EXTRACTION}")
+    return rows.select("rec_id", "url", "norm", "host", "page", "fps").mapInPandas(safe(run), f"rec_id bigint, url string, norm string, host string, {EXTRACTION}")
 
 
 def explain_pages(pages: DataFrame, home: str) -> DataFrame:
@@ -129,4 +130,4 @@ def explain_pages(pages: DataFrame, home: str) -> DataFrame:
                     out.append((rec, trace["parsed"], trace["after_clean"], trace["after_template"], trace["block"], trace["steps"], len(found["content_edges"]), len(found["nav_edges"])))
             yield pd.DataFrame(out, columns=["rec_id", "parsed", "after_clean", "after_template", "block", "steps", "content_edges", "nav_edges"])
 
-    return pages.select("rec_id", "norm", "page").mapInPandas(run, f"rec_id bigint, parsed int, after_clean int, after_template int, block int, steps {step}, content_edges int, nav_edges int")
+    return pages.select("rec_id", "norm", "page").mapInPandas(safe(run), f"rec_id bigint, parsed int, after_clean int, after_template int, block int, steps {step}, content_edges int, nav_edges int")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import text as T
+from webloom.functions.frames import safe
 from webloom.functions.text import fold_python
 from webloom.functions.urls import canonical_order
 
@@ -397,7 +398,7 @@ def snippets(rows: DataFrame, q: str, width: int = 160) -> DataFrame:
                 made.append(" … ".join(parts[:3]) if parts else (text or "")[:220] + ("…" if len(text or "") > 220 else ""))
             yield pd.DataFrame({"id": b["id"], "snippet": made})
 
-    return rows.select("id", "title", "text").mapInPandas(run, "id bigint, snippet string")
+    return rows.select("id", "title", "text").mapInPandas(safe(run), "id bigint, snippet string")
 
 
 def search(docs: DataFrame, p: SearchParams) -> DataFrame:

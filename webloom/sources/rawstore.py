@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.functions.frames import safe
 from webloom.functions.urls import normalized
 
 RECORD = (
@@ -45,7 +46,7 @@ def shard_lines(spark: SparkSession, root: str) -> DataFrame:
                 lines = [x for x in text.split("\n") if x.strip()]
                 yield pd.DataFrame({"store": parts[-2], "shard": parts[-1], "line_no": range(len(lines)), "line": lines})
 
-    return files.mapInPandas(run, "store string, shard string, line_no int, line string")
+    return files.mapInPandas(safe(run), "store string, shard string, line_no int, line string")
 
 
 def read_records(spark: SparkSession, root: str) -> DataFrame:
