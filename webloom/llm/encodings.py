@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.frames import safe
 from webloom.plans.session import spread
 
 # Vietnamese letters in the order of the alphabet, and the characters that TCVN3 puts at their codes.
@@ -96,7 +97,7 @@ def count_pairs(df: DataFrame, texts: list[str]) -> DataFrame:
         yield pd.DataFrame({"pair": at, "n": total[at]})
 
     rows = spread(df.select(*texts)).select(F.explode(F.array(*texts)).alias("t")).where(F.length("t") > 1)
-    return rows.mapInPandas(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(safe(run), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def improbability(counted: pd.DataFrame) -> np.ndarray:
@@ -334,7 +335,7 @@ def decode_page(html_b64: str | None, encoding: str | None) -> str | None:
     if html_b64 is None:
         return None
     try:
-        raw = base64.b64decode(html_b64)
+        raw = base64.b64decode("".join(html_b64.split()) if "\n" in html_b64 else html_b64, validate=True)
     except (binascii.Error, ValueError):
         return None
     try:
@@ -362,7 +363,7 @@ def garbled_texts(df: DataFrame, key: str, text: str, score: np.ndarray) -> Data
             yield pd.DataFrame([x for x in out if x[2]], columns=[key, "restored", "causes"])
 
     rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).where(F.col("t").rlike("[^\\x00-\\x7f]"))
-    return rows.mapInPandas(run, f"{key} {kind}, restored string, causes array<string>")
+    return rows.mapInPandas(safe(run), f"{key} {kind}, restored string, causes array<string>")
 
 
 def garbled_pages(df: DataFrame, key: str, score: np.ndarray) -> DataFrame:
@@ -379,4 +380,4 @@ def garbled_pages(df: DataFrame, key: str, score: np.ndarray) -> DataFrame:
             yield pd.DataFrame([x for x in out if x[2]], columns=[key, "restored", "causes"])
 
     rows = spread(df.select(F.col(key).alias("k"), "html_b64", "encoding")).where(F.length("html_b64") > 0)
-    return rows.mapInPandas(run, f"{key} {kind}, restored string, causes array<string>")
+    return rows.mapInPandas(safe(run), f"{key} {kind}, restored string, causes array<string>")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from webloom.functions.frames import safe
 from webloom.functions.hosts import row_host
 from webloom.plans.session import materialize, spread
 
@@ -89,7 +90,7 @@ def grow_trees(rows: DataFrame) -> DataFrame:
                 yield out()
         yield out()
 
-    leaves = rows.select("host", "t").mapInPandas(run, "host string, leaf bigint, docs bigint")
+    leaves = rows.select("host", "t").mapInPandas(safe(run), "host string, leaf bigint, docs bigint")
     return leaves.groupBy("host", "leaf").agg(F.sum("docs").alias("docs"))
 
 
@@ -119,7 +120,7 @@ def templates(df: DataFrame, text: str, host: str, url: str, least_rows: int = L
 
     merge = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(SLOT)))
     merged = lambda c: F.reduce(F.slice(F.collect_list(c), 2, 1 << 30), F.element_at(F.collect_list(c), 1), merge)
-    partial = rows.select("host", "t", (F.spark_partition_id() % 64).cast("bigint").alias("salt")).mapInPandas(run, "leaf bigint, salt bigint, template array<string>")
+    partial = rows.select("host", "t", (F.spark_partition_id() % 64).cast("bigint").alias("salt")).mapInPandas(safe(run), "leaf bigint, salt bigint, template array<string>")
     partial = partial.join(full.select("leaf"), "leaf", "left_semi")
     partial = partial.groupBy("leaf", "salt").agg(merged("template").alias("template")).groupBy("leaf").agg(merged("template").alias("template"))
     return full.join(partial, "leaf").select("host", F.array_join("template", " ").alias("template"), "docs")
@@ -173,9 +174,9 @@ def repeated_lines(df: DataFrame, key: str, text: str, host: str, url: str, leas
     shape = f"id {kind}, host string, line_no bigint, leaf bigint, line bigint"
     if full.count() <= 1_000_000:
         held = {r[0] for r in full.toLocalIterator()}
-        lines = rows.mapInPandas(explode(held), shape)
+        lines = rows.mapInPandas(safe(explode(held)), shape)
     else:
-        lines = rows.mapInPandas(explode(None), shape).join(full, "leaf", "left_semi")
+        lines = rows.mapInPandas(safe(explode(None)), shape).join(full, "leaf", "left_semi")
     lines = materialize(lines.select("id", "host", "line_no", "line"))
     counted = lines.select("id", "host", "line").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
     return lines.join(counted.join(least, "host").where("n >= least").select("host", "line"), ["host", "line"], "left_semi").select("id", "host", "line_no", "line")

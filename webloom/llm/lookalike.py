@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.frames import safe
 from webloom.plans.session import spread
 
 # Letters of other scripts and the Latin letters they look like.
@@ -41,7 +42,7 @@ QUALITY = "̛̂̆"
 #: Texts of these characters alone are in the consistent form: nothing among them reads as nothing or as another.
 PLAIN = (
     "\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u00cf\\u00d1-\\u00ef\\u00f1-\\u0130\\u0134-\\u017e\\u01a0\\u01a1\\u01af\\u01b0\\u1ea0-\\u1ef9"
-    "\\u2010-\\u2027\\u2030-\\u205e\\u2070-\\u20bf\\u2190-\\u23ff\\u2500-\\u27bf"
+    "\\u2010-\\u2027\\u2030-\\u205e\\u2070-\\u20bf\\u2190-\\u2328\\u232b-\\u23ff\\u2500-\\u27bf"
 )
 SUSPECT = f"[^{PLAIN}]"
 _SUSPECT = re.compile(SUSPECT)
@@ -115,6 +116,20 @@ def _compose(found: re.Match) -> str:
     return unicodedata.normalize("NFC", base + "".join(sorted(marks, key=lambda m: m not in QUALITY)))
 
 
+def _by_script(text: str) -> str:
+    """A text with every token of another script in the spelling that its scripts and its neighbours call for."""
+    tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
+    genuine = [bool((r := resolved(t)) and not r & {"Latin"} and any(scripts(c) and c not in TO_LATIN for c in t) and len(t) > 1) for _, _, t in tokens]
+    native = sum(1 for c in text if "Latin" in scripts(c)) < sum(1 for c in text if FOREIGN.match(c))
+    parts, last = [], 0
+    for i, (a, b, t) in enumerate(tokens):
+        if FOREIGN.search(t):
+            near = native or any(genuine[j] for j in range(max(0, i - 2), min(len(tokens), i + 3)) if j != i)
+            parts += [text[last:a], _consistent(t, near)]
+            last = b
+    return "".join(parts) + text[last:]
+
+
 def normalize(text: str | None) -> str | None:
     """The consistent form of a text: null stays null, '' stays ''. It is its own consistent form."""
     if not text or not _SUSPECT.search(text):
@@ -123,17 +138,11 @@ def normalize(text: str | None) -> str | None:
         text = INVISIBLE.sub(lambda m: m[0] if _joins(m.string, m.start()) else "", text)
     text = SPACES.sub(" ", text)
     text = COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
-    if FOREIGN.search(text):
-        tokens = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
-        genuine = [bool((r := resolved(t)) and not r & {"Latin"} and any(scripts(c) and c not in TO_LATIN for c in t) and len(t) > 1) for _, _, t in tokens]
-        native = sum(1 for c in text if "Latin" in scripts(c)) < sum(1 for c in text if FOREIGN.match(c))
-        parts, last = [], 0
-        for i, (a, b, t) in enumerate(tokens):
-            if FOREIGN.search(t):
-                near = native or any(genuine[j] for j in range(max(0, i - 2), min(len(tokens), i + 3)) if j != i)
-                parts += [text[last:a], _consistent(t, near)]
-                last = b
-        text = "".join(parts) + text[last:]
+    for _ in range(4):  # a token that changed may be the context of another
+        before = text
+        text = _by_script(text) if FOREIGN.search(text) else text
+        if text == before:
+            break
     text = unicodedata.normalize("NFC", MARKS.sub(_compose, unicodedata.normalize("NFC", text)))
     for form, usual in LATIN_FORMS.items():
         if form in text:
@@ -166,7 +175,7 @@ def normalize_columns(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             yield b[["_key", "field", "text", "changed"]]
 
     kind = dict(df.dtypes)[key]
-    odd = both.where("_odd").select("_key", "field", "text").mapInPandas(run, f"_key {kind}, field string, text string, changed boolean")
+    odd = both.where("_odd").select("_key", "field", "text").mapInPandas(safe(run), f"_key {kind}, field string, text string, changed boolean")
     plain = both.where(~F.col("_odd")).select("_key", "field", "text", F.lit(False).alias("changed"))
     return plain.unionByName(odd).withColumnRenamed("_key", key)
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from webloom.functions.frames import safe
 from webloom.functions.hosts import row_host, url_host
 from webloom.llm import encodings
 from webloom.llm.lookalike import normalize
@@ -187,7 +188,7 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = [(0, h, t, "", n) for (h, t), n in texts.items()] + [(1, h, k, s, n) for (h, k, s), n in starts.items()]
             yield pd.DataFrame(rows, columns=["what", "host", "id", "start", "n"])
 
-    grown = counted.select("host", "page").mapInPandas(run, "what int, host string, id bigint, start string, n bigint")
+    grown = counted.select("host", "page").mapInPandas(safe(run), "what int, host string, id bigint, start string, n bigint")
     tallied = materialize(grown.groupBy("what", "host", "id", "start").agg(F.sum("n").alias("n")).where((F.col("what") == 1) | (F.col("n") >= SAME_PAGES)))
     own = counted.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     sizes = own.where("host <> ''").unionByName(own.agg(F.sum("size").alias("size")).select(F.lit("").alias("host"), "size"))
@@ -263,7 +264,7 @@ def page_main_body(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
             for b in batches:
                 yield cut(b["k"], b["host"], b["page"], [held.value] * len(b))
 
-        return pages.select("k", "host", "page").mapInPandas(run, shape)
+        return pages.select("k", "host", "page").mapInPandas(safe(run), shape)
 
     # too many hosts for every worker to hold all trees: each page comes with its host's tree and the common one
     common = Tree(frozenset(r["id"] for r in texts.where("host = ''").toLocalIterator()), {r["id"]: r["low"] for r in nodes.where("host = ''").toLocalIterator()})
@@ -285,7 +286,7 @@ def page_main_body(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
                 trees.append(known[h])
             yield cut(b["k"], b["host"], b["page"], trees)
 
-    return joined.mapInPandas(run_joined, shape)
+    return joined.mapInPandas(safe(run_joined), shape)
 
 
 class Tree:
@@ -303,7 +304,7 @@ class Tree:
 SENTENCE = re.compile(r"(?<=[.!?…])[\"”’)]*\s+")
 #: A beginning that never stands inside a paragraph is boilerplate of its host from this share of rows on (and so many of them), or
 #: if it mostly stands outside of the body; seldom ones are left alone.
-LINE_SHARE, LINE_ROWS, SELDOM, OUTSIDE = 0.08, 6, 10, 0.25
+LINE_SHARE, LINE_ROWS, SELDOM, OUTSIDE = 0.08, 6, 3, 0.25
 #: Share of a beginning's occurrences inside paragraphs from which it is body text.
 INNER = 0.02
 
@@ -351,7 +352,7 @@ def line_tree(rows: DataFrame) -> DataFrame:
                     tree[k][3] += 1
             yield pd.DataFrame([(*k, *v) for k, v in tree.items()], columns=["host", "start", "lead", "inner", "inside", "rows"])
 
-    grown = rows.select("host", "t").mapInPandas(run, "host string, start bigint, lead bigint, inner bigint, inside bigint, rows bigint")
+    grown = rows.select("host", "t").mapInPandas(safe(run), "host string, start bigint, lead bigint, inner bigint, inside bigint, rows bigint")
     grown = grown.groupBy("host", "start").agg(*[F.sum(c).alias(c) for c in ("lead", "inner", "inside", "rows")])
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
     merged = grown.join(sizes, "host").withColumn("share", F.when(F.col("rows") >= LINE_ROWS, F.col("rows") / F.col("size")).otherwise(F.lit(0.0)))
@@ -384,7 +385,7 @@ def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, ur
             out = [(k, i, s) for k, t, h in zip(b["k"], b["t"], b["title"]) for i, s in prose_lines(t, h) if s not in held.value]
             yield pd.DataFrame(out, columns=[key, "line_no", "start"])
 
-    found = rows.select("k", "t", "title").mapInPandas(run, f"{key} {kind}, line_no bigint, start bigint")
+    found = rows.select("k", "t", "title").mapInPandas(safe(run), f"{key} {kind}, line_no bigint, start bigint")
     return (found if few else found.join(low, "start", "left_anti")).select(key, "line_no")
 
 
@@ -403,4 +404,4 @@ def decoded_pages(df: DataFrame, key: str, url: str, score: np.ndarray) -> DataF
             yield pd.DataFrame({key: b["k"][keep], "url": b["url"][keep], "page": [p for p, ok in zip(pages, keep) if ok]})
 
     rows = spread(df.select(F.col(key).alias("k"), F.col(url).alias("url"), "html_b64", "encoding")).where(F.length("html_b64") > 0)
-    return rows.mapInPandas(run, f"{key} {kind}, url string, page string")
+    return rows.mapInPandas(safe(run), f"{key} {kind}, url string, page string")

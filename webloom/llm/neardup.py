@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
+from webloom.functions.frames import safe
 from webloom.plans.session import materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
@@ -102,7 +103,7 @@ def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
             yield pd.DataFrame(out, columns=["id", "n", "set_hash", "f1", "f2", "sketch"])
 
     rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where(F.col("id").isNotNull() & (F.length("t") > 0))
-    return spread(rows).mapInPandas(run, "id bigint, n bigint, set_hash bigint, f1 bigint, f2 bigint, sketch binary")
+    return spread(rows).mapInPandas(safe(run), "id bigint, n bigint, set_hash bigint, f1 bigint, f2 bigint, sketch binary")
 
 
 def run_keys(s: np.ndarray, n: int) -> np.ndarray:
@@ -129,7 +130,7 @@ def _keys(reps: DataFrame) -> DataFrame:
                 {"key": np.concatenate(keys) if keys else np.empty(0, np.int64), "id": np.repeat(b["id"].to_numpy(), sizes), "n": np.repeat(b["n"].to_numpy(), sizes)}
             )
 
-    return reps.select("id", "n", "sketch").mapInPandas(run, "key bigint, id bigint, n bigint")
+    return reps.select("id", "n", "sketch").mapInPandas(safe(run), "key bigint, id bigint, n bigint")
 
 
 def estimate(a: bytes, b: bytes) -> float:
@@ -185,7 +186,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshol
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     own = rows.select("id", "sketch").join(wanted, "id", "left_semi")
     candidates = pairs.join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    candidates = materialize(candidates.mapInPandas(filtered, "a bigint, b bigint").distinct())
+    candidates = materialize(candidates.mapInPandas(safe(filtered), "a bigint, b bigint").distinct())
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = WordHashes()
@@ -196,7 +197,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshol
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(ends, "id", "left_semi").dropDuplicates(["id"])
     full = candidates.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return full.mapInPandas(verified, "a bigint, b bigint, similarity double"), members
+    return full.mapInPandas(safe(verified), "a bigint, b bigint, similarity double"), members
 
 
 def duplicate_pairs(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.8) -> DataFrame:
