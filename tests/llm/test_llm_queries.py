@@ -14,3 +14,11 @@ def test_runs(spark, data, name):
     df = Q.QUERIES[name](spark, data)
     assert len(df.columns) == len(set(df.columns))
     df.collect()
+
+
+@pytest.mark.parametrize("name", sorted(Q.SQL))
+def test_equals_sql(spark, data, name):
+    from helpers import compare
+
+    columns, sql_columns, rows, sql_rows = compare(spark, name, Q.QUERIES[name], Q.SQL[name], data)
+    assert columns == sql_columns and rows == sql_rows

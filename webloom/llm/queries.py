@@ -131,4 +131,26 @@ QUERIES = {
     "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_containers": p7_containers, "p7_occupancy": p7_occupancy,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
 }
-SQL: dict[str, str] = {}
+# ---------------------------------------------------------------- SQL
+
+_WS = r"[\s\x1c-\x1f\p{Z}\x{0085}]"
+_HOST = r"regexp_replace(lower(regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)', 1)), '^www\.', '')"
+_ROWS = f"r as (select row_id, case when host is null or trim(host) = '' or host <> lower(host) then coalesce({_HOST}, '') else host end as host, content from corpus where length(content) > 0)"
+_FOLDED = r"regexp_extract_all(translate(strip_accents(lower(text)), 'đ', 'd'), '[\p{L}\p{N}]+')"
+
+
+def _windows(words: str, n: int) -> str:
+    return f"list_transform(range(1, greatest(len({words}) - {n - 2}, 1)), lambda i: array_to_string(list_slice({words}, i, i + {n - 1}), ' '))"
+
+
+SQL: dict[str, str] = {
+    "p4_found": f"with {_ROWS}, l as (select row_id, host, unnest(string_split(content, chr(10))) as line, unnest(range(len(string_split(content, chr(10))))) as line_no from r),"
+    f" f as (select row_id, host, line_no, regexp_replace(lower(trim(regexp_replace(line, '{_WS}+', ' ', 'g'))), '\\p{{Nd}}+', '0', 'g') as form from l),"
+    " n as (select host, count(*) as rows from r group by host), c as (select host, form, count(distinct row_id) as n from f where form <> '' group by host, form)"
+    " select f.row_id, f.line_no from f join c using (host, form) join n using (host) where c.n >= 6 and 10 * c.n >= n.rows",
+    "p5_found": r"with w as (select row_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from corpus where length(content) > 0), s as (select distinct row_id, unnest(" + _windows("w", 3) + ") as g from w where len(w) >= 3),"
+    " n as (select row_id, count(*) as n from s group by row_id), p as (select a.row_id as x, b.row_id as y, count(*) as shared from s a join s b on a.g = b.g and a.row_id < b.row_id group by 1, 2)"
+    " select x as row_id_a, y as row_id_b from p join n na on na.row_id = x join n nb on nb.row_id = y where shared >= 0.7 * (na.n + nb.n - shared)",
+    "p8_found": f"with d as (select distinct doc_id, unnest({_windows('w', 15)}) as g from (select doc_id, {_FOLDED} as w from documents) where len(w) >= 15), i as (select distinct item_id, unnest({_windows('w', 15)}) as g from (select item_id, {_FOLDED} as w from eval_items) where len(w) >= 15)"
+    " select distinct doc_id, item_id from d join i using (g)",
+}
