@@ -57,6 +57,13 @@ def test_lost_characters_and_is_garbled_agree(score):
         assert bool(E.repair(text, score)[1]) == E.is_garbled(text, score)
 
 
+def test_question_marks_for_letters(score):
+    ascii_only = VI.encode("ascii", "replace").decode()
+    assert E.repair(f"{VI}\n{ascii_only}", score)[1] == ["lost"] and E.repair(ascii_only, score)[1] == ["lost"] and E.is_garbled(ascii_only, score)
+    for text in ("Khi nào ạ? (Đổi lịch)", "Why? Because.", "see https://a.b/c?d=e&f=g", '<a href="/x?page=2">é</a>', "Vraiment ?\nOui."):
+        assert E.repair(text, score)[1] == [] and not E.is_garbled(text, score)
+
+
 def test_maximal_segments_equal_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(60):

@@ -45,6 +45,9 @@ IMPROBABLE, CUT, GAP = -1.0, 6.0, -0.4
 SEGMENT, REST = 3.0, 0.4
 #: The same for bytes that are valid UTF-8: chance hardly makes such sequences, so the letters that come out may be rare ones.
 VALID, VALID_REST = 2.0, 0.8
+#: A question mark before a small letter of its own word, or at a word's beginning, stands for a character that an encoding couldn't hold; not in URLs.
+REPLACED = re.compile(r"[^\W\d_]\?+[^\W\d_A-ZÀ-Þ]|^\?+[^\W\d_]")
+URL_LIKE = re.compile(r"[/=]")
 EDGE = re.compile(r"[\s<>&;\"|]")
 
 
@@ -110,7 +113,10 @@ def improbability(counted: pd.DataFrame) -> np.ndarray:
     pmi[rare] = -4.0
     score = np.clip(IMPROBABLE - pmi, -CUT, CUT)
     ascii_ = np.arange(CLASSES) < 128
+    mark, small = ord("?"), np.concatenate([np.arange(ord("a"), ord("z") + 1), np.arange(ord("A"), ord("Z") + 1)])
+    marked = np.maximum(score[mark, small], 0)
     score[np.ix_(ascii_, ascii_)] = GAP
+    score[mark, small] = marked
     score[(n > 0.0002 * np.minimum(first[:, None], second[None, :])) & (score > 0)] = GAP
     lost = class_table()[LOST]
     score[lost, :] = np.maximum(score[lost, :], 0)
@@ -280,31 +286,36 @@ def improbable(text: str, score: np.ndarray) -> bool:
     return "\ufffd" in text or float(x[x > 0].sum()) >= SEGMENT
 
 
+def replaced(run: str) -> bool:
+    """Whether an improbable run holds question marks in place of letters."""
+    return "?" in run and any(REPLACED.search(w) and not URL_LIKE.search(w) for w in run.split())
+
+
 def is_garbled(text: str | None, score: np.ndarray) -> bool:
     """Whether repair would find anything wrong."""
-    if not text or text.isascii():
+    if not text or (text.isascii() and "?" not in text):
         return False
     if "\ufffd" in text:
         return True
     text = compose(text)
     return improbable(text, score) and any(
-        inverse(line[b:e], score) for line in text.split("\n") if not line.isascii() for b, e in segments(line, score)
+        replaced(line[b:e]) or inverse(line[b:e], score) for line in text.split("\n") if not line.isascii() or "?" in line for b, e in segments(line, score)
     )
 
 
 def repair(text: str | None, score: np.ndarray) -> tuple[str | None, list[str]]:
     """(text with its garbled runs restored, what was wrong with it); an empty list for text that is as written.
 
-    Replacement characters are named 'lost': what stood there can't be restored.
+    Replacement characters, and question marks inside words, are named 'lost': what stood there can't be restored.
     """
-    if not text or text.isascii():
+    if not text or (text.isascii() and "?" not in text):
         return text, []
     text, wrong = compose(text), []
     if not improbable(text, score):
         return text, []
     lines = text.split("\n")
     for k, line in enumerate(lines):
-        if line.isascii():
+        if line.isascii() and "?" not in line:
             continue
         if "\ufffd" in line:
             wrong.append("lost")
@@ -315,6 +326,8 @@ def repair(text: str | None, score: np.ndarray) -> tuple[str | None, list[str]]:
                 pieces += [line[last:b], made[0]]
                 last = e
                 names.append(made[1])
+            elif replaced(line[b:e]):
+                wrong.append("lost")
         if names:
             new = "".join(pieces) + line[last:]
             for name in dict.fromkeys(names):  # a mapping usually holds for the whole line
@@ -362,7 +375,7 @@ def garbled_texts(df: DataFrame, key: str, text: str, score: np.ndarray) -> Data
             out = [(k, *repair(t, held.value)) for k, t in zip(b["k"], b["t"])]
             yield pd.DataFrame([x for x in out if x[2]], columns=[key, "restored", "causes"])
 
-    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).where(F.col("t").rlike("[^\\x00-\\x7f]"))
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).alias("t"))).where(F.col("t").rlike("[^\\x00-\\x7f]|\\?[A-Za-z]"))
     return rows.mapInPandas(safe(run), f"{key} {kind}, restored string, causes array<string>")
 
 
