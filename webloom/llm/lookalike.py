@@ -32,7 +32,7 @@ LATIN_FORMS = {"ɑ": "a", "ɡ": "g", "ı": "i", "ſ": "s"}
 SPACES = re.compile("[   -     　\x0b\x0c\x85]")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e0fff\x00-\x08\x0e-\x1f\x7f]")
 #: Invisible characters without a use next to others, gone before the neighbours of the rest are looked at.
-NEVER_USED = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b\u2060-\u2065\u206a-\u206f\u3164\ufeff\uffa0\ufff9-\uffff\x00-\x08\x0e-\x1f\x7f]")
+NEVER_USED = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b\u2060-\u2065\u206a-\u206f\u3164\ufeff\uffa0\ufff9-\ufffb\x00-\x08\x0e-\x1f\x7f]")
 COMPAT = re.compile("[！-～￠-￮ﬀ-ﬆ\U0001d400-\U0001d7ffⒶ-ⓩ℀℁ℊ-ℕℙ-ℝℤℨ-ℸKÅⅠ-ⅿĲĳǇ-ǌǱ-ǳ]")
 MARKS = re.compile("[^\\W\\d_][̀-ͯ]+")
 TOKEN = re.compile("(?:[^\\W_]|[̀-ͯ])+")
