@@ -65,9 +65,9 @@ def posting_list(docs: DataFrame, field: str, term: str, limit: int) -> DataFram
     words = words_of(docs, field)
     at = F.filter(F.transform(words, lambda w, i: F.when(w == F.lit(term), i)), lambda p: p.isNotNull())
     rows = docs.select("id", at.alias("positions")).where(F.size("positions") > 0).withColumn("tf", F.size("positions"))
-    total = rows.agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq"))
+    total = rows.groupBy(F.lit(term).alias("term")).agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq"))
     top = rows.orderBy(F.col("tf").desc(), "id").limit(limit)
-    return top.join(F.broadcast(total)).select("id", "tf", "positions", "doc_freq", "total_freq")  # a single row
+    return top.withColumn("term", F.lit(term)).join(F.broadcast(total), "term").select("id", "tf", "positions", "doc_freq", "total_freq")  # a single row
 
 
 def list_documents(docs: DataFrame, host: str | None = None, kind: str | None = None, by_url: bool = False, window: int = 200) -> DataFrame:

@@ -73,12 +73,12 @@ def images(content: DataFrame, nav: DataFrame) -> DataFrame:
 
 
 def counters(records: DataFrame, entities: DataFrame, content: DataFrame, nav: DataFrame, pictures: DataFrame) -> DataFrame:
-    """One row of counters of an extraction run."""
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    """counter, n: how many records, pages, links, template edges and images an extraction run has."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n")
     out = count(entities, "pages")
     for df, name in ((records, "records"), (content, "links"), (nav, "nav_links"), (pictures, "images")):
-        out = out.join(F.broadcast(count(df, name)))  # single rows
-    return out.withColumn("skipped", F.col("records") - F.col("pages"))
+        out = out.unionByName(count(df, name))
+    return out
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -191,7 +191,7 @@ STEM = f"case {sql_page('url', 'stem')} end"
 SQL = {
     "store_stats": "with f as (select * from raw_pages qualify row_number() over (partition by url order by store, shard, line_no, rec_id) = 1) select 'kind' as what, kind as value, count(*) as n from f group by kind union all select 'status', cast(status as varchar), count(*) from f group by status"
     " union all (select 'section', v, n from (select regexp_extract(url, '^https?://[^/]+/((?:(?:vi|en)/)?[^/?#]+)/', 1) as v, count(*) as n from f group by 1) where v <> '' order by n desc, v limit 30)"
-    " union all select 'bytes', '', coalesce(sum(size), 0) from f union all select 'repeated', '', count(*) - count(distinct url) from raw_pages",
+    " union all select 'bytes', '', coalesce(sum(size), 0)::bigint from f union all select 'repeated', '', count(*) - count(distinct url) from raw_pages",
     "store_check": f"with {R}, {K}, kn as (select url, coalesce(bool_or(length(html_b64) > 0), false) as body from r where url is not null group by url), j as (select coalesce(d.url, kn.url) as url, d.url is not null as done, kn.url is not null as seen, coalesce(kn.body, false) as body from (select distinct url from k) d full join kn on kn.url = d.url)"
     f" select count(*) filter (done) as claimed, count(*) filter (done and seen) as present, count(*) filter (done and seen and not body) as no_body, count(*) filter (done and not seen and {sql_scope('url', HOME, True)}) as missing, count(*) filter (not done and seen) as stale from j",
     "store_grep": "select row_id, url from corpus where contains(lower(content), 'học bổng')",

@@ -188,8 +188,8 @@ SQL = {
     "index_build": f"select doc_id as id, coalesce(url, '') as url, coalesce(source, '') as host, coalesce(section, '') as section, coalesce(kind, '') as kind, case when kind = 'page' then 'html' when {sql_ext('url')} <> '' then {sql_ext('url')} else 'khac' end as ftype, {DAY} as date, {NUM} as date_num, len({tok(FOLD)}) as n_tokens from documents",
     "term_dictionary": f"select 'text_kd' as field, term, doc_freq, total_freq from (select term, count(distinct id) as doc_freq, cast(count(*) as bigint) as total_freq from (select id, unnest(w) as term from {D}) group by term) where encode(term) >= encode('hoc') order by encode(term) limit 200",
     "term_counts": f"select 'text' as field, term, count(distinct id) as doc_freq, count(*) as total_freq from (select doc_id as id, unnest({tok('text')}) as term from documents) group by term",
-    "field_stats": f"select 'title' as field, 0 as docs, 0 as tokens union all select 'text', count(*) filter (len({tok('text')}) > 0), sum(len({tok('text')})) from documents union all select 'section', count(*) filter (len({tok('section')}) > 0), sum(len({tok('section')})) from documents"
-    f" union all select 'text_kd', count(*) filter (len({tok(FOLD)}) > 0), sum(len({tok(FOLD)})) from documents",
+    "field_stats": f"select 'title' as field, 0 as docs, 0 as tokens union all select 'text', count(*) filter (len({tok('text')}) > 0), sum(len({tok('text')}))::bigint from documents union all select 'section', count(*) filter (len({tok('section')}) > 0), sum(len({tok('section')}))::bigint from documents"
+    f" union all select 'text_kd', count(*) filter (len({tok(FOLD)}) > 0), sum(len({tok(FOLD)}))::bigint from documents",
     "posting_list": f"with p as (select id, list_filter(list_transform(w, lambda x, i: case when x = 'hoc' then i - 1 end), lambda x: x is not null) as pos from {D}), q as (select * from p where len(pos) > 0), t as (select count(*) as doc_freq, sum(len(pos))::bigint as total_freq from q)"
     " select id, len(pos) as tf, array_to_string(pos, ',') as positions, doc_freq, total_freq from q, t order by len(pos) desc, id limit 100",
     "postings": f"select 'text_kd' as field, term, count(distinct id) as doc_freq, count(*) as total_freq, sum(pos)::bigint as position_sum from (select id, unnest(w) as term, unnest(range(len(w))) as pos from {D}) group by term",
