@@ -156,6 +156,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshol
     representative is its smallest id. Rows with null ids, null or empty texts or texts of fewer words are in neither.
     Texts are whole. Repeated rows of one id count once. Empty tables give empty results; other columns don't matter.
     """
+    if threshold < RATIO:
+        raise ValueError(f"sets of a similarity below {RATIO} aren't all found")
     rows = materialize(_sketches(df, key, text, words))
     classes = materialize(rows.groupBy("set_hash").agg(F.min("id").alias("rep")))
     members = materialize(rows.select("id", "set_hash").dropDuplicates(["id"]).join(classes, "set_hash").select("id", "rep"))
