@@ -100,3 +100,23 @@ def index_documents(pages: DataFrame, files: DataFrame) -> DataFrame:
         "url", F.coalesce(F.try_url_decode(name), name).alias("title"), "text", "host", F.lit("").alias("section"), F.lit("").alias("date"), F.lit("").alias("author"), F.lit("document").alias("kind"), F.col("ext").alias("ftype")
     )
     return p.unionByName(f).withColumn("date_num", T.date_num(F.col("date")))
+
+
+def write_single(tables: dict[str, DataFrame], page: DataFrame, content: DataFrame, pictures: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """The tables after one page was extracted again: its record and links are replaced, its images' texts added, files not
+    yet known are catalogued; template edges stay as they are. Running it twice changes nothing more.
+    """
+    shown = tables["images"].select("_id", "host", F.explode_outer("alts").alias("alt"), "is_template").unionByName(pictures.select("_id", "host", F.explode_outer("alts").alias("alt"), "is_template"))
+    merged = shown.groupBy("_id").agg(F.first("host").alias("host"), F.array_sort(F.collect_set("alt")).alias("alts"), F.min("is_template").alias("is_template"))
+    links = tables["links"].join(page.select(F.col("_id").alias("src")).distinct(), "src", "left_anti").unionByName(content)
+    known = tables["documents"].unionByName(files.join(tables["documents"].select("_id"), "_id", "left_anti"))
+    return tables | {"pages": upsert(tables["pages"], page, "_id"), "links": links.select(*tables["links"].columns), "images": merged.select(*tables["images"].columns), "documents": known}
+
+
+def index_source(pages: DataFrame, raw: DataFrame, source: str = "auto") -> str:
+    """Where an index is built from: records if there are any, else the raw store; or as asked."""
+    if source not in ("auto", "records", "raw"):
+        raise ValueError("source is auto, records or raw")
+    if source == "auto":
+        return "raw" if pages.isEmpty() else "records"
+    return source

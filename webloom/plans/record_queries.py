@@ -10,6 +10,7 @@ from webloom.functions import urls as U
 from webloom.operators import extraction as X
 from webloom.operators import graph as G
 from webloom.operators import pipeline as P
+from webloom.operators import validation as V
 from webloom.plans.session import materialize, table
 from webloom.plans.url_queries import HOME, sql_dest, sql_ext, sql_host, sql_norm
 
@@ -226,13 +227,28 @@ def looks_blocked(spark: SparkSession, d: str) -> DataFrame:
 
 def corpus_violations(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the public corpus that its rules reject, with the first rule each breaks."""
-    url_ok = F.coalesce(F.col("url").rlike("(?i)^https?://"), F.lit(False))
-    kind_ok = F.col("kind").isNull() | F.col("kind").isin("page", "document")
-    day = F.coalesce(F.substring("published_at", 1, 10), F.lit(""))
-    date_ok = (F.trim(day) == "") | T.is_valid_date(day)
-    some = (F.coalesce("title", F.lit("")) != "") | (F.coalesce("content", F.lit("")) != "")
-    rule = F.when(~url_ok, "url").when(~kind_ok, "kind").when(~some, "title or content").when(~date_ok, "published_at")
-    return table(spark, d, "corpus").select("row_id", rule.alias("rule")).where(F.col("rule").isNotNull())
+    return table(spark, d, "corpus").select("row_id", V.broken_rule().alias("rule")).where(F.col("rule").isNotNull())
+
+
+def public_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The public corpus as it is taken in: valid rows, the last of each URL."""
+    out = V.public_documents(table(spark, d, "corpus"), "row_id")
+    return out.select("row_id", "url", "title", F.length("content").cast("bigint").alias("chars"), "host", "section", "date", "author", "kind", "sent")
+
+
+def record_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that the files of the catalogue and the edges break, as records."""
+    files = table(spark, d, "files_ok").select(F.col("url").alias("_id"), "status", "size", "n_pages")
+    links = table(spark, d, "links").select(F.col("link_id").alias("_id"), "src", "dst", F.col("edge_type").alias("type"), "dst_kind", F.col("n_seen").alias("count"))
+    return V.violations(files, "documents").unionByName(V.violations(links, "links"))
+
+
+def store_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per store: records, readable ones, articles, shards and bytes."""
+    return raw(spark, d).groupBy("store").agg(
+        F.count(F.lit(1)).alias("records"), F.count_if(F.coalesce("status", F.lit(200)) < 400).alias("done"), F.count_if(F.col("kind") == "article").alias("articles"),
+        F.countDistinct("shard").alias("shards"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+    )
 
 
 def link_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +267,7 @@ QUERIES = {
     for f in (
         first_records, find_record, decoded_html, leaf_fingerprints, host_templates, line_templates, active_line_templates, extract_pages, page_texts, explain_blocks, page_edges, nav_aggregate, nav_of_links, image_catalogue,
         images_of_links, entity_resolution, page_table, extract_counters, link_keys, public_links, upsert_links, canonical_urls, referrers, graph_out, graph_in_degree, dst_kind_counts, coverage_by_host,
-        coverage_of_extraction, overview, files_listing, files_referrers, catalog_files, legacy_files, download_states, document_states, index_documents, looks_blocked, corpus_violations, link_violations, edges_csv,
+        coverage_of_extraction, overview, files_listing, files_referrers, catalog_files, legacy_files, download_states, document_states, index_documents, looks_blocked, corpus_violations, public_documents, record_violations, store_totals, link_violations, edges_csv,
     )
 }
 
@@ -259,6 +275,7 @@ QUERIES = {
 
 WS = r"[\s\x1c-\x1f\p{Z}\x{0085}]"
 KEY = "coalesce(case when regexp_matches(regexp_extract(norm, '^https://[^/?#]*([^?#]*)', 1), '-\\d+\\.html$') then regexp_extract(regexp_extract(norm, '^https://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) end, norm)"
+VALID_DAY = r"coalesce(regexp_matches(substring(published_at, 1, 10), '^\d{4}-\d{2}-\d{2}$') and try_cast(substring(published_at, 1, 10) as date) is not null, false)"
 OFFICE = "'pdf|msword|officedocument|ms-excel|ms-powerpoint|openxmlformats'"
 
 
@@ -311,6 +328,13 @@ SQL = {
     "index_documents": r"select url, url_decode(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1)) as title, host, 'document' as kind, ext as ftype, length(text) as chars from files_ok where status = 'ok' and length(text) > 0",
     "corpus_violations": "with c as (select row_id, coalesce(regexp_matches(url, '(?i)^https?://'), false) as u, kind is null or kind in ('page', 'document') as k, coalesce(title, '') <> '' or coalesce(content, '') <> '' as s, coalesce(substring(published_at, 1, 10), '') as d from corpus)"
     " select row_id, rule from (select row_id, case when not u then 'url' when not k then 'kind' when not s then 'title or content' when not (trim(d) = '' or coalesce(regexp_matches(d, '^\\d{4}-\\d{2}-\\d{2}$') and try_cast(d as date) is not null, false)) then 'published_at' end as rule from c) where rule is not null",
+    "public_documents": f"with g as (select * from corpus where coalesce(regexp_matches(url, '(?i)^https?://'), false) and (kind is null or kind in ('page', 'document')) and (coalesce(title, '') <> '' or coalesce(content, '') <> '') and (trim(coalesce(substring(published_at, 1, 10), '')) = '' or {VALID_DAY})),"
+    f" l as (select url, max(row_id) as row_id, count(*) as sent from g group by url) select g.row_id, g.url, substring(coalesce(title, ''), 1, 500) as title, least(length(coalesce(content, '')), 200000) as chars, case when trim(coalesce(host, '')) <> '' then lower(trim(host)) else regexp_replace({sql_host('g.url')}, '^www\\.', '') end as host,"
+    f" coalesce(section, '') as section, case when {VALID_DAY} then substring(published_at, 1, 10) else '' end as date, coalesce(author, '') as author, coalesce(kind, 'page') as kind, sent from g join l using (row_id)",
+    "record_violations": "select url as key, 'size' as rule from files_ok where size < 0 union all select url, 'n_pages' from files_ok where n_pages < 0 union all select url, 'status' from files_ok where status is null or status not in ('pending', 'ok', 'unsupported', 'skipped_too_large', 'error')"
+    " union all select url, '_id' from files_ok where coalesce(url, '') = '' union all select link_id, '_id' from links where coalesce(link_id, '') = '' union all select link_id, 'src' from links where coalesce(src, '') = '' union all select link_id, 'dst' from links where coalesce(dst, '') = ''"
+    " union all select link_id, 'type' from links where edge_type is null or edge_type not in ('href', 'embed') union all select link_id, 'dst_kind' from links where dst_kind is null or dst_kind not in ('page', 'document', 'image', 'external') union all select link_id, 'count' from links where n_seen is null or n_seen < 0",
+    "store_totals": "select store, count(*) as records, count(*) filter (coalesce(status, 200) < 400) as done, count(*) filter (kind = 'article') as articles, count(distinct shard) as shards, coalesce(sum(size), 0)::bigint as bytes from raw_pages group by store",
     "link_violations": "select link_id, src, rule from (select link_id, src, case when dst_kind is null or dst_kind not in ('page', 'document', 'image', 'external') then 'dst_kind' when coalesce(n_seen, 0) < 0 then 'count' end as rule from links) where rule is not null",
     "edges_csv": "select src as source, dst as target, coalesce(text, '') as text from links",
 }
