@@ -40,6 +40,13 @@ def test_equals_brute_force(spark):
     assert got == brute(rows) and len(got) > 50
 
 
+def test_joined_leaves_give_the_same(spark, monkeypatch):
+    rows = corpus(120, 9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(L, "HELD", 0)
+    assert {(r["id"], r["line_no"]) for r in L.repeated_lines(df, "row_id", "content", "host", "url").collect()} == brute(rows)
+
+
 def test_partial_trees_of_any_size_merge_to_the_same(spark):
     rows = corpus(120, 5)
     df = spark.createDataFrame(rows, SCHEMA)

@@ -29,6 +29,8 @@ DIGITS = re.compile(r"\d+")
 SLOT = "<*>"
 #: A partial tree is sent on when it holds so many leaves, so that a worker's memory stays bounded.
 LEAVES_HELD = 200_000
+#: So many leaves that reach their threshold are held by every worker; beyond it they are joined.
+HELD = 1_000_000
 
 
 def canonical(line: str) -> str:
@@ -172,7 +174,7 @@ def repeated_lines(df: DataFrame, key: str, text: str, host: str, url: str, leas
 
     kind = dict(df.dtypes)[key]
     shape = f"id {kind}, host string, line_no bigint, leaf bigint, line bigint"
-    if full.count() <= 1_000_000:
+    if full.count() <= HELD:
         held = {r[0] for r in full.toLocalIterator()}
         lines = rows.mapInPandas(safe(explode(held)), shape)
     else:
