@@ -169,6 +169,14 @@ def count_of(words: Column, term: Term) -> Column:
     return F.size(F.filter(places, follows))
 
 
+def holds(words: Column, term: Term) -> Column:
+    """Whether a term stands in a token array; a phrase is looked for only where all its words are."""
+    if term.prefix:
+        return F.exists(words, lambda x: x.startswith(term.words[0]))
+    every = reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in dict.fromkeys(term.words)])
+    return every if len(term.words) == 1 else every & (count_of(words, term) > 0)
+
+
 def idf(n_docs: int, df: int) -> float:
     from math import log
 
@@ -247,12 +255,13 @@ class Scorer:
 
     def leaf(self, name: str, term: Term, boost: float) -> tuple[Column, Column]:
         words = F.col(f"_{name}")
-        n = count_of(words, term)
+        found = holds(words, term)
         if self.df is None:
             self.seen.append((name, term))
-            return n > 0, F.lit(0.0)
+            return found, F.lit(0.0)
         weight = sum(idf(self.n_docs, self.df.get((name, Term((w,), prefix=term.prefix)), 0)) for w in term.words)
-        return n > 0, F.when(n > 0, F.lit(boost * weight) * F.sqrt(n) / F.sqrt(F.greatest(F.size(words), F.lit(1)))).otherwise(0.0)
+        score = F.lit(boost * weight) * F.sqrt(count_of(words, term)) / F.sqrt(F.greatest(F.size(words), F.lit(1)))
+        return found, F.when(found, score).otherwise(0.0)
 
     def term(self, t: Term, boosts: dict[str, float]) -> tuple[Column, Column]:
         names = {t.field: 1.0} if t.field in self.fields else boosts
@@ -315,7 +324,7 @@ def hits(docs: DataFrame, p: SearchParams) -> DataFrame:
     strict, _ = first.whole(tree, p.ranking, False)
     # document frequencies of the query's words in the whole index, and whether anything matches within the filters
     singles = sorted({(n, Term((w,), prefix=t.prefix)) for n, t in first.seen for w in t.words}, key=repr)
-    row = every.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(count_of(F.col(f"_{n}"), t) > 0).alias(f"d{i}") for i, (n, t) in enumerate(singles)]).first()
+    row = every.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(holds(F.col(f"_{n}"), t)).alias(f"d{i}") for i, (n, t) in enumerate(singles)]).first()
     df = {s: row[f"d{i}"] for i, s in enumerate(singles)}
     within = filtered(every, p)
     relax = within.where(strict).limit(1).isEmpty()

@@ -57,8 +57,9 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:
-    """The index of documents, built anew: its stored fields."""
-    docs = materialize(I.analysed(_documents(spark, d)))
+    """The index of documents, built anew for the searches that follow: its stored fields."""
+    _STORES.pop((spark.sparkContext.applicationId, d, "documents"), None)
+    docs = index_docs(spark, d)
     return docs.select("id", "url", "host", "section", "kind", "ftype", "date", "date_num", F.size("_text_kd").cast("bigint").alias("n_tokens"))
 
 
