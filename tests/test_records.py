@@ -56,6 +56,25 @@ def test_extraction_is_idempotent_and_counts_once(spark):
     assert [(r["_id"], r["alts"], r["is_template"]) for r in images] == [("https://h.vn/i.jpg", ["Ảnh"], False)]
 
 
+def test_index_records_hold_pages_and_files(spark, tmp_path):
+    from webloom.plans import record_queries as R
+
+    page = "<title>Tin {0}</title><h1>Tin {0}</h1><div class=content><p>Đoạn văn {0} đủ dài, có dấu câu.</p></div>"
+    stored = [record(1, "http://www.h.vn/a-1.html", page.format(1)), record(2, "https://h.vn/x/a-1.html", page.format(1)), record(3, "https://h.vn/b-1.html", page.format(2)), record(4, "https://h.vn/e", None), record(5, "https://h.vn/c-1.html", page.format(3), 404)]
+    spark.createDataFrame(stored, RAW).write.parquet(f"{tmp_path}/raw_pages.parquet")
+    files = [("https://h.vn/t%20t.pdf", "ok", "chữ"), ("https://h.vn/u.pdf", "ok", ""), ("https://h.vn/v.pdf", "error", "chữ"), ("https://h.vn/w.pdf", "ok", None)]
+    spark.createDataFrame([(u, s, t, "h.vn", "pdf") for u, s, t in files], "url string, status string, text string, host string, ext string").write.parquet(f"{tmp_path}/files_ok.parquet")
+    made = {}
+    for i, url, html, status in [(r[0], r[4], r[7], r[5]) for r in stored]:  # one page at a time, the first of each last segment
+        body = X.decode_html(html, "utf-8", status)
+        norm = url.replace("http://www.", "https://")
+        found = X.dom.extract(body, norm, frozenset(), R.HOME) if body else None
+        if found:
+            made.setdefault(norm.rsplit("/", 1)[-1], (norm, found["title"], "page", "html", len(found["text"])))
+    got = {(r["url"], r["title"], r["kind"], r["ftype"], r["chars"]) for r in R.index_records(spark, str(tmp_path)).collect()}
+    assert len(made) == 2 and got == set(made.values()) | {("https://h.vn/t%20t.pdf", "t t.pdf", "document", "pdf", 3)}
+
+
 def test_upsert_and_last_per_key(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert {tuple(r) for r in P.upsert(old, new, "k").collect()} == {(1, "a"), (2, "c"), (3, "d")}

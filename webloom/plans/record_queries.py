@@ -111,11 +111,15 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return out.select("key", "primary_id", "primary_url", F.array_join("aliases", "|").alias("aliases"))
 
 
-def page_table(spark: SparkSession, d: str) -> DataFrame:
+def _page_records(spark: SparkSession, d: str) -> DataFrame:
     extracted = materialize(_extracted(spark, d))
     order = raw(spark, d).select("rec_id", "store", "shard", "line_no")
     entities = P.resolve_entities(extracted.select("rec_id", "norm").join(order, "rec_id"), ["store", "shard", "line_no", "rec_id"])
-    return P.page_records(extracted, entities, raw(spark, d)).select("_id", F.size("aliases").alias("n_aliases"), "host", "lang", "kind", "title", "published_at", F.col("content.word_count").alias("word_count"), F.col("content.block.method").alias("method"), F.col("raw.sha1").alias("sha1"))
+    return P.page_records(extracted, entities, raw(spark, d))
+
+
+def page_table(spark: SparkSession, d: str) -> DataFrame:
+    return _page_records(spark, d).select("_id", F.size("aliases").alias("n_aliases"), "host", "lang", "kind", "title", "published_at", F.col("content.word_count").alias("word_count"), F.col("content.block.method").alias("method"), F.col("raw.sha1").alias("sha1"))
 
 
 def extract_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -214,12 +218,18 @@ def document_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Files as index documents with a title from their URL."""
+    """Files alone as index documents with a title from their URL: the side of index_records that SQL can express."""
     pages = raw(spark, d).limit(0).select(F.col("url").alias("_id"), F.col("url").alias("title"), F.struct(F.col("url").alias("text")).alias("content"), F.col("url").alias("host"), F.col("url").alias("section"), F.col("url").alias("published_at"), F.col("url").alias("author"))
     out = P.index_documents(pages, table(spark, d, "files_ok"))
     return out.select("url", "title", "host", "kind", "ftype", F.length("text").cast("bigint").alias("chars"))
 
 
+def index_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every page record and every readable file as index documents."""
+    out = P.index_documents(_page_records(spark, d), table(spark, d, "files_ok"))
+    return out.select("url", "title", "host", "section", "date", "date_num", "author", "kind", "ftype", F.length("text").cast("bigint").alias("chars"), F.sha1(F.encode("text", "UTF-8")).alias("text_sha1"))
+
+
 def looks_blocked(spark: SparkSession, d: str) -> DataFrame:
     html = F.decode(F.unbase64("html_b64"), "ISO-8859-1")
     return raw(spark, d).select("rec_id", U.looks_blocked(F.col("status"), html).alias("blocked"))
@@ -267,7 +277,7 @@ QUERIES = {
     for f in (
         first_records, find_record, decoded_html, leaf_fingerprints, host_templates, line_templates, active_line_templates, extract_pages, page_texts, explain_blocks, page_edges, nav_aggregate, nav_of_links, image_catalogue,
         images_of_links, entity_resolution, page_table, extract_counters, link_keys, public_links, upsert_links, canonical_urls, referrers, graph_out, graph_in_degree, dst_kind_counts, coverage_by_host,
-        coverage_of_extraction, overview, files_listing, files_referrers, catalog_files, legacy_files, download_states, document_states, index_documents, looks_blocked, corpus_violations, public_documents, record_violations, store_totals, link_violations, edges_csv,
+        coverage_of_extraction, overview, files_listing, files_referrers, catalog_files, legacy_files, download_states, document_states, index_documents, index_records, looks_blocked, corpus_violations, public_documents, record_violations, store_totals, link_violations, edges_csv,
     )
 }
 
