@@ -61,6 +61,32 @@ def test_lines(spark, monkeypatch):
     assert get() == found
 
 
+def told_rows(n):
+    starts = [f"{a} {b} {c}".capitalize() for a in ("the", "a", "each") for b in WORDS[:8] for c in WORDS[:3]]
+    told = lambda: f"{rng.choice(starts)} {' '.join(rng.choice(WORDS) for _ in range(15))}."
+    return starts, told, [["Home | News | Contact", *[f"{told()} {told()}" for _ in range(4)], f"Read more: {told()[:-1]}", f"{told()} {told()}", f"- {told()[:-1]}", f"Reader {i}: When is it? ({told()[:20]})"] for i in range(n)]
+
+
+def bodies(spark, rows):
+    df = spark.createDataFrame([(i, "t", h, None, "\n".join(x)) for i, (h, x) in enumerate(rows)], "row_id bigint, title string, host string, url string, content string")
+    found = {}
+    for r in M.text_main_body(df, "row_id", "content", "title", "host", "url").collect():
+        found.setdefault(r["row_id"], set()).add(r["line_no"])
+    return found
+
+
+def test_lines_without_end_punctuation(spark, monkeypatch):
+    starts, told, rows = told_rows(150)
+    p = lambda: f"{told()} {told()}"
+    cut = ["Home | News | Contact", p(), f"{starts[5]} {' '.join(WORDS)}", "Umbrellas and old boots for the visit:", "- umbrellas of any kind;", "- boots (old ones)", f"{p()} And so {' '.join(WORDS)}", f"{told()} And so {' '.join(WORDS)}"]
+    rows = [("h.example", x) for x in [*rows, cut]]
+    got = bodies(spark, rows)
+    assert got[150] == {1, 2, 3, 4, 5, 6, 7}
+    assert all(got[i] == {1, 2, 3, 4, 6} for i in range(150))  # menus, labels, related items and comments stay out
+    monkeypatch.setattr(M, "HELD", 0)
+    assert bodies(spark, rows) == got
+
+
 def test_broken_markup_never_fails():
     for html in ("", "<", "<p", "<div><p>a<div>b</p></div>c", "<script>x", "<!-- x", "</div></div>a", "<td>a<td>b", "<a href='x>y</a>", "<p>" * 3000 + "x", "a\x00b<br>c"):
         pieces, _ = M.parse(html)

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -313,6 +313,14 @@ def line_start(sentence: str) -> int:
     return xxh3_64_intdigest(" ".join(DIGITS.sub("0", w) for w in sentence.lower().split()[:3])) - (1 << 63)
 
 
+def line_label(line: str) -> int | None:
+    """Node of what a line without end punctuation stands under: its words before an early colon, else its first two; None without a word."""
+    head, colon, _ = line.partition(":")
+    found = WORDS.findall(head.lower())
+    found = found if colon and len(found) <= 4 else WORDS.findall(line.lower())[:2]
+    return xxh3_64_intdigest("\x1e" + " ".join(DIGITS.sub("0", w) for w in found)) - (1 << 63) if found else None
+
+
 def split_lines(text: str) -> list[tuple[str, list[str]]]:
     """Lines with their sentences; blank lines have none."""
     out = []
@@ -326,48 +334,80 @@ def prose(line: str) -> bool:
     return line[-1:] in ".!?…”\"" or line[-2:] in (".»", "!»", "?»")
 
 
+def bare(line: str, sentences: list[str]) -> bool:
+    """A single sentence or phrase without end punctuation."""
+    return len(sentences) == 1 and not prose(line)
+
+
+def full_paragraphs(lines: list[tuple[str, list[str]]]) -> list[int]:
+    return [i for i, (line, s) in enumerate(lines) if len(s) > 1 and len(line) > 120]
+
+
 def line_tree(rows: DataFrame) -> DataFrame:
-    """start, lead, inner, inside, share: over all rows, how often a beginning leads a line, stands inside one, leads a line
-    between paragraphs; and its largest share of a host's rows."""
+    """start, lead, inner, inside, bare, bodies, share: over all texts, how often a beginning leads a line, stands inside one, leads
+    a line between paragraphs, leads one without end punctuation, and in how many texts; and its largest share of a host's texts.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            tree: dict[tuple[str, int], list[int]] = {}
-            for host, text in zip(b["host"], b["t"]):
+            out = []
+            for host, text, body in zip(b["host"], b["t"], b["body"]):
                 lines = split_lines(text)
-                full = [i for i, (line, s) in enumerate(lines) if len(s) > 1 and len(line) > 120]
+                full = full_paragraphs(lines)
                 first, last = (full[0], full[-1]) if full else (len(lines), -1)
-                seen = set()
+                tree: dict[int, list[int]] = {}
                 for i, (line, sentences) in enumerate(lines):
-                    if not sentences or not prose(line):
+                    if not sentences:
                         continue
-                    k = (host, line_start(sentences[0]))
-                    node = tree.setdefault(k, [0, 0, 0, 0])
+                    node = tree.setdefault(line_start(sentences[0]), [0, 0, 0, 0])
                     node[0] += 1
                     node[2] += first < i < last
-                    seen.add(k)
+                    if bare(line, sentences):
+                        node[3] += 1
+                        if (label := line_label(line)) is not None:
+                            tree.setdefault(label, [0, 0, 0, 0])[3] += 1
                     for s in sentences[1:]:
-                        tree.setdefault((host, line_start(s)), [0, 0, 0, 0])[1] += 1
-                for k in seen:
-                    tree[k][3] += 1
-            yield pd.DataFrame([(*k, *v) for k, v in tree.items()], columns=["host", "start", "lead", "inner", "inside", "rows"])
-
-    grown = rows.select("host", "t").mapInPandas(safe(run), "host string, start bigint, lead bigint, inner bigint, inside bigint, rows bigint")
-    grown = grown.groupBy("host", "start").agg(*[F.sum(c).alias(c) for c in ("lead", "inner", "inside", "rows")])
-    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    merged = grown.join(sizes, "host").withColumn("share", F.when(F.col("rows") >= LINE_ROWS, F.col("rows") / F.col("size")).otherwise(F.lit(0.0)))
-    return merged.groupBy("start").agg(F.sum("lead").alias("lead"), F.sum("inner").alias("inner"), F.sum("inside").alias("inside"), F.max("share").alias("share"))
-
-
-def prose_lines(text: str, title: str | None) -> list[tuple[int, int]]:
-    """(number, beginning) of the lines, split at line feeds, that are made of sentences and don't repeat the title."""
+                        tree.setdefault(line_start(s), [0, 0, 0, 0])[1] += 1
+                out += [(host, k, body, *v) for k, v in tree.items()]
+            yield pd.DataFrame(out, columns=["host", "start", "body", *counts])
+
+    counts = ["lead", "inner", "inside", "bare"]
+    grown = rows.select("host", "t", F.monotonically_increasing_id().alias("body")).mapInPandas(safe(run), "host string, start bigint, body bigint, " + ", ".join(f"{c} int" for c in counts))
+    # parted by beginning once: what follows needs no other shuffle of it
+    grown = grown.repartition("start").groupBy("start", "host", "body").agg(*[F.max(c).alias(c) for c in counts])
+    grown = grown.withColumn("texts", F.count_if(F.col("lead") > 0).over(Window.partitionBy("start", "host")))
+    sizes = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("size")))
+    merged = grown.join(F.broadcast(sizes) if sizes.count() <= HELD else sizes, "host")
+    merged = merged.withColumn("share", F.when(F.col("texts") >= LINE_ROWS, F.col("texts") / F.col("size")).otherwise(F.lit(0.0)))
+    once = merged.groupBy("start", "body").agg(*[F.max(c).alias(c) for c in (*counts, "share")])
+    return once.groupBy("start").agg(*[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("bodies"), F.max("share").alias("share"))
+
+
+def text_lines(text: str, title: str | None) -> list[tuple[int, int, int | None, bool]]:
+    """(number, beginning, label, between) of the lines, split at line feeds, that don't repeat the title. Only lines that are a
+    single sentence or phrase without end punctuation have a label; between: whether they stand between full paragraphs."""
     heading = SPACE.sub(" ", normalize(title)).strip().lower() if title else ""
-    return [(i, line_start(s[0])) for i, (line, s) in enumerate(split_lines(text)) if s and prose(line) and line.lower() != heading]
+    lines = split_lines(text)
+    full = full_paragraphs(lines)
+    first, last = (full[0], full[-1]) if full else (len(lines), -1)
+    out = []
+    for i, (line, s) in enumerate(lines):
+        if not s or line.lower() == heading:
+            continue
+        if not bare(line, s):
+            out.append((i, line_start(s[0]), None, False))
+        elif (label := line_label(line)) is not None and not DATE.match(line):
+            out.append((i, line_start(s[0]), label, first < i < last))
+    return out
 
 
 def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, url: str) -> DataFrame:
     """key, line_no: the lines of every text that are main body.
 
+    Lines of sentences are body unless their beginning is noise. A single one without end punctuation is body if its beginning
+    stands inside paragraphs, as often as it leads such lines and as its label does, or if it stands between paragraphs and not
+    under a label that several texts use.
+
     Null, empty and blank texts have none. Rows without any host form the host ''. Texts are whole, of any length. Repeated
     rows are taken each. Empty tables give an empty result.
     """
@@ -376,17 +416,36 @@ def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, ur
     rows = spread(rows)
     seldom_inside = (F.col("inner") < INNER * F.col("lead")) & (F.col("lead") >= SELDOM)
     noise = seldom_inside & ((F.col("share") >= LINE_SHARE) | (F.col("inside") < OUTSIDE * F.col("lead")))
-    low = materialize(line_tree(rows).where(noise).select("start"))
-    few = low.count() <= HELD
-    held = df.sparkSession.sparkContext.broadcast(frozenset(r["start"] for r in low.toLocalIterator()) if few else frozenset())
+    known = (F.col("bare") > 0) & (F.col("inner") >= F.col("bare")) & (F.col("inner") >= INNER * F.col("lead"))
+    label = (F.col("lead") == 0) & (F.col("bare") > 0) & (F.col("bodies") >= SELDOM)
+    what = F.when(noise, "noise").when(known, "known").when(label, "label")
+    times = F.when(what == "known", F.col("inner")).otherwise(F.col("bodies"))
+    nodes = materialize(line_tree(rows).select("start", what.alias("what"), times.alias("times")).where(F.col("what").isNotNull()))
+    few = nodes.count() <= HELD
+    decided = {"noise": {}, "known": {}, "label": {}}
+    for r in nodes.toLocalIterator() if few else ():
+        decided[r["what"]][r["start"]] = r["times"]
+    held = df.sparkSession.sparkContext.broadcast(decided)
+
+    def body(start: int, label: int | None, between: bool) -> bool:
+        if not few:
+            return True
+        noise, known, labels = held.value["noise"], held.value["known"], held.value["label"]
+        return start not in noise and (label is None or (between and label not in labels) or known.get(start, 0) >= max(1, labels.get(label, 0)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(k, i, s) for k, t, h in zip(b["k"], b["t"], b["title"]) for i, s in prose_lines(t, h) if s not in held.value]
-            yield pd.DataFrame(out, columns=[key, "line_no", "start"])
-
-    found = rows.select("k", "t", "title").mapInPandas(safe(run), f"{key} {kind}, line_no bigint, start bigint")
-    return (found if few else found.join(low, "start", "left_anti")).select(key, "line_no")
+            out = [(k, i, s, n, x) for k, t, h in zip(b["k"], b["t"], b["title"]) for i, s, n, x in text_lines(t, h) if body(s, n, x)]
+            made = pd.DataFrame(out, columns=[key, "line_no", "start", "label", "between"])
+            yield made.assign(label=pd.array([r[3] for r in out], dtype="Int64"))  # as floats, hashes would lose digits
+
+    found = rows.select("k", "t", "title").mapInPandas(safe(run), f"{key} {kind}, line_no bigint, start bigint, label bigint, between boolean")
+    if few:
+        return found.select(key, "line_no")
+    of = lambda w, name: nodes.where(F.col("what") == w).select(F.col("start").alias(name), F.col("times").alias(f"_{w}"))
+    found = found.join(of("noise", "start"), "start", "left_anti").join(of("known", "start"), "start", "left").join(of("label", "label"), "label", "left")
+    free = F.col("between") & F.col("_label").isNull()
+    return found.where(F.col("label").isNull() | free | F.coalesce(F.col("_known") >= F.coalesce("_label", F.lit(0)), F.lit(False))).select(key, "line_no")
 
 
 # ---------------------------------------------------------------- both tables
