@@ -87,6 +87,17 @@ def test_lines_without_end_punctuation(spark, monkeypatch):
     assert bodies(spark, rows) == got
 
 
+def test_copies_count_once(spark):
+    _, told, rows = told_rows(150)
+    odd = lambda w: f"{w} nobody expected {' '.join(WORDS[:12])}. {told()}"
+    article = [odd("Zebras"), f"{told()} {told()}", "Quietly the herd left.", f"{told()} {told()}", odd("Yaks")]
+    alone = [odd("Walruses")]
+    copies = [(f"h{i}.example", ["Menu", *article, "Call us"]) for i in range(4)] + [("h.example", article)] * 8 + [("h.example", alone)] * 8
+    got = bodies(spark, [*(("h.example", x) for x in rows), *copies])
+    assert all(got[i] == {1, 2, 3, 4, 5} for i in range(150, 154))
+    assert all(got[i] == {0, 1, 2, 3, 4} for i in range(154, 162)) and all(got[i] == {0} for i in range(162, 170))
+
+
 def test_broken_markup_never_fails():
     for html in ("", "<", "<p", "<div><p>a<div>b</p></div>c", "<script>x", "<!-- x", "</div></div>a", "<td>a<td>b", "<a href='x>y</a>", "<p>" * 3000 + "x", "a\x00b<br>c"):
         pieces, _ = M.parse(html)

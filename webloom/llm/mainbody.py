@@ -351,7 +351,7 @@ def line_tree(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for host, text, body in zip(b["host"], b["t"], b["body"]):
+            for host, text in zip(b["host"], b["t"]):
                 lines = split_lines(text)
                 full = full_paragraphs(lines)
                 first, last = (full[0], full[-1]) if full else (len(lines), -1)
@@ -361,22 +361,24 @@ def line_tree(rows: DataFrame) -> DataFrame:
                         continue
                     node = tree.setdefault(line_start(sentences[0]), [0, 0, 0, 0])
                     node[0] += 1
-                    node[2] += first < i < last
+                    node[2] += first <= i <= last
                     if bare(line, sentences):
                         node[3] += 1
                         if (label := line_label(line)) is not None:
                             tree.setdefault(label, [0, 0, 0, 0])[3] += 1
                     for s in sentences[1:]:
                         tree.setdefault(line_start(s), [0, 0, 0, 0])[1] += 1
+                # copies of an article are one text, whatever their hosts put around it
+                body = xxh3_64_intdigest("\n".join(lines[i][0] for i in full) or text) - (1 << 63)
                 out += [(host, k, body, *v) for k, v in tree.items()]
             yield pd.DataFrame(out, columns=["host", "start", "body", *counts])
 
     counts = ["lead", "inner", "inside", "bare"]
-    grown = rows.select("host", "t", F.monotonically_increasing_id().alias("body")).mapInPandas(safe(run), "host string, start bigint, body bigint, " + ", ".join(f"{c} int" for c in counts))
+    grown = rows.select("host", "t").mapInPandas(safe(run), "host string, start bigint, body bigint, " + ", ".join(f"{c} int" for c in counts))
     # parted by beginning once: what follows needs no other shuffle of it
     grown = grown.repartition("start").groupBy("start", "host", "body").agg(*[F.max(c).alias(c) for c in counts])
     grown = grown.withColumn("texts", F.count_if(F.col("lead") > 0).over(Window.partitionBy("start", "host")))
-    sizes = materialize(rows.groupBy("host").agg(F.count(F.lit(1)).alias("size")))
+    sizes = materialize(rows.groupBy("host").agg(F.countDistinct(F.xxhash64("t")).alias("size")))
     merged = grown.join(F.broadcast(sizes) if sizes.count() <= HELD else sizes, "host")
     merged = merged.withColumn("share", F.when(F.col("texts") >= LINE_ROWS, F.col("texts") / F.col("size")).otherwise(F.lit(0.0)))
     once = merged.groupBy("start", "body").agg(*[F.max(c).alias(c) for c in (*counts, "share")])
@@ -409,7 +411,7 @@ def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, ur
     under a label that several texts use.
 
     Null, empty and blank texts have none. Rows without any host form the host ''. Texts are whole, of any length. Repeated
-    rows are taken each. Empty tables give an empty result.
+    rows are taken each, but count once in the tree. Empty tables give an empty result.
     """
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("k"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t"), F.col(title).alias("title")).where(F.length("t") > 0)
