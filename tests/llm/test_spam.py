@@ -21,6 +21,27 @@ def test_automaton_covers_what_brute_force_does(seq, least, shortest):
     assert S.SuffixAutomaton(seq).covered(least, shortest).tolist() == marked
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=30), st.integers(2, 4))
+def test_pairs_cover_what_the_automaton_does(seq, least):
+    import numpy as np
+
+    a, b = S.covered_by_pairs(np.array(seq), (least, least + 1))
+    automaton = S.SuffixAutomaton(seq)
+    assert a.tolist() == automaton.covered(least, 2).tolist() and b.tolist() == automaton.covered(least + 1, 2).tolist()
+
+
+def test_shuffled_keywords_are_stuffed():
+    rng = random.Random(3)
+    keys = [f"{a}{b}" for a in ("lap", "tick", "tut", "ess", "vis") for b in ("top", "et", "or", "ay", "it")]
+    words = []
+    for _ in range(12):  # each word twelve times, hardly any pair three times
+        rng.shuffle(keys)
+        words += keys
+    assert S.measure(", ".join(words))["stuffed_share"] == 1.0
+    assert 0.3 < S.measure(", ".join(words[:60]) + "\n" + PROSE)["stuffed_share"]
+
+
 def test_kinds_of_spam():
     rng = random.Random(1)
     keys = ["cheap laptop", "bus ticket", "essay help", "math tutor"]

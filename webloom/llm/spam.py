@@ -1,7 +1,8 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
 A suffix automaton over a page's words gives the repeated maximal substrings with their numbers of occurrences. A word is
-worn when a maximal substring of two words or more that covers it occurs often for the page's length. Pieces of a page
+worn when a maximal substring of two words or more that covers it occurs often for the page's length; the pairs of neighbours
+cover the same words, and are counted in its place. Pieces of a page
 (sentences and lines) that are mostly worn words, or that are tags or links without any clause, count as spam; a page is
 a case when more than half of its characters lie in such pieces.
 """
@@ -24,6 +25,8 @@ LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\(https?://[^)\s]*\)|(?:https?
 TAG = re.compile(r"[#@][^\W_][\w-]*|\[[^\]\d\n][^\]\n]{0,60}\](?!\()|\bSKU[ _-]?\d+|\b[A-Z]{2,4}-?\d{5,}\b")
 PIECE = re.compile(r"[^\n]+?(?:[.!?…]+[\"”’)]*(?=\s+[^\W\d_“\"«(])|(?=\n)|$)")
 RECORD = re.compile(r"\b\d{1,2}[:h]\d{2}\b|\b\d{1,4}[/.-]\d{1,2}[/.-]\d{1,4}\b")
+END = re.compile(r"[.!?…\n]")
+SPACES = re.compile(r"\s+")
 SPECIAL = re.compile(r"://|[#@\[]|SKU|www\.")
 #: A maximal substring is worn when it occurs at least this often, and once in so many words of the page: in a piece
 #: without the structure of a clause, and in one with it.
@@ -93,17 +96,31 @@ class SuffixAutomaton:
         return np.cumsum(marks[:-1]) > 0
 
 
-def pair_coverage(codes: np.ndarray, least: int) -> float:
-    """Share of places in a pair of neighbours that occurs at least that often: no longer substring can cover more."""
+def covered_by_pairs(codes: np.ndarray, leasts: tuple[int, ...]) -> list[np.ndarray]:
+    """For each least, which places lie in a pair of neighbours that occurs at least that often.
+
+    A longer substring occurs no more often than any pair in it, and a pair is a substring of two: these are exactly the places that
+    SuffixAutomaton(codes).covered(least, 2) gives, without the automaton.
+    """
     if len(codes) < 2:
-        return 0.0
+        return [np.zeros(len(codes), bool) for _ in leasts]
     pairs = codes[:-1] * np.int64(codes.max() + 1) + codes[1:]
-    ordered = np.sort(pairs)
-    if len(ordered) < least or not (ordered[least - 1 :] == ordered[: len(ordered) - least + 1]).any():
-        return 0.0
     _, inverse, counts = np.unique(pairs, return_inverse=True, return_counts=True)
-    hit = counts[inverse] >= least
-    return float(np.mean(np.append(hit, False) | np.insert(hit, 0, False)))
+    times = counts[inverse]
+    return [np.append(times >= n, False) | np.insert(times >= n, 0, False) for n in leasts]
+
+
+def may_be_stuffed(stretches: list[int], chars: np.ndarray, old: np.ndarray) -> bool:
+    """Whether any piece can be stuffed, by the numbers of words between end marks, for texts without links and tags: an exact bound, in characters, over pairs, common words and
+    words between two of them.
+
+    Pieces are joined from stretches between end marks, so where no stretch has the least share of worn characters, no piece has it;
+    and no piece is taken for its kind where none is stuffed.
+    """
+    old = old | (np.append(old[1:], False) & np.insert(old[:-1], 0, False))
+    at = np.repeat(np.arange(len(stretches)), stretches)
+    whole, part = np.bincount(at, chars), np.bincount(at, chars * old)
+    return bool(((part >= min(WORN_BARE, WORN_CLAUSE) * whole) & (whole > 0)).any())
 
 
 def measure(text: str | None) -> dict:
@@ -112,23 +129,23 @@ def measure(text: str | None) -> dict:
     if not text or not text.strip():
         return zero
     ids: dict[str, int] = {}
-    tokens = WORD.findall(text)
+    stretches = [WORD.findall(part) for part in END.split(text)]
+    tokens = [w for part in stretches for w in part]
     if not tokens:
         return zero
-    codes = np.fromiter((ids.setdefault(w, len(ids)) for w in map(str.lower, tokens)), np.int64, len(tokens))
-    bare = max(LEAST_BARE, len(tokens) // BARE_ONE_IN)
-    repeated = pair_coverage(codes, bare)
+    codes = np.array([ids.setdefault(w, len(ids)) for w in map(str.lower, tokens)], np.int64)
+    times = np.bincount(codes)[codes]
     special = SPECIAL.search(text) is not None
-    if not special and repeated < SHARE * WORN_BARE:
+    # without a word that returns three times there is no worn pair and no common word, so no stuffed piece
+    if not special and times.max() < min(LEAST_BARE, LEAST_WORD):
         return zero
-    spans = [m.span() for m in WORD.finditer(text)]
-    digits = np.fromiter((any(c.isdigit() for c in w) for w in tokens), bool, len(tokens))
-    worn = strict = np.zeros(len(tokens), bool)
-    if repeated:
-        automaton = SuffixAutomaton(codes.tolist())
-        worn, strict = automaton.covered(bare, 2), automaton.covered(max(LEAST_CLAUSE, len(tokens) // CLAUSE_ONE_IN), 2)
-    times = np.bincount(codes)[codes]
+    digits = np.fromiter((not w.isalpha() and any(map(str.isdigit, w)) for w in ids), bool, len(ids))[codes]
+    worn, strict = covered_by_pairs(codes, (max(LEAST_BARE, len(tokens) // BARE_ONE_IN), max(LEAST_CLAUSE, len(tokens) // CLAUSE_ONE_IN)))
     common = (times >= max(LEAST_WORD, len(tokens) // WORD_ONE_IN)) & ~digits
+    lengths = np.array(list(map(len, tokens)), np.float64)
+    if not special and not may_be_stuffed(list(map(len, stretches)), lengths * ~digits, worn | common):
+        return zero
+    starts = np.array([m.start() for m in WORD.finditer(text)], np.int64)
     size = len(text)
     links, tags = np.zeros(size, bool), np.zeros(size, bool)
     if special:
@@ -138,21 +155,18 @@ def measure(text: str | None) -> dict:
             tags[m.start() : m.end()] = True
         tags &= ~links
     stuffed = np.zeros(size, bool)
-    starts = np.fromiter((a for a, _ in spans), np.int64, len(spans))
-    ends = np.fromiter((b for _, b in spans), np.int64, len(spans))
-    marked = links | tags
+    free_words = ~(links | tags)[starts]
     bare_pieces, bare_chars, bare_stuffed = [], 0, 0
     for m in PIECE.finditer(text):
         a, b = m.start(), m.end()
         i, j = np.searchsorted(starts, a), np.searchsorted(starts, b)
         if i == j:
             continue
-        free = np.fromiter((not marked[k] for k in starts[i:j]), bool, j - i)
-        chars = (ends[i:j] - starts[i:j]).astype(np.float64)
+        free, chars = free_words[i:j], lengths[i:j]
         plain = free & ~digits[i:j]
-        has_link, has_tag = links[a:b].any(), tags[a:b].any()
+        has_link, has_tag = special and links[a:b].any(), special and tags[a:b].any()
         piece = text[a:b].strip()
-        told = int((free & digits[i:j] & (times[i:j] <= 2)).sum()) + len(RECORD.findall(piece))
+        told = int((free & digits[i:j] & (times[i:j] <= 2)).sum()) + len(RECORD.findall(piece)) if digits[i:j].any() else 0
         words = int(plain.sum())
         clause = piece[:1].isupper() or piece[:1] in "“\"«([" or piece[:1].isdigit()
         clause = clause and piece[-1:] in ".!?…”\"»’):;" and words >= 5
@@ -175,7 +189,9 @@ def measure(text: str | None) -> dict:
     if bare_stuffed >= SAME_KIND * max(bare_chars, 1):
         for a, b in bare_pieces:
             stuffed[a:b] = True
-    letters = np.fromiter((not c.isspace() for c in text), bool, size)
+    letters = np.ones(size, bool)
+    for m in SPACES.finditer(text):
+        letters[m.start() : m.end()] = False
     total = letters.sum()
     part = lambda mask: float((mask & letters).sum() / total)
     return {"spam_share": part(links | tags | stuffed), "link_share": part(links), "tag_share": part(tags & ~links), "stuffed_share": part(stuffed & ~links & ~tags)}
