@@ -112,6 +112,15 @@ def test_walk_and_pagination(spark):
     assert sorted(r["url"] for r in pages.collect()) == ["https://h.vn/c/page-2/", "https://h.vn/c/page-3/"]
 
 
+def test_walk_query_goes_as_deep_as_the_operator(spark, tmp_path):
+    from webloom.plans import audit_queries as Q
+
+    step = lambda i: f"https://tin.bachlam.example/s{i}/"
+    spark.createDataFrame([(step(i), step(i + 1)) for i in range(9)], "src string, dst string").write.parquet(f"{tmp_path}/links.parquet")
+    spark.createDataFrame([(step(0), "listing")], "url string, kind string").write.parquet(f"{tmp_path}/raw_pages.parquet")
+    assert {r["url"]: r["depth"] for r in Q.frontier_walk(spark, str(tmp_path)).collect()} == {step(i): i for i in range(L.MAX_DEPTH + 1)}
+
+
 def test_crawl_requests():
     L.check_crawl_request("recent", "2026-01-01", str(date(2026, 2, 1)))
     for bad in (("fast",), ("recent",), ("recent", "2026-02-30"), ("recent", "2026-02-02", "2026-01-01")):

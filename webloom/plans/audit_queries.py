@@ -125,7 +125,7 @@ def frontier_push(spark: SparkSession, d: str) -> DataFrame:
 
 def frontier_walk(spark: SparkSession, d: str) -> DataFrame:
     seeds = raw(spark, d).where("kind = 'listing'").select("url")
-    return L.walk(table(spark, d, "links").select("src", "dst"), seeds, HOME, 3)
+    return L.walk(table(spark, d, "links").select("src", "dst"), seeds, HOME)
 
 
 def visited_split(spark: SparkSession, d: str) -> DataFrame:
