@@ -56,6 +56,17 @@ def test_extraction_is_idempotent_and_counts_once(spark):
     assert [(r["_id"], r["alts"], r["is_template"]) for r in images] == [("https://h.vn/i.jpg", ["Ảnh"], False)]
 
 
+def test_explained_blocks_are_those_of_the_extraction(spark, tmp_path):
+    from webloom.plans import record_queries as R
+
+    html = "<title>Tin {0}</title><body><div><ul><li>Menu chung của trang <a href=/m>một</a></li></ul><p>Nội dung riêng số {0} của trang {1}, đủ dài. <a href=/t{0}.pdf>Tệp</a></p></div></body>"
+    spark.createDataFrame([record(i, f"https://h.vn/{i}", html.format(i, chr(97 + i))) for i in range(25)], RAW).write.parquet(f"{tmp_path}/raw_pages.parquet")
+    told = {r["rec_id"]: r for r in R.explain_blocks(spark, str(tmp_path)).collect()}
+    made = {r["rec_id"]: r for r in R._extracted(spark, str(tmp_path)).collect()}
+    assert len(told) == 25 and all(0 < r["after_template"] < r["after_clean"] for r in told.values())
+    assert all((told[i]["content_edges"], told[i]["nav_edges"]) == (len(r["content_edges"]), len(r["nav_edges"])) for i, r in made.items())
+
+
 def test_index_records_hold_pages_and_files(spark, tmp_path):
     from webloom.plans import record_queries as R
 

@@ -88,17 +88,21 @@ def active_templates(templates: DataFrame, ratio: float = RATIO, least_pages: in
     return templates.where((F.col("n_pages") >= least_pages) & (F.col("n") > ratio * F.col("n_pages"))).select("host", "fp")
 
 
+def with_templates(rows: DataFrame, templates: DataFrame | None) -> DataFrame:
+    """rows with fps, the templates of their host."""
+    none = F.array().cast("array<string>")
+    if templates is None:
+        return rows.withColumn("fps", none)
+    own = templates.groupBy("host").agg(F.collect_set("fp").alias("fps"))
+    return rows.join(own, "host", "left").withColumn("fps", F.coalesce("fps", none))
+
+
 def extract_pages(pages: DataFrame, home: str, templates: DataFrame | None = None, selectors: dict[str, str] | None = None) -> DataFrame:
     """rec_id, url, norm, host and the extraction of every page that has a title or a text.
 
     templates (host, fp) come to each page by a join on its host; one host has at most as many as 1 / RATIO pages hold.
     """
-    rows = pages.select("rec_id", "url", "norm", "host", "page")
-    if templates is None:
-        rows = rows.withColumn("fps", F.array().cast("array<string>"))
-    else:
-        own = templates.groupBy("host").agg(F.collect_set("fp").alias("fps"))
-        rows = rows.join(own, "host", "left").withColumn("fps", F.coalesce("fps", F.array().cast("array<string>")))
+    rows = with_templates(pages.select("rec_id", "url", "norm", "host", "page"), templates)
     chosen = selectors or {}
     names = [f.strip().split(" ")[0] for f in EXTRACTION.replace(EDGE, "edges").split(",")]
 
@@ -116,18 +120,24 @@ def extract_pages(pages: DataFrame, home: str, templates: DataFrame | None = Non
     return rows.select("rec_id", "url", "norm", "host", "page", "fps").mapInPandas(safe(run), f"rec_id bigint, url string, norm string, host string, {EXTRACTION}")
 
 
-def explain_pages(pages: DataFrame, home: str) -> DataFrame:
-    """rec_id, characters after each layer, the steps of the descent and the numbers of edges: how a block was chosen."""
+def explain_pages(pages: DataFrame, home: str, templates: DataFrame | None = None) -> DataFrame:
+    """rec_id, characters after each layer, the steps of the descent and the numbers of edges: how a block was chosen.
+
+    templates (host, fp) come to each page as in extract_pages.
+    """
     step = "array<struct<parent: string, parent_score: double, threshold: double, stop: boolean, rest: int, candidates: array<struct<label: string, chars: int, link_chars: int, paragraphs: int, weight: double, score: double, winner: boolean>>>>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets: dict[str, frozenset[str]] = {}
         for b in batches:
             out = []
-            for rec, url, page in zip(b["rec_id"], b["norm"], b["page"]):
+            for rec, url, norm, host, page, fps in zip(b["rec_id"], b["url"], b["norm"], b["host"], b["page"], b["fps"]):
                 trace: dict = {}
-                found = dom.extract(page, url or "", frozenset(), home, trace=trace)
+                known = sets.setdefault(host, frozenset(fps))
+                found = dom.extract(page, norm or url, known, home, trace=trace)
                 if found:
                     out.append((rec, trace["parsed"], trace["after_clean"], trace["after_template"], trace["block"], trace["steps"], len(found["content_edges"]), len(found["nav_edges"])))
             yield pd.DataFrame(out, columns=["rec_id", "parsed", "after_clean", "after_template", "block", "steps", "content_edges", "nav_edges"])
 
-    return pages.select("rec_id", "norm", "page").mapInPandas(safe(run), f"rec_id bigint, parsed int, after_clean int, after_template int, block int, steps {step}, content_edges int, nav_edges int")
+    rows = with_templates(pages.select("rec_id", "url", "norm", "host", "page"), templates)
+    return rows.select("rec_id", "url", "norm", "host", "page", "fps").mapInPandas(safe(run), f"rec_id bigint, parsed int, after_clean int, after_template int, block int, steps {step}, content_edges int, nav_edges int")

@@ -73,7 +73,7 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def explain_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return X.explain_pages(_pages(spark, d), HOME)
+    return X.explain_pages(_pages(spark, d), HOME, _templates(spark, d))
 
 
 def page_edges(spark: SparkSession, d: str) -> DataFrame:
