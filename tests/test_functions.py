@@ -119,3 +119,11 @@ def test_simhash(spark):
     assert sig[3] == sig[4] == 0 and sig[1] != 0
     assert bin((sig[1] ^ sig[2]) & (2**64 - 1)).count("1") <= 12
     assert shingles(" .a b c") == [b"a b c"]
+
+
+def test_fingerprints_are_of_whole_texts(spark, tmp_path):
+    from webloom.plans import url_queries as Q
+
+    spark.createDataFrame([(1, "a b " * 100 + "end"), (2, "a b " * 100 + "other"), (3, "A  b " * 100 + "END")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["fingerprint"] for r in Q.text_fingerprints(spark, str(tmp_path)).collect()}
+    assert got[1] == got[3] != got[2]

@@ -81,6 +81,11 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def text_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprint of every whole text; text_measures has the one of its first 200 characters."""
+    return table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
+
+
 def text_dates(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("published_at")
     return table(spark, d, "corpus").select(
@@ -109,7 +114,7 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (url_norm, url_parts, url_kind, url_scope, url_types, url_resolved, url_encoded, robots_allowed, text_fold, text_measures, text_dates, suspect_encoding, base_score, simhash_signature, near_dup_pairs)
+    for f in (url_norm, url_parts, url_kind, url_scope, url_types, url_resolved, url_encoded, robots_allowed, text_fold, text_measures, text_fingerprints, text_dates, suspect_encoding, base_score, simhash_signature, near_dup_pairs)
 }
 
 # ---------------------------------------------------------------- SQL
@@ -203,6 +208,7 @@ SQL = {
     "text_fold": "select doc_id, sha1(translate(strip_accents(text), 'đĐ', 'dD')) as folded_sha1, translate(strip_accents(section), 'đĐ', 'dD') as section_folded from documents",
     "text_measures": f"select doc_id, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) as bigint) as words, length(text) as chars, substring(text, 1, 60) as head, right(text, 60) as tail,"
     f" sha1({CLEAN}) as clean_sha1, sha1(concat_ws('|', source, section)) as key, substring(sha1(regexp_replace(lower(trim(regexp_replace(substring(text, 1, 200), '{WS}+', ' ', 'g'))), '\\p{{Nd}}+', '0', 'g')), 1, 16) as fingerprint from documents",
+    "text_fingerprints": f"select doc_id, substring(sha1(regexp_replace(lower({CLEAN}), '\\p{{Nd}}+', '0', 'g')), 1, 16) as fingerprint from documents",
     "text_dates": f"select row_id, coalesce({SQL_DATE}, '') as date, cast(coalesce(try_cast(replace(nullif({SQL_DATE}, ''), '-', '') as bigint), 0) as bigint) as date_num, coalesce({SQL_VN}, '') as date_vn, {SQL_VALID} as valid,"
     " case when coalesce(regexp_matches(substring(published_at, 1, 10), '^\\d{4}-\\d{2}-\\d{2}$') and try_cast(substring(published_at, 1, 10) as date) is not null, false) then substring(published_at, 1, 10) else '' end as date_or_empty,"
     f" case when regexp_matches(published_at, '{VNT}') and {sql_valid(_g(VNT, 3), _g(VNT, 2), _g(VNT, 1))} <> '' then {sql_valid(_g(VNT, 3), _g(VNT, 2), _g(VNT, 1))}"
