@@ -34,3 +34,12 @@ def test_without_a_probe_the_result_is_the_same(spark, monkeypatch):
     a = sorted(map(tuple, L.find_leaks(d, i, "doc_id", "item_id").collect()))
     monkeypatch.setattr(L, "PROBE_BOUND", 0)
     assert a == sorted(map(tuple, L.find_leaks(d, i, "doc_id", "item_id").collect()))
+
+
+def test_names_are_learnt_from_any_number_of_items(spark):
+    told = "when the bus came late again {} asked the driver for a new ticket and then {} walked home in the rain"
+    few = spark.createDataFrame([(-1, told.format("Anna", "Bela")), (-2, "so we met Clara and Dora there")], "item_id bigint, text string")
+    many = spark.range(100_001).select(F.col("id").alias("item_id"), F.lit("filler words").alias("text"))
+    docs = spark.createDataFrame([(1, told.format("Clara", "Dora"))], "doc_id bigint, text string")
+    a, b = (sorted(map(tuple, L.find_leaks(docs, items, "doc_id", "item_id").collect())) for items in (few, few.unionByName(many)))
+    assert a == b and a[0][4] > 0

@@ -42,8 +42,8 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(unicodedata.normalize("NFC", text)) if text else []
 
 
-def names_of(texts: list[str | None]) -> frozenset[str]:
-    """Folded words that the test items write with a capital inside a sentence and never in lower case."""
+def written(texts: list[str | None]) -> tuple[set[str], set[str]]:
+    """Folded words that texts write with a capital inside a sentence, and in lower case."""
     inside, lower = set(), set()
     for t in texts:
         for m in WORD.finditer(t or ""):
@@ -51,9 +51,28 @@ def names_of(texts: list[str | None]) -> frozenset[str]:
                 lower.add(fold(m[0]))
             elif not m[0].isupper() and (t or "")[: m.start()].rstrip()[-1:] not in ("", ".", "!", "?", ":", "”", "“", "\n"):
                 inside.add(fold(m[0]))
+    return inside, lower
+
+
+def names_of(texts: list[str | None]) -> frozenset[str]:
+    """Folded words that the test items write with a capital inside a sentence and never in lower case."""
+    inside, lower = written(texts)
     return frozenset(inside - lower)
 
 
+def learn_names(items: DataFrame, text: str) -> frozenset[str]:
+    """names_of all items, by one aggregation of their words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            inside, lower = written(list(b["t"]))
+            yield pd.DataFrame([(w, w in lower) for w in inside | lower], columns=["word", "low"])
+
+    seen = items.select(F.col(text).alias("t")).where(F.length("t") > 0).mapInPandas(safe(run), "word string, low boolean")
+    found = seen.groupBy("word").agg(F.max("low").alias("low")).where(~F.col("low")).select("word")
+    return frozenset(row["word"] for row in found.toLocalIterator())
+
+
 def placeholder(folded: str, names: frozenset[str]) -> str:
     if any(c.isdigit() for c in folded):
         return NUMBER
@@ -129,13 +148,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, t
     Documents and items with null, empty or shorter texts take no part. Repeated rows of one key count as one text
     each; ties don't arise. Empty tables give an empty result.
     """
-    names = frozenset()
-    few = items.select(text).where(F.length(text) > 0).limit(100_001).count() <= 100_000
-    if few:  # names are learnt from test items, as long as they are a small collection
-        names = names_of([r[0] for r in items.select(text).where(F.length(text) > 0).collect()])
+    names = learn_names(items, text)
     own = template_windows(items, item_key, text, names, n, None).withColumnRenamed("slots", "item_slots")
     probe = None
-    if few and own.limit(PROBE_BOUND + 1).count() <= PROBE_BOUND:
+    if own.limit(PROBE_BOUND + 1).count() <= PROBE_BOUND:
         found = own.select("hash").distinct().toPandas()["hash"].to_numpy().astype(np.int64).view(np.uint64)
         probe = np.sort(found)
         if not len(probe):
