@@ -99,3 +99,16 @@ def test_broken_pages_never_fail(html):
 
 def test_selector():
     assert ex("<div class=a>một hai</div><div class=b>ba bốn</div>", selector=".b")["text"] == "ba bốn"
+
+
+def test_nesting_of_any_depth():
+    html = "<div>" * 5000 + "<p>Một đoạn văn dài, có dấu câu.</p>" + "</div>" * 5000
+    got = ex(html)
+    assert got["text"] == "Một đoạn văn dài, có dấu câu." and got["html"].startswith("<div>")
+
+
+def test_downloads_and_template_images():
+    r = ex("<div class=content><p>Một đoạn văn dài, có dấu câu.</p><a href='/x?download=10'>Tệp</a><img src='/a.jpg?from=/themes/'><img src='/themes/b.jpg'></div>")
+    kinds = {e["dst"]: e["dst_kind"] for e in r["content_edges"]}
+    assert kinds == {"https://uni.example/x?download=10": "document", "https://uni.example/a.jpg?from=/themes/": "image"}
+    assert [e["dst"] for e in r["nav_edges"]] == ["https://uni.example/themes/b.jpg"]

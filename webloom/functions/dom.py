@@ -38,6 +38,8 @@ SOURCE_LINE = re.compile(r"^(?:Nguồn\s*[:：]\s*(.{2,120})|Theo\s+(.{2,80}))$"
 NO_AUTHOR = frozenset(("admin", "administrator", "webmaster", "super user", "superuser"))
 DATE_VN = re.compile(r"(?<!\d)(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})(?!\d)")
 DATE_ISO = re.compile(r"(\d{4})-(\d{2})-(\d{2})")
+# Folders whose images belong to the template; lengths of stored titles, texts and previews.
+TEMPLATE_FOLDERS = ("/themes/", "/templates/", "/assets/")
 TITLE_CAP, TEXT_CAP, HTML_CAP = 500, 200_000, 40_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
@@ -489,6 +491,10 @@ def join(base: str, link: str) -> str:
     return python_norm(link.strip(), base) or "" if link and link.strip() else ""
 
 
+def path_in(url: str) -> str:
+    return re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "", url).partition("#")[0].partition("?")[0]
+
+
 def dest_kind(url: str, home: str) -> str:
     """external, document, image or page; the home domain and its subdomains are the family."""
     m = re.match(r"https?://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)(?:\?([^#]*))?", url)
@@ -517,7 +523,7 @@ def raw_edges(page: Page, base: str) -> list[tuple[int | None, str, str, str, bo
             caption = page.first(figure, "figcaption") if figure is not None and not text else None
             text = text or (clean(page.text(caption, " ", True)) if caption is not None else "")
             small = any((v := page.attr(i, k).strip().rstrip("px")).isdigit() and int(v) <= 16 for k in ("width", "height"))
-            found.append((i, dst, "embed", text, small or any(s in dst for s in ("/themes/", "/templates/", "/assets/"))))
+            found.append((i, dst, "embed", text, small or any(s in path_in(dst) for s in TEMPLATE_FOLDERS)))
     for i in page.inside(0):
         if page.tag[i] == "meta" and page.data[i].get("property") == "og:image" and (dst := join(base, page.attr(i, "content"))):
             found.append((None, dst, "embed", "", False))
@@ -543,21 +549,26 @@ def clean_html(page: Page, node: int, base: str) -> str:
         v = esc(v)
         return f"{k}='{v}'" if '"' in v and "'" not in v else f'{k}="{v.replace(chr(34), "&quot;")}"'
 
-    def write(i: int) -> None:
+    todo: list[int | str] = [node]  # nodes to write and end tags, the next one last: nesting may be of any depth
+    while todo:
+        i = todo.pop()
+        if isinstance(i, str):
+            out.append(i)
+            continue
         tag = page.tag[i]
         if tag == "#":
             s = page.data[i]
             out.append(esc(s) if s.strip(" \n\t\f\r") else "\n" if "\n" in s else " ")
-            return
+            continue
         if tag in DROPPED:
-            return
+            continue
         shown = tag in KEPT
         if shown:
             opened = f"<{tag}"
             if tag == "img":
                 src = join(base, page.attr(i, "src"))
                 if not src:
-                    return
+                    continue
                 opened += (f" {quoted('alt', page.attr(i, 'alt'))}" if "alt" in page.data[i] else "") + f' loading="lazy" {quoted("src", src)}'
             elif tag == "a":
                 href = join(base, page.attr(i, "href"))
@@ -565,12 +576,9 @@ def clean_html(page: Page, node: int, base: str) -> str:
                 opened += f' {quoted("href", href)} rel="noopener" target="_blank"'
             if shown:
                 out.append(opened + ("/>" if tag in ("br", "img") else ">"))
-        for c in page.children(i):
-            write(c)
         if shown and tag not in ("br", "img"):
-            out.append(f"</{tag}>")
-
-    write(node)
+            todo.append(f"</{tag}>")
+        todo += list(page.children(i))[::-1]
     return "".join(out)[:HTML_CAP]
 
 
@@ -587,7 +595,6 @@ def extract(source: str | None, url: str, known: frozenset[str] = frozenset(), h
     trace["parsed"] = char_count(page, page.body)
     edges, ld = raw_edges(page, url), json_ld(page)
     section, named = meta(page, "property", "article:section"), author_meta(page, ld)
-    prints = page_fingerprints(page)
     node, value, method = find_block(page, known, selector, trace)
     path = css_path(page, node)
     title, title_src = title_of(page, ld, node)
@@ -602,5 +609,5 @@ def extract(source: str | None, url: str, known: frozenset[str] = frozenset(), h
     return {
         "title": title[:TITLE_CAP], "title_src": title_src, "published_at": day, "published_at_src": day_src, "author": author, "author_src": author_src, "cited_source": cited,
         "section": section, "text": text[:TEXT_CAP], "html": clean_html(page, node, url), "word_count": len(text.split()), "block_path": path, "block_score": round(value, 2),
-        "block_method": method, "content_edges": content, "nav_edges": nav, "fingerprints": prints,
+        "block_method": method, "content_edges": content, "nav_edges": nav,
     }

@@ -32,6 +32,15 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, *_folding()), r"\p{Mn}", "")
 
 
+@lru_cache(maxsize=1)
+def folding_table() -> dict[int, int]:
+    return str.maketrans(*_folding())
+
+
+def without_marks(text: str) -> str:
+    return "".join(c for c in text if unicodedata.category(c) != "Mn")
+
+
 def fold_python(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn").replace("đ", "d").replace("Đ", "D")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from urllib.parse import quote, unquote, urljoin, urlsplit
 
@@ -145,7 +146,7 @@ def dest_kind(url: Column, home: str) -> Column:
     ext = extension(url)
     return (
         F.when(~in_family(hostname(url), home), "external")
-        .when(ext.isin(*DOCUMENT_EXT) | query_of(url).rlike(r"(^|&)download=1(&|$)"), "document")
+        .when(ext.isin(*DOCUMENT_EXT) | query_of(url).contains("download=1"), "document")
         .when(ext.isin(*IMAGE_EXT), "image")
         .otherwise("page")
     )
@@ -157,9 +158,9 @@ def file_type(given: Column, kind: Column, url: Column) -> Column:
     return F.when(F.coalesce(given, F.lit("")) != "", F.lower(given)).when(kind == "page", "html").when(ext != "", ext).otherwise("khac")
 
 
-def canonical_order(url: Column) -> Column:
-    """Sort key: the more canonical of two URLs has fewer slashes, then fewer characters, then comes first."""
-    return F.struct(F.size(F.split(url, "/")).alias("slashes"), F.length(url).alias("length"), url.alias("url"))
+def canonical_order(url: str | None) -> tuple[float, int]:
+    """Sort key: the more canonical of two URLs has fewer slashes, then fewer characters; no URL comes last."""
+    return (math.inf, 0) if url is None else (url.count("/"), len(url))
 
 
 def classify_content(content_type: Column, url: Column) -> Column:

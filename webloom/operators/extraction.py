@@ -1,11 +1,11 @@
-"""Pages to records: templates per host, extraction, edges. One parse per page, in Arrow batches."""
+"""Pages to records: templates per host, extraction, edges, in Arrow batches. Pages are decoded once."""
 
 from __future__ import annotations
 
 import base64
 import binascii
 import codecs
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,16 +15,18 @@ from webloom.functions import dom
 from webloom.functions.frames import safe
 from webloom.functions.hosts import url_host
 from webloom.functions.urls import normalized
-from webloom.plans.session import spread
+from webloom.plans.session import materialize, spread
 
 EDGE = "array<struct<dst: string, type: string, text: string, dst_kind: string, count: int>>"
 EXTRACTION = (
     "title string, title_src string, published_at string, published_at_src string, author string, author_src string, cited_source string, section string, text string, html string,"
-    f" word_count int, block_path string, block_score double, block_method string, content_edges {EDGE}, nav_edges {EDGE}, fingerprints array<string>"
+    f" word_count int, block_path string, block_score double, block_method string, content_edges {EDGE}, nav_edges {EDGE}"
 )
 #: A fingerprint is a template of its host when more than RATIO of at least LEAST_PAGES pages hold it; a table of templates
 #: keeps those that at least KEEP_PAGES pages and KEEP_RATIO of them hold.
 RATIO, LEAST_PAGES, KEEP_RATIO, KEEP_PAGES = 0.30, 20, 0.05, 3
+#: So many templates of all hosts are held by every worker; beyond it they are joined.
+HELD = 500_000
 
 
 def decode_html(html_b64: str | None, encoding: str | None, status: int | None) -> str | None:
@@ -63,17 +65,23 @@ def decoded(raw: DataFrame) -> DataFrame:
     return out.select("rec_id", "url", norm.alias("norm"), url_host(norm).alias("host"), "page")
 
 
-def page_fingerprints(pages: DataFrame) -> DataFrame:
-    """norm, host, fp: the distinct leaf blocks of every page, before anything is removed."""
+def fingerprinted(pages: DataFrame) -> DataFrame:
+    """Decoded pages with fps, the distinct leaf blocks of each before anything is removed. Write it once: templates read the narrow
+    columns, the extraction reads the pages."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [dom.page_fingerprints(dom.parse(p)) for p in b["page"]]
-            yield pd.DataFrame({"norm": b["norm"], "host": b["host"], "fps": found})
+            b["fps"] = [dom.page_fingerprints(dom.parse(p)) for p in b["page"]]
+            yield b
+
+    return pages.select("rec_id", "url", "norm", "host", "page").mapInPandas(safe(run), "rec_id bigint, url string, norm string, host string, page string, fps array<string>")
 
-    once = pages.groupBy("norm").agg(F.min("rec_id").alias("rec_id"))
-    rows = pages.join(once.select("rec_id"), "rec_id", "left_semi").select("norm", "host", "page")
-    return rows.mapInPandas(safe(run), "norm string, host string, fps array<string>").select("norm", "host", F.explode_outer("fps").alias("fp"))
+
+def page_fingerprints(pages: DataFrame) -> DataFrame:
+    """norm, host, fp: the distinct leaf blocks of every page; of records with one URL the first counts."""
+    rows = pages if "fps" in pages.columns else fingerprinted(pages)
+    once = rows.groupBy("norm").agg(F.min("rec_id").alias("rec_id"))
+    return rows.join(once.select("rec_id"), "rec_id", "left_semi").select("norm", "host", F.explode_outer("fps").alias("fp"))
 
 
 def template_table(prints: DataFrame, keep_ratio: float = KEEP_RATIO, keep_pages: int = KEEP_PAGES) -> DataFrame:
@@ -88,56 +96,57 @@ def active_templates(templates: DataFrame, ratio: float = RATIO, least_pages: in
     return templates.where((F.col("n_pages") >= least_pages) & (F.col("n") > ratio * F.col("n_pages"))).select("host", "fp")
 
 
-def with_templates(rows: DataFrame, templates: DataFrame | None) -> DataFrame:
-    """rows with fps, the templates of their host."""
-    none = F.array().cast("array<string>")
+def template_source(rows: DataFrame, templates: DataFrame | None) -> tuple[DataFrame, Callable[[pd.DataFrame], list[frozenset[str]]]]:
+    """(rows, known): known(batch) gives the templates of each row's host.
+
+    Workers hold all hosts' templates up to HELD of them; beyond that they come to each row by a join on its host, where one host
+    has at most as many as 1 / RATIO pages hold.
+    """
+    none: frozenset[str] = frozenset()
     if templates is None:
-        return rows.withColumn("fps", none)
+        return rows, lambda b: [none] * len(b)
+    templates = materialize(templates)
+    if templates.count() <= HELD:
+        sets: dict[str, set[str]] = {}
+        for r in templates.toLocalIterator():
+            sets.setdefault(r["host"], set()).add(r["fp"])
+        held = rows.sparkSession.sparkContext.broadcast({h: frozenset(v) for h, v in sets.items()})
+        return rows, lambda b: [held.value.get(h, none) for h in b["host"]]
     own = templates.groupBy("host").agg(F.collect_set("fp").alias("fps"))
-    return rows.join(own, "host", "left").withColumn("fps", F.coalesce("fps", none))
+    return rows.join(own, "host", "left"), lambda b: [none if f is None else frozenset(f) for f in b["fps"]]
 
 
 def extract_pages(pages: DataFrame, home: str, templates: DataFrame | None = None, selectors: dict[str, str] | None = None) -> DataFrame:
-    """rec_id, url, norm, host and the extraction of every page that has a title or a text.
-
-    templates (host, fp) come to each page by a join on its host; one host has at most as many as 1 / RATIO pages hold.
-    """
-    rows = with_templates(pages.select("rec_id", "url", "norm", "host", "page"), templates)
+    """rec_id, url, norm, host and the extraction of every page that has a title or a text."""
+    rows, known = template_source(pages.select("rec_id", "url", "norm", "host", "page"), templates)
     chosen = selectors or {}
     names = [f.strip().split(" ")[0] for f in EXTRACTION.replace(EDGE, "edges").split(",")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[str, frozenset[str]] = {}
         for b in batches:
             out = []
-            for rec, url, norm, host, page, fps in zip(b["rec_id"], b["url"], b["norm"], b["host"], b["page"], b["fps"]):
-                known = sets.setdefault(host, frozenset(fps))
-                found = dom.extract(page, norm or url, known, home, chosen.get(host))
+            for rec, url, norm, host, page, fps in zip(b["rec_id"], b["url"], b["norm"], b["host"], b["page"], known(b)):
+                found = dom.extract(page, norm or url, fps, home, chosen.get(host))
                 if found:
                     out.append((rec, url, norm, host, *(found[n] for n in names)))
             yield pd.DataFrame(out, columns=["rec_id", "url", "norm", "host", *names])
 
-    return rows.select("rec_id", "url", "norm", "host", "page", "fps").mapInPandas(safe(run), f"rec_id bigint, url string, norm string, host string, {EXTRACTION}")
+    return rows.mapInPandas(safe(run), f"rec_id bigint, url string, norm string, host string, {EXTRACTION}")
 
 
 def explain_pages(pages: DataFrame, home: str, templates: DataFrame | None = None) -> DataFrame:
-    """rec_id, characters after each layer, the steps of the descent and the numbers of edges: how a block was chosen.
-
-    templates (host, fp) come to each page as in extract_pages.
-    """
+    """rec_id, characters after each layer, the steps of the descent and the numbers of edges: how a block was chosen."""
     step = "array<struct<parent: string, parent_score: double, threshold: double, stop: boolean, rest: int, candidates: array<struct<label: string, chars: int, link_chars: int, paragraphs: int, weight: double, score: double, winner: boolean>>>>"
+    rows, known = template_source(pages.select("rec_id", "url", "norm", "host", "page"), templates)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets: dict[str, frozenset[str]] = {}
         for b in batches:
             out = []
-            for rec, url, norm, host, page, fps in zip(b["rec_id"], b["url"], b["norm"], b["host"], b["page"], b["fps"]):
+            for rec, url, norm, page, fps in zip(b["rec_id"], b["url"], b["norm"], b["page"], known(b)):
                 trace: dict = {}
-                known = sets.setdefault(host, frozenset(fps))
-                found = dom.extract(page, norm or url, known, home, trace=trace)
+                found = dom.extract(page, norm or url, fps, home, trace=trace)
                 if found:
                     out.append((rec, trace["parsed"], trace["after_clean"], trace["after_template"], trace["block"], trace["steps"], len(found["content_edges"]), len(found["nav_edges"])))
             yield pd.DataFrame(out, columns=["rec_id", "parsed", "after_clean", "after_template", "block", "steps", "content_edges", "nav_edges"])
 
-    rows = with_templates(pages.select("rec_id", "url", "norm", "host", "page"), templates)
-    return rows.select("rec_id", "url", "norm", "host", "page", "fps").mapInPandas(safe(run), f"rec_id bigint, parsed int, after_clean int, after_template int, block int, steps {step}, content_edges int, nav_edges int")
+    return rows.mapInPandas(safe(run), f"rec_id bigint, parsed int, after_clean int, after_template int, block int, steps {step}, content_edges int, nav_edges int")

@@ -1,24 +1,29 @@
 """Ranked full-text search.
 
-A query is parsed to a tree; the tree is compiled to two columns over a document's token arrays, whether it matches and
-what it scores. One aggregation gives the document frequencies of the tree's leaves, one scan gives the best documents.
+A query is parsed to a tree. Only the postings of the tree's own terms are read from the index and gathered per document; over
+these rows the tree is compiled to two columns, whether a document matches and what it scores. Document frequencies come
+from the dictionary.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import text as T
 from webloom.functions.frames import safe
+from webloom.functions.simhash import simhash
 from webloom.functions.text import fold_python
 from webloom.functions.urls import canonical_order
+from webloom.operators.index import Index, chosen, list_documents
+from webloom.plans.session import materialize
 
 # Boosts of the fields in the two rankings and of phrases.
 ACCENTED = {"title": 3.0, "section": 1.5, "text": 1.0}
@@ -35,13 +40,46 @@ class QuerySyntaxError(ValueError):
 
 @dataclass(frozen=True)
 class Term:
-    """A word, a prefix (word*) or a phrase, in one field or in those of the ranking."""
+    """A word, a phrase, or a pattern of words, in one field or in those of the ranking.
+
+    kind: word; prefix (word*); wild (with ? and * inside); fuzzy (within edits of the word); range (from words[0] to words[1], open
+    where a word is *, its ends belonging to it as bounds say).
+    """
 
     words: tuple[str, ...]
     field: str | None = None
     slop: int = 0
     boost: float = 1.0
-    prefix: bool = False
+    kind: str = "word"
+    edits: int = 0
+    bounds: str = "[]"
+
+    def singles(self) -> list[Term]:
+        """The terms that postings are read for: the words of a phrase, or the pattern itself."""
+        if self.kind != "word":
+            return [replace(self, field=None, boost=1.0)]
+        return [Term((w,)) for w in self.words]
+
+    def meets(self, term: Column) -> Column:
+        """Whether a term of the dictionary is meant."""
+        w = self.words[0]
+        if self.kind == "prefix":
+            return term.startswith(w)
+        if self.kind == "wild":
+            head = re.split("[?*]", w)[0]
+            pattern = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in w)
+            return term.startswith(head) & term.rlike(f"(?s)^{pattern}$")
+        if self.kind == "fuzzy":
+            return F.levenshtein(term, F.lit(w)) <= self.edits
+        if self.kind == "range":
+            low, high = self.words
+            ok = F.lit(True)
+            if low != "*":
+                ok = (term >= low) if self.bounds[0] == "[" else (term > low)
+            if high != "*":
+                ok = ok & ((term <= high) if self.bounds[1] == "]" else (term < high))
+            return ok
+        return term == w
 
 
 @dataclass(frozen=True)
@@ -52,11 +90,16 @@ class Clause:
     boost: float = 1.0
 
 
-LEXEME = re.compile(r'\s*(?:(AND|OR|NOT)\b|(&&|\|\|)|([+!()-])|((?:[A-Za-z_]\w*):)|"([^"]*)"(?:~(\d+))?|([^\s()":]+))')
+LEXEME = re.compile(r'\s*(?:(AND|OR|NOT)\b|(&&|\|\|)|([+!()-])|((?:[A-Za-z_]\w*):)|"([^"]*)"(?:~(\d+))?|([\[{]\s*\S+\s+TO\s+[^\s\]}]+\s*[\]}])|([^\s()":]+))')
+RANGE = re.compile(r"([\[{])\s*(\S+)\s+TO\s+([^\s\]}]+)\s*([\]}])")
+FUZZY = re.compile(r"^(.+?)~(\d(?:\.\d+)?)?$")
 
 
 def parse_query(text: str, default_and: bool = True) -> Clause:
-    """Tree of a query: AND, OR, NOT, +, -, phrases with slop, fields, groups, boosts and prefixes. Bad syntax raises."""
+    """Tree of a query: AND, OR, NOT, +, -, phrases with slop, fields, groups, boosts, prefixes, wildcards, fuzzy words and ranges.
+
+    Bad syntax raises, and so does a pattern that begins with a wildcard.
+    """
     items, at = [], 0
     text = text.rstrip()
     while at < len(text):
@@ -69,9 +112,9 @@ def parse_query(text: str, default_and: bool = True) -> Clause:
 
     def boost() -> float:
         nonlocal pos
-        if pos < len(items) and items[pos][7] and items[pos][7].startswith("^"):
+        if pos < len(items) and items[pos][8] and items[pos][8].startswith("^"):
             try:
-                value = float(items[pos][7][1:])
+                value = float(items[pos][8][1:])
             except ValueError:
                 raise QuerySyntaxError("a boost is a number") from None
             pos += 1
@@ -96,16 +139,30 @@ def parse_query(text: str, default_and: bool = True) -> Clause:
             words = tuple(w.lower() for w in re.findall(r"\w+", m[5]))
             return Term(words, named, int(m[6] or 0), boost()) if words else Clause()
         if m[7]:
-            raw, power = m[7], 1.0
+            low, first, last, high = RANGE.fullmatch(m[7]).groups()
+            return Term((first.strip('"').lower(), last.strip('"').lower()), named, 0, boost(), "range", bounds=low + high)
+        if m[8]:
+            raw, power = m[8], 1.0
             if "^" in raw:
                 raw, _, p = raw.partition("^")
                 try:
                     power = float(p)
                 except ValueError:
                     raise QuerySyntaxError("a boost is a number") from None
-            prefix = raw.endswith("*")
+            if raw[:1] in ("*", "?"):
+                raise QuerySyntaxError("a pattern can't begin with a wildcard")
+            if fuzzy := FUZZY.match(raw):
+                words, edits = re.findall(r"\w+", fuzzy[1]), 2 if fuzzy[2] is None else float(fuzzy[2])
+                if not words:
+                    return Clause()
+                # a share below one is a least similarity, as in the old syntax
+                edits = min(2, int(edits) if edits >= 1 else int((1 - edits) * len(words[0])))
+                return Term((words[0].lower(),), named, 0, power, "fuzzy", edits)
+            if "?" in raw or "*" in raw[:-1]:
+                kept = re.sub(r"[^\w?*]", "", raw).lower()
+                return Term((kept,), named, 0, power, "wild")
             words = tuple(w.lower() for w in re.findall(r"\w+", raw))
-            return Term(words, named, 0, power, prefix) if words else Clause()
+            return Term(words, named, 0, power, "prefix" if raw.endswith("*") else "word") if words else Clause()
         raise QuerySyntaxError(f"unexpected {m[0].strip()!r}")
 
     def group(named: str | None) -> Clause:
@@ -148,39 +205,28 @@ def parse_query(text: str, default_and: bool = True) -> Clause:
     return tree
 
 
-def count_of(words: Column, term: Term) -> Column:
-    """How often a term, prefix or phrase (within its slop) stands in a token array."""
-    if len(term.words) == 1:
-        w = term.words[0]
-        return F.size(F.filter(words, lambda x: x.startswith(w) if term.prefix else x == F.lit(w)))
-    first, *rest = term.words
-    places = F.filter(F.transform(words, lambda x, i: F.when(x == F.lit(first), i)), lambda p: p.isNotNull())
+def phrase_count(places: list[Column], slop: int) -> Column:
+    """How often a phrase stands in a document, by the positions of its words: the first word, and each other one where it belongs,
+    within the slop."""
+    first, *rest = places
+
+    def near(at: Column, low: Column) -> Column:
+        return F.exists(at, lambda q: (q >= low) & (q <= low + 2 * slop))
 
     def follows(p: Column) -> Column:
         ok = F.lit(True)
-        for k, w in enumerate(rest, 1):
-            if term.slop == 0:
-                ok = ok & (F.get(words, p + k) == F.lit(w))
+        for k, at in enumerate(rest, 1):
+            if slop == 0:
+                ok = ok & F.array_contains(at, p + k)
             else:
-                lo = F.greatest(p + k - term.slop, F.lit(0))
-                ok = ok & F.array_contains(F.slice(words, lo + 1, 2 * term.slop + 1), w)
-        return F.coalesce(ok, F.lit(False))
-
-    return F.size(F.filter(places, follows))
+                ok = ok & near(at, F.greatest(p + k - slop, F.lit(0)))
+        return ok
 
-
-def holds(words: Column, term: Term) -> Column:
-    """Whether a term stands in a token array; a phrase is looked for only where all its words are."""
-    if term.prefix:
-        return F.exists(words, lambda x: x.startswith(term.words[0]))
-    every = reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in dict.fromkeys(term.words)])
-    return every if len(term.words) == 1 else every & (count_of(words, term) > 0)
+    return F.size(F.filter(first, follows))
 
 
 def idf(n_docs: int, df: int) -> float:
-    from math import log
-
-    return 1.0 + log((n_docs + 1) / (df + 1))
+    return 1.0 + math.log((n_docs + 1) / (df + 1))
 
 
 @dataclass(frozen=True)
@@ -213,6 +259,11 @@ class SearchParams:
         return min(1000, max(5 * (self.from_ + self.size), 50))
 
 
+    @property
+    def filters(self) -> bool:
+        return bool(self.host or self.kind or self.ftype or self.date_from or self.date_to)
+
+
 def filtered(docs: DataFrame, p: SearchParams) -> DataFrame:
     """Filters never score; unknown dates (0) fall out of any date range."""
     if p.host:
@@ -229,8 +280,9 @@ def filtered(docs: DataFrame, p: SearchParams) -> DataFrame:
 
 
 def words_of(node) -> list[str]:
+    """Words of a query, and beginnings of words; patterns have none."""
     if isinstance(node, Term):
-        return list(node.words)
+        return list(node.words) if node.kind in ("word", "prefix") else []
     return [w for part in (node.must, node.should) for x in part for w in words_of(x)]
 
 
@@ -248,20 +300,26 @@ def _relaxed(node, share: float):
 
 
 class Scorer:
-    """Compiles trees over the token arrays of a document frame."""
+    """Compiles trees over a query's rows (gather): one row a document with the occurrences of each term read.
 
-    def __init__(self, fields: set[str], n_docs: int = 0, df: dict | None = None):
-        self.fields, self.n_docs, self.df, self.seen = fields, n_docs, df, []
+    Without a plan it only notes the leaves it meets, in seen.
+    """
+
+    def __init__(self, fields: set[str], plan: Plan | None = None, n_docs: int = 0, df: dict | None = None):
+        self.fields, self.plan, self.n_docs, self.df, self.seen = fields, plan, n_docs, df or {}, []
 
     def leaf(self, name: str, term: Term, boost: float) -> tuple[Column, Column]:
-        words = F.col(f"_{name}")
-        found = holds(words, term)
-        if self.df is None:
+        if self.plan is None:
             self.seen.append((name, term))
-            return found, F.lit(0.0)
-        weight = sum(idf(self.n_docs, self.df.get((name, Term((w,), prefix=term.prefix)), 0)) for w in term.words)
-        score = F.lit(boost * weight) * F.sqrt(count_of(words, term)) / F.sqrt(F.greatest(F.size(words), F.lit(1)))
-        return found, F.when(found, score).otherwise(0.0)
+            return F.lit(True), F.lit(0.0)
+        parts = [(name, t) for t in term.singles()]
+        if len(parts) == 1:
+            count = F.coalesce(F.col(f"t{self.plan.at[parts[0]]}"), F.lit(0))
+        else:
+            count = phrase_count([F.col(f"p{self.plan.at[p]}") for p in parts], term.slop)
+        weight = sum(idf(self.n_docs, self.df.get(p, 0)) for p in parts)
+        score = F.lit(boost * weight) * F.sqrt(count) / F.sqrt(F.greatest(F.col(f"n_{name}"), F.lit(1)))
+        return count > 0, F.when(count > 0, score).otherwise(0.0)
 
     def term(self, t: Term, boosts: dict[str, float]) -> tuple[Column, Column]:
         names = {t.field: 1.0} if t.field in self.fields else boosts
@@ -308,38 +366,81 @@ class Scorer:
         return match, reduce(lambda a, b: a + b, extra, score)
 
 
-def with_tokens(docs: DataFrame, names: set[str]) -> DataFrame:
-    """docs with the token arrays of the fields; those that the index already holds are taken as they are."""
-    missing = [n for n in sorted(names) if f"_{n}" not in docs.columns]
-    return docs.withColumns({f"_{n}": T.tokens(F.col(n)) for n in missing}) if missing else docs
+class Plan:
+    """Which postings a query reads: its single terms by number, and those whose positions a phrase needs."""
+
+    def __init__(self, seen: list[tuple[str, Term]]):
+        self.at: dict[tuple[str, Term], int] = {}
+        self.placed: set[int] = set()
+        for name, term in seen:
+            parts = [self.at.setdefault((name, t), len(self.at)) for t in term.singles()]
+            self.placed.update(parts if len(parts) > 1 else ())
 
 
-def hits(docs: DataFrame, p: SearchParams) -> DataFrame:
-    """Matching documents with their score: all terms first; only if nothing matches, at least half of them."""
+def gather(index: Index, plan: Plan) -> DataFrame:
+    """id, t<i> (occurrences of term i, null if none), p<i> (its positions, for phrases) and n_<field> of every document with any term of
+    the plan. Words are read from their buckets alone; patterns test the terms of all buckets.
+    """
+    own = [(i, name, t, (F.col("field") == name) & t.meets(F.col("term"))) for (name, t), i in plan.at.items()]
+    read = reduce(lambda a, b: a | b, [c & (F.col("b") == index.bucket(name, t.words[0])) if t.kind == "word" else c for _, name, t, c in own], F.lit(False))
+    columns = [F.sum(F.when(c, F.col("tf"))).alias(f"t{i}") for i, _, _, c in own]
+    columns += [F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(f"p{i}") for i, _, _, c in own if i in plan.placed]
+    columns += [F.max(F.when(F.col("field") == f, F.col("size"))).alias(f"n_{f}") for f in dict.fromkeys(name for _, name, _, _ in own)]
+    return index.postings.where(read).groupBy("id").agg(*columns)
+
+
+def frequencies(index: Index, plan: Plan, rows: DataFrame) -> dict[tuple[str, Term], int]:
+    """In how many documents each term of a plan stands: words by the dictionary, patterns by the query's rows."""
+    words = {(name, t.words[0]): (name, t) for name, t in plan.at if t.kind == "word"}
+    found = {}
+    if words:
+        wanted = reduce(lambda a, b: a | b, [(F.col("field") == f) & F.col("term").isin([w for g, w in words if g == f]) for f in sorted({f for f, _ in words})])
+        found = {words[r["field"], r["term"]]: r["doc_freq"] for r in index.terms.where(wanted).collect()}  # as many rows as the query has words
+    patterns = [(key, i) for key, i in plan.at.items() if key[1].kind != "word"]
+    if patterns:
+        row = rows.agg(*[F.count_if(F.col(f"t{i}") > 0).alias(f"d{i}") for _, i in patterns]).first()
+        found |= {key: row[f"d{i}"] for key, i in patterns}
+    return found
+
+
+def matching(index: Index, tree: Clause, boosts: dict[str, float]) -> DataFrame:
+    """id of the documents that a tree matches in the fields of boosts."""
+    dry = Scorer(set(boosts))
+    dry.clause(tree, boosts)
+    plan = Plan(dry.seen)
+    return gather(index, plan).where(Scorer(set(boosts), plan).clause(tree, boosts)[0]).select("id")
+
+
+def hits(index: Index, p: SearchParams) -> DataFrame:
+    """id, score of the matching documents: all terms first; only if nothing matches within the filters, at least half of them."""
     p.check()
     tree = parse_query(p.q)
     names = {"title_kd", "text_kd"} if p.ranking == "tfidf" else {"title", "section", "text", "title_kd", "text_kd"}
-    every = with_tokens(docs, names)
-    first = Scorer(names)
-    strict, _ = first.whole(tree, p.ranking, False)
-    # document frequencies of the query's words in the whole index, and whether anything matches within the filters
-    singles = sorted({(n, Term((w,), prefix=t.prefix)) for n, t in first.seen for w in t.words}, key=repr)
-    row = every.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(holds(F.col(f"_{n}"), t)).alias(f"d{i}") for i, (n, t) in enumerate(singles)]).first()
-    df = {s: row[f"d{i}"] for i, s in enumerate(singles)}
-    within = filtered(every, p)
-    relax = within.where(strict).limit(1).isEmpty()
-    match, score = Scorer(names, row["n"], df).whole(tree, p.ranking, relax)
-    return within.withColumn("score", score).where(match).drop(*[c for c in within.columns if c.startswith("_")])
-
-
-def ranked(docs: DataFrame, p: SearchParams) -> DataFrame:
+    dry = Scorer(names)
+    dry.whole(tree, p.ranking, False)
+    plan = Plan(dry.seen)
+    rows = gather(index, plan)
+    within = rows.join(filtered(index.docs, p).select("id"), "id", "left_semi") if p.filters else rows
+    scorer = Scorer(names, plan, index.docs.count(), frequencies(index, plan, rows))
+    relax = within.where(scorer.whole(tree, p.ranking, False)[0]).isEmpty()
+    match, score = scorer.whole(tree, p.ranking, relax)
+    return within.where(match).select("id", score.alias("score"))
+
+
+SHOWN = ("id", "url", "host", "kind", "ftype", "date", "date_num", "chars")
+
+
+def ranked(index: Index, p: SearchParams) -> DataFrame:
     """The window of best hits; with the enhanced ranking their score is multiplied by what the document is worth by itself."""
-    found = hits(docs, p)
+    found, docs = hits(index, p), index.docs.select(*SHOWN)
     if p.sort == "date":
-        return found.orderBy(F.col("date_num").desc(), "url", "id").limit(p.window)
-    top = found.orderBy(F.col("score").desc(), "url", "id").limit(p.window)
+        return found.join(docs, "id").orderBy(F.col("date_num").desc(), "url", "id").limit(p.window)
+    # only hits as good as the window's last one meet the documents, where URLs break ties
+    least = found.select("score").orderBy(F.col("score").desc()).limit(p.window).agg(F.min("score")).first()[0]
+    best = found.where(F.col("score") >= (math.inf if least is None else least))
+    top = best.join(docs, "id").orderBy(F.col("score").desc(), "url", "id").limit(p.window)
     if p.ranking == "enhanced":
-        top = top.withColumn("score", F.col("score") * T.base_score(F.col("url"), F.length("text"), F.col("date"), p.year))
+        top = top.withColumn("score", F.col("score") * T.base_score(F.col("url"), F.col("chars"), F.col("date"), p.year))
     return top.orderBy(F.col("score").desc(), "url", "id")
 
 
@@ -358,7 +459,7 @@ def merge_duplicates(window: DataFrame, rank: list[str], sig: str = "sig") -> Da
             s = int(getattr(r, sig) or 0)
             for k in kept:
                 if s and k[4] and bin((s ^ k[4]) & 0xFFFFFFFFFFFFFFFF).count("1") <= 3:
-                    better = (r.url.count("/"), len(r.url)) < (k[1].count("/"), len(k[1]))
+                    better = canonical_order(r.url) < canonical_order(k[1])
                     k[3].append(k[1] if better else r.url)
                     if better:
                         k[0], k[1] = r.id, r.url
@@ -410,17 +511,39 @@ def snippets(rows: DataFrame, q: str, width: int = 160) -> DataFrame:
     return rows.select("id", "title", "text").mapInPandas(safe(run), "id bigint, snippet string")
 
 
-def search(docs: DataFrame, p: SearchParams) -> DataFrame:
-    """A page of results: rank, id, url, score, duplicates, snippet. docs may carry sig, its SimHash; then near-duplicates are merged."""
-    window = ranked(docs, p)
-    if "sig" not in docs.columns:
-        window = window.withColumn("sig", F.lit(0).cast("bigint"))
-    order = ["_key", "url", "id"]
-    keyed = window.withColumn("_key", -(F.col("date_num").cast("double") if p.sort == "date" else F.col("score")))
-    page = merge_duplicates(keyed.select("id", "url", "score", "sig", "_key"), order).where((F.col("rank") >= p.from_) & (F.col("rank") < p.from_ + p.size))
-    shown = window.join(page.select("id"), "id", "left_semi")
-    return page.join(snippets(shown, p.q), "id", "left").select("rank", "id", "url", "score", "duplicates", "snippet")
-
-
-def more_canonical(a: Column, b: Column) -> Column:
-    return canonical_order(a) < canonical_order(b)
+@dataclass(frozen=True)
+class Result:
+    """total: hits, less the duplicates seen in the window (an upper bound beyond it). page: rank, id, url, score, duplicates."""
+
+    total: int
+    page: DataFrame
+
+
+def paged(index: Index, window: DataFrame, order: list[Column], total: int, from_: int, size: int) -> Result:
+    """A page of a window of at most 5000 rows (id, url, score), near-duplicates merged; a window's texts alone get signatures."""
+    window = materialize(window.select("id", "url", "score", F.row_number().over(Window.orderBy(*order)).alias("place")))
+    ids = [r["id"] for r in window.select("id").collect()]
+    sigs = index.docs.where(F.col("id").isin(ids)).select("id", simhash(F.col("title"), F.col("text")).alias("sig")) if ids else None
+    signed = window.join(sigs, "id", "left") if ids else window.withColumn("sig", F.lit(0).cast("bigint"))
+    merged = materialize(merge_duplicates(signed, ["place"]))
+    kept = merged.count()
+    return Result(max(total - (len(ids) - kept), kept), merged.where((F.col("rank") >= from_) & (F.col("rank") < from_ + size)))
+
+
+def search(index: Index, p: SearchParams) -> Result:
+    """A page of results with near-duplicates merged and snippets: rank, id, url, score, duplicates, snippet."""
+    window = ranked(index, p)
+    order = [F.col("date_num").desc(), F.col("url"), F.col("id")] if p.sort == "date" else [F.col("score").desc(), F.col("url"), F.col("id")]
+    # without filters all hits are counted; date and score order see the same ones
+    found = paged(index, window, order, hits(index, p).count(), p.from_, p.size)
+    ids = [r["id"] for r in found.page.select("id").collect()]  # 50 at most
+    shown = index.docs.where(F.col("id").isin(ids)) if ids else index.docs.limit(0)
+    return Result(found.total, found.page.join(snippets(shown, p.q), "id", "left").select("rank", "id", "url", "score", "duplicates", "snippet"))
+
+
+def list_page(index: Index, host: str | None = None, kind: str | None = None, by_url: bool = False, from_: int = 0, size: int = 100) -> Result:
+    """A page of all documents, newest first or by URL, near-duplicates merged; total counts them before merging."""
+    window = list_documents(index, host, kind, by_url, from_, size).withColumn("score", F.lit(0.0))
+    order = [F.col("url"), F.col("id")] if by_url else [F.col("date_num").desc(), F.col("url"), F.col("id")]
+    found = paged(index, window, order, 0, from_, size)
+    return Result(chosen(index, host, kind).count(), found.page)

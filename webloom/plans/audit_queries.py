@@ -111,8 +111,8 @@ def merged_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sorted_articles(spark: SparkSession, d: str) -> DataFrame:
-    """The export's order, as ranks: newest first."""
-    return _listed(spark, d).orderBy(F.col("lastmod").desc(), "url").limit(200)
+    """All articles and pages in the export's order: newest first."""
+    return _listed(spark, d).orderBy(F.col("lastmod").desc(), "url")
 
 
 def frontier_push(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +209,7 @@ SQL = {
     " select article_id, m[2] as url, m[1] as lastmod from m where m[1] >= '2020-01-01' and not exists (select 1 from s where s.article_id = m.article_id and s.lastmod = m.m[1]) order by m[1] desc, article_id limit 100",
     "filled_gaps": "with r as (select row_id, host, coalesce(section, '') as section from corpus), c as (select host, min(section) as s from r where section <> '' group by host) select row_id, r.host, coalesce(nullif(section, ''), c.s, '') as section from r left join c on c.host = r.host",
     "merged_state": f"with {LISTED} select article_id, max(lastmod) as lastmod from l where article_id is not null group by article_id",
-    "sorted_articles": f"with {LISTED} select url, lastmod from l order by lastmod desc, url limit 200",
+    "sorted_articles": f"with {LISTED} select url, lastmod from l order by lastmod desc, url",
     "frontier_push": f"with f as (select * from (select {sql_norm('dst')} as url, src as via, link_id as ord from links) where url is not null and {sql_scope('url', HOME, True)}), q as (select {sql_key('url')} as key from (select {sql_norm('url')} as url from raw_pages) where url is not null),"
     f" m as (select {sql_key('url')} as key, arg_min(url, ord) as url, arg_min(via, ord) as via from f group by 1) select key, url, 1 as depth, via, {sql_kind('url')} = 'article' as front from m where key not in (select key from q)",
     "visited_split": f"with {K} select distinct url, case when regexp_matches({sql_path('url')}, '{U.ASSET}') then 'asset' else 'page' end as what from k where {FAMILY}",

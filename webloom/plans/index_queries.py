@@ -6,35 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import text as T
-from webloom.functions.simhash import simhash
 from webloom.functions.urls import file_type
 from webloom.operators import index as I
 from webloom.operators import search as S
 from webloom.operators.pipeline import last_per_key
 from webloom.plans.url_queries import sql_ext
-from webloom.plans.session import materialize, spread, table
+from webloom.plans.session import forget, spread, stored, table
 
 QUERY = "học bổng"
 PHRASE = "chuẩn đầu ra ngoại ngữ"
 
 
-_STORES: dict[tuple[str, str, str], DataFrame] = {}
+def index_docs(spark: SparkSession, d: str) -> I.Index:
+    return stored(spark, d, "index of documents", ["documents"], lambda: I.build(_documents(spark, d)))
 
 
-def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
-    """An index, built at its first use in an application and read from the shared folder from then on."""
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _STORES:
-        _STORES[key] = materialize(I.analysed(build(spark, d)))
-    return _STORES[key]
-
-
-def index_docs(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d, "documents", _documents)
-
-
-def corpus_docs(spark: SparkSession, d: str) -> DataFrame:
-    return stored(spark, d, "corpus", _corpus)
+def index_corpus(spark: SparkSession, d: str) -> I.Index:
+    return stored(spark, d, "index of corpus", ["corpus"], lambda: I.build(_corpus(spark, d)))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
@@ -58,17 +46,17 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:
     """The index of documents, built anew for the searches that follow: its stored fields."""
-    _STORES.pop((spark.sparkContext.applicationId, d, "documents"), None)
-    docs = index_docs(spark, d)
-    return docs.select("id", "url", "host", "section", "kind", "ftype", "date", "date_num", F.size("_text_kd").cast("bigint").alias("n_tokens"))
+    forget(spark, d, "index of documents", ["documents"])
+    docs = index_docs(spark, d).docs
+    return docs.select("id", "url", "host", "section", "kind", "ftype", "date", "date_num", F.col("sizes")[I.ANALYSED.index("text_kd")].cast("bigint").alias("n_tokens"))
 
 
 def term_dictionary(spark: SparkSession, d: str) -> DataFrame:
-    return I.dictionary(I.term_counts(index_docs(spark, d), "text_kd"), "hoc", 200)
+    return I.dictionary(index_docs(spark, d), "text_kd", "hoc", 200)
 
 
 def term_counts(spark: SparkSession, d: str) -> DataFrame:
-    return I.term_counts(index_docs(spark, d), "text")
+    return I.dictionary(index_docs(spark, d), "text")
 
 
 def field_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +69,12 @@ def posting_list(spark: SparkSession, d: str) -> DataFrame:
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
     """All postings of the folded text, summed per term, with a sum over positions."""
-    p = I.postings(index_docs(spark, d), ["text_kd"])
+    p = index_docs(spark, d).postings.where("field = 'text_kd'")
     return p.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq"), F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("position_sum"))
 
 
-def _found(spark: SparkSession, d: str, p: S.SearchParams, docs: DataFrame | None = None) -> DataFrame:
-    return S.ranked(index_docs(spark, d) if docs is None else docs, p).select("id", "url", F.round("score", 6).alias("score"))
+def _found(spark: SparkSession, d: str, p: S.SearchParams, index: I.Index | None = None) -> DataFrame:
+    return S.ranked(index or index_docs(spark, d), p).select("id", "url", F.round("score", 6).alias("score"))
 
 
 def search_tfidf(spark: SparkSession, d: str) -> DataFrame:
@@ -107,21 +95,34 @@ def search_relaxed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_enhanced(spark: SparkSession, d: str) -> DataFrame:
-    return _found(spark, d, S.SearchParams(QUERY), corpus_docs(spark, d))
+    return _found(spark, d, S.SearchParams(QUERY), index_corpus(spark, d))
 
 
 def search_grammar(spark: SparkSession, d: str) -> DataFrame:
     """Phrase, field, exclusion and prefix."""
-    docs = index_docs(spark, d)
-    tree = S.parse_query(f'text:"{PHRASE}" -text:"lịch thi" text:nghiên*')
-    match, _ = S.Scorer({"text"}).clause(tree, {"text": 1.0})
-    return S.with_tokens(docs, {"text"}).where(match).select("id", "url")
+    index = index_docs(spark, d)
+    found = S.matching(index, S.parse_query(f'text:"{PHRASE}" -text:"lịch thi" text:nghiên*'), {"text": 1.0})
+    return index.docs.select("id", "url").join(found, "id", "left_semi")
+
+
+def search_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A fuzzy word, a wildcard inside a word and a range of words, by the dictionary's terms."""
+    index = index_docs(spark, d)
+    found = S.matching(index, S.parse_query("text_kd:truongg~1 text_kd:th?ng text_kd:[hoc TO hoi}"), {"text_kd": 1.0})
+    return index.docs.select("id", "url").join(found, "id", "left_semi")
 
 
 def search_page(spark: SparkSession, d: str) -> DataFrame:
-    """A page of results with merged near-duplicates and snippets."""
-    docs = corpus_docs(spark, d)
-    return S.search(docs.withColumn("sig", simhash(F.col("title"), F.col("text"))), S.SearchParams(QUERY, size=20))
+    """A page of results with merged near-duplicates and snippets, and the total of hits beside each row."""
+    found = S.search(index_corpus(spark, d), S.SearchParams(QUERY, size=20))
+    return found.page.withColumn("total", F.lit(found.total).cast("bigint"))
+
+
+def search_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents a query hits, and how many are listed under a filter: what pages are counted from."""
+    index = index_docs(spark, d)
+    rows = [("hits", S.hits(index, S.SearchParams(QUERY, "tfidf")).count()), ("listed", S.list_page(index, kind="document", size=1).total)]
+    return spark.createDataFrame(rows, "what string, total bigint")
 
 
 def list_all(spark: SparkSession, d: str) -> DataFrame:
@@ -133,28 +134,27 @@ def list_by_url(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_merged(spark: SparkSession, d: str) -> DataFrame:
-    """The newest documents, near-duplicates merged."""
-    window = I.list_documents(index_docs(spark, d)).withColumn("sig", simhash(F.col("title"), F.col("text"))).withColumn("score", F.lit(0.0))
-    return S.merge_duplicates(window.select("id", "url", "score", "sig", (-F.col("date_num")).alias("o")), ["o", "url", "id"])
+    """A page of the newest documents, near-duplicates merged."""
+    return S.list_page(index_docs(spark, d), size=100).page
 
 
 def documents_by_host(spark: SparkSession, d: str) -> DataFrame:
-    return index_docs(spark, d).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return index_docs(spark, d).docs.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
 def upsert_by_url(spark: SparkSession, d: str) -> DataFrame:
-    return corpus_docs(spark, d).select("id", "url", "title")
+    return index_corpus(spark, d).docs.select("id", "url", "title")
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """One document by its URL: the smallest one, so that any input has it."""
-    docs = corpus_docs(spark, d).select("id", "url", "title")
-    return docs.orderBy("url").limit(1)
+    """One document by its URL, the smallest one of the corpus."""
+    url = table(spark, d, "corpus").agg(F.min("url")).first()[0] or ""
+    return I.get_document(index_corpus(spark, d), url).select("id", "url", "title")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (index_build, term_dictionary, term_counts, field_stats, posting_list, postings, search_tfidf, search_filtered, search_by_date, search_relaxed, search_enhanced, search_grammar, search_page, list_all, list_by_url, list_merged, documents_by_host, upsert_by_url, point_lookup)
+    for f in (index_build, term_dictionary, term_counts, field_stats, posting_list, postings, search_tfidf, search_filtered, search_by_date, search_relaxed, search_enhanced, search_grammar, search_patterns, search_page, search_totals, list_all, list_by_url, list_merged, documents_by_host, upsert_by_url, point_lookup)
 }
 
 # ---------------------------------------------------------------- SQL

@@ -11,7 +11,8 @@ from webloom.operators import extraction as X
 from webloom.operators import graph as G
 from webloom.operators import pipeline as P
 from webloom.operators import validation as V
-from webloom.plans.session import materialize, table
+from webloom.plans.session import materialize, stored, table
+from webloom.sources import rawstore as R
 from webloom.plans.url_queries import HOME, sql_dest, sql_ext, sql_host, sql_norm
 
 
@@ -20,7 +21,8 @@ def raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    return X.decoded(X.first_per_url(raw(spark, d)))
+    """Decoded pages with their leaf fingerprints, written once for a version of raw_pages."""
+    return stored(spark, d, "pages", ["raw_pages"], lambda: materialize(X.fingerprinted(X.decoded(X.first_per_url(raw(spark, d))))))
 
 
 def _templates(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +30,8 @@ def _templates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _extracted(spark: SparkSession, d: str) -> DataFrame:
-    return X.extract_pages(_pages(spark, d), HOME, _templates(spark, d))
+    """The extraction of all pages: run once for a version of raw_pages; records, links, navigation and images are read from it."""
+    return stored(spark, d, "extraction", ["raw_pages"], lambda: materialize(X.extract_pages(_pages(spark, d), HOME, _templates(spark, d))))
 
 
 def first_records(spark: SparkSession, d: str) -> DataFrame:
@@ -36,9 +39,9 @@ def first_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def find_record(spark: SparkSession, d: str) -> DataFrame:
-    """The first record of the articles of one host's news."""
-    rows = raw(spark, d).where(U.normalized(F.col("url")).startswith("https://tin.bachlam.example/tin-tuc/"))
-    return rows.select("rec_id", "url", "store", "shard", "line_no").orderBy("store", "shard", "line_no", "rec_id").limit(1)
+    """The first record of a URL, the smallest one that page_labels names."""
+    url = table(spark, d, "page_labels").agg(F.min("url")).first()[0] or ""
+    return R.find_record(raw(spark, d).select("rec_id", "url", "store", "shard", "line_no"), [url])
 
 
 def decoded_html(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +84,7 @@ def page_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nav_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return P.nav_links(materialize(P.exploded_edges(_extracted(spark, d), "nav_edges")))
+    return P.nav_links(P.exploded_edges(_extracted(spark, d), "nav_edges"))
 
 
 def nav_of_links(spark: SparkSession, d: str) -> DataFrame:
@@ -92,7 +95,7 @@ def nav_of_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def image_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    found = materialize(_extracted(spark, d).select("norm", "host", "content_edges", "nav_edges"))
+    found = _extracted(spark, d)
     return P.images(P.exploded_edges(found, "content_edges"), P.exploded_edges(found, "nav_edges"))
 
 
@@ -112,7 +115,7 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _page_records(spark: SparkSession, d: str) -> DataFrame:
-    extracted = materialize(_extracted(spark, d))
+    extracted = _extracted(spark, d)
     order = raw(spark, d).select("rec_id", "store", "shard", "line_no")
     entities = P.resolve_entities(extracted.select("rec_id", "norm").join(order, "rec_id"), ["store", "shard", "line_no", "rec_id"])
     return P.page_records(extracted, entities, raw(spark, d))
@@ -123,7 +126,7 @@ def page_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_counters(spark: SparkSession, d: str) -> DataFrame:
-    extracted = materialize(_extracted(spark, d).select("rec_id", "norm", "host", "content_edges", "nav_edges"))
+    extracted = _extracted(spark, d)
     order = raw(spark, d).select("rec_id", "store", "shard", "line_no")
     entities = P.resolve_entities(extracted.select("rec_id", "norm").join(order, "rec_id"), ["store", "shard", "line_no", "rec_id"])
     content, nav = P.exploded_edges(extracted, "content_edges"), P.exploded_edges(extracted, "nav_edges")
@@ -305,7 +308,7 @@ TEMPLATES = f"with f as ({LINES}), p as (select host, count(distinct row_id) as
 BYTES = "decode(from_base64(html_b64))"
 SQL = {
     "first_records": "select rec_id, url from raw_pages qualify row_number() over (partition by url order by store, shard, line_no, rec_id) = 1",
-    "find_record": f"select rec_id, url, store, shard, line_no from raw_pages where starts_with({sql_norm('url')}, 'https://tin.bachlam.example/tin-tuc/') order by store, shard, line_no, rec_id limit 1",
+    "find_record": f"select rec_id, url, store, shard, line_no from raw_pages where {sql_norm('url')} = (select {sql_norm('min(url)')} from page_labels) order by store, shard, line_no, rec_id limit 1",
     "line_templates": TEMPLATES,
     "active_line_templates": f"select host, fp from ({TEMPLATES}) where n_pages >= 20 and n > 0.30 * n_pages",
     "nav_of_links": "with e as (select distinct src_host as host, src, dst, edge_type as type, text, coalesce(dst_kind, '') as dst_kind from (select * from links qualify row_number() over (partition by src, dst, edge_type, text order by link_id) = 1))"

@@ -77,12 +77,12 @@ def text_measures(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select(
         "doc_id", T.word_count(t).cast("bigint").alias("words"), F.length(t).cast("bigint").alias("chars"), T.head(t, 60).alias("head"), T.tail(t, 60).alias("tail"),
-        F.sha1(T.clean_space(t)).alias("clean_sha1"), T.sha1_key(F.col("source"), F.col("section")).alias("key"), T.fingerprint(T.head(t, 200)).alias("fingerprint"),
+        F.sha1(T.clean_space(t)).alias("clean_sha1"), T.sha1_key(F.col("source"), F.col("section")).alias("key"),
     )
 
 
 def text_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprint of every whole text; text_measures has the one of its first 200 characters."""
+    """Fingerprint of every whole text."""
     return table(spark, d, "documents").select("doc_id", T.fingerprint(F.col("text")).alias("fingerprint"))
 
 
@@ -167,7 +167,7 @@ def sql_scope(u: str, home: str, suffix: bool) -> str:
 
 def sql_dest(u: str) -> str:
     return (
-        f"case when {u} is null then 'page' when not ({sql_host(u)} = '{HOME}' or ends_with({sql_host(u)}, '.{HOME}')) then 'external' when {sql_ext(u)} in {U.DOCUMENT_EXT} or regexp_matches({sql_query(u)}, '(^|&)download=1(&|$)') then 'document'"
+        f"case when {u} is null then 'page' when not ({sql_host(u)} = '{HOME}' or ends_with({sql_host(u)}, '.{HOME}')) then 'external' when {sql_ext(u)} in {U.DOCUMENT_EXT} or contains({sql_query(u)}, 'download=1') then 'document'"
         f" when {sql_ext(u)} in {U.IMAGE_EXT} then 'image' else 'page' end"
     )
 
@@ -207,7 +207,7 @@ SQL = {
     f" when starts_with(lower(coalesce(mime, '')), 'image/') or {sql_ext('url')} in {U.IMAGE_EXT} then 'image' else 'other' end as content_class from files_ok",
     "text_fold": "select doc_id, sha1(translate(strip_accents(text), 'đĐ', 'dD')) as folded_sha1, translate(strip_accents(section), 'đĐ', 'dD') as section_folded from documents",
     "text_measures": f"select doc_id, cast(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{WS}+'), lambda w: w <> '')) as bigint) as words, length(text) as chars, substring(text, 1, 60) as head, right(text, 60) as tail,"
-    f" sha1({CLEAN}) as clean_sha1, sha1(concat_ws('|', source, section)) as key, substring(sha1(regexp_replace(lower(trim(regexp_replace(substring(text, 1, 200), '{WS}+', ' ', 'g'))), '\\p{{Nd}}+', '0', 'g')), 1, 16) as fingerprint from documents",
+    f" sha1({CLEAN}) as clean_sha1, sha1(concat_ws('|', source, section)) as key from documents",
     "text_fingerprints": f"select doc_id, substring(sha1(regexp_replace(lower({CLEAN}), '\\p{{Nd}}+', '0', 'g')), 1, 16) as fingerprint from documents",
     "text_dates": f"select row_id, coalesce({SQL_DATE}, '') as date, cast(coalesce(try_cast(replace(nullif({SQL_DATE}, ''), '-', '') as bigint), 0) as bigint) as date_num, coalesce({SQL_VN}, '') as date_vn, {SQL_VALID} as valid,"
     " case when coalesce(regexp_matches(substring(published_at, 1, 10), '^\\d{4}-\\d{2}-\\d{2}$') and try_cast(substring(published_at, 1, 10) as date) is not null, false) then substring(published_at, 1, 10) else '' end as date_or_empty,"

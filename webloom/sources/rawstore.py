@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.frames import safe
-from webloom.functions.urls import normalized
+from webloom.functions.urls import normalized, python_norm
 
 RECORD = (
     "url string, final_url string, status int, content_type string, kind string, article_id string, depth int, via string, fetched_at string, size bigint, sha1 string,"
@@ -34,16 +35,32 @@ def inflate(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def whole(line: str) -> bool:
+    """Whether a line is one JSON object."""
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
 def shard_lines(spark: SparkSession, root: str) -> DataFrame:
-    """store, shard, line_no, line of all pages-*.jsonl[.gz] below root; one shard is one task's work, as it can't be split."""
+    """store, shard, line_no, line of all pages-*.jsonl[.gz] below root, up to the first broken line of each shard.
+
+    One shard is one task's work, as gzip can't be split. Writers keep shards small (200 records a shard); binaryFile reads up to 2 GB.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "pages-*.jsonl*").load(root).select("path", "content")
+    return lines_of(files)
+
+
+def lines_of(files: DataFrame) -> DataFrame:
+    """shard_lines of files given as path and content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"]):
                 text = (inflate(content) if path.endswith(".gz") else bytes(content)).decode("utf-8", "replace")
                 parts = path.split("/")
-                lines = [x for x in text.split("\n") if x.strip()]
+                lines = list(takewhile(whole, filter(str.strip, text.split("\n"))))
                 yield pd.DataFrame({"store": parts[-2], "shard": parts[-1], "line_no": range(len(lines)), "line": lines})
 
     return files.mapInPandas(safe(run), "store string, shard string, line_no int, line string")
@@ -51,20 +68,29 @@ def shard_lines(spark: SparkSession, root: str) -> DataFrame:
 
 def read_records(spark: SparkSession, root: str) -> DataFrame:
     """Records of all shards. A broken line ends its shard: it and what follows in that shard are left out."""
-    lines = shard_lines(spark, root).withColumn("ok", F.col("line").startswith("{") & F.try_parse_json("line").isNotNull())
-    broken = lines.where(~F.col("ok")).groupBy("store", "shard").agg(F.min("line_no").alias("end"))
-    kept = lines.join(broken, ["store", "shard"], "left").where(F.col("end").isNull() | (F.col("line_no") < F.col("end")))
-    return kept.select("store", "shard", "line_no", F.from_json("line", RECORD).alias("r")).select("store", "shard", "line_no", "r.*")
+    return parsed(shard_lines(spark, root))
+
 
+def parsed(lines: DataFrame) -> DataFrame:
+    return lines.select("store", "shard", "line_no", F.from_json("line", RECORD).alias("r")).select("store", "shard", "line_no", "r.*")
 
-def prefiltered(lines: DataFrame, path: str) -> DataFrame:
-    """Lines that can hold a URL with the path, as it is or escaped: a cheap test before any JSON is parsed."""
-    return lines.where(F.col("line").contains(path) | F.col("line").contains(json.dumps(path)[1:-1]))
+
+def prefiltered(rows: DataFrame, paths: list[str], column: str = "line") -> DataFrame:
+    """Rows that can hold a URL with one of the paths, as it is or escaped: a cheap test before JSON is parsed or a URL normalised."""
+    found = F.lit(False)
+    for p in paths:
+        found = found | F.col(column).contains(p) | F.col(column).contains(json.dumps(p)[1:-1])
+    return rows.where(found)
 
 
 def find_record(records: DataFrame, urls: list[str]) -> DataFrame:
-    """The first record, in the order of stores, shards and lines, whose canonical URL is one of the given ones."""
-    return records.where(normalized(F.col("url")).isin(urls)).orderBy("store", "shard", "line_no").limit(1)
+    """The first record, in the order of stores, shards and lines, that has one of the given URLs, in any spelling of it.
+
+    The last segments of their paths stand in every spelling; the test for them reaches the scan.
+    """
+    wanted = sorted({n for u in urls if (n := python_norm(u, ""))})
+    last = sorted({u.partition("?")[0].rsplit("/", 1)[1] if u.count("/") > 2 else "" for u in wanted})
+    return prefiltered(records, last, "url").where(normalized(F.col("url")).isin(wanted)).orderBy(*[c for c in ("store", "shard", "line_no", "rec_id") if c in records.columns]).limit(1)
 
 
 def write_shards(records: DataFrame, path: str, size: int = 200, mode: str = "append") -> None:

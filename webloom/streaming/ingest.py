@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 
 from webloom.functions.urls import normalized
 from webloom.operators.frontier import CAP, FASTER, RUN, SLOWER
-from webloom.sources.rawstore import RECORD
+from webloom.sources.rawstore import lines_of, parsed
 
 
 def record_stream(spark: SparkSession, root: str, files_per_batch: int = 64) -> DataFrame:
-    """Records of shards (JSON lines, gzipped or not) as they appear below root."""
-    return spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(root)
+    """Records of shards (pages-*.jsonl, gzipped or not) as they appear below root; a broken line ends its shard, as in read_records."""
+    files = (
+        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_batch)
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", "pages-*.jsonl*").load(root).select("path", "content")
+    )
+    return parsed(lines_of(files)).drop("store", "shard", "line_no")
 
 
 def first_seen(records: DataFrame, delay: str = "7 days") -> DataFrame:
