@@ -52,3 +52,21 @@ def test_table(spark):
     out = L.normalize_columns(df, "row_id", ["title", "content"]).collect()
     assert len(out) == 8 and sum(r["changed"] for r in out) == 1  # a lone letter stays in a text without Latin ones; repeated rows are kept
     assert L.find_lookalikes(df.limit(0), "row_id", ["title", "content"]).count() == 0
+
+
+def test_scripts_beyond_greek_and_cyrillic():
+    from webloom.llm import lookalike as L
+
+    assert [L.normalize(t) for t in ("օranցe", "Ꭺpple", "ꓐank", "Հայաստան", "ꓡꓲꓢꓴ: ꓐꓯꓽ", "Հայաuտան")] == ["orange", "Apple", "Bank", "Հայաստան", "ꓡꓲꓢꓴ: ꓐꓯꓽ", "Հայաստան"]
+
+
+def test_forms_are_stable():
+    import random
+
+    from webloom.llm import lookalike as L
+
+    rng = random.Random(3)
+    letters = "aopcxАрасхоαονօցᎪꓐⲟ жщ"
+    for _ in range(3000):
+        once = L.normalize("".join(rng.choice(letters) for _ in range(rng.randint(1, 25))))
+        assert L.normalize(once) == once

@@ -23,8 +23,12 @@ from webloom.plans.session import spread
 # Letters of other scripts and the Latin letters they look like.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏѵкёїАВЕКМНОРСТУХІЈЅҺԚԜЁЇ", "aeopcyxijshdqwlvkëïABEKMHOPCTYXIJSHQWËÏ"))
 GREEK = dict(zip("οανιρυκγχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oavipukyxABEZHIKMNOPTYX"))
-TO_LATIN = {**CYRILLIC, **GREEK}
-FROM_LATIN = {"Cyrillic": {v: k for k, v in CYRILLIC.items()}, "Greek": {v: k for k, v in GREEK.items()}}
+ARMENIAN = dict(zip("ցհյոօսզաքՕՍՏԼ", "ghjnouqwfOUSL"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᎽᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTiAJEWMHYGZbRWSVSLCPKdB"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+COPTIC = dict(zip("ⲟⲞⲣⲢⲥⲤⲎⲒⲔⲘⲚⲦⲨⲬ", "oOpPcCHIKMNTYX"))
+TO_LATIN = {**CYRILLIC, **GREEK, **ARMENIAN, **CHEROKEE, **LISU, **COPTIC}
+FROM_LATIN = {name: {v: k for k, v in table.items()} for name, table in (("Cyrillic", CYRILLIC), ("Greek", GREEK), ("Armenian", ARMENIAN), ("Cherokee", CHEROKEE), ("Coptic", COPTIC), ("Lisu", LISU))}
 # Latin letters that stand for the Vietnamese letter D with stroke, and Latin look-alikes of usual letters.
 STROKED_D = {"Ð": "Đ", "Ɖ": "Đ", "ð": "đ", "ɖ": "đ"}
 LATIN_FORMS = {"ɑ": "a", "ɡ": "g", "ı": "i", "ſ": "s"}
@@ -36,7 +40,8 @@ NEVER_USED = re.compile("[\u00ad\u034f\u115f\u1160\u17b4\u17b5\u180e\u200b\u2060
 COMPAT = re.compile("[！-～￠-￮ﬀ-ﬆ\U0001d400-\U0001d7ffⒶ-ⓩ℀℁ℊ-ℕℙ-ℝℤℨ-ℸKÅⅠ-ⅿĲĳǇ-ǌǱ-ǳ]")
 MARKS = re.compile("[^\\W\\d_][̀-ͯ]+")
 TOKEN = re.compile("(?:[^\\W_]|[̀-ͯ])+")
-FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ]")
+#: Letters of scripts with look-alikes of Latin ones: Greek, Cyrillic, Armenian, Cherokee, Coptic, Lisu.
+FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ԰-֏Ꭰ-\u13ffⲀ-⳿ꓐ-꓿]")
 VIETNAMESE = re.compile("[Ạ-ỹăđơưĂĐƠƯ]")
 #: Marks of quality (they change the letter) come before marks of tone.
 QUALITY = "̛̂̆"
@@ -141,9 +146,9 @@ def normalize(text: str | None) -> str | None:
         text = INVISIBLE.sub(lambda m: m[0] if _joins(m.string, m.start()) else "", text)
     text = SPACES.sub(" ", text)
     text = COMPAT.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
-    for _ in range(4):  # a token that changed may be the context of another
+    while FOREIGN.search(text):  # a token that changed may be the context of another; each round leaves fewer foreign tokens or none changes
         before = text
-        text = _by_script(text) if FOREIGN.search(text) else text
+        text = _by_script(text)
         if text == before:
             break
     text = unicodedata.normalize("NFC", MARKS.sub(_compose, unicodedata.normalize("NFC", text)))
