@@ -43,3 +43,11 @@ def test_names_are_learnt_from_any_number_of_items(spark):
     docs = spark.createDataFrame([(1, told.format("Clara", "Dora"))], "doc_id bigint, text string")
     a, b = (sorted(map(tuple, L.find_leaks(docs, items, "doc_id", "item_id").collect())) for items in (few, few.unionByName(many)))
     assert a == b and a[0][4] > 0
+
+
+def test_windows_of_placeholders_agree_word_by_word_only(spark):
+    numbers = lambda k: " ".join(str(k + i) for i in range(30))
+    docs = spark.createDataFrame([(1, numbers(100)), (2, numbers(500)), (3, "x " + numbers(103))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, numbers(100))], "item_id bigint, text string")
+    out = {r["doc_id"]: (r["windows"], r["exact"], r["renamed"]) for r in L.find_leaks(docs, items, "doc_id", "item_id").collect()}
+    assert out == {1: (16, 16, 0), 3: (13, 13, 0)}

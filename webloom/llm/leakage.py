@@ -3,7 +3,8 @@
 Every text is canonicalised to a template: words in lower case without accents, where numbers, names and units are
 replaced by typed placeholders. Windows of consecutive template words are hashed and joined; at each joint window the
 words behind the placeholders are compared: equal everywhere means the passage itself, a one-to-one renaming means the
-same question with other parameters.
+same question with other parameters. Windows of hardly anything but placeholders agree everywhere and tell nothing: they
+count only word by word.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from webloom.functions.frames import safe
-from webloom.plans.session import spread
+from webloom.plans.session import materialize, spread
 
 WINDOW = 15
 #: Up to so many window hashes of the test items travel to the workers, which then send on only windows they hold.
@@ -30,6 +31,8 @@ UNITS = frozenset(
     "s ms min h hour hours minute minutes second seconds day days week weeks month months year years m cm mm km kg g mg l ml pa kpa mpa bar v kv a ma w kw mw j kj hz khz mhz"
     " percent degree degrees digits samples heures jours semaines mois annees gio phut giay ngay tuan thang nam mau".split()
 )
+#: Words of its own that a window needs for its template to be compared; with fewer the words themselves are.
+LEAST_WORDS = 3
 NUMBER, UNIT, NAME = "\x01n", "\x01u", "\x01a"
 
 
@@ -82,18 +85,18 @@ def placeholder(folded: str, names: frozenset[str]) -> str:
 
 
 class Codes(dict):
-    """word -> (template code, folded word if a placeholder hides it)."""
+    """word -> (template code, folded word if a placeholder hides it, code of the folded word)."""
 
     def __init__(self, names: frozenset[str]):
         super().__init__()
         self.names = names
 
-    def __missing__(self, word: str) -> tuple[int, str | None]:
+    def __missing__(self, word: str) -> tuple[int, str | None, int]:
         if len(self) > 500_000:
             self.clear()
         folded = fold(word)
         shown = placeholder(folded, self.names)
-        made = self[word] = (xxh3_64_intdigest(shown.encode()), None if shown == folded else folded)
+        made = self[word] = (xxh3_64_intdigest(shown.encode()), None if shown == folded else folded, xxh3_64_intdigest(folded.encode()))
         return made
 
 
@@ -124,7 +127,11 @@ def template_windows(df: DataFrame, key: str, text: str, names: frozenset[str],
                 found = [codes[w] for w in words(t)]
                 if len(found) < n:
                     continue
-                win = window_hashes(np.fromiter((c for c, _ in found), np.uint64, len(found)), n)
+                win = window_hashes(np.fromiter((c for c, _, _ in found), np.uint64, len(found)), n)
+                hidden = np.cumsum(np.fromiter((s is not None for _, s, _ in found), np.int64, len(found)))
+                bare = n - (hidden[n - 1 :] - np.concatenate([[0], hidden[:-n]])) < LEAST_WORDS
+                if bare.any():
+                    win = np.where(bare, ~window_hashes(np.fromiter((w for _, _, w in found), np.uint64, len(found)), n), win)
                 if probe is None:
                     at = np.arange(len(win))
                 else:
@@ -134,7 +141,7 @@ def template_windows(df: DataFrame, key: str, text: str, names: frozenset[str],
                 for i in at:
                     keys.append(k)
                     hashes.append(int(win[i].astype(np.int64)))
-                    slots.append([s for _, s in found[i : i + n] if s is not None])
+                    slots.append([s for _, s, _ in found[i : i + n] if s is not None])
             yield pd.DataFrame({key: keys, "hash": pd.array(hashes, dtype="int64"), "slots": slots})
 
     source = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
@@ -143,15 +150,16 @@ def template_windows(df: DataFrame, key: str, text: str, names: frozenset[str],
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str = "text", n: int = WINDOW) -> DataFrame:
     """doc_key, item_key, windows, exact, renamed: how many windows of a document and an item agree, and how many of them word by word
-    or after a one-to-one renaming of numbers, names and units.
+    or after a one-to-one renaming of numbers, names and units. Windows of fewer than LEAST_WORDS words beside placeholders agree only
+    word by word.
 
     Documents and items with null, empty or shorter texts take no part. Repeated rows of one key count as one text
     each; ties don't arise. Empty tables give an empty result.
     """
     names = learn_names(items, text)
-    own = template_windows(items, item_key, text, names, n, None).withColumnRenamed("slots", "item_slots")
+    own = materialize(template_windows(items, item_key, text, names, n, None).withColumnRenamed("slots", "item_slots"))
     probe = None
-    if own.limit(PROBE_BOUND + 1).count() <= PROBE_BOUND:
+    if own.count() <= PROBE_BOUND:
         found = own.select("hash").distinct().toPandas()["hash"].to_numpy().astype(np.int64).view(np.uint64)
         probe = np.sort(found)
         if not len(probe):
