@@ -58,11 +58,20 @@ def test_partial_trees_of_any_size_merge_to_the_same(spark):
 def test_templates_have_wildcards_and_removal_keeps_the_rest(spark):
     rows = [(i, "h", None, f"Posted by user{i} on the site wall\nText {chr(97 + i % 26)}{i} only here\nfixed tail") for i in range(12)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("gone", F.lit(1)).withColumn("id", F.lit(9))
-    found = {r["template"]: r["docs"] for r in L.templates(df, "content", "host", "url").collect()}
-    assert found["posted by user0 on the site wall"] == 12 and found["fixed tail"] == 12
+    found = {r["template"]: r["docs"] for r in L.templates(df, "row_id", "content", "host", "url").collect()}
+    assert found == {"posted by user0 on the site wall": 12, "fixed tail": 12, "text <*> only here": 12}
     cleaned = {r["row_id"]: r["content"] for r in L.remove_lines(df, "row_id", "content", "host", "url").collect()}
     assert cleaned[3] == "Text d3 only here"
-    assert L.merge_templates(["a", "b"], ["a", "c"]) == ["a", L.SLOT]
+
+
+def test_templates_keep_the_tokens_that_enough_lines_hold(spark):
+    rows = [(i, "h", None, f"report of {name} by {who}{i % 3 or ''} today") for i, (name, who) in enumerate([("alpha", "ann"), ("beta", "bob")] * 8)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r["template"]: r["docs"] for r in L.templates(df, "row_id", "content", "host", "url").collect()}
+    assert found == {"report of alpha by <*> today": 8, "report of beta by <*> today": 8}
+    assert L.repeated_lines(df, "row_id", "content", "host", "url").count() == 0
+    marks = spark.createDataFrame([(i, "h", None, "a <*> b") for i in range(7)], SCHEMA)
+    assert L.repeated_lines(marks, "row_id", "content", "host", "url").count() == 7
 
 
 def test_edges(spark):

@@ -1,9 +1,22 @@
+import base64
 import random
+import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
+from webloom.llm import encodings
 from webloom.llm import mainbody as M
 
+SCORE = np.full((encodings.CLASSES, encodings.CLASSES), -1, np.float32)
+
+
+def stored(spark, rows):
+    """Records of pages given as text."""
+    return spark.createDataFrame([(i, u, None if h is None else base64.b64encode(h.encode()).decode(), "utf-8") for i, u, h in rows], "rec_id bigint, url string, html_b64 string, encoding string")
+
+
 rng = random.Random(2)
 WORDS = "alpha beta gamma delta school course teacher student report garden river city winter summer music paper energy water light stone".split()
 
@@ -26,22 +39,41 @@ def page(i, layout):
 def test_pages(spark):
     made = [page(i, i % 2) for i in range(80)]
     rows = [(i, f"https://www.h.example/{i}.html", h) for i, (_, _, h) in enumerate(made)] + [(900, "https://h.example/1.html", made[1][2]), (901, "https://h.example/x", None), (902, None, ""), (903, "https://h.example/y", "<p>&lt;")]
-    df = spark.createDataFrame(rows, "rec_id bigint, url string, page string").withColumn("host", F.lit("clash")).withColumn("k", F.lit(0))
+    df = stored(spark, rows).withColumn("host", F.lit("clash")).withColumn("k", F.lit(0)).withColumn("pieces", F.lit("x"))
     got = {}
-    for r in M.page_main_body(df, "rec_id", "url", "page").collect():
+    for r in M.page_main_body(df, "rec_id", "url", SCORE).collect():
         got.setdefault(r["rec_id"], {})[r["piece_no"]] = r["text"]
     right = sum([got[i][k] for k in sorted(got[i])] == [" ".join(b.split()) for b in body] for i, (_, body, _) in enumerate(made))
     assert right >= 78
     assert got[900] == got[1] and 901 not in got and 902 not in got
-    assert M.page_main_body(df.limit(0), "rec_id", "url", "page").count() == 0
+    assert M.page_main_body(df.limit(0), "rec_id", "url", SCORE).count() == 0
+    some = M.page_main_body(df, "rec_id", "url", SCORE, F.col("rec_id") < 10)
+    assert {r["rec_id"]: r["piece_no"] for r in some.collect()}.keys() == {i for i in range(10)}
+    assert {(r["rec_id"], r["piece_no"], r["text"]) for r in some.collect()} == {(i, n, t) for i in range(10) for n, t in got[i].items()}
 
 
 def test_both_ways_of_holding_the_trees_agree(spark, monkeypatch):
     rows = [(i, f"https://h{i % 2}.example/{i}.html", page(i, i % 2)[2]) for i in range(60)]
-    df = spark.createDataFrame(rows, "rec_id bigint, url string, page string")
-    a = sorted(map(tuple, M.page_main_body(df, "rec_id", "url", "page").collect()))
+    df = stored(spark, rows)
+    a = sorted(map(tuple, M.page_main_body(df, "rec_id", "url", SCORE).collect()))
     monkeypatch.setattr(M, "HELD", 0)
-    assert a == sorted(map(tuple, M.page_main_body(df, "rec_id", "url", "page").collect()))
+    assert a == sorted(map(tuple, M.page_main_body(df, "rec_id", "url", SCORE).collect()))
+
+
+def test_branches_are_as_important_as_what_is_below_them():
+    leaves = pd.DataFrame({"host": "h", "id": [11, 12, 21], "pages": [30.0, 30.0, 30.0], "bits": [0.5, 1.0, 6.0]})
+    edges = pd.DataFrame({"host": "h", "id": [1, 10, 11, 12, 20, 21], "parent": [0, 1, 10, 10, 1, 20]})
+    got = {(r.id, r.leaf): r.low for r in M.composed(leaves, edges).itertuples()}
+    assert got == {(11, True): True, (12, True): True, (21, True): False, (10, False): True, (20, False): False, (1, False): False}
+    tree = M.Tree({}, {"h": {11: True, 21: False}}, {"h": {10: True, 20: False, 1: False}})
+    assert tree.unimportant("h", (1, 10, 99)) and not tree.unimportant("h", (1, 20, 99)) and not tree.unimportant("x", (1, 10, 99))
+    assert M.composed(leaves.iloc[:0], edges.iloc[:0]).empty
+
+
+def test_deep_nesting_is_read_in_time():
+    begun = time.time()
+    pieces, _ = M.parse("<div>" * 20_000 + "text")
+    assert len(pieces) == 1 and time.time() - begun < 5
 
 
 def test_lines(spark, monkeypatch):
@@ -101,5 +133,5 @@ def test_copies_count_once(spark):
 def test_broken_markup_never_fails():
     for html in ("", "<", "<p", "<div><p>a<div>b</p></div>c", "<script>x", "<!-- x", "</div></div>a", "<td>a<td>b", "<a href='x>y</a>", "<p>" * 3000 + "x", "a\x00b<br>c"):
         pieces, _ = M.parse(html)
-        assert all(p.text for p in pieces)
-    assert [p.text for p in M.parse("<p>a &amp; <b>b</b><br>c</p><ul><li>d<li>e</ul>")[0]] == ["a & b", "c", "d", "e"]
+        assert all(p[0] for p in pieces)
+    assert [p[0] for p in M.parse("<p>a &amp; <b>b</b><br>c</p><ul><li>d<li>e</ul>")[0]] == ["a & b", "c", "d", "e"]

@@ -13,7 +13,7 @@ import binascii
 import codecs
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +48,8 @@ VALID, VALID_REST = 2.0, 0.8
 #: A question mark before a small letter of its own word, or at a word's beginning, stands for a character that an encoding couldn't hold; not in URLs.
 REPLACED = re.compile(r"[^\W\d_]\?+[^\W\d_A-ZÀ-Þ]|^\?+[^\W\d_]")
 URL_LIKE = re.compile(r"[/=]")
-EDGE = re.compile(r"[\s<>&;\"|]")
+#: Ends of a run's words. A non-breaking space is none: it may be a byte of a garbled letter.
+EDGE = re.compile(r"[ \t\r\n\f\v<>&;\"|]")
 
 
 @lru_cache(maxsize=1)
@@ -146,10 +147,9 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def mass(text: str, score: np.ndarray) -> float:
     """Sum of the improbable pairs of a text."""
-    c = classes(text)
-    if len(c) < 2:
+    if len(text) < 2:
         return 0.0
-    x = score[c[:-1], c[1:]]
+    x = pair_scores(text, score)
     return float(x[x > 0].sum())
 
 
@@ -166,46 +166,21 @@ def bytes_of(page: str) -> dict[str, int]:
     return out
 
 
+@lru_cache(maxsize=16)
+def _sequences(page: str) -> re.Pattern:
+    """Valid sequences of UTF-8, in the characters of a code page."""
+    chars = {b: c for c, b in bytes_of(page).items()}
+    among = lambda low, high: "[" + "".join(re.escape(chars[b]) for b in range(low, high + 1) if b in chars) + "]"
+    tail = among(0x80, 0xBF)
+    # The well-formed sequences of the encoding, by first byte, second byte and number of bytes.
+    forms = [(0xC2, 0xDF, 0x80, 0xBF, 2), (0xE0, 0xE0, 0xA0, 0xBF, 3), (0xE1, 0xEC, 0x80, 0xBF, 3), (0xED, 0xED, 0x80, 0x9F, 3), (0xEE, 0xEF, 0x80, 0xBF, 3), (0xF0, 0xF0, 0x90, 0xBF, 4), (0xF1, 0xF3, 0x80, 0xBF, 4), (0xF4, 0xF4, 0x80, 0x8F, 4)]
+    return re.compile("|".join(f"{among(a, b)}{among(c, d)}{tail}{{{n - 2}}}" for a, b, c, d, n in forms))
+
+
 def _utf8(text: str, page: str) -> str:
-    """Text whose runs of the code page's characters are read as UTF-8 wherever they are valid."""
+    """Text whose sequences of the code page's characters are read as UTF-8 wherever they are valid."""
     table = bytes_of(page)
-    parts, run = [], bytearray()
-    raw: list[str] = []
-
-    def flush() -> None:
-        if run:
-            shown = bytes(run)
-            try:
-                parts.append(shown.decode("utf-8"))
-            except UnicodeDecodeError:
-                out, i = [], 0
-                while i < len(shown):  # valid sequences inside
-                    for n in (2, 3, 4):
-                        try:
-                            piece = shown[i : i + n].decode("utf-8")
-                            if len(piece) == 1 and len(shown[i : i + n]) == n:
-                                out.append(piece)
-                                i += n
-                                break
-                        except UnicodeDecodeError:
-                            continue
-                    else:
-                        out.append(raw[i])
-                        i += 1
-                parts.append("".join(out))
-            run.clear()
-            raw.clear()
-
-    for c in text:
-        b = table.get(c)
-        if b is None:
-            flush()
-            parts.append(c)
-        else:
-            run.append(b)
-            raw.append(c)
-    flush()
-    return "".join(parts)
+    return _sequences(page).sub(lambda m: bytes(map(table.__getitem__, m[0])).decode(), text)
 
 
 _TCVN3 = str.maketrans(TCVN3, VIETNAMESE)
@@ -260,12 +235,17 @@ def inverse(text: str, score: np.ndarray) -> tuple[str, str] | None:
     return None
 
 
-def segments(line: str, score: np.ndarray) -> list[tuple[int, int]]:
-    """Places (from, to) of a line's improbable runs, widened to whole words."""
-    c = classes(f"\n{line}\n")
+def pair_scores(text: str, score: np.ndarray) -> np.ndarray:
+    """Score of every pair of neighbours in a text."""
+    c = classes(text)
+    return score.ravel().take(c[:-1] * np.int32(CLASSES) + c[1:])
+
+
+def segments(line: str, scores: np.ndarray, least: float = SEGMENT) -> list[tuple[int, int]]:
+    """Places (from, to) of a line's improbable runs, widened to whole words; scores are those of its pairs between line feeds."""
     found: list[list[int]] = []
-    for b, e, total in maximal_segments(score[c[:-1], c[1:]]):
-        if total < SEGMENT:
+    for b, e, total in maximal_segments(scores):
+        if total < least:
             continue
         b, e = max(0, b - 1), min(len(line), e)  # pair i is characters i - 1 and i of the line
         while b > 0 and not EDGE.match(line[b - 1]):
@@ -279,11 +259,16 @@ def segments(line: str, score: np.ndarray) -> list[tuple[int, int]]:
     return [(b, e) for b, e in found]
 
 
-def improbable(text: str, score: np.ndarray) -> bool:
-    """Whether a text can hold a segment worth looking into, or a replacement character."""
-    c = classes(text)
-    x = score[c[:-1], c[1:]]
-    return "\ufffd" in text or float(x[x > 0].sum()) >= SEGMENT
+def improbable_lines(text: str, score: np.ndarray) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(number, line, scores of its pairs) of the lines that can hold a segment worth looking into, or a replacement character."""
+    scores = pair_scores(f"\n{text}\n", score)
+    lines = text.split("\n")
+    starts = np.cumsum([0, *(len(x) + 1 for x in lines)])
+    total = np.add.reduceat(np.maximum(scores, 0), starts[:-1])
+    for k in np.flatnonzero(total >= SEGMENT) if "\ufffd" not in text else range(len(lines)):
+        line = lines[k]
+        if (total[k] >= SEGMENT or "\ufffd" in line) and (not line.isascii() or "?" in line):
+            yield int(k), line, scores[starts[k] : starts[k + 1]]
 
 
 def replaced(run: str) -> bool:
@@ -297,49 +282,73 @@ def is_garbled(text: str | None, score: np.ndarray) -> bool:
         return False
     if "\ufffd" in text:
         return True
-    text = compose(text)
-    return improbable(text, score) and any(
-        replaced(line[b:e]) or inverse(line[b:e], score) for line in text.split("\n") if not line.isascii() or "?" in line for b, e in segments(line, score)
-    )
+    return any(replaced(line[b:e]) or inverse(line[b:e], score) for _, line, x in improbable_lines(compose(text), score) for b, e in segments(line, x))
+
+
+def mapping(name: str) -> Callable[[str], str]:
+    """The mapping of a name that inverse gave."""
+    if name in LEGACY:
+        return LEGACY[name]
+    page = name.removeprefix("utf-8 as ").removesuffix(", twice")
+    return (lambda t: _utf8(_utf8(t, page), page)) if name.endswith("twice") else (lambda t: _utf8(t, page))
+
+
+def spliced(line: str, span: tuple[int, int], made: dict[tuple[int, int], str]) -> str:
+    """The part of a line in a span, with new texts for the runs in it."""
+    pieces, last = [], span[0]
+    for (b, e), new in sorted(made.items()):
+        pieces += [line[last:b], new]
+        last = e
+    return "".join(pieces) + line[last : span[1]]
 
 
 def repair(text: str | None, score: np.ndarray) -> tuple[str | None, list[str]]:
     """(text with its garbled runs restored, what was wrong with it); an empty list for text that is as written.
 
-    Replacement characters, and question marks inside words, are named 'lost': what stood there can't be restored.
+    A mapping changes improbable runs, and what stands between two runs of one mapping; where one-byte readings of UTF-8 are proven in a
+    line, its other valid sequences too. Runs too short to prove one by themselves take the
+    mapping that another run of their line proved, if it makes them more probable. Replacement characters, and question marks inside words, are named
+    'lost': what stood there can't be restored.
     """
     if not text or (text.isascii() and "?" not in text):
         return text, []
     text, wrong = compose(text), []
-    if not improbable(text, score):
-        return text, []
     lines = text.split("\n")
-    for k, line in enumerate(lines):
-        if line.isascii() and "?" not in line:
-            continue
+    for k, line, x in improbable_lines(text, score):
         if "\ufffd" in line:
             wrong.append("lost")
-        pieces, last, names = [], 0, []
-        for b, e in segments(line, score):
-            made = inverse(line[b:e], score)
-            if made:
-                pieces += [line[last:b], made[0]]
-                last = e
-                names.append(made[1])
-            elif replaced(line[b:e]):
+        made: dict[tuple[int, int], str] = {}
+        proven: dict[str, list[tuple[int, int]]] = {}
+        for run in segments(line, x):
+            found = inverse(line[slice(*run)], score)
+            if found:
+                made[run] = found[0]
+                proven.setdefault(found[1], []).append(run)
+            elif replaced(line[slice(*run)]):
                 wrong.append("lost")
-        if names:
-            new = "".join(pieces) + line[last:]
-            for name in dict.fromkeys(names):  # a mapping usually holds for the whole line
-                if name in LEGACY:
-                    whole = LEGACY[name](line)
-                else:
-                    page = name.removeprefix("utf-8 as ").removesuffix(", twice")
-                    whole = _utf8(_utf8(line, page), page) if name.endswith("twice") else _utf8(line, page)
-                if mass(whole, score) <= mass(new, score):
-                    new = compose(whole)
-            lines[k] = new
-            wrong += names
+        for name in proven:
+            for run in segments(line, x, 0.0):
+                if not any(run[0] < e and b < run[1] for b, e in made):
+                    before = line[slice(*run)]
+                    after = compose(mapping(name)(before))
+                    if after != before and mass(f" {after} ", score) < mass(f" {before} ", score):
+                        made[run] = after
+                        proven[name].append(run)
+        for name, runs in proven.items():  # what stands between two runs of one mapping went through it as well
+            hull = min(b for b, _ in runs), max(e for _, e in runs)
+            inner = {run: new for run, new in made.items() if hull[0] <= run[0] and run[1] <= hull[1]}
+            if len(runs) > 1 and len(inner) == len(runs):
+                whole = compose(mapping(name)(line[slice(*hull)]))
+                if mass(whole, score) <= mass(spliced(line, hull, inner), score):
+                    made = {run: new for run, new in made.items() if run not in inner} | {hull: whole}
+        if proven:
+            fixed = spliced(line, (0, len(line)), made)
+            for name in proven:
+                if name not in LEGACY:  # further valid sequences of a proven mapping: chance hardly makes them
+                    more = compose(mapping(name)(fixed))
+                    fixed = more if mass(more, score) <= mass(fixed, score) else fixed
+            lines[k] = fixed
+            wrong += proven
     return "\n".join(lines), list(dict.fromkeys(wrong))
 
 

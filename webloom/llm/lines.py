@@ -1,10 +1,10 @@
 """Lines repeated across one site's documents (problem 4).
 
-Lines are parsed into templates by trees of fixed depth: host, number of tokens, first tokens; a leaf holds one template
-whose slots are wildcards wherever its lines differ. Every partition grows trees of its own lines; trees are merged leaf by
-leaf, adding the numbers of documents and opening a wildcard where templates differ. A leaf covers every document of each
-of its lines, so a line that enough documents hold lies in a leaf that enough documents reach: only such leaves' lines are
-then counted one by one.
+Lines are parsed into templates by trees of fixed depth: host, number of tokens, first tokens. Every partition grows trees of its
+own lines; trees are merged leaf by leaf, adding the numbers of documents. A leaf covers every document of each of its lines,
+so only leaves that enough documents reach are looked into: there the tokens that enough lines hold at a place are kept,
+and all others are wildcard slots. Lines with equal templates are one template, and those that cover enough documents are
+repeated. A line that is itself repeated has no slot: it is its own template, which is counted exactly.
 """
 
 from __future__ import annotations
@@ -44,11 +44,6 @@ def leaf_of(form: str) -> tuple[int, tuple[str, ...], list[str]]:
     return len(tokens), tuple(SLOT if "0" in t else t for t in tokens[:DEPTH]), tokens
 
 
-def merge_templates(a: list[str], b: list[str]) -> list[str]:
-    """The template of two templates of one leaf: a wildcard wherever they differ."""
-    return [x if x == y else SLOT for x, y in zip(a, b)]
-
-
 def leaf_id(host: str, length: int, path: tuple[str, ...]) -> int:
     return xxh3_64_intdigest("\x1f".join((host, str(length), *path))) - (1 << 63)
 
@@ -101,31 +96,58 @@ def thresholds(rows: DataFrame, least_rows: int, least_share: float) -> DataFram
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("rows")).withColumn("least", F.greatest(F.lit(float(least_rows)), F.round(F.col("rows") * F.lit(least_share), 6)))
 
 
-def templates(df: DataFrame, text: str, host: str, url: str, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """host, template, docs: the templates that cover enough of their host's rows, with wildcards where their lines differ.
-
-    Defined for nulls, empty texts and empty tables as repeated_lines is.
-    """
-    rows = with_source(df.withColumn("_key", F.lit(0)), "_key", text, host, url)
-    full = grow_trees(rows).join(thresholds(rows, least_rows, least_share), "host").where("docs >= least").select("host", "leaf", "docs")
+def fitted(rows: DataFrame, kind: str, least: DataFrame) -> DataFrame:
+    """id, host, line_no, line, template, constants, whole, least of every line in a leaf that enough rows of its host reach: its template,
+    how many of its tokens are no slots, and whether all are; line identifies its compared form within the host."""
+    # at most 1 / least_share times a row's leaves reach the threshold at a host, however many rows it has
+    full = materialize(grow_trees(rows).join(least, "host").where("docs >= least").select("leaf", "least"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            tree: dict = {}
-            for h, t, salt in zip(b["host"], b["t"], b["salt"]):
-                for form in set(map(canonical, t.split("\n"))):
-                    if form:
+    def explode(leaves: frozenset[int] | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                ids, hosts, numbers, found, lines, words = [], [], [], [], [], []
+                for i, h, t in zip(b["id"], b["host"], b["t"]):
+                    for no, raw in enumerate(t.split("\n")):
+                        form = canonical(raw)
+                        if not form:
+                            continue
                         length, path, tokens = leaf_of(form)
-                        k = (leaf_id(h, length, path), salt)
-                        tree[k] = merge_templates(tree[k], tokens) if k in tree else tokens
-            yield pd.DataFrame({"leaf": pd.array([k for k, _ in tree], "int64"), "salt": pd.array([s for _, s in tree], "int64"), "template": list(tree.values())})
+                        leaf = leaf_id(h, length, path)
+                        if leaves is None or leaf in leaves:
+                            ids.append(i)
+                            hosts.append(h)
+                            numbers.append(no)
+                            found.append(leaf)
+                            lines.append(line_id(h, form))
+                            words.append(tokens)
+                yield pd.DataFrame({"id": ids, "host": hosts, "line_no": pd.array(numbers, "int64"), "leaf": pd.array(found, "int64"), "line": pd.array(lines, "int64"), "tokens": words})
 
-    merge = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(x == y, x).otherwise(F.lit(SLOT)))
-    merged = lambda c: F.reduce(F.slice(F.collect_list(c), 2, 1 << 30), F.element_at(F.collect_list(c), 1), merge)
-    partial = rows.select("host", "t", (F.spark_partition_id() % 64).cast("bigint").alias("salt")).mapInPandas(safe(run), "leaf bigint, salt bigint, template array<string>")
-    partial = partial.join(full.select("leaf"), "leaf", "left_semi")
-    partial = partial.groupBy("leaf", "salt").agg(merged("template").alias("template")).groupBy("leaf").agg(merged("template").alias("template"))
-    return full.join(partial, "leaf").select("host", F.array_join("template", " ").alias("template"), "docs")
+        return run
+
+    shape = f"id {kind}, host string, line_no bigint, leaf bigint, line bigint, tokens array<string>"
+    if full.count() <= HELD:
+        lines = rows.mapInPandas(safe(explode(frozenset(r[0] for r in full.select("leaf").toLocalIterator()))), shape)
+    else:
+        lines = rows.mapInPandas(safe(explode(None)), shape).join(full, "leaf", "left_semi")
+    lines = materialize(lines)
+    # tokens that enough lines of a leaf hold at a place; a repeated line's tokens all do
+    placed = lines.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count(F.lit(1)).alias("n"))
+    kept = placed.join(full, "leaf").where("n >= least").groupBy("leaf").agg(F.collect_set(F.xxhash64("at", "token")).alias("kept"), F.max("least").alias("least"))
+    kept = materialize(kept)
+    lines = lines.join(F.broadcast(kept) if kept.count() <= HELD // 10 else kept, "leaf", "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<bigint>")))
+    constant = F.transform("tokens", lambda t, i: F.array_contains("kept", F.xxhash64(i, t)))
+    shown = F.array_join(F.zip_with("tokens", constant, lambda t, c: F.when(c, t).otherwise(F.lit(SLOT))), " ")
+    return lines.select("id", "host", "line_no", "line", shown.alias("template"), F.size(F.filter(constant, lambda c: c)).alias("constants"), F.forall(constant, lambda c: c).alias("whole"), "least")
+
+
+def templates(df: DataFrame, key: str, text: str, host: str, url: str, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """host, template, docs: the templates that cover enough of their host's rows, with wildcards where their lines differ.
+
+    Templates of slots alone are none. Defined for nulls, empty texts and empty tables as repeated_lines is.
+    """
+    rows = with_source(df, key, text, host, url)
+    lines = fitted(rows, dict(df.dtypes)[key], thresholds(rows, least_rows, least_share)).where("constants > 0")
+    return lines.select("host", "template", "id", "least").distinct().groupBy("host", "template").agg(F.count(F.lit(1)).alias("docs"), F.max("least").alias("least")).where("docs >= least").drop("least")
 
 
 def remove_lines(df: DataFrame, key: str, text: str, host: str, url: str, least_rows: int = LEAST_ROWS, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -147,38 +169,6 @@ def repeated_lines(df: DataFrame, key: str, text: str, host: str, url: str, leas
     result.
     """
     rows = with_source(df, key, text, host, url)
-    least = thresholds(rows, least_rows, least_share)
-    # at most 1 / least_share times a row's leaves reach the threshold at a host, however many rows it has
-    full = materialize(grow_trees(rows).join(least, "host").where("docs >= least").select("leaf"))
-
-    def explode(leaves: set[int] | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ids, hosts, numbers, found, lines = [], [], [], [], []
-                for i, h, t in zip(b["id"], b["host"], b["t"]):
-                    for no, raw in enumerate(t.split("\n")):
-                        form = canonical(raw)
-                        if not form:
-                            continue
-                        length, path, _ = leaf_of(form)
-                        leaf = leaf_id(h, length, path)
-                        if leaves is None or leaf in leaves:
-                            ids.append(i)
-                            hosts.append(h)
-                            numbers.append(no)
-                            found.append(leaf)
-                            lines.append(line_id(h, form))
-                yield pd.DataFrame({"id": ids, "host": hosts, "line_no": pd.array(numbers, "int64"), "leaf": pd.array(found, "int64"), "line": pd.array(lines, "int64")})
-
-        return run
-
-    kind = dict(df.dtypes)[key]
-    shape = f"id {kind}, host string, line_no bigint, leaf bigint, line bigint"
-    if full.count() <= HELD:
-        held = {r[0] for r in full.toLocalIterator()}
-        lines = rows.mapInPandas(safe(explode(held)), shape)
-    else:
-        lines = rows.mapInPandas(safe(explode(None)), shape).join(full, "leaf", "left_semi")
-    lines = materialize(lines.select("id", "host", "line_no", "line"))
-    counted = lines.select("id", "host", "line").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    return lines.join(counted.join(least, "host").where("n >= least").select("host", "line"), ["host", "line"], "left_semi").select("id", "host", "line_no", "line")
+    lines = materialize(fitted(rows, dict(df.dtypes)[key], thresholds(rows, least_rows, least_share)).where("whole"))
+    counted = lines.select("id", "host", "line", "least").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.max("least").alias("least"))
+    return lines.join(counted.where("n >= least").select("host", "line"), ["host", "line"], "left_semi").select("id", "host", "line_no", "line")

@@ -10,14 +10,16 @@ itself marks as apart from the text (headings, captions, links on their own, hid
 from __future__ import annotations
 
 import html as entities
+import marshal
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -58,18 +60,29 @@ ALL_PAGES, ALL_SHARE = 6, 0.005
 HELD = 1_000_000
 
 
-class Piece:
-    __slots__ = ("text", "path", "ids", "inline", "linked", "apart", "heading", "hidden")
+class Piece(NamedTuple):
+    """A text between block tags; chain: its elements' style nodes from the root down, ids: their numbers on the page."""
 
-    def __init__(self, text, path, ids, inline, linked, apart, heading, hidden):
-        self.text, self.path, self.ids, self.inline, self.linked, self.apart, self.heading, self.hidden = text, path, ids, inline, linked, apart, heading, hidden
+    text: str
+    chain: tuple[int, ...]
+    ids: tuple[int, ...]
+    inline: str | None
+    linked: int
+    apart: bool
+    heading: bool
+    hidden: bool
+    button: bool
 
 
-def parse(source: str) -> tuple[list[Piece], str]:
-    """Pieces of text between block tags in document order, and the page's title. Broken markup never fails."""
-    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, style, number, apart, hidden
+def parse(source: str) -> tuple[list[tuple], str]:
+    """Pieces of text between block tags in document order, as plain tuples, and the page's title. Broken markup never fails.
+
+    A style node is the path of elements with their classes down to a piece's own; its number is hashed along that path, so that
+    equal paths of all pages are one node.
+    """
+    stack: list[tuple[str, str, int, bool, bool, int]] = []  # tag, style, number; apart and hidden so far; style node
     inline: list[str] = []
-    pieces: list[Piece] = []
+    pieces: list[tuple] = []
     held: list[tuple[str, str | None]] = []
     title, number = "", 0
 
@@ -81,10 +94,11 @@ def parse(source: str) -> tuple[list[Piece], str]:
         if text:
             marks = {m for t, m in held if t.strip()}
             linked = sum(len(t.strip()) for t, m in held if m == "a")
+            top = stack[-1] if stack else ("", "", 0, False, False, 0)
             pieces.append(
-                Piece(
-                    text, ">".join(s[1] for s in stack), [s[2] for s in stack], marks.pop() if len(marks) == 1 else None, linked,
-                    any(s[3] for s in stack), bool(stack) and stack[-1][0] in HEADINGS, any(s[4] for s in stack),
+                (
+                    text, tuple(s[5] for s in stack), tuple(s[2] for s in stack), marks.pop() if len(marks) == 1 else None, linked,
+                    top[3], top[0] in HEADINGS, top[4], top[1].startswith("button"),
                 )
             )
         held.clear()
@@ -141,7 +155,9 @@ def parse(source: str) -> tuple[list[Piece], str]:
                     style += "#" + DIGITS.sub("0", value) if len(value) > 4 else "#" + value
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                     hidden = True
-        stack.append((tag, style, number, tag in APART, hidden))
+        _, _, _, apart, unseen, above = stack[-1] if stack else ("", "", 0, False, False, 0)
+        node = xxh3_64_intdigest(style, above) >> 1  # within 63 bits
+        stack.append((tag, style, number, apart or tag in APART, unseen or hidden, node))
     flush()
     return pieces, title
 
@@ -150,73 +166,130 @@ def form(text: str) -> str:
     return DIGITS.sub("0", text.lower())
 
 
-def text_id(host: str, text: str) -> int:
-    return xxh3_64_intdigest(f"{host}\x1f{form(text)}") - (1 << 63)
+def text_id(text: str) -> int:
+    return xxh3_64_intdigest(form(text)) >> 1
 
 
-def beginning(text: str) -> str:
-    return " ".join(DIGITS.sub("0", w) for w in text.lower().split()[:2])
+def beginning(text: str) -> int:
+    return xxh3_64_intdigest(" ".join(DIGITS.sub("0", w) for w in text.lower().split(None, 2)[:2])) >> 1
 
 
-def node_id(host: str, path: str) -> int:
-    return xxh3_64_intdigest(f"{host}\x1f{path}") - (1 << 63)
+def _array(lists: list[list[int]]) -> pd.Series:
+    return pd.Series([np.array(x, np.int64) for x in lists], dtype=object)
 
 
-def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, nodes) of all hosts' merged trees that decide anything; every URL of a host counts once.
+def parsed_pages(df: DataFrame, key: str, url: str, score: np.ndarray, wanted: Column | None = None) -> DataFrame:
+    """k, url, host, wanted and the parsed page of the rows whose declared encoding gives what was written: decoded and parsed once.
 
-    texts: host, id of the texts (with their digits blurred) that stand on enough of a host's pages. nodes: host, id, low of the
-    style nodes on enough of them, and whether the beginnings of what they hold have little entropy. Host '' is all hosts
-    together. Both are shares of a host's pages, so there are at most 1 / share times as many as a page holds.
+    pieces: title and pieces, marshalled. texts: numbers of its distinct texts. nodes, starts: its distinct pairs of a style node and a
+    beginning of what stands there. children, parents: its style nodes and those above them. Pages that are null or empty, and
+    those read wrongly, are left out.
     """
-    first = pages.groupBy("url").agg(F.min("k").alias("k")).select("k")
-    counted = pages.join(first, "k", "left_semi")
+    kind = dict(df.dtypes)[key]
+    held = df.sparkSession.sparkContext.broadcast(score)
+    names = ["texts", "nodes", "starts", "children", "parents"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts: Counter = Counter()
-            starts: Counter = Counter()
-            for host, page in zip(b["host"], b["page"]):
-                pieces, _ = parse(page)
-                scopes = {host, ""}  # the host's own tree, and that of all hosts
-                for t in {p.text for p in pieces}:
-                    for scope in scopes:
-                        texts[scope, text_id(scope, t)] += 1
-                for node, start in {(p.path, beginning(p.text)) for p in pieces if not p.apart and not p.hidden and p.linked * 2 < len(p.text)}:
-                    for scope in scopes:
-                        starts[scope, node_id(scope, node), start] += 1
-            rows = [(0, h, t, "", n) for (h, t), n in texts.items()] + [(1, h, k, s, n) for (h, k, s), n in starts.items()]
-            yield pd.DataFrame(rows, columns=["what", "host", "id", "start", "n"])
-
-    grown = counted.select("host", "page").mapInPandas(safe(run), "what int, host string, id bigint, start string, n bigint")
-    tallied = materialize(grown.groupBy("what", "host", "id", "start").agg(F.sum("n").alias("n")).where((F.col("what") == 1) | (F.col("n") >= SAME_PAGES)))
+            keep, blobs, found = [], [], {n: [] for n in names}
+            for html, encoding in zip(b["html_b64"], b["encoding"]):
+                page = encodings.decode_page(html, encoding)
+                keep.append(bool(page) and not encodings.is_garbled(page, held.value))
+                if not keep[-1]:
+                    continue
+                pieces, title = parse(page)
+                blobs.append(marshal.dumps((title, pieces)))
+                found["texts"].append(list({text_id(t) for t in {p[0] for p in pieces}}))
+                pairs = {(p.chain[-1], beginning(p.text)) for p in map(Piece._make, pieces) if p.chain and not p.apart and not p.hidden and p.linked * 2 < len(p.text)}
+                found["nodes"].append([n for n, _ in pairs])
+                found["starts"].append([s for _, s in pairs])
+                above = {c: a for p in pieces for a, c in zip((0, *p[1]), p[1])}
+                found["children"].append(list(above))
+                found["parents"].append(list(above.values()))
+            rows = b.loc[keep, ["k", "url", "host", "wanted"]].reset_index(drop=True)
+            yield rows.assign(pieces=pd.Series(blobs, dtype=object), **{n: _array(x) for n, x in found.items()})
+
+    rows = spread(df.select(F.col(key).alias("k"), F.col(url).alias("url"), url_host(F.col(url)).alias("host"), (F.lit(True) if wanted is None else wanted).alias("wanted"), "html_b64", "encoding"))
+    arrays = ", ".join(f"{n} array<bigint>" for n in names)
+    return rows.where(F.length("html_b64") > 0).mapInPandas(safe(run), f"k {kind}, url string, host string, wanted boolean, pieces binary, {arrays}")
+
+
+def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, nodes) of all hosts' merged trees that decide anything; every URL of a host counts once.
+
+    texts: host, id of the texts (with their digits blurred) that stand on enough of a host's pages. nodes: host, id, leaf, low of
+    the style nodes on enough of them. A leaf's importance is the entropy of the beginnings of what it holds; a branch's is composed
+    of those below it, each by its pages, and it is low only if nothing below it is important. Host '' is all hosts together.
+    Thresholds are shares of a host's pages, so a host has at most 1 / share times as many entries as a page holds.
+    """
+    first = pages.groupBy("url").agg(F.min("k").alias("k")).select("k")
+    counted = pages.drop("pieces", "wanted", "url").join(first, "k", "left_semi")
+    scoped = lambda *columns: counted.select(F.explode(F.array_distinct(F.array("host", F.lit("")))).alias("host"), *columns)
     own = counted.groupBy("host").agg(F.count(F.lit(1)).alias("size"))
-    sizes = own.where("host <> ''").unionByName(own.agg(F.sum("size").alias("size")).select(F.lit("").alias("host"), "size"))
+    sizes = materialize(own.where("host <> ''").unionByName(own.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).select(F.lit("").alias("host"), "size")))
     least = F.when(F.col("host") == "", F.greatest(F.lit(float(ALL_PAGES)), F.col("size") * ALL_SHARE)).otherwise(F.greatest(F.lit(float(SAME_PAGES)), F.col("size") * SAME_SHARE))
-    texts = tallied.where("what = 0").join(sizes, "host").where(F.col("n") >= least).select("host", "id")
+    texts = scoped("texts").select("host", F.explode("texts").alias("id")).groupBy("host", "id").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host").where(F.col("n") >= least).select("host", "id")
+
+    enough = F.col("pages") >= F.greatest(F.lit(float(LEAST_PAGES)), F.col("size") * NODE_SHARE)
+    held = scoped("nodes", "starts").select("host", F.explode(F.arrays_zip("nodes", "starts")).alias("x")).select("host", F.col("x.nodes").alias("id"), F.col("x.starts").alias("start"))
     n = F.col("n").cast("double")
-    nodes = tallied.where("what = 1").groupBy("host", "id").agg(F.sum("n").alias("pages"), F.sum(n * F.log2(n)).alias("nlogn")).join(sizes, "host")
-    nodes = nodes.where(F.col("pages") >= F.greatest(F.lit(float(LEAST_PAGES)), F.col("size") * NODE_SHARE))
-    return texts, nodes.select("host", "id", (F.log2("pages") - F.col("nlogn") / F.col("pages") < LEAST_BITS).alias("low"))
+    leaves = held.groupBy("host", "id", "start").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "id").agg(F.sum("n").alias("pages"), F.sum(n * F.log2(n)).alias("nlogn")).join(sizes, "host").where(enough)
+    leaves = leaves.select("host", "id", F.col("pages").cast("double").alias("pages"), (F.log2("pages") - F.col("nlogn") / F.col("pages")).alias("bits"))
+    edges = scoped("children", "parents").select("host", F.explode(F.arrays_zip("children", "parents")).alias("x")).groupBy("host", F.col("x.children").alias("id")).agg(F.count(F.lit(1)).alias("pages"), F.max("x.parents").alias("parent"))
+    edges = edges.join(sizes, "host").where(enough).select("host", "id", "parent")
+    return texts, leaves.groupBy("host").cogroup(edges.groupBy("host")).applyInPandas(composed, "host string, id bigint, leaf boolean, low boolean")
+
+
+def composed(leaves: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Leaves of one host's tree with whether they are unimportant, and its branches by the importance composed of the leaves below them."""
+    above = dict(zip(edges["id"], edges["parent"]))
+    rows = [(i, True, bits < LEAST_BITS) for i, bits in zip(leaves["id"], leaves["bits"])]
+    branches: dict[int, list[float]] = {}
+    for i, pages, bits in zip(leaves["id"], leaves["pages"], leaves["bits"]):
+        at = above.get(i, 0)
+        while at:
+            b = branches.setdefault(at, [0.0, 0.0, 0.0])
+            b[0], b[1], b[2] = b[0] + pages, b[1] + pages * bits, max(b[2], bits)
+            at = above.get(at, 0)
+    rows += [(i, False, total / pages < LEAST_BITS and most < LEAST_BITS) for i, (pages, total, most) in branches.items()]
+    host = leaves["host"].iloc[0] if len(leaves) else ""
+    return pd.DataFrame([(host, *r) for r in rows], columns=["host", "id", "leaf", "low"])
 
 
-def main_pieces(source: str, host: str, same: "Tree", low: dict[int, bool]) -> list[str]:
-    """Main body of a page: pieces of important nodes. same: which texts are boilerplate; low: nodes known as unimportant or not."""
-    pieces, title = parse(source)
+class Tree:
+    """What is known of merged pages: by host, texts that are boilerplate, and whether leaves and branches are unimportant."""
+
+    def __init__(self, same: dict[str, set[int]], leaves: dict[str, dict[int, bool]], branches: dict[str, dict[int, bool]]):
+        self.same, self.leaves, self.branches = same, leaves, branches
+
+    def has(self, host: str, text: str) -> bool:
+        i = text_id(text)
+        return i in self.same.get(host, ()) or i in self.same.get("", ())
+
+    def unimportant(self, host: str, chain: tuple[int, ...]) -> bool:
+        """By the leaf in the host's own tree, else by the nearest branch above it there, else by the leaf in the tree of all hosts."""
+        own = self.leaves.get(host, {}).get(chain[-1]) if chain else None
+        if own is None:
+            branches = self.branches.get(host, {})
+            own = next((branches[n] for n in reversed(chain) if n in branches), None)
+            own = own or self.leaves.get("", {}).get(chain[-1] if chain else 0, False)
+        return own
+
+
+def main_pieces(pieces: list[tuple], title: str, host: str, tree: Tree) -> list[str]:
+    """Main body of a page: pieces of important nodes."""
+    pieces = [Piece._make(p) for p in pieces]
     heads = {p.text for p in pieces if p.heading}
     titled: set[int] = set()
     plain_title = title.lower()
     for p in pieces:  # branches on the way to the page's own title are never dropped as a whole
-        if p.text and (p.heading or p.inline) and len(p.text) > 3 and p.text.lower()[:40] in plain_title:
+        if (p.heading or p.inline) and len(p.text) > 3 and p.text.lower()[:40] in plain_title:
             titled.update(p.ids[:-1] if p.heading else p.ids)
     dropped: set[int] = set()
     for p in pieces:
         parents = p.ids[:-1]
-        if not parents:
-            continue
-        if (p.heading and same.has(host, p.text)) or p.path.rsplit(">", 1)[-1].startswith("button"):
-            if parents[-1] not in titled and len(parents) > 2:
-                dropped.add(parents[-1])
+        if len(parents) > 2 and parents[-1] not in titled and (p.button or (p.heading and tree.has(host, p.text))):
+            dropped.add(parents[-1])
     kept = []
     for p in pieces:
         text = p.text
@@ -226,82 +299,76 @@ def main_pieces(source: str, host: str, same: "Tree", low: dict[int, bool]) -> l
             continue
         if DATE.match(text) or (len(text) > 3 and text.lower()[:60] in plain_title):
             continue
-        if dropped.intersection(p.ids) or same.has(host, text):
-            continue
-        own = low.get(node_id(host, p.path))
-        if own is None:
-            own = low.get(node_id("", p.path), False)
-        if own:
+        if dropped.intersection(p.ids) or tree.has(host, text) or tree.unimportant(host, p.chain):
             continue
         kept.append(unicodedata.normalize("NFC", text))
     return list(dict.fromkeys(kept))
 
 
-def page_main_body(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
-    """key, piece_no, text: the main body of every page, piece by piece.
+def page_main_body(df: DataFrame, key: str, url: str, score: np.ndarray, wanted: Column | None = None) -> DataFrame:
+    """key, piece_no, text: the main body of the wanted pages (columns html_b64, encoding), piece by piece; all pages grow the trees.
 
-    df has the decoded page in column page. Pages that are null or empty have no pieces, nor have pages without text. Repeated
+    Pages that are null or empty, or that their declared encoding reads wrongly, have no pieces, nor have pages without text. Repeated
     rows are taken each; their URL counts once in the tree of its host. Texts are whole, of any length. Empty tables give
     an empty result.
     """
     kind = dict(df.dtypes)[key]
-    pages = df.select(F.col(key).alias("k"), url_host(F.col(url)).alias("host"), F.col(url).alias("url"), F.col(page).alias("page")).where(F.length("page") > 0)
-    pages = materialize(pages)  # decoded once, read three times
-    texts, nodes = style_tree(pages)
-    texts, nodes = materialize(texts), materialize(nodes)
+    pages = materialize(parsed_pages(df, key, url, score, wanted))
+    texts, nodes = (materialize(x) for x in style_tree(pages))
+    rows = pages.where("wanted").select("k", "host", "pieces")
     shape = f"{key} {kind}, piece_no bigint, text string"
 
-    def cut(keys, hosts, sources, trees) -> pd.DataFrame:
-        out = [(k, i, t) for k, h, page, tree in zip(keys, hosts, sources, trees) for i, t in enumerate(main_pieces(page, h, tree, tree.low))]
+    def grown(some_texts: DataFrame, some_nodes: DataFrame) -> Tree:
+        same: dict[str, set[int]] = {}
+        known: tuple[dict, dict] = ({}, {})
+        for r in some_texts.toLocalIterator():
+            same.setdefault(r["host"], set()).add(r["id"])
+        for r in some_nodes.toLocalIterator():
+            known[not r["leaf"]].setdefault(r["host"], {})[r["id"]] = r["low"]
+        return Tree(same, *known)
+
+    def cut(b: pd.DataFrame, trees: Iterable[Tree]) -> pd.DataFrame:
+        out = []
+        for k, h, blob, tree in zip(b["k"], b["host"], b["pieces"], trees):
+            title, pieces = marshal.loads(blob)
+            out += [(k, i, t) for i, t in enumerate(main_pieces(pieces, title, h, tree))]
         return pd.DataFrame(out, columns=[key, "piece_no", "text"])
 
     if texts.count() + nodes.count() <= HELD:
-        same = {(r["host"], r["id"]) for r in texts.toLocalIterator()}
-        low = {r["id"]: r["low"] for r in nodes.toLocalIterator()}
-        held = df.sparkSession.sparkContext.broadcast(Tree(frozenset(i for _, i in same), low))
+        held = df.sparkSession.sparkContext.broadcast(grown(texts, nodes))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield cut(b["k"], b["host"], b["page"], [held.value] * len(b))
+                yield cut(b, repeat(held.value))
 
-        return pages.select("k", "host", "page").mapInPandas(safe(run), shape)
+        return rows.mapInPandas(safe(run), shape)
 
-    # too many hosts for every worker to hold all trees: each page comes with its host's tree and the common one
-    common = Tree(frozenset(r["id"] for r in texts.where("host = ''").toLocalIterator()), {r["id"]: r["low"] for r in nodes.where("host = ''").toLocalIterator()})
-    shared = df.sparkSession.sparkContext.broadcast(common)
+    # too many hosts for every worker to hold all trees: each page comes with its host's tree, workers hold the common one
+    shared = df.sparkSession.sparkContext.broadcast(grown(texts.where("host = ''"), nodes.where("host = ''")))
+    ids = lambda c: F.collect_set(F.when(c, F.col("id")))
     own = texts.where("host <> ''").groupBy("host").agg(F.collect_set("id").alias("same"))
-    lows = nodes.where("host <> ''").groupBy("host").agg(F.collect_set(F.when(F.col("low"), F.col("id"))).alias("low"), F.collect_set(F.when(~F.col("low"), F.col("id"))).alias("high"))
-    joined = pages.select("k", "host", "page").join(own, "host", "left").join(lows, "host", "left")
+    leaf, low = F.col("leaf"), F.col("low")
+    lows = nodes.where("host <> ''").groupBy("host").agg(ids(leaf & low).alias("ll"), ids(leaf & ~low).alias("lh"), ids(~leaf & low).alias("bl"), ids(~leaf & ~low).alias("bh"))
+    joined = rows.join(own, "host", "left").join(lows, "host", "left")
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, Tree] = {}
+        as_list = lambda x: [] if x is None else list(x)
         for b in batches:
-            trees = []
-            for h, s, lo, hi in zip(b["host"], b["same"], b["low"], b["high"]):
+            trees, known = [], {}
+            for h, s, ll, lh, bl, bh in zip(b["host"], b["same"], b["ll"], b["lh"], b["bl"], b["bh"]):
                 if h not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    as_list = lambda x: [] if x is None else list(x)
-                    known[h] = Tree(shared.value.same | frozenset(as_list(s)), shared.value.low | dict.fromkeys(as_list(lo), True) | dict.fromkeys(as_list(hi), False))
+                    of = lambda yes, no: dict.fromkeys(as_list(yes), True) | dict.fromkeys(as_list(no), False)
+                    all_ = shared.value
+                    known[h] = Tree({h: set(as_list(s)), "": all_.same.get("", set())}, {"": all_.leaves.get("", {}), h: of(ll, lh)}, {h: of(bl, bh)})
                 trees.append(known[h])
-            yield cut(b["k"], b["host"], b["page"], trees)
+            yield cut(b, trees)
 
     return joined.mapInPandas(safe(run_joined), shape)
 
 
-class Tree:
-    """What is known of a host's merged pages: texts that are boilerplate, and nodes with little entropy or not."""
-
-    def __init__(self, same: frozenset[int], low: dict[int, bool]):
-        self.same, self.low = same, low
-
-    def has(self, host: str, text: str) -> bool:
-        return text_id(host, text) in self.same or text_id("", text) in self.same
-
-
 # ---------------------------------------------------------------- captured text
 
-SENTENCE = re.compile(r"(?<=[.!?…])[\"”’)]*\s+")
+SENTENCE = re.compile(r"[.!?…][\"”’)]*\s+")
 #: A beginning that never stands inside a paragraph is boilerplate of its host from this share of rows on (and so many of them), or
 #: if it mostly stands outside of the body; seldom ones are left alone.
 LINE_SHARE, LINE_ROWS, SELDOM, OUTSIDE = 0.08, 6, 3, 0.25
@@ -310,7 +377,7 @@ INNER = 0.02
 
 
 def line_start(sentence: str) -> int:
-    return xxh3_64_intdigest(" ".join(DIGITS.sub("0", w) for w in sentence.lower().split()[:3])) - (1 << 63)
+    return xxh3_64_intdigest(DIGITS.sub("0", " ".join(sentence.split(None, 3)[:3]).lower())) - (1 << 63)
 
 
 def line_label(line: str) -> int | None:
@@ -321,12 +388,22 @@ def line_label(line: str) -> int | None:
     return xxh3_64_intdigest("\x1e" + " ".join(DIGITS.sub("0", w) for w in found)) - (1 << 63) if found else None
 
 
+def sentences(line: str) -> list[str]:
+    """Sentences of a line; what closes a quotation after an end mark goes with the blank."""
+    out, last = [], 0
+    for m in SENTENCE.finditer(line):
+        out.append(line[last : m.start() + 1])
+        last = m.end()
+    out.append(line[last:])
+    return [s for s in out if s]
+
+
 def split_lines(text: str) -> list[tuple[str, list[str]]]:
     """Lines with their sentences; blank lines have none."""
     out = []
     for raw in normalize(text).split("\n"):
-        line = SPACE.sub(" ", raw).strip()
-        out.append((line, [s for s in SENTENCE.split(line) if s] if line else []))
+        line = " ".join(raw.split())
+        out.append((line, sentences(line) if line else []))
     return out
 
 
@@ -343,64 +420,77 @@ def full_paragraphs(lines: list[tuple[str, list[str]]]) -> list[int]:
     return [i for i, (line, s) in enumerate(lines) if len(s) > 1 and len(line) > 120]
 
 
-def line_tree(rows: DataFrame) -> DataFrame:
-    """start, lead, inner, inside, bare, bodies, share: over all texts, how often a beginning leads a line, stands inside one, leads
-    a line between paragraphs, leads one without end punctuation, and in how many texts; and its largest share of a host's texts.
+COUNTS = ("lead", "inner", "inside", "bare")
+
+
+def parsed_texts(rows: DataFrame, kind: str) -> DataFrame:
+    """k, host, text_id, body and two lists of every text (columns k, host, t, title, text_id), read once.
+
+    Nodes (start, lead, inner, inside, bare): how often a beginning leads a line of the text, stands inside one, leads a line between
+    paragraphs, and leads one without end punctuation. Lines (no, first, label, between) that don't repeat the title: number at
+    line feeds, beginning, label, and whether it stands between full paragraphs; only lines that are a single sentence or phrase
+    without end punctuation have a label, others have 0.
     """
 
+    def read(text: str, title: str | None) -> tuple:
+        heading = " ".join(normalize(title).split()).lower() if title else ""
+        lines = split_lines(text)
+        full = full_paragraphs(lines)
+        first, last = (full[0], full[-1]) if full else (len(lines), -1)
+        tree: dict[int, list[int]] = {}
+        shown = []
+        for i, (line, parts) in enumerate(lines):
+            if not parts:
+                continue
+            start = line_start(parts[0])
+            node = tree.setdefault(start, [0, 0, 0, 0])
+            node[0] += 1
+            node[2] += first <= i <= last
+            label = None
+            alone = bare(line, parts)
+            if alone:
+                node[3] += 1
+                if (label := line_label(line)) is not None:
+                    tree.setdefault(label, [0, 0, 0, 0])[3] += 1
+            for s in parts[1:]:
+                tree.setdefault(line_start(s), [0, 0, 0, 0])[1] += 1
+            if line.lower() == heading:
+                continue
+            if not alone:
+                shown.append((i, start, 0, False))
+            elif label is not None and not DATE.match(line):
+                shown.append((i, start, label, first < i < last))
+        # copies of an article are one text, whatever their hosts put around it
+        body = xxh3_64_intdigest("\n".join(lines[i][0] for i in full) or text) - (1 << 63)
+        return body, tree, shown
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for host, text in zip(b["host"], b["t"]):
-                lines = split_lines(text)
-                full = full_paragraphs(lines)
-                first, last = (full[0], full[-1]) if full else (len(lines), -1)
-                tree: dict[int, list[int]] = {}
-                for i, (line, sentences) in enumerate(lines):
-                    if not sentences:
-                        continue
-                    node = tree.setdefault(line_start(sentences[0]), [0, 0, 0, 0])
-                    node[0] += 1
-                    node[2] += first <= i <= last
-                    if bare(line, sentences):
-                        node[3] += 1
-                        if (label := line_label(line)) is not None:
-                            tree.setdefault(label, [0, 0, 0, 0])[3] += 1
-                    for s in sentences[1:]:
-                        tree.setdefault(line_start(s), [0, 0, 0, 0])[1] += 1
-                # copies of an article are one text, whatever their hosts put around it
-                body = xxh3_64_intdigest("\n".join(lines[i][0] for i in full) or text) - (1 << 63)
-                out += [(host, k, body, *v) for k, v in tree.items()]
-            yield pd.DataFrame(out, columns=["host", "start", "body", *counts])
-
-    counts = ["lead", "inner", "inside", "bare"]
-    grown = rows.select("host", "t").mapInPandas(safe(run), "host string, start bigint, body bigint, " + ", ".join(f"{c} int" for c in counts))
+            found = [read(t, h) for t, h in zip(b["t"], b["title"])]
+            out = b[["k", "host", "text_id"]].assign(body=pd.array([f[0] for f in found], "int64"), start=_array([list(f[1]) for f in found]))
+            for i, c in enumerate(COUNTS):
+                out[c] = _array([[v[i] for v in f[1].values()] for f in found])
+            for i, c in enumerate(("no", "first", "label")):
+                out[c] = _array([[x[i] for x in f[2]] for f in found])
+            out["between"] = pd.Series([np.array([x[3] for x in f[2]], bool) for f in found], dtype=object)
+            yield out
+
+    arrays = ", ".join(f"{c} array<bigint>" for c in ("start", *COUNTS, "no", "first", "label"))
+    return rows.mapInPandas(safe(run), f"k {kind}, host string, text_id bigint, body bigint, {arrays}, between array<boolean>")
+
+
+def line_tree(texts: DataFrame) -> DataFrame:
+    """start, lead, inner, inside, bare, bodies, share: the nodes of all texts merged, with the number of texts that hold each and its
+    largest share of a host's texts."""
+    grown = texts.select("host", "body", F.explode(F.arrays_zip("start", *COUNTS)).alias("x")).select("host", "body", "x.*")
     # parted by beginning once: what follows needs no other shuffle of it
-    grown = grown.repartition("start").groupBy("start", "host", "body").agg(*[F.max(c).alias(c) for c in counts])
+    grown = grown.repartition("start").groupBy("start", "host", "body").agg(*[F.max(c).alias(c) for c in COUNTS])
     grown = grown.withColumn("texts", F.count_if(F.col("lead") > 0).over(Window.partitionBy("start", "host")))
-    sizes = materialize(rows.groupBy("host").agg(F.countDistinct(F.xxhash64("t")).alias("size")))
+    sizes = materialize(texts.groupBy("host").agg(F.countDistinct("text_id").alias("size")))
     merged = grown.join(F.broadcast(sizes) if sizes.count() <= HELD else sizes, "host")
     merged = merged.withColumn("share", F.when(F.col("texts") >= LINE_ROWS, F.col("texts") / F.col("size")).otherwise(F.lit(0.0)))
-    once = merged.groupBy("start", "body").agg(*[F.max(c).alias(c) for c in (*counts, "share")])
-    return once.groupBy("start").agg(*[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("bodies"), F.max("share").alias("share"))
-
-
-def text_lines(text: str, title: str | None) -> list[tuple[int, int, int | None, bool]]:
-    """(number, beginning, label, between) of the lines, split at line feeds, that don't repeat the title. Only lines that are a
-    single sentence or phrase without end punctuation have a label; between: whether they stand between full paragraphs."""
-    heading = SPACE.sub(" ", normalize(title)).strip().lower() if title else ""
-    lines = split_lines(text)
-    full = full_paragraphs(lines)
-    first, last = (full[0], full[-1]) if full else (len(lines), -1)
-    out = []
-    for i, (line, s) in enumerate(lines):
-        if not s or line.lower() == heading:
-            continue
-        if not bare(line, s):
-            out.append((i, line_start(s[0]), None, False))
-        elif (label := line_label(line)) is not None and not DATE.match(line):
-            out.append((i, line_start(s[0]), label, first < i < last))
-    return out
+    once = merged.groupBy("start", "body").agg(*[F.max(c).alias(c) for c in (*COUNTS, "share")])
+    return once.groupBy("start").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count(F.lit(1)).alias("bodies"), F.max("share").alias("share"))
 
 
 def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, url: str) -> DataFrame:
@@ -414,55 +504,20 @@ def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, ur
     rows are taken each, but count once in the tree. Empty tables give an empty result.
     """
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("k"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t"), F.col(title).alias("title")).where(F.length("t") > 0)
-    rows = spread(rows)
+    rows = df.select(F.col(key).alias("k"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t"), F.col(title).alias("title"), F.xxhash64(F.col(text)).alias("text_id"))
+    texts = materialize(parsed_texts(spread(rows.where(F.length("t") > 0)), kind))
     seldom_inside = (F.col("inner") < INNER * F.col("lead")) & (F.col("lead") >= SELDOM)
     noise = seldom_inside & ((F.col("share") >= LINE_SHARE) | (F.col("inside") < OUTSIDE * F.col("lead")))
     known = (F.col("bare") > 0) & (F.col("inner") >= F.col("bare")) & (F.col("inner") >= INNER * F.col("lead"))
     label = (F.col("lead") == 0) & (F.col("bare") > 0) & (F.col("bodies") >= SELDOM)
     what = F.when(noise, "noise").when(known, "known").when(label, "label")
     times = F.when(what == "known", F.col("inner")).otherwise(F.col("bodies"))
-    nodes = materialize(line_tree(rows).select("start", what.alias("what"), times.alias("times")).where(F.col("what").isNotNull()))
-    few = nodes.count() <= HELD
-    decided = {"noise": {}, "known": {}, "label": {}}
-    for r in nodes.toLocalIterator() if few else ():
-        decided[r["what"]][r["start"]] = r["times"]
-    held = df.sparkSession.sparkContext.broadcast(decided)
-
-    def body(start: int, label: int | None, between: bool) -> bool:
-        if not few:
-            return True
-        noise, known, labels = held.value["noise"], held.value["known"], held.value["label"]
-        return start not in noise and (label is None or (between and label not in labels) or known.get(start, 0) >= max(1, labels.get(label, 0)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(k, i, s, n, x) for k, t, h in zip(b["k"], b["t"], b["title"]) for i, s, n, x in text_lines(t, h) if body(s, n, x)]
-            made = pd.DataFrame(out, columns=[key, "line_no", "start", "label", "between"])
-            yield made.assign(label=pd.array([r[3] for r in out], dtype="Int64"))  # as floats, hashes would lose digits
-
-    found = rows.select("k", "t", "title").mapInPandas(safe(run), f"{key} {kind}, line_no bigint, start bigint, label bigint, between boolean")
-    if few:
-        return found.select(key, "line_no")
-    of = lambda w, name: nodes.where(F.col("what") == w).select(F.col("start").alias(name), F.col("times").alias(f"_{w}"))
-    found = found.join(of("noise", "start"), "start", "left_anti").join(of("known", "start"), "start", "left").join(of("label", "label"), "label", "left")
-    free = F.col("between") & F.col("_label").isNull()
-    return found.where(F.col("label").isNull() | free | F.coalesce(F.col("_known") >= F.coalesce("_label", F.lit(0)), F.lit(False))).select(key, "line_no")
-
-
-# ---------------------------------------------------------------- both tables
-
-
-def decoded_pages(df: DataFrame, key: str, url: str, score: np.ndarray) -> DataFrame:
-    """key, url, page of the pages whose declared encoding gives what was written."""
-    kind = dict(df.dtypes)[key]
-    held = df.sparkSession.sparkContext.broadcast(score)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pages = [encodings.decode_page(h, e) for h, e in zip(b["html_b64"], b["encoding"])]
-            keep = [p is not None and not encodings.is_garbled(p, held.value) for p in pages]
-            yield pd.DataFrame({key: b["k"][keep], "url": b["url"][keep], "page": [p for p, ok in zip(pages, keep) if ok]})
-
-    rows = spread(df.select(F.col(key).alias("k"), F.col(url).alias("url"), "html_b64", "encoding")).where(F.length("html_b64") > 0)
-    return rows.mapInPandas(safe(run), f"{key} {kind}, url string, page string")
+    nodes = materialize(line_tree(texts).select("start", what.alias("what"), times.alias("times")).where(F.col("what").isNotNull()))
+    sized = F.broadcast if nodes.count() <= HELD else (lambda x: x)
+    begins = sized(nodes.where("what <> 'label'").select(F.col("start").alias("first"), F.col("what").alias("how"), F.col("times").alias("known")))
+    labels = sized(nodes.where("what = 'label'").select(F.col("start").alias("label"), F.col("times").alias("labels")))
+    lines = texts.select("k", F.explode(F.arrays_zip("no", "first", "label", "between")).alias("x")).select("k", "x.*")
+    lines = lines.join(begins, "first", "left").where(F.coalesce(F.col("how") != "noise", F.lit(True))).join(labels, "label", "left")
+    times = F.when(F.col("how") == "known", F.col("known")).otherwise(0)
+    body = (F.col("label") == 0) | (F.col("between") & F.col("labels").isNull()) | (times >= F.greatest(F.lit(1), F.coalesce("labels", F.lit(0))))
+    return lines.where(body).select(F.col("k").alias(key), F.col("no").alias("line_no"))

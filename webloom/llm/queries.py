@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import encodings, leakage, lines, lookalike, mainbody, neardup, packing, spam
@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line templates that cover many rows of a host."""
-    return lines.templates(table(spark, sf_dir, "corpus"), "content", "host", "url")
+    return lines.templates(table(spark, sf_dir, "corpus"), "row_id", "content", "host", "url")
 
 
 def p4_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +70,9 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("id").alias("row_id"), F.col("rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main body of every page that its declared encoding reads as it was written."""
-    pages = table(spark, sf_dir, "raw_pages")
-    return mainbody.page_main_body(mainbody.decoded_pages(pages, "rec_id", "url", _pair_scores(spark, sf_dir)), "rec_id", "url", "page")
+def _page_bodies(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
+    """Main body of every (wanted) page that its declared encoding reads as it was written."""
+    return mainbody.page_main_body(table(spark, sf_dir, "raw_pages"), "rec_id", "url", _pair_scores(spark, sf_dir), wanted)
 
 
 def _text_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +81,7 @@ def _text_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main body of corpus rows, by line, and of article pages, by piece."""
-    articles = table(spark, sf_dir, "raw_pages").where((F.col("kind") == "article") & (F.col("status") < 400)).select("rec_id")
-    pieces = _page_bodies(spark, sf_dir).join(articles, "rec_id", "left_semi")
+    pieces = _page_bodies(spark, sf_dir, F.coalesce((F.col("kind") == "article") & (F.col("status") < 400), F.lit(False)))
     rows = _text_bodies(spark, sf_dir).select(F.lit("corpus").alias("tbl"), F.col("row_id").alias("row_key"), F.col("line_no").cast("string").alias("par_key"))
     return rows.unionByName(pieces.select(F.lit("raw_pages").alias("tbl"), F.col("rec_id").alias("row_key"), F.md5(F.encode("text", "UTF-8")).alias("par_key")))
 
