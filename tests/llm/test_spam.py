@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,3 +68,28 @@ def test_table(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("spam_share", F.lit("x")).withColumn("t", F.lit(1))
     assert sorted(r["doc_id"] or 0 for r in S.find_spam(df, "doc_id").collect()) == [0, 1, 1, 5]
     assert S.measure_pages(df, "doc_id").count() == 7 and S.find_spam(df.limit(0), "doc_id").count() == 0
+
+
+def test_the_screen_never_hides_a_share():
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(40)] + ["12", "mortgage", "cheap"]
+    texts = ["", None, "...", "a" * 5, "mortgage " + " mortgage ".join(f"{a}{b}q" for a in "abcdefghij" for b in "klmnopqrst")]
+    for _ in range(300):
+        words = rng.choices(vocabulary, [1] * 42 + [rng.randint(1, 60)], k=rng.randint(1, 120))
+        texts.append("".join(w + rng.choice([" "] * 9 + [". ", "\n", ", ", " #t "]) for w in words))
+    assert list(S.measured(texts)) == [S.measure(t) for t in texts]
+    assert S.measure(texts[4])["spam_share"] == 1.0
+
+
+def test_long_pages_are_measured_by_pairs(monkeypatch):
+    text = "buy cheap shoes here now " * 60 + "A quiet sentence about the river. " * 2
+    one = S.measure(text)
+    monkeypatch.setattr(S, "AUTOMATON_WORDS", 10)
+    assert S.measure(text) == one and one["stuffed_share"] > 0.8
+
+
+def test_unclosed_links_take_linear_time():
+    begun = time.time()
+    for text in ("<a href=x>" * 60_000, "[" * 300_000, "<a " * 100_000, "<a href=x>y</a>" * 20_000):
+        S.measure(text)
+    assert time.time() - begun < 20
