@@ -37,6 +37,32 @@ def test_pairs_equal_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == brute(rows, words, threshold)
 
 
+def test_low_thresholds_equal_brute_force(spark):
+    rows = texts(3)
+    df = spark.createDataFrame(rows, "row_id bigint, content string").repartition(4)
+    for threshold in (0.6, 0.4):
+        got = {(r["a"], r["b"]) for r in N.duplicate_pairs(df, "row_id", "content", 3, threshold).collect()}
+        assert got == brute(rows, 3, threshold)
+
+
+def test_hot_lists_are_joined_in_blocks(spark, monkeypatch):
+    rows = texts(4)
+    df = spark.createDataFrame(rows, "row_id bigint, content string").repartition(4)
+    monkeypatch.setattr(N, "BLOCK", 2)
+    assert {(r["a"], r["b"]) for r in N.duplicate_pairs(df, "row_id", "content", 3, 0.7).collect()} == brute(rows, 3, 0.7)
+
+
+def test_keys_miss_hardly_any_pair():
+    rng = random.Random(1)
+    for threshold in (0.8, 0.7, 0.55, 0.3):
+        groups = N.key_groups(threshold)
+        run, share = groups[2][:2]
+        assert N.miss_chance(threshold, run, share) < N.MISS
+        trials = [[rng.random() < threshold for _ in range(N.K)] for _ in range(400)]
+        missed = sum(not any(all(t[i : i + run]) and rng.random() < share for i in range(N.K - run + 1)) for t in trials)
+        assert missed <= 3
+
+
 def test_classes_keep_copies_apart_from_links(spark):
     rows = [(i, "one two three four five six") for i in range(200)] + [(900, "one two three four five six seven"), (901, None), (902, ""), (903, "short"), (None, "one two three four five six")]
     df = spark.createDataFrame(rows, "id bigint, t string").withColumn("rep", F.lit(1)).withColumn("n", F.lit("x"))

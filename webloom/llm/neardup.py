@@ -3,19 +3,22 @@
 Every text becomes the set of its word shingles under one hash function; rows with equal sets form a class with one
 representative. The bottom-k sketch of a set holds its k smallest hashes. Inverted lists are kept for short runs of
 neighbouring retained values: two sets share such a run wherever neighbours in the sketch of their union lie in both, so
-the lists of runs are as complete as those of single values but far shorter, and a common shingle makes no hot list. Pairs
-from the lists pass a filter by the similarity estimated from the sketch of their union; exact Jaccard similarity over the
-whole sets verifies what is left.
+the lists of runs are nearly as complete as those of single values but far shorter. Lists carry a fingerprint of each set,
+so that most pairs fall where they are made; lists of very many sets are joined block by block. Pairs from the lists pass a
+filter by the similarity estimated from the sketch of their union; exact Jaccard similarity over the whole sets verifies
+what is left.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -23,16 +26,14 @@ from webloom.functions.frames import safe
 from webloom.plans.session import materialize, spread
 
 WORD = re.compile(r"[^\W_]+")
-#: Size of a sketch, bytes kept of a retained value (its leading ones), and the length of the runs that key the lists.
-K, BYTES, RUN = 80, 5, 4
-#: Lists that two sets must share. Were neighbours in the sketch of a union independent, two sets of similarity 0.7 would
-#: share fewer with a chance of 0.0003, sets of 0.75 or more with one below 0.00002.
-SHARED = 2
-#: Shorter runs key smaller sets, whose union has fewer neighbours: (length of the run, sets it is for). A run of two alone
-#: is enough for the smallest: wherever more than half of a union is shared, two neighbours are.
-SHORT_RUNS = ((2, 0, 40), (3, 40, K))
-#: Sets that one of another size group may resemble are keyed with that group too: down or up to this ratio.
-RATIO = 0.7
+#: Size of a sketch, and bytes kept of a retained value (its leading ones).
+K, BYTES = 80, 5
+#: Chance of a miss, at the threshold, that the choice of keys may have where neighbours in the sketch of a union are independent.
+MISS = 0.0005
+#: Sets of so many shingles or fewer lie in their sketch whole and have shorter runs.
+SMALL = 40
+#: Members of a list from which it is joined block by block, and keyed rows that a task of the join holds.
+BLOCK, ROWS_A_TASK = 2000, 400_000
 #: Bits of the fingerprint of a set: one for each bin of its hashes, from the smallest in the bin.
 BITS = 128
 #: Standard deviations that the filters by estimated similarity leave as a margin.
@@ -106,31 +107,69 @@ def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
     return spread(rows).mapInPandas(safe(run), "id bigint, n bigint, set_hash bigint, f1 bigint, f2 bigint, sketch binary")
 
 
-def run_keys(s: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the lists that a set of n shingles with the retained values s stands in."""
+def miss_chance(p: float, run: int, kept: float, size: int = K) -> float:
+    """Chance that of so many independent neighbours, each shared with probability p, no run is shared whose key is kept."""
+    state = np.zeros(run + 1)  # chance by the length of the shared stretch so far, nothing found yet
+    state[0] = 1.0
+    for _ in range(size):
+        new = np.zeros(run + 1)
+        new[0] = state.sum() * (1 - p)
+        new[1:] = state[:-1] * p
+        new[run] += state[run] * p
+        new[run] *= 1 - kept
+        state = new
+    return float(state.sum())
+
+
+@lru_cache(maxsize=64)
+def key_groups(threshold: float) -> tuple[tuple[int, float, float, float], ...]:
+    """(length of the runs, share of their keys that is kept, least and greatest set they are for): the longest runs and the smallest share
+    that keep the chance of a miss below MISS. Below 0.5 single values are keys, so that sets in their sketches whole are
+    never missed."""
+    long, share = next(((r, s) for r, s in ((3, 0.5), (3, 1.0), (2, 0.5), (2, 1.0), (1, 0.5)) if miss_chance(threshold, r, s) < MISS), (1, 1.0))
+    # wherever more than half of a union is shared, two neighbours are
+    return ((2 if threshold > 0.5 else 1, 1.0, 0, SMALL), (min(long, 2 + (threshold >= 0.7)) if threshold > 0.5 else 1, 1.0, SMALL, K), (long, share, K, math.inf))
+
+
+def run_keys(s: np.ndarray, n: int, threshold: float) -> np.ndarray:
+    """Keys of the lists that a set of n shingles with the retained values s stands in; sets that one of another size group may
+    resemble are keyed with that group too."""
     own = [np.empty(0, np.uint64)]
-    groups = [g for g in SHORT_RUNS if g[1] * RATIO < n <= g[2] / RATIO] + [(RUN, K, n)] * (n > K * RATIO)
-    for run, *_ in groups:
-        if len(s) >= run:
+    for g, (run, share, least, most) in enumerate(key_groups(threshold)):
+        if least * threshold < n <= most / threshold and len(s) >= run:
             x = s[: len(s) - run + 1]
             for j in range(1, run):
                 x = mix(x) + s[j : len(s) - run + 1 + j]
-            own += [mix(x + np.uint64(run))] + [mix(x + np.uint64(64 + run))] * (run < SHARED + 1)
+            x = mix(x + np.uint64(8 * g + run))
+            own.append(x if share == 1 else x[x < np.uint64(int(share * 2**64))])
     return np.concatenate(own).view(np.int64)
 
 
-def _keys(reps: DataFrame) -> DataFrame:
-    """key, id, n: the lists of every sketch."""
+def _keys(reps: DataFrame, threshold: float) -> DataFrame:
+    """key, id, n, f1, f2: the lists of every sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keys = [run_keys(unpack_sketch(raw), n) for n, raw in zip(b["n"], b["sketch"])]
-            sizes = [len(k) for k in keys]
-            yield pd.DataFrame(
-                {"key": np.concatenate(keys) if keys else np.empty(0, np.int64), "id": np.repeat(b["id"].to_numpy(), sizes), "n": np.repeat(b["n"].to_numpy(), sizes)}
-            )
+            keys = [run_keys(unpack_sketch(raw), n, threshold) for n, raw in zip(b["n"], b["sketch"])]
+            rows = np.repeat(np.arange(len(b)), [len(k) for k in keys])
+            yield b[["id", "n", "f1", "f2"]].iloc[rows].assign(key=np.concatenate(keys) if keys else np.empty(0, np.int64))
 
-    return reps.select("id", "n", "sketch").mapInPandas(safe(run), "key bigint, id bigint, n bigint")
+    return reps.select("id", "n", "f1", "f2", "sketch").mapInPandas(safe(run), "id bigint, n int, f1 bigint, f2 bigint, key bigint")
+
+
+def _listed_pairs(lists: DataFrame, near: Callable[[str, str], Column], block: int) -> DataFrame:
+    """a, b (a < b) of the sets that share a list and are near; lists are parted by key already."""
+    side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "n", "f1", "f2")])
+    sized = lists.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
+    short = sized.where(F.col("size") <= block)
+    pairs = side(short, "a").join(side(short, "b"), "key").where(F.col("ida") < F.col("idb"))
+    pairs = pairs.where(near("a", "b")).select(F.col("ida").alias("a"), F.col("idb").alias("b"))
+    # a hot list's members are cut into blocks, and each pair of blocks is a group of its own
+    hot = sized.where(F.col("size") > block).withColumn("of", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    left = hot.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("of") - 1)).alias("j"), *[F.col(c).alias(f"{c}a") for c in ("id", "n", "f1", "f2")])
+    right = hot.select("key", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), *[F.col(c).alias(f"{c}b") for c in ("id", "n", "f1", "f2")])
+    blocks = left.join(right, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("ida") < F.col("idb"))).where(near("a", "b"))
+    return pairs.unionByName(blocks.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))).distinct()
 
 
 def estimate(a: bytes, b: bytes) -> float:
@@ -153,30 +192,25 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshol
 
     links: a, b, similarity for every pair of class representatives (a < b) whose shingle sets reach the threshold.
     members: id, rep for every row with at least one shingle; rows of one class have equal shingle sets, and the class's
-    representative is its smallest id. Rows with null ids, null or empty texts or texts of fewer words are in neither.
-    Texts are whole. Repeated rows of one id count once. Empty tables give empty results; other columns don't matter.
+    representative is its smallest id. Thresholds lie in (0, 1]. Rows with null ids, null or empty texts or texts of fewer words are in neither.
+    Any threshold in (0, 1] will do. Texts are whole. Repeated rows of one id count once. Empty tables give empty results; other columns don't matter.
     """
-    if threshold < RATIO:
-        raise ValueError(f"sets of a similarity below {RATIO} aren't all found")
     rows = materialize(_sketches(df, key, text, words))
     classes = materialize(rows.groupBy("set_hash").agg(F.min("id").alias("rep")))
     members = materialize(rows.select("id", "set_hash").dropDuplicates(["id"]).join(classes, "set_hash").select("id", "rep"))
     others = members.where("id != rep").select("id")
     reps = rows.join(others, "id", "left_anti")
 
-    lists = _keys(reps)
-    left, right = lists.select("key", F.col("id").alias("a"), F.col("n").alias("na")), lists.select("key", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near_size = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & near_size)
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= SHARED).select("a", "b")
-
-    # fingerprints first: they are as small as the pairs
     p = (1 + threshold) / 2
     most = BITS * (1 - p) + MARGIN * (BITS * p * (1 - p)) ** 0.5
-    prints = rows.select("id", "f1", "f2")
-    pairs = pairs.join(prints.toDF("a", "a1", "a2"), "a").join(prints.toDF("b", "b1", "b2"), "b")
-    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    pairs = materialize(pairs.where(apart <= most).select("a", "b").distinct())
+
+    def near(x: str, y: str) -> Column:
+        n, m = F.col(f"n{x}"), F.col(f"n{y}")
+        apart = F.bit_count(F.col(f"f1{x}").bitwiseXOR(F.col(f"f1{y}"))) + F.bit_count(F.col(f"f2{x}").bitwiseXOR(F.col(f"f2{y}")))
+        return (n >= threshold * m) & (m >= threshold * n) & (apart <= most)
+
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() * K // (2 * ROWS_A_TASK)))
+    pairs = materialize(_listed_pairs(_keys(reps, threshold).repartition(tasks, "key"), near, BLOCK))
 
     least = threshold - MARGIN * (threshold * (1 - threshold) / K) ** 0.5
 
