@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -71,19 +72,25 @@ def same_article(a: Column, b: Column) -> Column:
     return (a != 0) & (b != 0) & (distance(a, b) <= CLOSE)
 
 
+#: First bit and width of the blocks a signature is cut into, and how many of them two signatures within CLOSE bits have in common.
+BLOCKS, SAME_BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)), 3
+
+
 def near_pairs(df: DataFrame, key: str, sig: str) -> DataFrame:
     """key_a, key_b, bits (key_a < key_b) of all texts within three bits.
 
-    Of four bands of 16 bits one is equal in every such pair. Rows with equal signatures form one class: pairs are made between
-    classes, by one band's list only, and lead to their smallest keys; keys of one class are joined to its smallest. 0 and
-    null never match.
+    Three bits spoil at most three of six blocks, so two such signatures agree in three: lists are keyed by every choice of three
+    blocks, 31 to 33 bits, and hold next to nothing but what is near. Rows with equal signatures form one class: pairs are made
+    between classes and lead to their smallest keys; keys of one class are joined to its smallest. 0 and null never match.
     """
     own = materialize(df.select(F.col(key).alias("k"), F.col(sig).alias("s"))).where(F.coalesce("s", F.lit(0)) != 0)
     classes = own.groupBy("s").agg(F.min("k").alias("rep"))
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("s", 16 * i).bitwiseAND(F.lit(0xFFFF)).alias("v")) for i in range(4)]))
-    lists = classes.select("rep", "s", band.alias("b"))
-    a, b = lists.toDF("key_a", "sa", "b"), lists.toDF("key_b", "sb", "b")
-    pairs = a.join(b, "b").where((F.col("key_a") < F.col("key_b")) & (distance(F.col("sa"), F.col("sb")) <= CLOSE))
-    between = pairs.select("key_a", "key_b", distance(F.col("sa"), F.col("sb")).cast("int").alias("bits")).distinct()
+    masks = [sum(((1 << w) - 1) << at for at, w in some) for some in combinations(BLOCKS, SAME_BLOCKS)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    table = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("s").bitwiseAND(F.lit(m).cast("bigint")).alias("v")) for i, m in enumerate(signed)]))
+    lists = classes.select("rep", "s", table.alias("b"))
+    a, b = lists.toDF("ka", "sa", "b"), lists.toDF("kb", "sb", "b")
+    pairs = a.join(b, "b").where((F.col("ka") < F.col("kb")) & (distance(F.col("sa"), F.col("sb")) <= CLOSE))
+    between = pairs.select(F.col("ka").alias("key_a"), F.col("kb").alias("key_b"), distance(F.col("sa"), F.col("sb")).cast("int").alias("bits")).distinct()
     within = own.join(classes, "s").where("k != rep").select(F.col("rep").alias("key_a"), F.col("k").alias("key_b"), F.lit(0).alias("bits"))
     return between.unionByName(within)

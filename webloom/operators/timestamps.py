@@ -27,6 +27,8 @@ SWITCH = 1.0
 #: Cost of a jump back in time: per natural logarithm of (1 + days back).
 BACK = 1.0
 DAY = 86_400_000_000
+#: Rows that a range has on average, whatever the data's size: what one task holds.
+ROWS_A_RANGE = 50_000
 
 
 def step_cost(fmt_a: str, at_a: int, fmt_b: str, at_b: int) -> float:
@@ -140,9 +142,9 @@ def normalize_timestamps(corpus: DataFrame, sites: DataFrame) -> DataFrame:
     without a known site it has no clock, so only values with a zone name a moment there. Null received_at comes first
     in a source's order; ties are ordered by row_id. Repeated rows are kept; an empty table gives an empty result.
     """
-    ranged = materialize(
-        readings(corpus, sites).repartitionByRange("source", "received_us", "row_id").withColumn("part", F.spark_partition_id())
-    )
+    read = materialize(readings(corpus, sites))  # choosing the ranges looks at it twice
+    parts = max(1, -(-read.count() // ROWS_A_RANGE))
+    ranged = materialize(read.repartitionByRange(parts, "source", "received_us", "row_id").withColumn("part", F.spark_partition_id()))
     ends = "source string, part int, begins_us bigint, begins_id bigint, fmts_a array<string>, ats_a array<bigint>, fmts_b array<string>, ats_b array<bigint>, costs array<array<double>>"
     solved = ranged.groupBy("source", "part").applyInPandas(_range_costs, ends)
     picked = solved.groupBy("source").applyInPandas(_choose_ends, "source string, part int, first_k int, last_k int")

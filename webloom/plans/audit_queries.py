@@ -180,6 +180,18 @@ def sql_kind(u: str) -> str:
     return f"case {sql_page(u, 'kind')} when regexp_matches({sql_path(u)}, '-\\d+\\.html$') then 'article' when ends_with({sql_path(u)}, '/') then 'listing' else 'other' end"
 
 
+def _walk_sql() -> str:
+    """Rounds of the walk, each behind what the rounds before it have queued."""
+    edges = f"e as (select {sql_norm('src')} as src, dst from links)"
+    parts = [f"q0 as (select distinct url, {sql_key('url')} as key, 0 as depth, 'seed' as via from (select {sql_norm('url')} as url from raw_pages where kind = 'listing') where url is not null)"]
+    for d in range(1, L.MAX_DEPTH + 1):
+        found = f"select {sql_norm('dst')} as url, {d} as depth, q.url as via, dst as ord from q{d - 1} q join e on e.src = q.url"
+        best = f"select {sql_key('url')} as key, min((ord, url, via)) as m from ({found}) where url is not null and {sql_scope('url', HOME, True)} group by 1"
+        known = " union all ".join(f"select key from q{k}" for k in range(d))
+        parts.append(f"q{d} as (select m[2] as url, key, {d} as depth, m[3] as via from ({best}) where key not in ({known}))")
+    return f"with {edges}, {', '.join(parts)} " + " union all ".join(f"select * from q{k}" for k in range(L.MAX_DEPTH + 1))
+
+
 R = f"r as (select {sql_norm('url')} as url, html_b64, status, kind, fetched_at from raw_pages)"
 K = f"k as (select url from (select {sql_norm('dst')} as url from links) where url is not null)"
 FAMILY = f"({sql_host('url')} = '{HOME}' or ends_with({sql_host('url')}, '.{HOME}'))"
@@ -215,6 +227,12 @@ SQL = {
     "visited_split": f"with {K} select distinct url, case when regexp_matches({sql_path('url')}, '{U.ASSET}') then 'asset' else 'page' end as what from k where {FAMILY}",
     "pagination": f"with {R}, {K}, p as (select case {sql_page('url', 'template')} end as template, {STEM} as stem, case {sql_page('url', 'n')} end as n from (select url from r union all select url from k)), t as (select template, stem, max(n) as top from p where template is not null group by template, stem)"
     " select template, stem, n, replace(template, '{n}', cast(n as varchar)) as url from (select template, stem, unnest(range(2, least(top, 400) + 1)) as n from t where top >= 2)",
+    "frontier_walk": _walk_sql(),
+    "crawl_pacing": f"with r as (select {sql_host('url')} as host, rec_id, case when status = 503 then 429 else status end as status from raw_pages), l as (select host, list(rec_id order by rec_id) as ords, list(coalesce(status, 999) order by rec_id) as s from r group by host),"
+    " f as (select host, ords, list_reduce(list_transform(s, lambda x: {'status': x, 'delay': 2.5::double, 'good': 0, 'out': []::double[]}), lambda a, x: case when x.status = 429 then {'status': 0, 'delay': least(a.delay * 1.5, 30.0::double), 'good': 0, 'out': list_append(a.out, least(a.delay * 1.5, 30.0::double))}"
+    " when x.status < 400 and a.good = 24 then {'status': 0, 'delay': greatest(a.delay * 0.9, 2.5::double), 'good': 0, 'out': list_append(a.out, greatest(a.delay * 0.9, 2.5::double))}"
+    " when x.status < 400 then {'status': 0, 'delay': a.delay, 'good': a.good + 1, 'out': list_append(a.out, a.delay)} else {'status': 0, 'delay': a.delay, 'good': a.good, 'out': list_append(a.out, a.delay)} end,"
+    " {'status': 0, 'delay': 2.5::double, 'good': 0, 'out': []::double[]}) as f from l) select host, unnest(ords) as ord, unnest(f.out) as delay from f",
     "recent_listing": "with c as (select source as page_url, doc_id as pos, strftime(fetched_at, '%Y-%m-%d') as date from documents where source is not null and fetched_at is not null), w as (select *, lag(date) over (partition by page_url order by pos) as before from c)"
     " select *, monotonic and first_old is not null as stop from (select page_url, count(*) filter (date between '2020-01-01' and '2023-12-31') as matched, count(*) filter (date > '2023-12-31') as future, coalesce(bool_and(before is null or date <= before), true) as monotonic,"
     " min(pos) filter (date < '2020-01-01') as first_old from w group by page_url)",

