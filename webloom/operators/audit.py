@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions import articles
 from webloom.functions import urls as U
+from webloom.functions.frames import safe
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""
 SRC = r"""(?i)<(?:img|script|iframe|source)\s[^>]*?src\s*=\s*["']?([^"'\s>]+)"""
@@ -115,28 +120,45 @@ def grep(df: DataFrame, text: str, needle: str) -> DataFrame:
 
 # ---------------------------------------------------------------- article export
 
-ARTICLE_COLUMNS = ("article_id", "url", "title", "published_at", "author", "cited_source", "section", "lang", "word_count", "lastmod")
+ARTICLE = (
+    "id string, url string, lang string, title string, section string, breadcrumb array<string>, author string, published_at string, modified_at string, summary string, content string, word_count bigint,"
+    " thumbnail string, images array<string>, attachments array<string>, crawled_at string, source string"
+)
+
 
+def article_rows(pages: DataFrame, home: str) -> DataFrame:
+    """The 17 fields of every page (columns url, norm, page; fetched_at if there is one) for CSV and JSON lines."""
+    at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("string")
 
-def article_rows(pages: DataFrame, lastmod: DataFrame | None = None) -> DataFrame:
-    """Flat rows for CSV and JSON lines, with lastmod of a sitemap where it has the URL."""
-    rows = pages.select(
-        U.art_id(F.col("norm")).alias("article_id"), F.col("norm").alias("url"), "title", "published_at", "author", "cited_source", "section", U.lang_of(F.col("norm")).alias("lang"), "word_count"
-    )
-    if lastmod is None:
-        return rows.withColumn("lastmod", F.lit(None).cast("string"))
-    return rows.join(lastmod.select("url", "lastmod").dropDuplicates(["url"]), "url", "left").select(*ARTICLE_COLUMNS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([articles.article(p, u or "", home, t) for u, p, t in zip(b["u"], b["page"], b["t"])], columns=articles.FIELDS)
 
+    return pages.select(F.coalesce("norm", "url").alias("u"), "page", at.alias("t")).mapInPandas(safe(run), ARTICLE)
 
-CARD = r"""(?s)<li[^>]*>\s*(?:<a\s[^>]*href\s*=\s*["']?([^"'\s>]+)["']?[^>]*>(.*?)</a>)(.*?)(?=<li|</ul|</li|$)"""
+
+def export_rows(rows: DataFrame, cards: DataFrame) -> DataFrame:
+    """The 13 columns of the CSV: articles with their cards' views, and their thumbnails and dates where the page has none."""
+    own = first_cards(cards).select(F.col("url").alias("_url"), "views", F.col("thumbnail").alias("_thumb"), F.col("date").alias("_date"))
+    joined = rows.join(own, F.col("url") == F.col("_url"), "left").withColumns({"thumbnail": F.coalesce("thumbnail", "_thumb"), "published_at": F.coalesce("published_at", "_date")})
+    return joined.select(*articles.CSV)
 
 
 def listing_cards(pages: DataFrame) -> DataFrame:
-    """page_url, pos, url, title, date of the cards on listing pages (columns url, page)."""
-    cards = pages.select(F.col("url").alias("page_url"), F.posexplode(F.regexp_extract_all("page", F.lit(CARD), F.lit(0))).alias("pos", "card"))
-    g = lambda k: F.regexp_extract("card", CARD, k)
-    title = F.trim(F.regexp_replace(F.regexp_replace(g(2), "<[^>]+>", " "), r"\s+", " "))
-    return cards.select("page_url", "pos", U.resolved(g(1), F.col("page_url")).alias("url"), title.alias("title"), F.regexp_extract(g(3), r"(\d{1,2}/\d{1,2}/\d{4})", 1).alias("date"))
+    """page_url, pos, url, title, date, views, thumbnail of the cards on listing pages (columns url, page), each URL once a page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(u, i, *c.values()) for u, p in zip(b["url"], b["page"]) for i, c in enumerate(articles.cards(p, u or ""))]
+            yield pd.DataFrame(out, columns=["page_url", "pos", "url", "title", "date", "views", "thumbnail"]).astype({"views": "Int64"})
+
+    return pages.select("url", "page").mapInPandas(safe(run), "page_url string, pos int, url string, title string, date string, views bigint, thumbnail string")
+
+
+def first_cards(cards: DataFrame) -> DataFrame:
+    """One card for each URL: the first by listing page and place."""
+    rest = [c for c in cards.columns if c not in ("page_url", "pos", "url")]
+    return cards.groupBy("url").agg(F.min_by(F.struct("page_url", "pos", *rest), F.struct("page_url", "pos")).alias("c")).select("url", "c.*")
 
 
 def candidates(listed: DataFrame, seen: DataFrame, since: str, limit: int) -> DataFrame:

@@ -81,8 +81,10 @@ def subdomains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_rows(spark: SparkSession, d: str) -> DataFrame:
-    pages = X.extract_pages(X.decoded(X.first_per_url(raw(spark, d))), HOME)
-    return A.article_rows(pages)
+    """Rows of the article export for every article page, with the views of its listing's card."""
+    first = X.first_per_url(raw(spark, d))
+    pages = X.decoded(first.where("kind = 'article'")).join(first.select("rec_id", "fetched_at"), "rec_id")
+    return A.export_rows(A.article_rows(pages, HOME), listing_cards(spark, d))
 
 
 def listing_cards(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from webloom.plans import audit_queries, general, index_queries, record_queries, url_queries
+from webloom.plans import audit_queries, built_queries, general, index_queries, record_queries, url_queries
 
-MODULES = [general, url_queries, record_queries, index_queries, audit_queries]
+MODULES = [general, url_queries, record_queries, index_queries, audit_queries, built_queries]
 
 
 def queries() -> dict:
