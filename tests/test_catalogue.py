@@ -29,5 +29,6 @@ def test_runs(spark, data, name):
 def test_entry_has_rows(spark, data):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() >= 0
+    found = __spark_entry__.entry(spark).collect()
+    assert found and found == sorted(found, key=lambda r: (-r["score"], r["url"], r["id"]))
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -47,6 +47,6 @@ def test_one_page_again(spark):
 
 def test_index_source(spark):
     some, none = spark.range(1), spark.range(0)
-    assert P.index_source(some, some) == "records" and P.index_source(none, some) == "raw" and P.index_source(none, some, "records") == "records"
+    assert P.index_source(some) == "records" and P.index_source(none) == P.index_source(None) == "raw" and P.index_source(none, "records") == "records"
     with pytest.raises(ValueError):
-        P.index_source(some, some, "x")
+        P.index_source(some, "x")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
@@ -105,6 +105,52 @@ def recent_listing(cards: DataFrame, since: str, until: str) -> DataFrame:
     ).withColumn("stop", F.col("monotonic") & F.col("first_old").isNotNull())
 
 
+def recent_links(cards: DataFrame, since: str, until: str) -> DataFrame:
+    """listing, page_no, pos, url, date of the dated links between two days, of the pages that a walk of each listing reads.
+
+    cards: listing, page_no, pos, url, date (YYYY-MM-DD or ''). On a page whose dates never rise the walk ends at the first card older
+    than since, and with it the listing's; other pages are read to their end.
+    """
+    pages = recent_listing(cards.withColumn("page_url", F.struct("listing", "page_no")), since, until).select("page_url.*", "stop", "first_old")
+    ends = pages.where("stop").groupBy("listing").agg(F.min("page_no").alias("end"))
+    rows = cards.join(pages, ["listing", "page_no"]).join(ends, "listing", "left").where(F.col("end").isNull() | (F.col("page_no") <= F.col("end")))
+    read = ~F.col("stop") | (F.col("pos") < F.col("first_old"))
+    return rows.where(F.col("date").between(since, until) & read).select("listing", "page_no", "pos", "url", "date")
+
+
+def queue_recent(matched: DataFrame, queued: DataFrame, home: str, max_pages: int | None = None) -> DataFrame:
+    """url, key, depth, via, front of the matched links that join the queue before everything else: the newest first, at most max_pages
+    of them; links already queued, aliases of queued articles and links out of scope are left out."""
+    newest = matched.groupBy("url").agg(F.max("date").alias("date"))
+    if max_pages is not None:
+        newest = newest.orderBy(F.col("date").desc(), "url").limit(max_pages)
+    found = newest.select("url", F.lit(1).alias("depth"), F.lit("recent").alias("via"), F.struct(F.datediff(F.lit("9999-12-31"), F.col("date").cast("date")), "url").alias("ord"))
+    return push(found, queued, home).withColumn("front", F.lit(True))
+
+
+def within_budget(queued: DataFrame, max_pages: int) -> DataFrame:
+    """queued with state: the first max_pages URLs by depth, articles first, then URL, are done, the others parked for a later run."""
+    order = ["depth", F.when(U.kind_of(F.col("url")) == "article", 0).otherwise(1), "url"]
+    done = queued.orderBy(*order).limit(max_pages).select("key", F.lit("done").alias("state"))
+    return queued.join(done, "key", "left").withColumn("state", F.coalesce("state", F.lit("parked")))
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Writes a crawl's state (url, key, depth, via, state) for a later run."""
+    state.select("url", "key", "depth", "via", "state").write.mode("overwrite").parquet(path)
+
+
+def resume(spark: SparkSession, path: str, extra: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(done, frontier) of a saved state; extra (url), as read from a file of URLs, joins the frontier unless it is known."""
+    state = spark.read.schema("url string, key string, depth int, via string, state string").parquet(path)
+    done, parked = state.where("state = 'done'").drop("state"), state.where("state <> 'done'").drop("state")
+    if extra is not None:
+        u = U.normalized(F.col("url"))
+        more = extra.select(u.alias("url"), F.coalesce(U.dedup_key(u), u).alias("key"), F.lit(0).alias("depth"), F.lit("file").alias("via")).where("url is not null").dropDuplicates(["key"])
+        parked = parked.unionByName(more.join(state.select("key"), "key", "left_anti").select("url", "key", "depth", "via"))
+    return done, parked
+
+
 def manifest(records: DataFrame, states: DataFrame) -> DataFrame:
     """what, n: counters of a crawl: records by kind, URLs by state."""
     a = records.groupBy(F.concat(F.lit("kind:"), F.coalesce("kind", F.lit(""))).alias("what")).agg(F.count(F.lit(1)).alias("n"))

@@ -22,6 +22,12 @@ def referrers(links: DataFrame, nav: DataFrame, targets: list[str], limit: int)
     return a.unionByName(b).orderBy(F.col("via").desc(), F.col("weight").desc_nulls_last(), "src", "text", "type").limit(limit)
 
 
+def referrer_totals(links: DataFrame, nav: DataFrame, targets: list[str]) -> DataFrame:
+    """via, n: how many template rows and content edges lead to a page in all, beyond the listed ones."""
+    count = lambda df, name: df.where(F.col("dst").isin(targets)).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("via"), "n")
+    return count(nav, "nav").unionByName(count(links, "content"))
+
+
 def out_edges(links: DataFrame, sources: list[str], known: DataFrame, limit: int) -> DataFrame:
     """Out-edges of a page, and whether their target is a known page."""
     mine = links.where(F.col("src").isin(sources)).orderBy("dst", "edge_type", "text").limit(limit)
@@ -48,6 +54,23 @@ def coverage(pages: DataFrame, fields: list[str], method: str | None = None) ->
     return out.join(counted, "host", "left")
 
 
+def overview(pages: DataFrame, links: DataFrame, nav: DataFrame, images: DataFrame, templates: DataFrame, files: DataFrame, least_pages: int = 20) -> DataFrame:
+    """what, n: rows of every table, hosts with templates and those of them with pages enough to use them, files by status, and files with text."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+    hosts = templates.groupBy("host").agg(F.max("n_pages").alias("n_pages"))
+    out = count(pages, "pages")
+    for df, name in ((links, "links"), (nav, "nav_links"), (images, "images"), (hosts, "templates"), (hosts.where(F.col("n_pages") >= least_pages), "templates_active"), (files.where(F.length("text") > 0), "documents_text")):
+        out = out.unionByName(count(df, name))
+    by = files.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("documents:"), F.coalesce("status", F.lit(""))).alias("what"), "n")
+    return out.unionByName(by)
+
+
+def images_page(images: DataFrame, is_template: bool | None, skip: int, limit: int) -> DataFrame:
+    """A page of the catalogue of images by URL: all, or those that only templates show, or the others."""
+    rows = images if is_template is None else images.where(F.col("is_template") == F.lit(is_template))
+    return page_of_rows(rows, [F.col("_id")], skip, limit)
+
+
 def with_referrer_counts(files: DataFrame, links: DataFrame) -> DataFrame:
     """Every file with the number of content edges that lead to it."""
     n = links.groupBy(F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("referrers"))

@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from webloom.functions import text as T
 from webloom.functions.hosts import url_host
 from webloom.functions.urls import dedup_key, lang_of
+from webloom.operators import extraction
+from webloom.plans.session import materialize
 
 EXTRACTOR_VERSION = "2"
 
 
-def resolve_entities(records: DataFrame, order: list[str], ok: str | None = None) -> DataFrame:
+def resolve_entities(records: DataFrame, order: list[str], ok: str | None = None, limit: int | None = None) -> DataFrame:
     """key, primary_id, primary_url, aliases: one row per article.
 
     records: rec_id, norm and the order columns. An article's key is the last path segment of its URL, else the whole URL; its
-    primary is the first record in order whose extraction went well; later records' other URLs are its aliases, in order of arrival.
+    primary is the first record in order whose extraction went well; later records' other URLs are its aliases, in order of arrival. With
+    limit a run ends after so many articles.
     """
     good = F.col(ok) if ok else F.lit(True)
     rows = records.where(F.col("norm").isNotNull()).withColumn("key", F.coalesce(dedup_key(F.col("norm")), F.col("norm"))).withColumn("o", F.struct(*order))
     primary = rows.where(good).groupBy("key").agg(F.min(F.struct("o", "rec_id", "norm")).alias("p")).select("key", "p.o", "p.rec_id", "p.norm")
     primary = primary.select("key", F.col("o").alias("first"), F.col("rec_id").alias("primary_id"), F.col("norm").alias("primary_url"))
+    if limit is not None:
+        primary = materialize(primary.orderBy("first").limit(limit))
+        last = primary.agg(F.max("first").alias("end"))
+        rows = rows.join(F.broadcast(last), F.col("o") <= F.col("end")).drop("end")  # a single row
     later = rows.join(primary, "key").where((F.col("o") > F.col("first")) & (F.col("norm") != F.col("primary_url")))
     # an article's distinct other URLs are few, whatever number of times they were fetched
     others = later.groupBy("key", "norm").agg(F.min("o").alias("o")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "norm"))).alias("a"))
@@ -72,6 +79,13 @@ def images(content: DataFrame, nav: DataFrame) -> DataFrame:
     return both.groupBy("dst").agg(F.array_sort(F.collect_set(shown)).alias("alts"), (~F.max("c")).alias("is_template")).select(F.col("dst").alias("_id"), url_host(F.col("dst")).alias("host"), "alts", "is_template")
 
 
+def skipped(records: DataFrame, order: list[str], ok: str) -> DataFrame:
+    """rec_id of the records that a run looked at in vain: not extracted, and no earlier record of their article was."""
+    rows = records.where(F.col("norm").isNotNull()).withColumn("key", F.coalesce(dedup_key(F.col("norm")), F.col("norm"))).withColumn("o", F.struct(*order))
+    first = rows.where(F.col(ok)).groupBy("key").agg(F.min("o").alias("first"))
+    return rows.where(~F.col(ok)).join(first, "key", "left").where(F.col("first").isNull() | (F.col("o") < F.col("first"))).select("rec_id")
+
+
 def counters(records: DataFrame, entities: DataFrame, content: DataFrame, nav: DataFrame, pictures: DataFrame) -> DataFrame:
     """counter, n: how many records, pages, links, template edges and images an extraction run has."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("counter"), "n")
@@ -86,6 +100,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def delete(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """old without the rows of some keys."""
+    return old.join(keys.select(key).distinct(), key, "left_anti")
+
+
 def last_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each key in order, by one aggregation; null keys are one key."""
     packed = df.groupBy(key).agg(F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("r"))).alias("m"))
@@ -113,10 +132,23 @@ def write_single(tables: dict[str, DataFrame], page: DataFrame, content: DataFra
     return tables | {"pages": upsert(tables["pages"], page, "_id"), "links": links.select(*tables["links"].columns), "images": merged.select(*tables["images"].columns), "documents": known}
 
 
-def index_source(pages: DataFrame, raw: DataFrame, source: str = "auto") -> str:
+def index_source(pages: DataFrame | None, source: str = "auto") -> str:
     """Where an index is built from: records if there are any, else the raw store; or as asked."""
     if source not in ("auto", "records", "raw"):
         raise ValueError("source is auto, records or raw")
+    if source == "records" and pages is None:
+        raise ValueError("there are no records")
     if source == "auto":
-        return "raw" if pages.isEmpty() else "records"
+        return "raw" if pages is None or pages.isEmpty() else "records"
     return source
+
+
+def index_rows(pages: DataFrame | None, raw: DataFrame, files: DataFrame | None, home: str, source: str = "auto", limit: int = 0) -> DataFrame:
+    """Index documents from page records, or from the raw store extracted anew, with the readable files of the catalogue; with limit that
+    many by URL. Ids are hashed from the URLs, so a document written again keeps its own. Batches are Spark's affair."""
+    if index_source(pages, source) == "raw":
+        found = extraction.extract_pages(extraction.decoded(extraction.first_per_url(raw)), home)
+        pages = found.select(F.col("norm").alias("_id"), "title", F.struct("text").alias("content"), "host", "section", "published_at", "author")
+    none = pages.limit(0).select(*[F.lit("").alias(c) for c in ("url", "host", "ext", "text", "status")])
+    rows = index_documents(pages, none if files is None else files).withColumn("id", F.xxhash64("url"))
+    return rows.orderBy("url").limit(limit) if limit else rows

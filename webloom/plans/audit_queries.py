@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
@@ -149,6 +149,30 @@ def recent_listing(spark: SparkSession, d: str) -> DataFrame:
     return L.recent_listing(cards, "2020-01-01", "2023-12-31")
 
 
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a source in order of their ids stand for the cards of its listing, twenty a page."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    rows = table(spark, d, "documents").where(F.col("source").isNotNull()).select(F.col("source").alias("listing"), place.cast("bigint").alias("pos"), "url", F.coalesce(F.date_format("fetched_at", "yyyy-MM-dd"), F.lit("")).alias("date"))
+    return rows.withColumn("page_no", F.floor(F.col("pos") / 20))
+
+
+def recent_links(spark: SparkSession, d: str) -> DataFrame:
+    """The links that a walk of recent listings takes."""
+    return L.recent_links(_cards(spark, d), "2020-01-01", "2023-12-31").select("listing", "page_no", "pos", "url", "date")
+
+
+def recent_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Those of them that join the front of the queue, behind what is fetched."""
+    u = U.normalized(F.col("url"))
+    queued = raw(spark, d).select(F.coalesce(U.dedup_key(u), u).alias("key")).where("key is not null")
+    return L.queue_recent(recent_links(spark, d), queued, HOME, 500).select("url", "key", "depth", "via", "front")
+
+
+def crawl_budget(spark: SparkSession, d: str) -> DataFrame:
+    """A walk of at most 100 pages: what is done and what is parked."""
+    return L.within_budget(frontier_walk(spark, d), 100).select("url", "depth", "state")
+
+
 def crawl_manifest(spark: SparkSession, d: str) -> DataFrame:
     return L.manifest(raw(spark, d), rebuilt_state(spark, d))
 
@@ -167,7 +191,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_stats, store_check, store_grep, page_hrefs, page_assets, link_assets, category_audit, rebuilt_state, fix_roots, verify_links, verify_corpus_links, all_links, subdomains, article_rows, listing_cards,
-        fetch_candidates, filled_gaps, merged_state, sorted_articles, frontier_push, frontier_walk, visited_split, pagination, crawl_pacing, recent_listing, crawl_manifest, sitemap_urls, unseen,
+        fetch_candidates, filled_gaps, merged_state, sorted_articles, frontier_push, frontier_walk, visited_split, pagination, crawl_pacing, recent_listing, recent_links, recent_queue, crawl_budget, crawl_manifest, sitemap_urls, unseen,
     )
 }
 
@@ -202,6 +226,11 @@ LISTED = f"l as (select *, {ART} as article_id from (select {sql_norm('url')} as
 STATE = f"with {R}, {K}, done as (select distinct url from r), dk as (select distinct {sql_key('url')} as key from done)"
 SQL_STATE = STATE + f" select url, 'done' as state from done union all select url, case when {sql_key('url')} in (select key from dk where key is not null) then 'alias' else 'frontier' end from (select distinct url from k) x where not exists (select 1 from done where done.url = x.url)"
 STEM = f"case {sql_page('url', 'stem')} end"
+RECENT = (
+    "with c0 as (select source as listing, row_number() over (partition by source order by doc_id) - 1 as pos, url, coalesce(strftime(fetched_at, '%Y-%m-%d'), '') as date from documents where source is not null), c as (select *, pos // 20 as page_no from c0),"
+    " b as (select *, lag(date) over (partition by listing, page_no order by pos) as before from c where date <> ''), g as (select listing, page_no, coalesce(bool_and(before is null or date <= before), true) as mono, min(pos) filter (date < '2020-01-01') as old from b group by 1, 2),"
+    " e as (select listing, min(page_no) as stop from g where mono and old is not null group by 1), m as (select c.* from c join g using (listing, page_no) left join e using (listing) where (e.stop is null or page_no <= e.stop) and date between '2020-01-01' and '2023-12-31' and (not (mono and old is not null) or pos < old))"
+)
 SQL = {
     "store_stats": "with f as (select * from raw_pages qualify row_number() over (partition by url order by store, shard, line_no, rec_id) = 1) select 'kind' as what, kind as value, count(*) as n from f group by kind union all select 'status', cast(status as varchar), count(*) from f group by status"
     " union all (select 'section', v, n from (select regexp_extract(url, '^https?://[^/]+/((?:(?:vi|en)/)?[^/?#]+)/', 1) as v, count(*) as n from f group by 1) where v <> '' order by n desc, v limit 30)"
@@ -238,6 +267,10 @@ SQL = {
     "recent_listing": "with c as (select source as page_url, doc_id as pos, strftime(fetched_at, '%Y-%m-%d') as date from documents where source is not null and fetched_at is not null), w as (select *, lag(date) over (partition by page_url order by pos) as before from c)"
     " select *, monotonic and first_old is not null as stop from (select page_url, count(*) filter (date between '2020-01-01' and '2023-12-31') as matched, count(*) filter (date > '2023-12-31') as future, coalesce(bool_and(before is null or date <= before), true) as monotonic,"
     " min(pos) filter (date < '2020-01-01') as first_old from w group by page_url)",
+    "recent_links": RECENT + " select listing, page_no, pos, url, date from m",
+    "recent_queue": RECENT + f", w as (select url, max(date) as date from m group by url order by date desc, url limit 500), f as (select {sql_norm('url')} as u, date, url as raw from w), k as (select {sql_key('u')} as key, arg_min(u, (-date_diff('day', date '1900-01-01', date::date), raw)) as url from f where u is not null and {sql_scope('u', HOME, True)} group by 1)"
+    f" select url, key, 1 as depth, 'recent' as via, true as front from k where key not in (select {sql_key('u')} from (select {sql_norm('url')} as u from raw_pages) where u is not null)",
+    "crawl_budget": f"with q as ({_walk_sql()}) select url, depth, case when row_number() over (order by depth, ({sql_kind('url')} <> 'article')::int, url) <= 100 then 'done' else 'parked' end as state from q",
     "crawl_manifest": f"select 'kind:' || coalesce(kind, '') as what, count(*) as n from raw_pages group by 1 union all select 'state:' || state, count(*) from ({SQL_STATE}) group by 1",
     "sitemap_urls": "select url as loc, nullif(coalesce(fetched_at, ''), '') as lastmod, false as is_index from raw_pages where url is not null",
     "unseen": f"with {R}, {K} select distinct url from k where url not in (select url from r where url is not null)",

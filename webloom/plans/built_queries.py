@@ -91,7 +91,21 @@ def built_articles(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "url", "lang", "title", "section", "author", "published_at", "modified_at", F.sha1(F.encode("summary", "UTF-8")).alias("summary_sha1"), F.sha1(F.encode("content", "UTF-8")).alias("content_sha1"), "word_count", "thumbnail", F.size("attachments").cast("bigint").alias("n_attachments"), F.size("images").cast("bigint").alias("n_images"), "source")
 
 
-QUERIES = {f.__name__: f for f in (built_fields, built_texts, built_edges, built_links, built_nav, built_fingerprints, built_templates, built_articles)}
+def built_hrefs(spark: SparkSession, d: str) -> DataFrame:
+    """Links that an audit reads straight from the bytes of the built pages."""
+    return A.page_links(built_pages(spark, d)).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("targets"))
+
+
+def built_assets(spark: SparkSession, d: str) -> DataFrame:
+    return A.assets(A.page_links(built_pages(spark, d)).select(F.col("dst").alias("url")), HOME)
+
+
+def built_grep(spark: SparkSession, d: str) -> DataFrame:
+    """Built pages whose decoded HTML holds a text, whatever the case."""
+    return A.grep(X.decoded(built_pages(spark, d)), "page", "Học Bổng").select("rec_id", "norm")
+
+
+QUERIES = {f.__name__: f for f in (built_fields, built_texts, built_edges, built_links, built_nav, built_fingerprints, built_templates, built_articles, built_hrefs, built_assets, built_grep)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -129,6 +143,8 @@ def _sql() -> dict[str, str]:
     first = f"{pages}, o as (select norm, min(rec_id) as rec_id from b where norm is not null group by norm), q as (select b.* from b join o using (rec_id))"
     prints = f"{first}, f as (select distinct norm, substring(sha1(regexp_replace(lower({_clean('x')}), '\\p{{Nd}}+', '0', 'g')), 1, 16) as fp from (select norm, unnest(list_append(lines, 'Foot')) as x from q))"
     edges = f"{pages}, l as (select rec_id, norm, unnest(list_filter(coalesce(outgoing_links, []), lambda l: l.url is not null)) as l from p), t as (select rec_id, norm, {sql_norm('l.url')} as dst, {_clean("coalesce(l.text, '')")} as text from l), e as (select * from t where dst is not null and dst is distinct from norm union all select rec_id, norm, {MENU}, 'Menu' from p where norm is not null and text = '')"
+    linked = "replace(replace(replace(replace(l.url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    hrefs = f"{pages}, w as (select norm, unnest(list_filter(coalesce(outgoing_links, []), lambda l: l.url is not null)) as l from b), h as (select norm as src, {sql_norm('x')} as dst from (select norm, {linked} as x from w) union all select norm, {MENU} from b where norm is not null)"
     host = f"regexp_replace({sql_host('norm')}, '^www\\.', '')"
     return {
         "built_fields": f"with {pages} select rec_id, norm, substring(title, 1, 500) as title, case when title <> '' then 'og:title' else '' end as title_src, day as published_at, 'article:published_time' as published_at_src, author, 'meta' as author_src, section from p",
@@ -137,6 +153,9 @@ def _sql() -> dict[str, str]:
         "built_links": f"with {edges} select {sql_host('norm')} as src_host, {sql_host('dst')} as dst_host, {sql_dest('dst')} as dst_kind, count(distinct (norm, dst, text)) as n from e where norm is not null group by 1, 2, 3",
         "built_nav": f"with {pages}, m as (select {host} as host, {MENU} as dst from p where norm is not null and text <> '') select host, dst, 'Menu' as text, count(*) as n_pages, any_value({sql_dest('dst')}) as dst_kind from m group by host, dst",
         "built_fingerprints": f"with {prints} select norm, count(*) as n, min(fp) as least, max(fp) as most from f group by norm",
+        "built_hrefs": f"with {hrefs} select src, count(*) as n, count(distinct dst) as targets from h where dst is not null group by src",
+        "built_assets": f"with {hrefs} select lower(regexp_extract({sql_path('dst')}, '\\.([A-Za-z0-9]{{1,8}})$', 1)) as ext, count(distinct dst) as n from h where dst is not null and ({sql_host('dst')} = '{HOME}' or ends_with({sql_host('dst')}, '.{HOME}')) and regexp_matches({sql_path('dst')}, '{U.ASSET}') group by 1",
+        "built_grep": f"with {pages} select rec_id, norm from b where contains(lower(concat_ws(' | ', title, section, author, text)), 'học bổng')",
         "built_templates": f"with {prints}, n as (select {host} as host, fp, count(*) as n from f group by 1, 2), s as (select {host} as host, count(*) as n_pages from q group by 1) select host, n_pages, fp, n from n join s using (host) where n >= greatest(3, n_pages * 0.05)",
         "built_articles": f"with {pages}, a as (select b.*, {_clean("array_to_string(list_concat(lines, " + _ANCHORS + "), ' ')")} as content from b) select coalesce(nullif(regexp_extract({sql_path('norm')}, '-(\\d+)\\.html$', 1), ''), norm, url) as id, coalesce(norm, url) as url, case when contains(coalesce(norm, url), '/en/') then 'en' else 'vi' end as lang,"
         f" title, nullif(section, '') as section, null::varchar as author, null::varchar as published_at, null::varchar as modified_at, sha1(case when length(content) > 300 then substring(content, 1, 300) || '…' else content end) as summary_sha1, sha1(content) as content_sha1, {_words('content')} as word_count, null::varchar as thumbnail,"

@@ -188,10 +188,42 @@ def coverage_of_extraction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overview(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of every table, over the tables at hand: first records as pages, links and embeds as content and template, lines as templates."""
+    links = table(spark, d, "links")
+    nav = P.nav_links(links.where("edge_type <> 'href'").select(F.col("src_host").alias("host"), "src", "dst", F.col("edge_type").alias("type"), "text", "dst_kind"))
+    return G.overview(raw(spark, d).select("url").distinct(), links.where("edge_type = 'href'"), nav, images_of_links(spark, d), line_templates(spark, d), table(spark, d, "files_ok"))
+
+
+def store_overview(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the records of an extraction."""
+    extracted = _extracted(spark, d)
+    content, nav = P.exploded_edges(extracted, "content_edges"), P.exploded_edges(extracted, "nav_edges")
+    return G.overview(_page_records(spark, d), content, P.nav_links(nav), P.images(content, nav), X.template_table(X.page_fingerprints(_pages(spark, d))), table(spark, d, "files_ok"))
+
+
+def files_by_status(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files_ok")
     return files.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") > 0).alias("with_text"), F.count_if(F.coalesce("needs_ocr", F.lit(False))).alias("needs_ocr"))
 
 
+def images_listing(spark: SparkSession, d: str) -> DataFrame:
+    return G.images_page(images_of_links(spark, d), False, 0, 50)
+
+
+def referrer_totals(spark: SparkSession, d: str) -> DataFrame:
+    links = table(spark, d, "links")
+    nav = P.nav_links(links.where("edge_type <> 'href'").select(F.col("src_host").alias("host"), "src", "dst", F.col("edge_type").alias("type"), "text", "dst_kind"))
+    return G.referrer_totals(links.where("edge_type = 'href'"), nav, [r["dst"] for r in G.top_targets(links, 1).collect()])
+
+
+def entity_counters(spark: SparkSession, d: str) -> DataFrame:
+    """A run over the raw records that ends after 50 articles: articles, aliases, and of the whole store the records looked at in vain."""
+    rows = raw(spark, d).select("rec_id", U.normalized(F.col("url")).alias("norm"), "store", "shard", "line_no", (F.coalesce("status", F.lit(0)) < 400).alias("ok"))
+    order = ["store", "shard", "line_no", "rec_id"]
+    few = P.resolve_entities(rows, order, "ok", 50).agg(F.count(F.lit(1)).alias("articles"), F.coalesce(F.sum(F.size("aliases")), F.lit(0)).cast("bigint").alias("aliases"))
+    return few.withColumn("skipped", F.lit(P.skipped(rows, order, "ok").count()))
+
+
 def files_listing(spark: SparkSession, d: str) -> DataFrame:
     files = G.with_referrer_counts(table(spark, d, "files_ok").where("status = 'ok'"), table(spark, d, "links"))
     return G.page_of_rows(files.select("file_id", "url", "host", "ext", "size", "referrers"), [F.col("url"), F.col("file_id")], 20, 100)
@@ -280,7 +312,7 @@ QUERIES = {
     for f in (
         first_records, find_record, decoded_html, leaf_fingerprints, host_templates, line_templates, active_line_templates, extract_pages, page_texts, explain_blocks, page_edges, nav_aggregate, nav_of_links, image_catalogue,
         images_of_links, entity_resolution, page_table, extract_counters, link_keys, public_links, upsert_links, canonical_urls, referrers, graph_out, graph_in_degree, dst_kind_counts, coverage_by_host,
-        coverage_of_extraction, overview, files_listing, files_referrers, catalog_files, legacy_files, download_states, document_states, index_documents, index_records, looks_blocked, corpus_violations, public_documents, record_violations, store_totals, link_violations, edges_csv,
+        coverage_of_extraction, overview, store_overview, files_by_status, images_listing, referrer_totals, entity_counters, files_listing, files_referrers, catalog_files, legacy_files, download_states, document_states, index_documents, index_records, looks_blocked, corpus_violations, public_documents, record_violations, store_totals, link_violations, edges_csv,
     )
 }
 
@@ -332,7 +364,7 @@ SQL = {
     "coverage_by_host": "select coalesce(host, '') as host, count(*) as pages, "
     + ", ".join(f"count(*) filter (coalesce({c}, '') <> '') as {c}, round(100.0 * count(*) filter (coalesce({c}, '') <> '') / count(*), 1)::double as {c}_pct" for c in ("title", "published_at", "author"))
     + " from corpus group by 1",
-    "overview": "select status, count(*) as n, count(*) filter (length(text) > 0) as with_text, count(*) filter (coalesce(needs_ocr, false)) as needs_ocr from files_ok group by status",
+    "files_by_status": "select status, count(*) as n, count(*) filter (length(text) > 0) as with_text, count(*) filter (coalesce(needs_ocr, false)) as needs_ocr from files_ok group by status",
     "files_listing": "select f.file_id, f.url, f.host, f.ext, f.size, coalesce(r.n, 0) as referrers from files_ok f left join (select dst, count(*) as n from links group by dst) r on r.dst = f.url where f.status = 'ok' order by f.url, f.file_id limit 100 offset 20",
     "files_referrers": "select f.file_id, f.url, coalesce(r.n, 0) as referrers from files_ok f left join (select dst, count(*) as n from links group by dst) r on r.dst = f.url",
     "catalog_files": f"select distinct url, {sql_host('url')} as host, {sql_ext('url')} as ext, 'pending' as status from (select dst as url from links where dst_kind = 'document' union all select url from raw_pages where html_b64 is null and regexp_matches(lower(coalesce(content_type, '')), {OFFICE}) and coalesce(status, 200) < 400)"
@@ -356,3 +388,14 @@ SQL = {
     "link_violations": "select link_id, src, rule from (select link_id, src, case when dst_kind is null or dst_kind not in ('page', 'document', 'image', 'external') then 'dst_kind' when coalesce(n_seen, 0) < 0 then 'count' end as rule from links) where rule is not null",
     "edges_csv": "select src as source, dst as target, coalesce(text, '') as text from links",
 }
+IMAGES = SQL["images_of_links"]
+SQL |= {
+    "images_listing": f"select * from ({IMAGES}) where not is_template order by _id limit 50",
+    "referrer_totals": "with t as (select dst from links group by dst order by count(*) desc, dst limit 1) select 'nav' as via, count(*) as n from (select distinct src_host, dst, edge_type, text from links where edge_type <> 'href' and dst in (select dst from t))"
+    " union all select 'content', count(*) from links where edge_type = 'href' and dst in (select dst from t)",
+    "overview": f"select 'pages' as what, (select count(*) from (select distinct url from raw_pages)) as n union all select 'links', count(*) from links where edge_type = 'href' union all select 'nav_links', count(*) from (select distinct src_host, dst, edge_type, text from links where edge_type <> 'href')"
+    f" union all select 'images', count(*) from ({IMAGES}) union all select 'templates', count(distinct host) from ({TEMPLATES}) union all select 'templates_active', count(distinct host) from ({TEMPLATES}) where n_pages >= 20"
+    " union all select 'documents_text', count(*) from files_ok where length(text) > 0 union all select 'documents:' || coalesce(status, ''), count(*) from files_ok group by 1",
+    "entity_counters": sql_entities("coalesce(status, 0) < 400") + ", few as (select * from p order by first limit 50), seen as (select * from r where o <= (select max(first) from few)), al as (select s.key, s.norm from seen s join few f using (key) where s.o > f.first and s.norm <> f.primary_url group by all)"
+    " select (select count(*) from few) as articles, (select count(*) from al) as aliases, (select count(*) from r left join p using (key) where not r.ok and (p.first is null or r.o < p.first)) as skipped",
+}

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from itertools import takewhile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.frames import safe
@@ -144,3 +144,27 @@ def pack_manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, bytes, sha256 of all files below root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def verify_pack(spark: SparkSession, root: str, manifest: DataFrame) -> DataFrame:
+    """path, state of a pack's files below root against its manifest (paths ending alike): ok, changed, missing or extra."""
+    name = lambda df: df.withColumn("name", F.regexp_extract("path", "([^/]+/[^/]+)$", 1))
+    here, told = name(pack_manifest(spark, root)).select("name", "sha256"), name(manifest).select("name", F.col("sha256").alias("told"))
+    state = F.when(F.col("told").isNull(), "extra").when(F.col("sha256").isNull(), "missing").when(F.col("told") == F.col("sha256"), "ok").otherwise("changed")
+    return here.join(told, "name", "full_outer").select(F.col("name").alias("path"), state.alias("state"))
+
+
+def split_pack(manifest: DataFrame, most_bytes: int) -> DataFrame:
+    """manifest with part: files in the order of their paths, in parts that begin anew every so many bytes."""
+    before = F.coalesce(F.sum("bytes").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a shard
+    return manifest.withColumn("part", F.floor(before / most_bytes).cast("int"))
+
+
+def import_pack(spark: SparkSession, source: str, target: str, manifest: DataFrame) -> DataFrame:
+    """Copies the shards of a verified pack below target and returns their records; a pack with missing or changed files is refused."""
+    wrong = verify_pack(spark, source, manifest).where("state in ('missing', 'changed')")
+    if not wrong.isEmpty():
+        raise ValueError(f"damaged: {[r['path'] for r in wrong.limit(5).collect()]}")
+    records = read_records(spark, source)
+    write_shards(records, target, mode="append")
+    return records
