@@ -10,6 +10,7 @@ import hashlib
 import json
 import re
 from html import unescape
+from itertools import islice
 
 from webloom.functions.urls import DOCUMENT_EXT, IMAGE_EXT, python_norm
 
@@ -36,6 +37,7 @@ ALPHA, BETA, GAMMA, DELTA = 2.0, 30.0, 1.0, 0.65
 AUTHOR_LINE = re.compile(r"^(?:Tác giả|Người viết|Tin,? ?ảnh|Bài,? ?ảnh|Tin,? ?bài|Bài viết|Ảnh)\s*[:：]\s*(.{2,80})$", re.I)
 SOURCE_LINE = re.compile(r"^(?:Nguồn\s*[:：]\s*(.{2,120})|Theo\s+(.{2,80}))$", re.I)
 NO_AUTHOR = frozenset(("admin", "administrator", "webmaster", "super user", "superuser"))
+DATED = re.compile("date|time|posted|meta")
 DATE_VN = re.compile(r"(?<!\d)(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})(?!\d)")
 DATE_ISO = re.compile(r"(\d{4})-(\d{2})-(\d{2})")
 # Folders whose images belong to the template; lengths of stored titles, texts and previews.
@@ -44,11 +46,10 @@ TITLE_CAP, TEXT_CAP, HTML_CAP = 500, 200_000, 40_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-SPACE = re.compile(r"[\s\x1c-\x1f]+")
 
 
 def clean(text: str) -> str:
-    return SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 class Page:
@@ -440,7 +441,7 @@ def date_published(page: Page, ld: list[dict], block: int) -> tuple[str, str]:
     timed = next((i for i in page.inside(0) if page.tag[i] == "time" and "datetime" in page.data[i]), None)
     if timed is not None and (day := date_of(page.attr(timed, "datetime"))):
         return day, "time"
-    named = [i for i in page.inside(0) if any(w in " ".join(page.classes(i)) for w in ("date", "time", "posted", "meta"))][:6]
+    named = list(islice((i for i in page.inside(0) if (c := page.data[i].get("class")) and DATED.search(c)), 6))
     whole = clean(page.text(block))
     for text in [*(clean(page.text(i)) for i in named), whole[:300], whole[-200:]]:
         if DATE_VN.search(text) and (day := date_of(text)):

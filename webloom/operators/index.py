@@ -26,13 +26,14 @@ STORED = "id bigint, url string, title string, text string, host string, section
 class Index:
     """docs: stored fields, chars (length of the text) and sizes (tokens of each analysed field). postings: b, field, term, id, tf, size
     (tokens of the document's field), positions; sorted by field, term and id in each file of a bucket b. terms: field, term,
-    doc_freq, total_freq.
+    doc_freq, total_freq. size: number of documents.
     """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     buckets: int
+    size: int
 
     def bucket(self, field: str, term: str) -> Column:
         """Number of the bucket that holds a term: a constant, so that only its files are opened."""
@@ -130,7 +131,8 @@ def build(docs: DataFrame, per_bucket: int = DOCS_A_BUCKET) -> Index:
         tokens.mapInArrow(run, f"{STORED}, sizes array<int>, vector array<struct<field: tinyint, term: string, positions: array<int>>>"),
         options={"parquet.bloom.filter.enabled#url": "true", "parquet.bloom.filter.expected.ndv#url": "1000000"},
     )
-    buckets = max(8, -(-stored.count() // per_bucket))
+    size = stored.count()
+    buckets = max(8, -(-size // per_bucket))
     names = F.array(*[F.lit(f) for f in ANALYSED])
     rows = stored.select("id", "sizes", F.explode("vector").alias("v")).select(
         names[F.col("v.field")].alias("field"), F.col("v.term").alias("term"), "id", F.size("v.positions").alias("tf"), F.col("sizes")[F.col("v.field")].alias("size"), F.col("v.positions").alias("positions")
@@ -138,7 +140,7 @@ def build(docs: DataFrame, per_bucket: int = DOCS_A_BUCKET) -> Index:
     rows = rows.withColumn("b", _bucket(F.col("field"), F.col("term"), buckets)).repartition(buckets * PARTS, "b", F.pmod(F.xxhash64("id"), F.lit(PARTS)))
     postings = materialize(rows.sortWithinPartitions("b", "field", "term", "id"), ["b"])
     counts = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("doc_freq"), F.sum("tf").alias("total_freq"))
-    return Index(stored.drop("vector"), postings, materialize(counts.sortWithinPartitions("field", "term")), buckets)
+    return Index(stored.drop("vector"), postings, materialize(counts.sortWithinPartitions("field", "term")), buckets, size)
 
 
 def dictionary(index: Index, field: str, start: str = "", limit: int | None = None) -> DataFrame:

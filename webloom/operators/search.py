@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -411,8 +411,8 @@ def matching(index: Index, tree: Clause, boosts: dict[str, float]) -> DataFrame:
     return gather(index, plan).where(Scorer(set(boosts), plan).clause(tree, boosts)[0]).select("id")
 
 
-def hits(index: Index, p: SearchParams) -> DataFrame:
-    """id, score of the matching documents: all terms first; only if nothing matches within the filters, at least half of them."""
+def compiled(index: Index, p: SearchParams) -> Callable[[bool], DataFrame]:
+    """found(relax): id, score of the documents within the filters that hold all terms of the query, or at least half of them."""
     p.check()
     tree = parse_query(p.q)
     names = {"title_kd", "text_kd"} if p.ranking == "tfidf" else {"title", "section", "text", "title_kd", "text_kd"}
@@ -420,11 +420,21 @@ def hits(index: Index, p: SearchParams) -> DataFrame:
     dry.whole(tree, p.ranking, False)
     plan = Plan(dry.seen)
     rows = gather(index, plan)
+    scorer = Scorer(names, plan, index.size, frequencies(index, plan, rows))
     within = rows.join(filtered(index.docs, p).select("id"), "id", "left_semi") if p.filters else rows
-    scorer = Scorer(names, plan, index.docs.count(), frequencies(index, plan, rows))
-    relax = within.where(scorer.whole(tree, p.ranking, False)[0]).isEmpty()
-    match, score = scorer.whole(tree, p.ranking, relax)
-    return within.where(match).select("id", score.alias("score"))
+
+    def found(relax: bool) -> DataFrame:
+        match, score = scorer.whole(tree, p.ranking, relax)
+        return within.where(match).select("id", score.alias("score"))
+
+    return found
+
+
+def hits(index: Index, p: SearchParams) -> DataFrame:
+    """id, score of the matching documents: all terms first; only if nothing matches within the filters, at least half of them."""
+    found = compiled(index, p)
+    strict = found(False)
+    return found(True) if strict.isEmpty() else strict
 
 
 SHOWN = ("id", "url", "host", "kind", "ftype", "date", "date_num", "chars")
@@ -432,12 +442,16 @@ SHOWN = ("id", "url", "host", "kind", "ftype", "date", "date_num", "chars")
 
 def ranked(index: Index, p: SearchParams) -> DataFrame:
     """The window of best hits; with the enhanced ranking their score is multiplied by what the document is worth by itself."""
-    found, docs = hits(index, p), index.docs.select(*SHOWN)
+    docs = index.docs.select(*SHOWN)
     if p.sort == "date":
-        return found.join(docs, "id").orderBy(F.col("date_num").desc(), "url", "id").limit(p.window)
+        return hits(index, p).join(docs, "id").orderBy(F.col("date_num").desc(), "url", "id").limit(p.window)
     # only hits as good as the window's last one meet the documents, where URLs break ties
-    least = found.select("score").orderBy(F.col("score").desc()).limit(p.window).agg(F.min("score")).first()[0]
-    best = found.where(F.col("score") >= (math.inf if least is None else least))
+    found, scores, relax = compiled(index, p), [], True
+    for relax in (False, True):
+        scores = found(relax).select("score").orderBy(F.col("score").desc()).limit(p.window).collect()  # 1000 numbers at most
+        if scores:
+            break
+    best = found(relax).where(F.col("score") >= (scores[-1]["score"] if scores else math.inf))
     top = best.join(docs, "id").orderBy(F.col("score").desc(), "url", "id").limit(p.window)
     if p.ranking == "enhanced":
         top = top.withColumn("score", F.col("score") * T.base_score(F.col("url"), F.col("chars"), F.col("date"), p.year))

@@ -9,7 +9,6 @@ from webloom.functions import text as T
 from webloom.functions.urls import file_type
 from webloom.operators import index as I
 from webloom.operators import search as S
-from webloom.operators.pipeline import last_per_key
 from webloom.plans.url_queries import SQL_BASE, sql_ext
 from webloom.plans.session import forget, spread, stored, table
 
@@ -37,11 +36,13 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _corpus(spark: SparkSession, d: str) -> DataFrame:
     """corpus as index documents, one for each URL: the last row sent."""
-    rows = table(spark, d, "corpus").select(
+    every = table(spark, d, "corpus")
+    last = every.groupBy("url").agg(F.max("row_id").alias("row_id")).select("row_id")
+    rows = spread(every.drop("outgoing_links", "received_at")).join(last, "row_id", "left_semi").select(
         F.col("row_id").alias("id"), "url", "title", F.col("content").alias("text"), "host", "section", "author", "kind", F.lit("html").alias("ftype"),
         T.date_or_empty(F.col("published_at")).alias("date"),
     )
-    return I.documents(last_per_key(rows, "url", ["id"]))
+    return I.documents(rows)
 
 
 def index_build(spark: SparkSession, d: str) -> DataFrame:

@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-def session(app: str = "webloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session with the settings the plans expect: UTC, adaptive execution, Arrow transfer."""
+def session(app: str = "webloom", master: str | None = None, shuffle_partitions: int | None = None, shared: str | None = None) -> SparkSession:
+    """A session with the settings the plans expect: UTC, adaptive execution, Arrow transfer; shared: the folder all executors share."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -22,6 +22,8 @@ def session(app: str = "webloom", master: str | None = None, shuffle_partitions:
     )
     if master:
         builder = builder.master(master)
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
