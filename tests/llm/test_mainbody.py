@@ -130,6 +130,15 @@ def test_copies_count_once(spark):
     assert all(got[i] == {0, 1, 2, 3, 4} for i in range(154, 162)) and all(got[i] == {0} for i in range(162, 170))
 
 
+def test_noise_of_one_host_stays_there(spark):
+    _, told, rows = told_rows(150)
+    p = lambda: f"{told()} {told()}"
+    led = [[p(), f"Visitors today only {told()} {told()}", p()] for _ in range(10)]  # a body line between paragraphs
+    here = [["Menu", f"Visitors today only {i}. Come again {i}.", *[p() for _ in range(3)]] for i in range(20)]
+    got = bodies(spark, [*(("h.example", x) for x in [*rows, *led]), *(("b.example", x) for x in here)])
+    assert all(1 in got[150 + i] for i in range(10)) and all(1 not in got[160 + i] for i in range(20))
+
+
 def test_broken_markup_never_fails():
     for html in ("", "<", "<p", "<div><p>a<div>b</p></div>c", "<script>x", "<!-- x", "</div></div>a", "<td>a<td>b", "<a href='x>y</a>", "<p>" * 3000 + "x", "a\x00b<br>c"):
         pieces, _ = M.parse(html)

@@ -479,18 +479,21 @@ def parsed_texts(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInPandas(safe(run), f"k {kind}, host string, text_id bigint, body bigint, {arrays}, between array<boolean>")
 
 
-def line_tree(texts: DataFrame) -> DataFrame:
-    """start, lead, inner, inside, bare, bodies, share: the nodes of all texts merged, with the number of texts that hold each and its
-    largest share of a host's texts."""
+def line_tree(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, frequent). nodes: start, lead, inner, inside, bare, bodies of all texts merged, with the number of texts that hold each.
+    frequent: start, host of those that lead lines in a large share of a host's texts (at most 1 / share times as many a host
+    as a text has lines)."""
     grown = texts.select("host", "body", F.explode(F.arrays_zip("start", *COUNTS)).alias("x")).select("host", "body", "x.*")
     # parted by beginning once: what follows needs no other shuffle of it
     grown = grown.repartition("start").groupBy("start", "host", "body").agg(*[F.max(c).alias(c) for c in COUNTS])
     grown = grown.withColumn("texts", F.count_if(F.col("lead") > 0).over(Window.partitionBy("start", "host")))
     sizes = materialize(texts.groupBy("host").agg(F.countDistinct("text_id").alias("size")))
     merged = grown.join(F.broadcast(sizes) if sizes.count() <= HELD else sizes, "host")
-    merged = merged.withColumn("share", F.when(F.col("texts") >= LINE_ROWS, F.col("texts") / F.col("size")).otherwise(F.lit(0.0)))
-    once = merged.groupBy("start", "body").agg(*[F.max(c).alias(c) for c in (*COUNTS, "share")])
-    return once.groupBy("start").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count(F.lit(1)).alias("bodies"), F.max("share").alias("share"))
+    often = (F.col("texts") >= LINE_ROWS) & (F.col("texts") >= LINE_SHARE * F.col("size"))
+    merged = materialize(merged.select("start", "host", "body", *COUNTS, often.alias("often")))
+    once = merged.groupBy("start", "body").agg(*[F.max(c).alias(c) for c in COUNTS])
+    nodes = once.groupBy("start").agg(*[F.sum(c).alias(c) for c in COUNTS], F.count(F.lit(1)).alias("bodies"))
+    return nodes, merged.where("often").select("start", "host").distinct()
 
 
 def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, url: str) -> DataFrame:
@@ -507,17 +510,21 @@ def text_main_body(df: DataFrame, key: str, text: str, title: str, host: str, ur
     rows = df.select(F.col(key).alias("k"), row_host(F.col(host), F.col(url)).alias("host"), F.col(text).alias("t"), F.col(title).alias("title"), F.xxhash64(F.col(text)).alias("text_id"))
     texts = materialize(parsed_texts(spread(rows.where(F.length("t") > 0)), kind))
     seldom_inside = (F.col("inner") < INNER * F.col("lead")) & (F.col("lead") >= SELDOM)
-    noise = seldom_inside & ((F.col("share") >= LINE_SHARE) | (F.col("inside") < OUTSIDE * F.col("lead")))
+    noise = seldom_inside & (F.col("inside") < OUTSIDE * F.col("lead"))
     known = (F.col("bare") > 0) & (F.col("inner") >= F.col("bare")) & (F.col("inner") >= INNER * F.col("lead"))
     label = (F.col("lead") == 0) & (F.col("bare") > 0) & (F.col("bodies") >= SELDOM)
     what = F.when(noise, "noise").when(known, "known").when(label, "label")
     times = F.when(what == "known", F.col("inner")).otherwise(F.col("bodies"))
-    nodes = materialize(line_tree(texts).select("start", what.alias("what"), times.alias("times")).where(F.col("what").isNotNull()))
-    sized = F.broadcast if nodes.count() <= HELD else (lambda x: x)
+    nodes, frequent = line_tree(texts)
+    # noise of some hosts only, where elsewhere the same beginning may lead lines of a body
+    frequent = materialize(frequent.join(nodes.where(seldom_inside).select("start"), "start"))
+    nodes = materialize(nodes.select("start", what.alias("what"), times.alias("times")).where(F.col("what").isNotNull()))
+    sized = F.broadcast if nodes.count() + frequent.count() <= HELD else (lambda x: x)
+    hosted = sized(frequent.select(F.col("start").alias("first"), "host"))
     begins = sized(nodes.where("what <> 'label'").select(F.col("start").alias("first"), F.col("what").alias("how"), F.col("times").alias("known")))
     labels = sized(nodes.where("what = 'label'").select(F.col("start").alias("label"), F.col("times").alias("labels")))
-    lines = texts.select("k", F.explode(F.arrays_zip("no", "first", "label", "between")).alias("x")).select("k", "x.*")
-    lines = lines.join(begins, "first", "left").where(F.coalesce(F.col("how") != "noise", F.lit(True))).join(labels, "label", "left")
+    lines = texts.select("k", "host", F.explode(F.arrays_zip("no", "first", "label", "between")).alias("x")).select("k", "host", "x.*")
+    lines = lines.join(hosted, ["host", "first"], "left_anti").join(begins, "first", "left").where(F.coalesce(F.col("how") != "noise", F.lit(True))).join(labels, "label", "left")
     times = F.when(F.col("how") == "known", F.col("known")).otherwise(0)
     body = (F.col("label") == 0) | (F.col("between") & F.col("labels").isNull()) | (times >= F.greatest(F.lit(1), F.coalesce("labels", F.lit(0))))
     return lines.where(body).select(F.col("k").alias(key), F.col("no").alias("line_no"))
