@@ -25,6 +25,8 @@ EXTRACTION = (
 #: A fingerprint is a template of its host when more than RATIO of at least LEAST_PAGES pages hold it; a table of templates
 #: keeps those that at least KEEP_PAGES pages and KEEP_RATIO of them hold.
 RATIO, LEAST_PAGES, KEEP_RATIO, KEEP_PAGES = 0.30, 20, 0.05, 3
+#: Ids of repeated records that are sent to all executors, 8 bytes each; beyond it they are joined.
+LATER = 2_000_000
 #: So many templates of all hosts are held by every worker; beyond it they are joined.
 HELD = 500_000
 
@@ -45,10 +47,15 @@ def decode_html(html_b64: str | None, encoding: str | None, status: int | None)
 
 
 def first_per_url(raw: DataFrame) -> DataFrame:
-    """The first record of each raw URL in the order of stores, shards and lines, by one aggregation."""
-    order = F.struct("store", "shard", "line_no", "rec_id")
-    first = raw.groupBy("url").agg(F.min(order).alias("o")).select(F.col("o.rec_id").alias("rec_id"))
-    return spread(raw).join(first, "rec_id", "left_semi")
+    """The first record of each raw URL in the order of stores, shards and lines.
+
+    Only URLs and ids are shuffled: the ids of later records are known from them, and up to LATER of them the pages are filtered where
+    they are read; beyond that pages meet them in a join.
+    """
+    rows = raw.select("url", "rec_id", F.struct("store", "shard", "line_no", "rec_id").alias("o"))
+    first = rows.groupBy("url").agg(F.min("o").alias("first")).withColumnRenamed("url", "same")
+    later = materialize(rows.join(first, F.col("url").eqNullSafe(F.col("same"))).where(F.col("o") > F.col("first")).select("rec_id"))
+    return spread(raw).join(F.broadcast(later) if later.count() <= LATER else later, "rec_id", "left_anti")
 
 
 def decoded(raw: DataFrame) -> DataFrame:

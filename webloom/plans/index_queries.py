@@ -9,6 +9,7 @@ from webloom.functions import text as T
 from webloom.functions.urls import file_type
 from webloom.operators import index as I
 from webloom.operators import search as S
+from webloom.operators.pipeline import last_per_key
 from webloom.plans.url_queries import SQL_BASE, sql_ext
 from webloom.plans.session import forget, spread, stored, table
 
@@ -144,7 +145,9 @@ def documents_by_host(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_by_url(spark: SparkSession, d: str) -> DataFrame:
-    return index_corpus(spark, d).docs.select("id", "url", "title")
+    """The last row sent of each URL: what writing the corpus again and again leaves."""
+    rows = table(spark, d, "corpus").select(F.col("row_id").alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("title", F.lit("")).alias("title"))
+    return last_per_key(rows, "url", ["id"])
 
 
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
