@@ -121,3 +121,9 @@ def test_skipped_records_and_limits(spark):
     assert sorted(r[0] for r in P.skipped(df, ["o"], "ok").collect()) == [1, 4]
     one = P.resolve_entities(df, ["o"], "ok", 1).collect()
     assert [(r["primary_id"], r["aliases"]) for r in one] == [(2, [])]
+
+
+def test_fetch_outcomes(spark):
+    rows = [("a", 1, 500), ("a", 2, None), ("a", 3, 200), ("a", 4, 500), ("b", 1, 500), ("b", 2, 502), ("b", 3, 0), ("b", 4, 200), ("c", 1, 404), ("d", 1, 429), ("d", 2, 503)] + [("e", i, 429) for i in range(9)]
+    got = {r["url"]: (r["attempts"], r["waited"], r["outcome"]) for r in L.fetch_outcomes(spark.createDataFrame(rows, "url string, ord int, status int")).collect()}
+    assert got == {"a": (3, 6.0, "done"), "b": (3, 14.0, "given up"), "c": (1, 0.0, "done"), "d": (2, 32.0, "open"), "e": (8, 240.0, "given up")}

@@ -12,6 +12,8 @@ from webloom.plans.session import materialize
 MAX_DEPTH, MAX_PAGES_OF_LISTING = 6, 400
 #: Fixed values of the pacing: factor and cap after a 429, factor after a run of good answers.
 SLOWER, CAP, FASTER, RUN = 1.5, 30.0, 0.9, 25
+#: Fixed values of fetching: tries of a URL, how many 429 it may meet, and the seconds after one that names none.
+RETRIES, THROTTLES, PAUSE = 3, 8, 30.0
 
 
 def push(found: DataFrame, queued: DataFrame, home: str, langs: tuple[str, ...] = (), rules: str = "", only_listing: bool = False) -> DataFrame:
@@ -92,6 +94,26 @@ def pacing(responses: DataFrame, base: float = 2.5) -> DataFrame:
     return responses.select("host", "ord", "status").groupBy("host").applyInPandas(lambda pdf: fold(pdf), shape)
 
 
+def fetch_outcomes(attempts: DataFrame, retries: int = RETRIES, throttles: int = THROTTLES) -> DataFrame:
+    """url, attempts, waited, outcome of every URL by its recorded answers (url, ord, status; no status is no answer).
+
+    A good answer ends it (done), and so does one that says there is nothing to have (403, 404, 410); other errors are tried again
+    after 2, 4, ... seconds until there are as many as retries; a 429 waits longer and has a count of its own. A URL whose answers
+    end before either is open.
+    """
+    w = Window.partitionBy("url").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    status = F.coalesce("status", F.lit(0))
+    ok = ((status > 0) & (status < 400)) | status.isin(403, 404, 410)
+    slow = status == 429
+    rows = attempts.select("url", "ord", ok.alias("ok"), slow.alias("slow"), (~ok & ~slow).alias("bad"))
+    rows = rows.withColumns({"tries": F.sum(F.col("bad").cast("int")).over(w), "waits": F.sum(F.col("slow").cast("int")).over(w)})
+    over = F.col("ok") | (F.col("tries") >= retries) | (F.col("waits") >= throttles)
+    rows = rows.withColumn("over", F.sum(over.cast("int")).over(w) - over.cast("int")).where("over = 0")  # up to the answer that ends it
+    pause = F.when(F.col("bad"), F.pow(F.lit(2.0), F.col("tries"))).when(F.col("slow"), F.lit(PAUSE)).otherwise(0.0)
+    outcome = F.when(F.max("ok"), "done").when((F.max("tries") >= retries) | (F.max("waits") >= throttles), "given up").otherwise("open")
+    return rows.groupBy("url").agg(F.count(F.lit(1)).alias("attempts"), F.sum(pause).alias("waited"), outcome.alias("outcome"))
+
+
 def recent_listing(cards: DataFrame, since: str, until: str) -> DataFrame:
     """page_url, matched, future, monotonic, stop: per listing page, the dated links between two days (YYYY-MM-DD).
 

@@ -143,6 +143,11 @@ def crawl_pacing(spark: SparkSession, d: str) -> DataFrame:
     return L.pacing(rows)
 
 
+def fetch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded answers of each URL as the attempts of a fetch."""
+    return L.fetch_outcomes(raw(spark, d).select("url", F.col("rec_id").alias("ord"), "status"))
+
+
 def recent_listing(spark: SparkSession, d: str) -> DataFrame:
     """Rows of a host in order stand for the cards of a listing page."""
     cards = table(spark, d, "documents").where(F.col("source").isNotNull()).select(F.col("source").alias("page_url"), F.col("doc_id").alias("pos"), F.date_format("fetched_at", "yyyy-MM-dd").alias("date"))
@@ -191,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         store_stats, store_check, store_grep, page_hrefs, page_assets, link_assets, category_audit, rebuilt_state, fix_roots, verify_links, verify_corpus_links, all_links, subdomains, article_rows, listing_cards,
-        fetch_candidates, filled_gaps, merged_state, sorted_articles, frontier_push, frontier_walk, visited_split, pagination, crawl_pacing, recent_listing, recent_links, recent_queue, crawl_budget, crawl_manifest, sitemap_urls, unseen,
+        fetch_candidates, filled_gaps, merged_state, sorted_articles, frontier_push, frontier_walk, visited_split, pagination, crawl_pacing, fetch_outcomes, recent_listing, recent_links, recent_queue, crawl_budget, crawl_manifest, sitemap_urls, unseen,
     )
 }
 
@@ -267,6 +272,9 @@ SQL = {
     "recent_listing": "with c as (select source as page_url, doc_id as pos, strftime(fetched_at, '%Y-%m-%d') as date from documents where source is not null and fetched_at is not null), w as (select *, lag(date) over (partition by page_url order by pos) as before from c)"
     " select *, monotonic and first_old is not null as stop from (select page_url, count(*) filter (date between '2020-01-01' and '2023-12-31') as matched, count(*) filter (date > '2023-12-31') as future, coalesce(bool_and(before is null or date <= before), true) as monotonic,"
     " min(pos) filter (date < '2020-01-01') as first_old from w group by page_url)",
+    "fetch_outcomes": "with a as (select url, rec_id as ord, coalesce(status, 0) as s from raw_pages), b as (select *, (s > 0 and s < 400) or s in (403, 404, 410) as ok, s = 429 as slow from a), c as (select *, not ok and not slow as bad from b),"
+    " d as (select *, sum(bad::int) over w as tries, sum(slow::int) over w as waits from c window w as (partition by url order by ord)), e as (select *, ok or tries >= 3 or waits >= 8 as over_ from d), f as (select *, sum(over_::int) over (partition by url order by ord) - over_::int as before from e)"
+    " select url, count(*) as attempts, sum(case when bad then pow(2.0, tries) when slow then 30.0 else 0.0 end)::double as waited, case when bool_or(ok) then 'done' when max(tries) >= 3 or max(waits) >= 8 then 'given up' else 'open' end as outcome from f where before = 0 group by url",
     "recent_links": RECENT + " select listing, page_no, pos, url, date from m",
     "recent_queue": RECENT + f", w as (select url, max(date) as date from m group by url order by date desc, url limit 500), f as (select {sql_norm('url')} as u, date, url as raw from w), k as (select {sql_key('u')} as key, arg_min(u, (-date_diff('day', date '1900-01-01', date::date), raw)) as url from f where u is not null and {sql_scope('u', HOME, True)} group by 1)"
     f" select url, key, 1 as depth, 'recent' as via, true as front from k where key not in (select {sql_key('u')} from (select {sql_norm('url')} as u from raw_pages) where u is not null)",

@@ -14,6 +14,7 @@ from webloom.functions import text as T
 from webloom.functions import urls as U
 from webloom.operators import audit as A
 from webloom.operators import extraction as X
+from webloom.operators import graph as G
 from webloom.operators import pipeline as P
 from webloom.plans.session import table
 from webloom.plans.url_queries import HOME, WS, sql_dest, sql_host, sql_norm, sql_path
@@ -91,6 +92,12 @@ def built_articles(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "url", "lang", "title", "section", "author", "published_at", "modified_at", F.sha1(F.encode("summary", "UTF-8")).alias("summary_sha1"), F.sha1(F.encode("content", "UTF-8")).alias("content_sha1"), "word_count", "thumbnail", F.size("attachments").cast("bigint").alias("n_attachments"), F.size("images").cast("bigint").alias("n_images"), "source")
 
 
+def built_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per host of the built pages: filled fields and how their blocks were found."""
+    out = G.coverage(_extracted(spark, d).where("norm is not null"), ["title", "section", "text"], "block_method")
+    return out.withColumn("methods", F.array_join(F.transform("methods", lambda m: F.concat_ws(":", m["method"], m["n"])), " "))
+
+
 def built_hrefs(spark: SparkSession, d: str) -> DataFrame:
     """Links that an audit reads straight from the bytes of the built pages."""
     return A.page_links(built_pages(spark, d)).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("targets"))
@@ -105,7 +112,7 @@ def built_grep(spark: SparkSession, d: str) -> DataFrame:
     return A.grep(X.decoded(built_pages(spark, d)), "page", "Học Bổng").select("rec_id", "norm")
 
 
-QUERIES = {f.__name__: f for f in (built_fields, built_texts, built_edges, built_links, built_nav, built_fingerprints, built_templates, built_articles, built_hrefs, built_assets, built_grep)}
+QUERIES = {f.__name__: f for f in (built_fields, built_texts, built_edges, built_links, built_nav, built_fingerprints, built_templates, built_articles, built_coverage, built_hrefs, built_assets, built_grep)}
 
 # ---------------------------------------------------------------- SQL
 
@@ -153,6 +160,8 @@ def _sql() -> dict[str, str]:
         "built_links": f"with {edges} select {sql_host('norm')} as src_host, {sql_host('dst')} as dst_host, {sql_dest('dst')} as dst_kind, count(distinct (norm, dst, text)) as n from e where norm is not null group by 1, 2, 3",
         "built_nav": f"with {pages}, m as (select {host} as host, {MENU} as dst from p where norm is not null and text <> '') select host, dst, 'Menu' as text, count(*) as n_pages, any_value({sql_dest('dst')}) as dst_kind from m group by host, dst",
         "built_fingerprints": f"with {prints} select norm, count(*) as n, min(fp) as least, max(fp) as most from f group by norm",
+        "built_coverage": f"with {pages}, c as (select {host} as host, title, section, text, case when text = '' then 'fallback' else 'heuristic' end as m from p where norm is not null), n as (select host, m, count(*) as n from c group by host, m), l as (select host, string_agg(m || ':' || n, ' ' order by m) as methods from n group by host)"
+        " select c.host, count(*) as pages, " + ", ".join(f"count(*) filter ({x} <> '') as {x}, round(100.0 * count(*) filter ({x} <> '') / count(*), 1)::double as {x}_pct" for x in ("title", "section", "text")) + ", any_value(l.methods) as methods from c join l using (host) group by c.host",
         "built_hrefs": f"with {hrefs} select src, count(*) as n, count(distinct dst) as targets from h where dst is not null group by src",
         "built_assets": f"with {hrefs} select lower(regexp_extract({sql_path('dst')}, '\\.([A-Za-z0-9]{{1,8}})$', 1)) as ext, count(distinct dst) as n from h where dst is not null and ({sql_host('dst')} = '{HOME}' or ends_with({sql_host('dst')}, '.{HOME}')) and regexp_matches({sql_path('dst')}, '{U.ASSET}') group by 1",
         "built_grep": f"with {pages} select rec_id, norm from b where contains(lower(concat_ws(' | ', title, section, author, text)), 'học bổng')",
