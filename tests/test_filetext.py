@@ -42,3 +42,25 @@ def test_job(spark):
     stored = spark.createDataFrame([("s1", bytearray(DOCX)), ("s1", bytearray(DOCX))], "sha1 string, content binary")
     out = {r["url"]: (r["status"], r["n_pages"]) for r in T.extraction_job(catalogue, stored).collect()}
     assert out == {"u1": ("ok", 3), "u2": ("error", None), "u3": ("ok", None), "u4": ("pending", None)}
+
+
+def packed_pdf() -> bytes:
+    """A page whose objects lie in an object stream and whose font has codes of its own."""
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <1ECD> endbfchar 1 beginbfrange <0003> <0005> <0063> endbfrange 1 beginbfrange <0006> <0007> [<00620031> <1ED5>] endbfrange"
+    content = b"BT /F1 12 Tf 1 0 0 1 10 10 Tm [<00010002> 30 <0003> -400 <0006>] TJ T* (\\000\\007) Tj ET"
+    stream = lambda n, body: b"%d 0 obj <</Filter /FlateDecode /Length 1>> stream\n%s\nendstream endobj\n" % (n, zlib.compress(body))
+    inner = [b"<</Type /Pages /Kids [2 0 R] /Count 1 /Resources <</Font <</F1 5 0 R>>>>>>", b"<</Type /Page /Parent 1 0 R /Contents 6 0 R>>", b"<</Type /Font /ToUnicode 7 0 R>>"]
+    heads, at = [], 0
+    for n, body in zip((1, 2, 5), inner):
+        heads.append(b"%d %d" % (n, at))
+        at += len(body) + 1
+    head = b" ".join(heads) + b" "
+    objects = b"9 0 obj <</Type /ObjStm /N 3 /First %d /Filter /FlateDecode>> stream\n%s\nendstream endobj\n" % (len(head), zlib.compress(head + b" ".join(inner)))
+    return b"%PDF-1.5\n" + stream(6, content) + stream(7, cmap) + objects + b"%%EOF"
+
+
+def test_packed_pdf_with_font_tables():
+    text, pages = T.read_pdf(packed_pdf())
+    assert T.tidy(text) == "Học b1\nổ" and pages == 1
+    for cut in range(20, len(packed_pdf()), 37):
+        assert T.extract_text(packed_pdf()[:cut], "pdf")["status"] == "ok"

@@ -1,4 +1,4 @@
-"""Text of document files with the standard library: office formats that are zipped XML, and PDFs with simple text."""
+"""Text of document files with the standard library: office formats that are zipped XML, and PDFs (object streams, fonts' tables of characters)."""
 
 from __future__ import annotations
 
@@ -67,36 +67,149 @@ def read_xlsx(z: zipfile.ZipFile) -> tuple[str, int]:
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 
 
-def _literal(raw: bytes) -> str:
+def _unescaped(raw: bytes) -> bytes:
+    """Bytes of a string between brackets."""
+
     def one(m: re.Match) -> bytes:
         x = m[1]
         return bytes([int(x, 8) & 255]) if x.isdigit() else _ESCAPES.get(x, b"" if x in (b"\n", b"\r") else x)
 
-    data = re.sub(rb"\\([0-7]{1,3}|.|\n)", one, raw, flags=re.S)
-    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
+    return re.sub(rb"\\([0-7]{1,3}|.|\n)", one, raw, flags=re.S)
+
+
+_OBJECT = re.compile(rb"(?s)\b(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b")
+_REF = rb"(\d+)\s+\d+\s+R"
+#: Tokens of a content stream: a font with its size, a string, a string in hexadecimal, an array of both, a new line, the end of a text.
+_SHOWN = re.compile(
+    rb"(?s)/([^\s/\[\]<>()]+)\s+[-\d.]+\s+Tf|(\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\))|<([0-9A-Fa-f\s]+)>|(\[)|(\])|(-?\d+(?:\.\d+)?)(?=[\s(<\]])|(\bT[dD*m]|'|\")|(\bET\b)"
+)
+#: Thousandths of an em that two strings of an array are apart from which a blank lies between.
+_GAP = 200
+
+
+def _number(of: bytes, name: bytes, default: int = 0) -> int:
+    m = re.search(rb"/" + name + rb"\s+(\d+)", of)
+    return int(m[1]) if m else default
+
+
+def _stream(body: bytes) -> bytes:
+    """Content of a stream object; what is damaged at its end is left out. b'' for other objects and other filters."""
+    m = re.search(rb"stream\r?\n", body)
+    if not m:
+        return b""
+    head, raw = body[: m.start()], body[m.end() : body.rfind(b"endstream")]
+    if b"FlateDecode" not in head:
+        return b"" if b"/Filter" in head else raw
+    try:
+        raw = zlib.decompressobj().decompress(raw)
+    except zlib.error:
+        return b""
+    if _number(head, b"Predictor", 1) < 10:
+        return raw
+    width, out, above = _number(head, b"Columns", 1), bytearray(), None
+    above = bytearray(width)
+    for at in range(0, len(raw) - width, width + 1):  # rows that tell what was subtracted: nothing, or the row above
+        row = bytearray(raw[at + 1 : at + 1 + width])
+        if raw[at] == 2:
+            row = bytearray((x + y) & 255 for x, y in zip(row, above))
+        elif raw[at] == 1:
+            for k in range(1, width):
+                row[k] = (row[k] + row[k - 1]) & 255
+        out += row
+        above = row
+    return bytes(out)
+
+
+def _objects(data: bytes) -> dict[int, bytes]:
+    """Objects by number, those packed into object streams too."""
+    found = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+    for body in list(found.values()):
+        if b"/ObjStm" in body:
+            packed, first = _stream(body), _number(body, b"First")
+            pairs = [int(x) for x in packed[:first].split()[: 2 * _number(body, b"N")]]
+            ends = [*pairs[3::2], len(packed) - first]
+            for number, start, end in zip(pairs[::2], pairs[1::2], ends):
+                found.setdefault(number, packed[first + start : first + end])
+    return found
+
+
+def _characters(cmap: bytes) -> tuple[int, dict[int, str]]:
+    """(bytes of a code, text of each code) of a font's table of characters."""
+    chars = {}
+    text = lambda h: bytes.fromhex(h.decode() + "0" * (len(h) % 2)).decode("utf-16-be", "replace")
+    wide = re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", cmap)
+    for block in re.findall(rb"(?s)beginbfchar(.*?)endbfchar", cmap):
+        chars |= {int(c, 16): text(t) for c, t in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
+    for block in re.findall(rb"(?s)beginbfrange(.*?)endbfrange", cmap):
+        for low, high, one, many in re.findall(rb"(?s)<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", block):
+            codes = range(int(low, 16), min(int(high, 16), int(low, 16) + 65_535) + 1)
+            if one:
+                start = text(one)
+                chars |= {c: start[:-1] + chr(ord(start[-1]) + k) for k, c in enumerate(codes) if start}
+            else:
+                chars |= dict(zip(codes, map(text, re.findall(rb"<([0-9A-Fa-f]+)>", many))))
+    return (len(wide[1]) // 2 if wide else 2), chars
+
+
+def _fonts(page: bytes, objects: dict[int, bytes]) -> dict[bytes, tuple[int, dict[int, str]]]:
+    """Tables of characters of the fonts a page names, in its own resources or those of the nodes above it."""
+    at, fonts = page, {}
+    for _ in range(8):
+        named = re.search(rb"(?s)/Resources\s*(?:" + _REF + rb"|(<<.*))", at)
+        inside = (objects.get(int(named[1]), b"") if named[1] else named[2]) if named else b""
+        listed = re.search(rb"(?s)/Font\s*(?:" + _REF + rb"|<<(.*?)>>)", inside)
+        if listed:
+            for name, number in re.findall(rb"/([^\s/<>\[\]()]+)\s+" + _REF, objects.get(int(listed[1]), b"") if listed[1] else listed[2]):
+                table = re.search(rb"/ToUnicode\s+" + _REF, objects.get(int(number), b""))
+                if table and int(table[1]) in objects:
+                    fonts.setdefault(name, _characters(_stream(objects[int(table[1])])))
+        above = re.search(rb"/Parent\s+" + _REF, at)
+        if not above or int(above[1]) not in objects:
+            break
+        at = objects[int(above[1])]
+    return fonts
+
+
+def _shown(content: bytes, fonts: dict[bytes, tuple[int, dict[int, str]]]) -> str:
+    """Text of a content stream, its strings read by the table of their font, else as Western text."""
+    out, font, listed = [], None, False
+
+    def read(raw: bytes) -> str:
+        if font is None:
+            return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
+        width, chars = font
+        return "".join(chars.get(int.from_bytes(raw[k : k + width], "big"), "") for k in range(0, len(raw), width))
+
+    for block in re.findall(rb"(?s)\bBT\b(.*?\bET\b)", content):
+        for name, literal, hexed, opened, closed, gap, line, end in _SHOWN.findall(block):
+            if name:
+                font = fonts.get(name)
+            elif literal:
+                out.append(read(_unescaped(literal[1:-1])))
+            elif hexed:
+                digits = re.sub(rb"\s", b"", hexed).decode()
+                out.append(read(bytes.fromhex(digits + "0" * (len(digits) % 2))))
+            elif opened or closed:
+                listed = bool(opened)
+            elif gap:
+                out.append(" " if listed and float(gap) < -_GAP else "")
+            elif line or end:
+                out.append("\n")
+    return "".join(out)
 
 
 def read_pdf(data: bytes) -> tuple[str, int]:
-    pages = max(1, len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data)))
-    out = []
-    for m in re.finditer(rb"(?s)stream\r?\n(.*?)\r?\nendstream", data):
-        body = m[1]
-        if b"FlateDecode" in data[max(0, m.start() - 400) : m.start()]:
-            try:
-                body = zlib.decompressobj().decompress(body)
-            except zlib.error:
-                continue
-        for block in re.findall(rb"(?s)\bBT\b(.*?)\bET\b", body):
-            line = []
-            for lit, hexed, new in re.findall(rb"(?s)\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]+)>|(\bT[dD*]|')", block):
-                if new:
-                    line.append("\n")
-                elif hexed:
-                    line.append(bytes.fromhex((h := re.sub(rb"\s", b"", hexed).decode()) + "0" * (len(h) % 2)).decode("cp1252", "replace"))
-                else:
-                    line.append(_literal(lit))
-            out.append("".join(line))
-    return "\n".join(out), pages
+    """(text, pages): the pages' content streams in the order of their objects; where no page is found, all streams."""
+    objects = _objects(data)
+    pages = [b for b in objects.values() if re.search(rb"/Type\s*/Page(?![a-zA-Z])", b)]
+    parts = []
+    for page in pages:
+        named = re.search(rb"(?s)/Contents\s*(?:" + _REF + rb"|\[(.*?)\])", page)
+        numbers = [int(named[1])] if named and named[1] else [int(n) for n in re.findall(_REF, named[2])] if named else []
+        parts.append(_shown(b"\n".join(_stream(objects.get(n, b"")) for n in numbers), _fonts(page, objects)))
+    if not "".join(parts).strip():
+        parts = [_shown(_stream(m[0]), {}) for m in re.finditer(rb"(?s)<<(?:(?!endobj).){0,400}?>>\s*stream\r?\n.*?endstream", data)]
+    return "\n".join(parts), max(1, len(pages), len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data)))
 
 
 def tidy(text: str) -> str:
