@@ -18,7 +18,7 @@ FIELDS = ("id", "url", "title", "text", "host", "section", "author", "kind", "ft
 ANALYSED = ("title", "text", "section", "title_kd", "text_kd")
 FOLDED = {"title": "title_kd", "text": "text_kd"}
 #: Documents a bucket of terms holds the postings of, and the parts of a bucket, so that a term of very many documents isn't one task's.
-DOCS_A_BUCKET, PARTS = 50_000, 4
+DOCS_A_BUCKET, PARTS = 200_000, 4
 STORED = "id bigint, url string, title string, text string, host string, section string, author string, kind string, ftype string, date string, date_num bigint, chars int"
 
 

@@ -1,4 +1,4 @@
-"""Text of document files with the standard library: office formats that are zipped XML, and PDFs (object streams, fonts' tables of characters)."""
+"""Text of document files with the standard library: office formats that are zipped XML, binary ones (legacy), and PDFs (object streams, fonts' tables of characters)."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.frames import safe
 from webloom.functions.urls import DOCUMENT_EXT
+from webloom.sources import legacy
 
 #: Characters kept of a text, and characters a page of a PDF has at least if it isn't a scan.
 CAP, LEAST_PER_PAGE = 500_000, 20
@@ -222,7 +223,7 @@ def extract_text(data: bytes | None, ext: str | None) -> dict:
     """status (ok, unsupported, error), text, n_pages, needs_ocr, error of a file; never raises."""
     none = {"text": "", "n_pages": None, "needs_ocr": False, "error": ""}
     ext = (ext or "").lower()
-    if ext not in DOCUMENT_EXT or ext in ("doc", "xls", "ppt"):
+    if ext not in DOCUMENT_EXT:
         return none | {"status": "unsupported"}
     if not data:
         return none | {"status": "error", "error": "empty file"}
@@ -231,6 +232,8 @@ def extract_text(data: bytes | None, ext: str | None) -> dict:
             if not data.startswith(b"%PDF"):
                 raise ValueError("no PDF")
             text, pages = read_pdf(bytes(data))
+        elif ext in ("doc", "xls", "ppt"):
+            text, pages = {"doc": legacy.read_doc, "xls": legacy.read_xls, "ppt": legacy.read_ppt}[ext](bytes(data))
         else:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 text, pages = {"docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx}[ext](z)
