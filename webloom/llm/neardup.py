@@ -36,8 +36,10 @@ SMALL = 40
 BLOCK, ROWS_A_TASK = 2000, 400_000
 #: Bits of the fingerprint of a set: one for each bin of its hashes, from the smallest in the bin.
 BITS = 128
-#: Standard deviations that the filters by estimated similarity leave as a margin.
-MARGIN = 4.5
+#: Standard deviations that the filters by estimated similarity leave as a margin: the sketch of the union, and the fingerprint.
+MARGIN, PRINT_MARGIN = 4.5, 3.8
+#: Lists of runs of three or more that two sets must share; shorter runs count double.
+SHARED = 2
 
 
 class WordHashes(dict):
@@ -108,15 +110,18 @@ def _sketches(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
 
 
 def miss_chance(p: float, run: int, kept: float, size: int = K) -> float:
-    """Chance that of so many independent neighbours, each shared with probability p, no run is shared whose key is kept."""
-    state = np.zeros(run + 1)  # chance by the length of the shared stretch so far, nothing found yet
-    state[0] = 1.0
+    """Chance that of so many independent neighbours, each shared with probability p, too few runs are shared whose keys are kept."""
+    needed = SHARED if run > SHARED else 1
+    state = np.zeros((needed, run + 1))  # chance by what was found and the length of the shared stretch so far
+    state[0, 0] = 1.0
     for _ in range(size):
-        new = np.zeros(run + 1)
-        new[0] = state.sum() * (1 - p)
-        new[1:] = state[:-1] * p
-        new[run] += state[run] * p
-        new[run] *= 1 - kept
+        new = np.zeros_like(state)
+        new[:, 0] = state.sum(axis=1) * (1 - p)
+        new[:, 1:] = state[:, :-1] * p
+        new[:, run] += state[:, run] * p
+        hit = new[:, run] * kept
+        new[:, run] -= hit
+        new[1:, run] += hit[:-1]
         state = new
     return float(state.sum())
 
@@ -141,7 +146,8 @@ def run_keys(s: np.ndarray, n: int, threshold: float) -> np.ndarray:
             for j in range(1, run):
                 x = mix(x) + s[j : len(s) - run + 1 + j]
             x = mix(x + np.uint64(8 * g + run))
-            own.append(x if share == 1 else x[x < np.uint64(int(share * 2**64))])
+            x = x if share == 1 else x[x < np.uint64(int(share * 2**64))]
+            own += [x + np.uint64(copy) for copy in range(1 if run > SHARED else SHARED)]
     return np.concatenate(own).view(np.int64)
 
 
@@ -158,7 +164,7 @@ def _keys(reps: DataFrame, threshold: float) -> DataFrame:
 
 
 def _listed_pairs(lists: DataFrame, near: Callable[[str, str], Column], block: int) -> DataFrame:
-    """a, b (a < b) of the sets that share a list and are near; lists are parted by key already."""
+    """a, b (a < b) of the sets that share lists enough and are near; lists are parted by key already."""
     side = lambda df, x: df.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("id", "n", "f1", "f2")])
     sized = lists.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
     short = sized.where(F.col("size") <= block)
@@ -169,7 +175,8 @@ def _listed_pairs(lists: DataFrame, near: Callable[[str, str], Column], block: i
     left = hot.select("key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("of") - 1)).alias("j"), *[F.col(c).alias(f"{c}a") for c in ("id", "n", "f1", "f2")])
     right = hot.select("key", F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), *[F.col(c).alias(f"{c}b") for c in ("id", "n", "f1", "f2")])
     blocks = left.join(right, ["key", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("ida") < F.col("idb"))).where(near("a", "b"))
-    return pairs.unionByName(blocks.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))).distinct()
+    pairs = pairs.unionByName(blocks.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).where(F.col("lists") >= SHARED).select("a", "b")
 
 
 def estimate(a: bytes, b: bytes) -> float:
@@ -202,7 +209,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, threshol
     reps = rows.join(others, "id", "left_anti")
 
     p = (1 + threshold) / 2
-    most = BITS * (1 - p) + MARGIN * (BITS * p * (1 - p)) ** 0.5
+    most = BITS * (1 - p) + PRINT_MARGIN * (BITS * p * (1 - p)) ** 0.5
 
     def near(x: str, y: str) -> Column:
         n, m = F.col(f"n{x}"), F.col(f"n{y}")
